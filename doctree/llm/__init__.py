@@ -1,7 +1,7 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from doctree.llm import decontaminate, language_id, packing, simhash, substring_dedup
+from doctree.llm import decontaminate, language_id, packing, quality_model, sharding, simhash, substring_dedup
 
-MODULES = [substring_dedup, packing, decontaminate, simhash, language_id]
+MODULES = [sharding, substring_dedup, packing, decontaminate, simhash, quality_model, language_id]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
