@@ -27,7 +27,8 @@ BLOCK_BYTES = 16_000_000
 HIT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words where A-Z have not been lowered, for places in the original text.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
