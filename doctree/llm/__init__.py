@@ -1,7 +1,7 @@
 """Operations of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from doctree.llm import chat, decontaminate, language_id, packing, quality_model, quality_rules, sharding, simhash, substring_dedup
+from doctree.llm import chat, decontaminate, language_id, line_dedup, packing, quality_model, quality_rules, sharding, simhash, substring_dedup
 
-MODULES = [chat, quality_rules, sharding, substring_dedup, packing, decontaminate, simhash, quality_model, language_id]
+MODULES = [chat, quality_rules, sharding, substring_dedup, packing, decontaminate, line_dedup, simhash, quality_model, language_id]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
