@@ -54,3 +54,10 @@ EMIT = f"""plain AS (SELECT * FROM docs WHERE doc_type <> 'Needed Research'),
   akey AS (SELECT * FROM ekey UNION ALL SELECT n.corpus_id, n.version_id, n.doc_no, list_append(coalesce(t.key, [{{'k': 9, 'n': CAST(0 AS BIGINT), 's': ''}}]), {{'k': -1, 'n': CAST(substr(n.doc_no, 4) AS BIGINT), 's': n.doc_no}})
     FROM docs n LEFT JOIN ekey t ON t.corpus_id = n.corpus_id AND t.version_id = n.version_id AND t.doc_no = n.target_no WHERE n.doc_type = 'Needed Research'),
   pos AS (SELECT {K}, doc_no, row_number() OVER (PARTITION BY {K} ORDER BY key, doc_no) AS position FROM akey)"""
+#: Documents with their heading level, and their blocks of text in reading order.
+LEV = f"""tgt AS (SELECT {K}, doc_no AS tno, least(6, greatest(1, {DEPTH})) AS tl FROM docs WHERE doc_type <> 'Needed Research'),
+  lev AS (SELECT d.*, CASE WHEN d.doc_type = 'Needed Research' THEN coalesce(least(6, tl + 1), 6) ELSE least(6, greatest(1, {DEPTH.replace('doc_no', 'd.doc_no').replace('doc_type', 'd.doc_type')})) END AS level
+    FROM docs d LEFT JOIN tgt ON tgt.corpus_id = d.corpus_id AND tgt.version_id = d.version_id AND tgt.tno = d.target_no)"""
+BLOCKS = f"""{LEV}, {EMIT}, blk AS (SELECT lev.*, position, repeat('#', level) || ' ' || doc_no || ' - ' || name || ' [' || doc_type || ']  <!-- UUID: ' || coalesce(uuid, '') || ' -->' AS title FROM lev JOIN pos USING ({K}, doc_no)),
+  block AS (SELECT *, title || chr(10) || CASE WHEN coalesce(body, '') <> '' THEN chr(10) || body || chr(10) ELSE '' END AS block FROM blk)"""
+TRIM = r"regexp_replace(regexp_replace(coalesce(body, ''), '\A([ \t\r\f\v]*\n)+', ''), '(\n[ \t\r\f\v]*)+\z', '')"
