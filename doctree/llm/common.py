@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,48 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doctree.session import shared_dir, written  # noqa: F401
+
 #: ASCII white space, as the contracts' word pattern ``[^\x20\x09-\x0D]+`` has it.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests on one machine) a temporary folder takes its place; on a
-    cluster without the setting this raises, as no folder is known to be shared there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="doctree-shared-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as Parquet in the shared folder, and read again: this cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/doctree/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_written() -> None:
-    """Delete the tables that :func:`written` left; frames that read them are of no use after that."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

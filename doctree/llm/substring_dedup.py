@@ -6,10 +6,10 @@ share a run and with it one update: about one for each fifteen words. Every part
 texts sparsely, as (cell, count); the merged counts never fall below a window's true count. With so few
 updates the sketch can be wide (2^40 cells), and one row of it is as selective as several narrow ones.
 
-The second pass reads only what the sketch can't rule out. Documents with a run in a cell that was counted
-twice or more give the 128-bit fingerprints of the windows over such runs; those are counted exactly, and
-every window that is there twice is removed. No window with a second occurrence is lost, as its run occurs
-at both places.
+The second pass groups only what the sketch can't rule out: windows whose cell was counted twice or more.
+Neighbouring windows with the same least run make a unit, which has a fingerprint of all its words. Units
+that are alike are repeated as a whole; windows of one unit of each other kind are grouped one by one, by cell
+and fingerprint (104 bits). No window with a second occurrence is lost, as its run occurs at both places.
 """
 
 from __future__ import annotations
@@ -128,11 +128,32 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-_DOC = "doc_id {kind}, k_id bigint, k_text bigint, n_words bigint, kept_sha256 string, text string, places array<int>, high array<bigint>, low array<bigint>"
+_DOC = "doc_id {kind}, k_id bigint, k_text bigint, n_words bigint, kept_sha256 string, text string, units array<struct<cell:bigint,start:int,n:int,print:bigint>>"
+_UNIT = pa.struct([("cell", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
+
+
+def _units(words: Words, window: int, run: int, width_bits: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows with one least run: their cells, starts, numbers of windows and fingerprints.
+
+    The fingerprint is of all words that the unit's windows cover.
+    """
+    least = _least_runs(words, window, run)
+    places = np.flatnonzero(least >= 0)
+    if not len(places):
+        return (np.zeros(0, np.int64),) * 4
+    new = np.concatenate([[True], (least[places[1:]] != least[places[:-1]]) | (places[1:] != places[:-1] + 1)])
+    start = places[new]
+    n = np.diff(np.concatenate([np.flatnonzero(new), [len(places)]]))
+    cell = (_rolling(words.hashes[0], run, _ODD[0])[least[start]] >> np.uint64(64 - width_bits)).astype(np.int64)
+    codes, base = words.hashes[1], _ODD[1]
+    prefix = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(base, len(codes)), dtype=np.uint64)])
+    inverse = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(codes))
+    prints = _mixed((prefix[start + n + window - 1] - prefix[start]) * inverse[start]).view(np.int64)
+    return cell, start, n, prints
 
 
 def _candidates(joined: DataFrame, kind: str, window: int, run: int, width_bits: int) -> DataFrame:
-    """Per row: the final result where no window is in doubt; else the text, and where and what those windows are."""
+    """Per row: the final result where no window is in doubt; else the text, and its units of windows in doubt."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,36 +162,54 @@ def _candidates(joined: DataFrame, kind: str, window: int, run: int, width_bits:
                 texts = part.to_pylist()
                 own = batch.column(4).slice(done, len(part)).to_pylist()
                 words = Words(texts)
-                least = _least_runs(words, window, run)
-                _, cells = _cells(words, np.arange(max(0, int(words.edge[-1]) - run + 1)), run, width_bits)
-                prints = [_rolling(words.hashes[k], window, _ODD[k]).view(np.int64) if int(words.edge[-1]) >= window else None for k in (0, 1)]
-                places, high, low, digests, kept = [], [], [], [], []
+                cell, start, n, prints = _units(words, window, run, width_bits)
+                edge = np.searchsorted(start, words.edge)
+                size, some = np.zeros(len(texts), np.int64), []
                 for k, doubted in enumerate(own):
-                    a, b = int(words.edge[k]), int(words.edge[k + 1])
-                    at = np.zeros(0, np.int64)
                     if doubted:
-                        runs = least[a:b]
-                        has = np.flatnonzero(runs >= 0)
-                        at = has[np.isin(cells[runs[has]], np.array(doubted, np.int64))]
-                    places.append(at.astype(np.int32))
-                    high.append(prints[0][a + at] if len(at) else np.zeros(0, np.int64))
-                    low.append(prints[1][a + at] if len(at) else np.zeros(0, np.int64))
-                    digests.append(None if len(at) else _digest(words.by_text[k]))
-                    kept.append(texts[k] if len(at) else None)
+                        at = edge[k] + np.flatnonzero(np.isin(cell[edge[k] : edge[k + 1]], np.array(doubted, np.int64)))
+                        size[k] = len(at)
+                        some.append(at)
+                at = np.concatenate(some) if some else np.zeros(0, np.int64)
+                first = (start[at] - np.repeat(words.edge[:-1], size)).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array(cell[at]), pa.array(first), pa.array(n[at].astype(np.int32)), pa.array(prints[at])], fields=list(_UNIT))
+                units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+                digests = [None if m else _digest(words.by_text[k]) for k, m in enumerate(size.tolist())]
+                kept = [t if m else None for t, m in zip(texts, size.tolist(), strict=True)]
                 base = [batch.column(i).slice(done, len(part)) for i in range(3)]
                 done += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [*base, pa.array(words.size), pa.array(digests, pa.string()), pa.array(kept, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(high, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))],
-                    ["doc_id", "k_id", "k_text", "n_words", "kept_sha256", "text", "places", "high", "low"],
-                )
+                yield pa.RecordBatch.from_arrays([*base, pa.array(words.size), pa.array(digests, pa.string()), pa.array(kept, pa.string()), units], ["doc_id", "k_id", "k_text", "n_words", "kept_sha256", "text", "units"])
 
     return joined.select("doc_id", "k_id", "k_text", "text", "cells").mapInArrow(find, _DOC.format(kind=kind))
 
 
-def _covered(n: int, places: list[int], window: int) -> np.ndarray:
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """k_id, k_text, place, cell, print of the windows of the listed ``units`` (start, n, cell) of each text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(2)):
+                words = Words(part.to_pylist())
+                prints = _rolling(words.hashes[1], window, _ODD[1]).view(np.int64)
+                units = batch.column(3).slice(done, len(part)).to_pylist()
+                owner = np.repeat(np.arange(len(part)), [len(u) for u in units])
+                start, n, cell = (np.array([u[f] for x in units for u in x], np.int64) for f in ("start", "n", "cell"))
+                place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                at = pa.array(done + np.repeat(owner, n))
+                where = place + words.edge[np.repeat(owner, n)]
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(np.repeat(cell, n)), pa.array(prints[where])], ["k_id", "k_text", "place", "cell", "print"])
+
+    return rows.select("k_id", "k_text", "text", "units").mapInArrow(emit, "k_id bigint, k_text bigint, place int, cell bigint, print bigint")
+
+
+def _covered(n: int, ranges: list[dict], window: int) -> np.ndarray:
+    """Which of n words are covered by windows; a range has the first of them and how many start one after the other."""
     steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, places, 1)
-    np.add.at(steps, np.array(places) + window, -1)
+    start = np.array([r["start"] for r in ranges])
+    np.add.at(steps, start, 1)
+    np.add.at(steps, start + np.array([r["n"] for r in ranges]) + window - 1, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -199,17 +238,30 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """
     kind = dict(docs.dtypes)[doc_id]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
+    keys = ["k_id", "k_text"]
     updates = written(sketched(own, window, run, width_bits), "sketch")
     # a text that is there twice has two rows here, so its cells are counted twice
     twice = updates.groupBy("cell").agg(F.sum("count").alias("n")).where("n > 1").select("cell")
-    doubted = updates.join(twice, "cell").groupBy("k_id", "k_text").agg(F.collect_set("cell").alias("cells"))
-    found = written(_candidates(own.join(doubted, ["k_id", "k_text"], "left"), kind, window, run, width_bits), "candidates")
-    windows = found.where(F.size("places") > 0).select("k_id", "k_text", F.explode(F.arrays_zip("places", "high", "low")).alias("w")).select("k_id", "k_text", "w.places", "w.high", "w.low")
-    repeated = windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    hits = windows.join(repeated, ["high", "low"]).groupBy("k_id", "k_text").agg(F.collect_set("places").alias("repeated"))
-    open_rows = found.where(F.col("kept_sha256").isNull()).select("doc_id", "k_id", "k_text", "text")
+    doubted = updates.join(twice, "cell").groupBy(*keys).agg(F.collect_set("cell").alias("cells"))
+    found = written(_candidates(own.join(doubted, keys, "left"), kind, window, run, width_bits), "candidates")
+    units = found.where(F.size("units") > 0).select(*keys, F.explode("units").alias("u")).select(*keys, "u.*")
+    # Units that are there twice are repeated as a whole. Of each kind of unit one stands for all; only where
+    # several kinds have a cell can their windows be equal too, and only there windows are counted one by one.
+    alike = units.groupBy("cell", "n", "print").agg(F.count("*").alias("times"), F.min(F.struct(*keys, "start")).alias("one"))
+    alike = written(alike, "kinds")
+    whole = units.join(alike.where("times > 1").select("cell", "n", "print"), ["cell", "n", "print"]).select(*keys, "start", "n")
+    mixed = alike.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell")
+    wanted = alike.join(mixed, "cell").select("one.k_id", "one.k_text", F.struct("one.start", "n", "cell").alias("unit"))
+    wanted = wanted.groupBy(*keys).agg(F.collect_list("unit").alias("units"))
+    # Repeated rows give their windows twice here, rightly so.
+    texts = found.where(F.col("text").isNotNull()).select(*keys, "text")
+    windows = written(_windows(texts.join(wanted, keys), window), "windows")
+    repeated = windows.groupBy("cell", "print").agg(F.count("*").alias("times")).where("times > 1").select("cell", "print")
+    single = windows.join(repeated, ["cell", "print"]).select(*keys, F.col("place").alias("start"), F.lit(1).alias("n"))
+    hits = whole.unionByName(single).groupBy(*keys).agg(F.collect_set(F.struct("start", "n")).alias("repeated"))
+    open_rows = found.where(F.col("kept_sha256").isNull()).select("doc_id", *keys, "text")
     done = found.where(F.col("kept_sha256").isNotNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return done.unionByName(_finished(open_rows.join(hits, ["k_id", "k_text"], "left"), kind, window))
+    return done.unionByName(_finished(open_rows.join(hits, keys, "left"), kind, window))
 
 
 def op3_count_min_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
