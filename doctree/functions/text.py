@@ -136,7 +136,7 @@ def heading_line(level: Column, doc_no: Column, name: Column, doc_type: Column,
 
 def normalized_body(c: Column | str) -> Column:
     """Links without their target's number, and plain blanks, so that renumbering does not count as an edit."""
-    plain = F.replace(_c(c), F.lit(" "), F.lit(" "))
+    plain = F.replace(_c(c), F.lit("\u00a0"), F.lit(" "))
     return F.regexp_replace(plain, r"\[(\*{0,2})([A-Z][\d.]+)\s*-\s*([^\]]+?)\1\]\(([^)]+)\)", r"[$1$3$1]($4)")
 
 
