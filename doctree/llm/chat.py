@@ -53,10 +53,9 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     while len(jumps) < MOST_JUMPS and not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
         last = jumps[-1]
         ahead = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("added"))
-        step = last.join(ahead, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score")
-        )
-        jumps.append(written(step, f"jump{len(jumps)}"))
+        # Only nodes that have not reached a root yet take part in the join.
+        step = last.where(F.col("up").isNotNull()).join(ahead, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("added")).alias("score"))
+        jumps.append(written(step.unionByName(last.where(F.col("up").isNull())), f"jump{len(jumps)}"))
     answered = first.where(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].where(F.col("up").isNull()).join(answered, ["tree", "node"], "left_anti")
     # Of each tree only per_tree leaves are kept: no task gets a whole tree's leaves but their best so far.
