@@ -15,7 +15,9 @@ and no page with boilerplate; it stays whole, for near-duplicate detection to ju
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree.llm.common import SPACES, row_key, table, written
@@ -29,53 +31,64 @@ SIMILAR = 0.7
 #: A document that would lose a larger share of its words keeps them.
 MOST_LOST = 0.5
 FIELD = "<*>"
-_FIELDS = "[^\\x20\\x09-\\x0D]*(?:[0-9]|://|@)[^\\x20\\x09-\\x0D]*"
-
-
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
-
+#: Up to so many leaves (about 12 MB) are sent to all tasks; more are joined by shuffling the lines.
+MOST_SENT = 500_000
+#: A token with a digit, an address or a mail address; it is tried at a token's start only.
+_FIELDS = "(?<![^\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D]*?(?:[0-9@]|://))[^\\x20\\x09-\\x0D]+"
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """k_id, k_text, place, line (generalised) and size (words) of each line with a word. Lines end with a line feed."""
-    general = F.regexp_replace(F.col(text), _FIELDS, FIELD)
-    each = docs.where(F.col(text).isNotNull()).select(*row_key(text=text), F.posexplode(F.split(general, "\n")).alias("place", "line"))
-    trimmed = F.regexp_replace(F.regexp_replace("line", "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), SPACES, " ")
-    return each.select("k_id", "k_text", "place", trimmed.alias("line")).where("line <> ''").withColumn("size", F.size(F.split("line", " ")))
 
+def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """k_id, k_text, place, line, h, g, size, leaf of each line with a word. Lines end with a line feed.
 
-def _leaf(depth: int) -> list[Column]:
-    return [F.col("size"), F.substring_index("line", " ", depth).alias("lead")]
-
-
-def templates(each: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """(line) of the distinct generalised lines that are to be dropped, from ``each`` as :func:`lines` has it."""
-    # One row for a line and text; from here on a line has its number of different texts.
-    by_text = each.select("line", "size", "k_text").distinct()
-    distinct = written(by_text.groupBy("line", "size").agg(F.count("*").alias("texts")), "lines")
-    exact = distinct.where(F.col("texts") >= least_docs).select("line")
-    # Leaves that could have a template of their own: several lines, and enough texts in all. Lines that are
-    # long enough to differ beyond the leading tokens only; the others agree wholly or are another leaf.
-    leafed = distinct.where(F.col("size") > depth).select("line", "texts", *_leaf(depth))
-    leaves = leafed.groupBy("size", "lead").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= least_docs))
-    members = leafed.drop("texts").join(leaves.select("size", "lead", "n"), ["size", "lead"])
-    places = members.select("size", "lead", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    shared = places.groupBy("size", "lead", "at", "token").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") * 2 > F.col("n"))
-    grown = shared.groupBy("size", "lead").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
-    grown = grown.where(F.size("constant") >= F.greatest(F.lit(depth + 1), F.ceil(F.lit(similar) * F.col("size"))))
+    ``line`` is generalised, with single blanks; h and g are two hashes that stand for it (96 bits), size is
+    its number of tokens, and leaf stands for its place in the tree.
+    """
+    # Most texts have neither fields nor odd blanks; one look at the text spares their lines the patterns.
+    body = F.col(text)
+    fields = body.rlike("[0-9@]") | F.contains(body, F.lit("://"))
+    blanks = reduce(lambda x, y: x | y, (F.contains(body, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    each = docs.where(body.isNotNull()).select(*row_key(text=text), fields.alias("fields"), blanks.alias("blanks"), F.posexplode(F.split(body, "\n")).alias("place", "raw"))
+    general = F.when(F.col("fields"), F.regexp_replace("raw", _FIELDS, FIELD)).otherwise(F.col("raw"))
+    line = F.trim(F.when(F.col("blanks"), F.regexp_replace(general, SPACES, " ")).otherwise(general))
+    each = each.select("k_id", "k_text", "place", line.alias("line")).where("line <> ''")
+    size = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    each = each.withColumns({"size": size, "h": F.xxhash64("line"), "g": F.hash("line")})
+    return each.withColumn("leaf", F.xxhash64("size", F.substring_index("line", " ", depth)))
+
+
+def templates(each: DataFrame, texts: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+    """(h, g) of the generalised lines that are to be dropped.
+
+    ``texts`` are lines as :func:`lines` has them, ``each`` the same without their text: only what leaves that
+    several lines share hold is read as text.
+    """
+    by_text = each.select("h", "g", "leaf", "size", "k_text").distinct()
+    distinct = written(by_text.groupBy("h", "g", "leaf", "size").agg(F.count("*").alias("texts")), "lines")
+    exact = distinct.where(F.col("texts") >= least_docs).select("h", "g")
+    # Leaves that could have a template of their own: several lines that are longer than the leading tokens, and enough texts.
+    leafed = distinct.where(F.col("size") > depth)
+    leaves = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= least_docs)).select("leaf", "n")
+    leaves = written(leaves, "leaves")
+    some = texts.where(F.col("size") > depth).join(F.broadcast(leaves) if leaves.count() <= MOST_SENT else leaves, "leaf")
+    members = written(some.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("leaf", "n", "size", "line"))), "members")
+    places = members.select("leaf", "n", "size", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    shared = places.groupBy("leaf", "size", "n", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") * 2 > F.col("n"))
+    grown = shared.groupBy("leaf", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
+    grown = grown.where(F.size("constant") >= F.greatest(F.lit(depth + 1), F.ceil(F.lit(similar) * F.col("size")))).select("leaf", "constant")
     agree = F.size(F.filter("constant", lambda c: F.get("tokens", c["at"]) == c["token"]))
-    fitting = members.join(grown, ["size", "lead"]).withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("size", "lead", "line")
+    fitting = members.join(grown, "leaf").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
     fitting = written(fitting, "fitting")
-    texts = by_text.join(fitting.select("line", "lead"), "line").select("size", "lead", "k_text").distinct().groupBy("size", "lead").agg(F.count("*").alias("texts"))
-    general = fitting.join(texts.where(F.col("texts") >= least_docs), ["size", "lead"]).select("line")
+    counted = by_text.join(fitting.select("h", "g"), ["h", "g"], "left_semi").select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+    general = fitting.join(counted.where(F.col("texts") >= least_docs).select("leaf"), "leaf").select("h", "g")
     return exact.unionByName(general).distinct()
 
 
-def dropped(docs: DataFrame, text: str = "text", **limits: float) -> DataFrame:
-    """k_id, k_text, n_lines, places (of the lines to drop, from 0) of each text that has some to drop."""
-    each = written(lines(docs, text), "each")
-    gone = written(templates(each, **limits), "templates").withColumn("gone", F.lit(True))
-    marked = each.join(gone, "line", "left")
+def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, **limits: float) -> DataFrame:
+    """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop."""
+    texts = lines(docs, text, depth)
+    each = written(texts.drop("line"), "each")
+    gone = written(templates(each, texts, depth=depth, **limits), "templates").withColumn("gone", F.lit(True))
+    marked = each.select("k_id", "k_text", "place", "h", "g", "size").join(gone, ["h", "g"], "left")
     lost = F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0))
     per_text = marked.groupBy("k_id", "k_text").agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("places"), lost.alias("lost"), F.sum("size").alias("words"))
     return per_text.where((F.size("places") > 0) & (F.col("lost") <= F.lit(MOST_LOST) * F.col("words"))).select("k_id", "k_text", "places")
