@@ -47,7 +47,9 @@ def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     body = F.col(text)
     fields = body.rlike("[0-9@]") | F.contains(body, F.lit("://"))
     blanks = reduce(lambda x, y: x | y, (F.contains(body, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
-    each = docs.where(body.isNotNull()).select(*row_key(text=text), fields.alias("fields"), blanks.alias("blanks"), F.posexplode(F.split(body, "\n")).alias("place", "raw"))
+    # What is said of whole texts stands in a projection of its own, or it would be worked out for each line.
+    whole = docs.where(body.isNotNull()).select(*row_key(text=text), fields.alias("fields"), blanks.alias("blanks"), F.split(body, "\n").alias("lines"))
+    each = whole.select("k_id", "k_text", "fields", "blanks", F.posexplode("lines").alias("place", "raw"))
     general = F.when(F.col("fields"), F.regexp_replace("raw", _FIELDS, FIELD)).otherwise(F.col("raw"))
     line = F.trim(F.when(F.col("blanks"), F.regexp_replace(general, SPACES, " ")).otherwise(general))
     each = each.select("k_id", "k_text", "place", line.alias("line")).where("line <> ''")
