@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,6 +58,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    # Texts may be long: smaller Arrow batches bound what a batch takes in the JVM and in Python.
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default
+        spark.conf.set(ARROW_ROWS, "2000")
     root = Path(__file__).parent
     target = os.path.join(tempfile.mkdtemp(prefix="doctree-"), "doctree_src.zip")
     with zipfile.ZipFile(target, "w") as out:
