@@ -26,6 +26,7 @@ SEED = 20_111
 MOST_LANGUAGES = 4096
 #: A cosine below this can't be told from that of two unrelated vectors of 1024 signs (three deviations).
 NOISE = 3 / DIMENSIONS**0.5
+SHORT = 200
 BLANK = 32
 
 
@@ -156,11 +157,15 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return docs.withColumn(into, predicted(F.col(text), names, rows))
 
 
-def accepted(docs: DataFrame, least: float = NOISE) -> DataFrame:
-    """The rows whose text is in a recognised language: not ``und``, and a cosine above the noise of the vectors."""
+def accepted(docs: DataFrame, least: float = NOISE, text: str = "text") -> DataFrame:
+    """The rows in a recognised language: not ``und``, and a cosine above the noise of the vectors.
+
+    A text of under SHORT characters has too few trigrams for its cosine to tell; it stays if it has a letter.
+    """
     own = "doctree_lang_id"
-    found = identify(docs, into=own)
-    return found.where((F.col(f"{own}.lang") != "und") & (F.col(f"{own}.score") >= least)).drop(own)
+    found = identify(docs, text, into=own)
+    sure = (F.col(f"{own}.score") >= least) | (F.length(text) < SHORT)
+    return found.where((F.col(f"{own}.lang") != "und") & sure).drop(own)
 
 
 def op9_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

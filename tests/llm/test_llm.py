@@ -413,6 +413,14 @@ def test_language(docs):
     assert sum(r.pred == r.lang for r in sure) / len(sure) >= 0.95
 
 
+def test_language_stage_keeps_clean_and_short_texts(docs, spark):
+    strange = spark.createDataFrame([(500, "щщщ ыыы эээ юю жжж " * 40, None, "src0", 1, "", 1, "")], SCHEMA)
+    before = docs.where("doc_id is not null")
+    got = language_id.accepted(before.unionByName(strange))
+    want = {i for i, t, *_ in texts() if i is not None and any(c.isalpha() for c in t or "")}
+    assert {r.doc_id for r in got.collect()} == want and got.columns == docs.columns
+
+
 def test_language_vectors_are_those_of_the_definition():
     text = "Ab, cé abc"
     got = language_id.bundles([text, None, "12"], np.arange(3), 3, 256)
