@@ -20,9 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs; n_chars, if there, follows the text."""
+    """All documents, without lines whose template recurs, near copies counted as one; n_chars, if there, follows the text."""
     ship(spark)
-    kept = line_dedup.deduplicated(docs)
+    kept = line_dedup.deduplicated(docs, copies_as_one=True)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)

@@ -9,8 +9,9 @@ are the number of tokens and the leading tokens, so a leaf is one key. Two templ
   places agree.
 
 A line is dropped where its template is there in several documents. Documents of equal text count once, or
-copies would drop each other's lines. And a document that would lose more than half of its words is a copy
-and no page with boilerplate; it stays whole, for near-duplicate detection to judge.
+copies would drop each other's lines. For near copies there are two rules. The query, as its SQL has it, leaves
+a document whole that would lose more than half of its words. The pipeline counts near copies as one document
+(see :func:`copies`) and drops what still recurs, from every document.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree.llm.common import SPACES, row_key, table, written
+from doctree.llm.simhash import components
 
 #: Leading tokens that make a leaf, with the number of tokens.
 DEPTH = 3
@@ -28,8 +30,12 @@ DEPTH = 3
 LEAST_DOCS = 6
 #: Share of a template's places that must be constant, and of a line's that must agree.
 SIMILAR = 0.7
-#: A document that would lose a larger share of its words keeps them.
+#: A document that would lose a larger share of its words keeps them, or may be a copy where copies count as one document.
 MOST_LOST = 0.5
+#: A text in which a larger share of the words recurs may be a copy too, if it shares so many templates; boilerplate of short texts has fewer.
+SOME_LOST, SHARED = 0.25, 3
+#: Samples of a text's recurring templates. Near copies that share half of them agree in none with a chance of 3^-16 or so.
+SAMPLES = 16
 FIELD = "<*>"
 #: Up to so many leaves (about 12 MB) are sent to all tasks; more are joined by shuffling the lines.
 MOST_SENT = 500_000
@@ -59,14 +65,14 @@ def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
 
 
 def templates(each: DataFrame, texts: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """(h, g) of the generalised lines that are to be dropped.
+    """(h, g, leaf) of the generalised lines that are to be dropped; leaf is null where the line itself is the template.
 
     ``texts`` are lines as :func:`lines` has them, ``each`` the same without their text: only what leaves that
     several lines share hold is read as text.
     """
     by_text = each.select("h", "g", "leaf", "size", "k_text").distinct()
     distinct = written(by_text.groupBy("h", "g", "leaf", "size").agg(F.count("*").alias("texts")), "lines")
-    exact = distinct.where(F.col("texts") >= least_docs).select("h", "g")
+    exact = distinct.where(F.col("texts") >= least_docs).select("h", "g", F.lit(None).cast("long").alias("leaf"))
     # Leaves that could have a template of their own: several lines that are longer than the leading tokens, and enough texts.
     leafed = distinct.where(F.col("size") > depth)
     leaves = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= least_docs)).select("leaf", "n")
@@ -81,29 +87,83 @@ def templates(each: DataFrame, texts: DataFrame, least_docs: int = LEAST_DOCS, d
     fitting = members.join(grown, "leaf").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
     fitting = written(fitting, "fitting")
     counted = by_text.join(fitting.select("h", "g"), ["h", "g"], "left_semi").select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
-    general = fitting.join(counted.where(F.col("texts") >= least_docs).select("leaf"), "leaf").select("h", "g")
+    general = fitting.join(counted.where(F.col("texts") >= least_docs).select("leaf"), "leaf").select("h", "g", "leaf")
+    return exact.unionByName(general)
+
+
+def _lost(each: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """keys, places (of the lines in ``gone``), lost (their words) and words of each text."""
+    marked = each.select(*keys, "place", "h", "g", "size").join(gone.select("h", "g").distinct().withColumn("gone", F.lit(True)), ["h", "g"], "left")
+    lost = F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0))
+    return marked.groupBy(*keys).agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("places"), lost.alias("lost"), F.sum("size").alias("words"))
+
+
+def copies(each: DataFrame, gone: DataFrame) -> DataFrame:
+    """(k_text, root) of the texts that are near copies of others; root is the same within a group.
+
+    Near copies are texts whose lines recur together: they share most of the words of their recurring templates, and
+    these make up most of either text's words, or a good share of them in several templates. Candidates come from samples of a text's templates, weighted by their words, so texts alike
+    most likely agree in some. Each text is compared with one of those that have a sample in common, so there are no
+    pairs of all members of a group.
+    """
+    lost = _lost(each, gone, "k_id", "k_text").where(F.col("lost") > F.lit(SOME_LOST) * F.col("words"))
+    many = lost.select("k_text", (F.col("lost") > F.lit(MOST_LOST) * F.col("words")).alias("most")).distinct()
+    # Copies with a word changed in a line share its leaf's template, not the line.
+    template = gone.groupBy("h", "g").agg(F.coalesce(F.max("leaf"), F.xxhash64("h", "g")).alias("t"))
+    own = each.join(template, ["h", "g"]).join(many, "k_text")
+    own = written(own.select("k_text", "most", "t", "size").distinct(), "recurring")
+    unit = lambda k: (F.pmod(F.xxhash64("t", F.lit(k)), F.lit(2**40)) + 1) / F.lit(float(2**40 + 1))
+    least = [F.min(F.struct((-F.log(unit(k)) / F.col("size")).alias("v"), F.lit(k).alias("k"), "t")).alias(f"s{k}") for k in range(SAMPLES)]
+    samples = own.groupBy("k_text", "most").agg(*least, F.sum("size").alias("words"))
+    samples = written(samples.select("k_text", "most", "words", F.explode(F.array(*(f"s{k}" for k in range(SAMPLES)))).alias("s")).select("k_text", "most", "words", "s.k", "s.t"), "samples")
+    first = samples.groupBy("k", "t").agg(F.min(F.struct("k_text", "most", "words")).alias("f"))
+    pairs = samples.join(first, ["k", "t"]).where(F.col("k_text") != F.col("f.k_text"))
+    pairs = pairs.select("k_text", F.col("f.k_text").alias("other"), (F.col("most") & F.col("f.most")).alias("most"), F.greatest("words", "f.words").alias("words"))
+    pairs = written(pairs.distinct(), "pairs")
+    both = pairs.join(own.drop("most"), "k_text").join(own.select(F.col("k_text").alias("other"), "t"), ["other", "t"])
+    shared = both.groupBy("k_text", "other", "most", "words").agg(F.sum("size").alias("shared"), F.count("*").alias("n"))
+    edges = shared.where((F.col("shared") * 2 > F.col("words")) & (F.col("most") | (F.col("n") >= SHARED))).select(F.col("k_text").alias("a"), F.col("other").alias("b"))
+    return components(edges).select(F.col("node").alias("k_text"), "root")
+
+
+def recurring(each: DataFrame, gone: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """What of ``gone`` is in so many documents if near copies count as one."""
+    groups = written(copies(each, gone), "copies")
+    by_text = each.join(gone, ["h", "g"]).select("h", "g", gone["leaf"].alias("template"), "k_text").distinct()
+    # A leaf's own template is one, whichever of its lines a document has.
+    own = F.when(F.col("template").isNull(), F.struct("h", "g")).alias("own")
+    counted = by_text.join(groups, "k_text", "left").select(own, "template", F.coalesce("root", "k_text").alias("root")).distinct().groupBy("own", "template").agg(F.count("*").alias("docs"))
+    enough = counted.where(F.col("docs") >= least_docs)
+    exact = enough.where("template is null").select("own.h", "own.g")
+    general = gone.join(enough.select(F.col("template").alias("leaf")), "leaf", "left_semi").select("h", "g")
     return exact.unionByName(general).distinct()
 
 
-def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, **limits: float) -> DataFrame:
-    """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop."""
+def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, copies_as_one: bool = False, **limits: float) -> DataFrame:
+    """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop.
+
+    With ``copies_as_one`` near copies count as one document, and what recurs goes from every document. Otherwise
+    a document that would lose more than ``MOST_LOST`` of its words has none to drop.
+    """
     texts = lines(docs, text, depth)
     each = written(texts.drop("line"), "each")
-    gone = written(templates(each, texts, depth=depth, **limits), "templates").withColumn("gone", F.lit(True))
-    marked = each.select("k_id", "k_text", "place", "h", "g", "size").join(gone, ["h", "g"], "left")
-    lost = F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0))
-    per_text = marked.groupBy("k_id", "k_text").agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("places"), lost.alias("lost"), F.sum("size").alias("words"))
-    return per_text.where((F.size("places") > 0) & (F.col("lost") <= F.lit(MOST_LOST) * F.col("words"))).select("k_id", "k_text", "places")
+    gone = written(templates(each, texts, depth=depth, **limits), "templates")
+    if copies_as_one:
+        gone = written(recurring(each, gone, limits.get("least_docs", LEAST_DOCS)), "recurring_templates")
+    per_text = _lost(each, gone, "k_id", "k_text").where(F.size("places") > 0)
+    if not copies_as_one:
+        per_text = per_text.where(F.col("lost") <= F.lit(MOST_LOST) * F.col("words"))
+    return per_text.select("k_id", "k_text", "places")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits: float) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", copies_as_one: bool = False, **limits: float) -> DataFrame:
     """All rows of ``docs`` with all their columns, lines dropped from ``text``, plus ``dropped_lines``, their number.
 
     A null text stays null. Repeated rows, and rows of equal id and text, lose the same lines; copies of a text count
     as one document when templates are counted. Lines without a word always stay. An empty table gives an empty one.
     """
     own = "doctree_"
-    places = dropped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **limits)
+    places = dropped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), copies_as_one=copies_as_one, **limits)
     places = written(places, "places").select(*(F.col(c).alias(own + c) for c in ("k_id", "k_text", "places")))
     a, b = row_key(doc_id, text)
     keyed = docs.withColumns({own + "k_id": a, own + "k_text": b}).join(places, [own + "k_id", own + "k_text"], "left")

@@ -258,8 +258,36 @@ def test_lines_leave_copies_whole(spark):
     assert {r.dropped_lines for r in line_dedup.deduplicated(frame).collect()} == {0}
 
 
+def test_lines_go_from_short_texts_and_copies_too(spark):
+    footer = "subscribe to our letter for more of this kind every week"
+    rows = [(i, " ".join(f"{'abcdefghij'[i]}{c}{d}" for c in "mnopq" for d in "rstu") + "\n" + footer) for i in range(10)]
+    rows += [(20 + i, f"only {'abcdefgh'[i]}\n" + footer) for i in range(8)]
+    body = "\n".join(f"line {c} of a text that many have" for c in "abcdefgh")
+    rows += [(40 + i, body + f"\n{'pqrstuvw'[i]}\n" + footer) for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup.deduplicated(frame, copies_as_one=True).collect()}
+    assert all(got[i].text == t.removesuffix("\n" + footer) and got[i].dropped_lines == 1 for i, t in rows)
+
+
+def test_lines_of_a_large_group_of_copies_stay(spark):
+    rng = random.Random(5)
+    body = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz") for _ in range(rng.randrange(4, 20))) for _ in range(40)]
+    rows = [(i, "\n".join(x for x in body if rng.random() < 0.8) + "\n" + " ".join(f"own{chr(97 + i // 26)}{chr(97 + i % 26)}{c}" for c in "klm")) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.dropped_lines for r in line_dedup.deduplicated(frame, copies_as_one=True).collect()} == {0}
+
+
+def test_lines_of_copies_with_a_word_changed_in_each_stay(spark):
+    rng = random.Random(6)
+    body = [[rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz") for _ in range(20)] for _ in range(3)]
+    rows = [(i, "\n".join(" ".join("changed" + "abcdefghijkl"[i] if p == 3 + i else w for p, w in enumerate(x)) for x in body)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.dropped_lines for r in line_dedup.deduplicated(frame, copies_as_one=True).collect()} == {0}
+
+
 def test_lines_empty(empty):
     assert line_dedup.deduplicated(empty).count() == 0
+    assert line_dedup.deduplicated(empty, copies_as_one=True).count() == 0
 
 
 # decontamination
