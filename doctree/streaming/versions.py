@@ -57,13 +57,19 @@ def latest_good(published: DataFrame) -> DataFrame:
 
 
 def diff_publisher(base: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the changes of each new head against ``base``, one partition for each batch."""
+    """For ``foreachBatch``: the changes of each new head against ``base``, one partition for each batch and version.
+
+    All versions of a batch, however many, are compared in one job: each version of a corpus is a corpus of its own to
+    the comparison.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.select("version_id").distinct().limit(1000).collect():  # versions in a batch, not rows
-            head = batch.where(F.col("version_id") == row.version_id)
-            mine = base.join(head.select("corpus_id").distinct(), "corpus_id", "left_semi")
-            found = diff.classify(mine, head).withColumns({"version_id": F.lit(row.version_id), "batch_id": F.lit(batch_id)})
-            found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "version_id").parquet(target)
+        one = F.struct("corpus_id", "version_id").alias("corpus_id")
+        head = batch.select(one, *(c for c in batch.columns if c not in KEYS))
+        heads = batch.select("corpus_id", "version_id").distinct()
+        mine = base.drop("version_id").join(heads, "corpus_id")
+        mine = mine.select(one, *(c for c in base.columns if c not in KEYS))
+        found = diff.classify(mine, head).withColumns({"version_id": F.col("corpus_id.version_id"), "corpus_id": F.col("corpus_id.corpus_id"), "batch_id": F.lit(batch_id)})
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "version_id").parquet(target)
 
     return write

@@ -164,6 +164,16 @@ def test_versions_stream(spark, tmp_path):
     assert {r.change for r in spark.read.parquet(str(tmp_path / "diff")).collect()} == {"same"}
 
 
+def test_every_version_of_a_batch_is_compared(spark, tmp_path):
+    schema = "corpus_id string, doc_no string, name string, uuid string, body string"
+    base = spark.createDataFrame([("c", "A.1", "S", U[0], "x"), ("c", "A.2", "T", U[1], "y"), ("d", "A.1", "S", U[0], "z")], schema)
+    head = spark.range(1005).select(F.lit("c").alias("corpus_id"), F.concat(F.lit("v"), "id").alias("version_id"), F.lit("A.1").alias("doc_no"), F.lit("S").alias("name"), F.lit(U[0]).alias("uuid"), F.when(F.col("id") % 2 == 0, "x").otherwise("w").alias("body"))
+    versions.diff_publisher(base, str(tmp_path / "diff"))(head.repartition(1), 7)
+    found = spark.read.parquet(str(tmp_path / "diff"))
+    got = {(r.corpus_id, r.change): r.n for r in found.groupBy("corpus_id", "change").agg(F.countDistinct("version_id").alias("n")).collect()}
+    assert got == {("c", "same"): 503, ("c", "substantive"): 502, ("c", "Deleted"): 1005}
+
+
 def test_suppression(spark):
     docs = spark.createDataFrame([("c", "v", 1, "A.1", U[0], ["", "x"]), ("c", "v", 4, "A.2", U[1], [""])], "corpus_id string, version_id string, line bigint, doc_no string, uuid string, rows array<string>")
     found = spark.createDataFrame([("c", "v", "V6", 2, "A.1", ""), ("c", "v", "V6", 5, "A.2", "")], "corpus_id string, version_id string, rule_id string, line bigint, doc_no string, detail string")
