@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
-import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -32,7 +29,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
     """Runs of ``texts`` of about ``most`` bytes at most (one longer text is a run of its own)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -45,19 +42,7 @@ def slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[pa.Array]:
         total += n
     if start < len(size):
         yield texts.slice(start)
-    _give_back()
-
-
-@lru_cache(1)
-def _libc() -> ctypes.CDLL | None:
-    return ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
-
-
-def _give_back() -> None:
-    """Return what a batch has freed to the system: workers live on between stages, and several share an executor's memory."""
     pa.default_memory_pool().release_unused()
-    if _libc() is not None:
-        _libc().malloc_trim(0)
 
 
 def partition_id() -> int:

@@ -3,8 +3,9 @@
 Documents become token ids (each with an end token), and those longer than a sequence are cut into pieces.
 Full pieces are sequences of their own. All others are dealt over partitions; each packs its pieces best-fit
 in decreasing order and emits the bins that are nearly full. Underfull bins become items of the next
-round, in which several partitions merge into one, and so on up the tree. A round that no longer
-saves a bin ends the merging, and so does the root of the tree.
+round, in which several partitions merge into one, and so on up the tree. Of the bins of one partition at
+most one is half full or less, so where a round saves no bin, what is left to merge are those few: they are the
+only items of the rounds that follow, until a single partition has packed them.
 """
 
 from __future__ import annotations
@@ -189,8 +190,11 @@ def packed(found: DataFrame, capacity: int = LENGTH) -> DataFrame:
         made = done.groupBy("bin").agg(F.max("fill").alias("length")).withColumnRenamed("bin", "item")
         under = made.where(F.col("length") < capacity - NEARLY_FULL)
         left = under.count()  # bins that could still take something
-        if partitions == 1 or left > 0.99 * count:
+        if partitions == 1:
             break
+        if left == count:  # no bin was saved
+            under = made.where(2 * F.col("length") <= capacity)
+            left = under.count()
         partitions = max(1, -(-left // ITEMS), -(-partitions // FAN_IN))
         items, count, level = under, left, level + 1
     out = numbered.withColumn("bin", F.col("item")).withColumn("offset", F.lit(0).cast("long")).drop("item")
