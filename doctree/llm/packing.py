@@ -43,9 +43,8 @@ def _tokenizer(path: str):
     """The tokenizer, a light copy that takes normalised parts between blanks, and which ids end a part."""
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, light = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    light.normalizer = None
-    light.encode_special_tokens = True
+    whole = Tokenizer.from_file(path)
+    light = Tokenizer(whole.model)  # one model in memory; no normalizer, and no special tokens
     light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocabulary = whole.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
