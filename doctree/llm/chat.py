@@ -21,8 +21,6 @@ OPEN, CLOSE = "### ", "</turn>\n"
 #: Fixed values of the template: control strings and what stands for them.
 ESCAPES = (("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\t"))
 ROLE_ESCAPES = (*ESCAPES, (": ", "\\c"))
-#: A reply chain may have 2^20 turns; longer ones and circles have no root in reach and form no path.
-MOST_JUMPS = 20
 
 
 def _replaced(column: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -44,13 +42,15 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     ``messages`` has tree, node, parent and score; tree and node tell rows apart. A message whose parent is
     null or missing is a root. A path's score is the sum of its messages' (null: 0); ties go to the smaller leaf.
-    Messages in a circle, and what answers them, are on no path.
+    Jumps double until they span the largest tree; who has not reached a root by then is in a circle or answers
+    one, and is on no path.
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     first = nodes.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score")
     jumps = [written(first, "jump0")]
-    while len(jumps) < MOST_JUMPS and not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
+    largest = jumps[0].groupBy("tree").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while 2 ** (len(jumps) - 1) < largest and not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
         last = jumps[-1]
         ahead = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("added"))
         # Only nodes that have not reached a root yet take part in the join.
@@ -78,8 +78,12 @@ def format_conversations(messages: DataFrame, per_tree: int = 1, loss_role: str
 
     ``messages`` also has role and text; null ones are empty. ``turns`` has for each turn, in order, its place
     in ``formatted`` (start and length, code points), and loss_start and loss_length of the text under the loss
-    mask, which are null for turns of other roles. An empty table gives an empty one.
+    mask, which are null for turns of other roles. Of messages that repeat a node of their tree one counts, the
+    least by parent, score, role and text. Other columns have no effect. A text is whole, however long; a path's
+    turns are one value, so a conversation must fit in one. An empty table gives an empty one.
     """
+    every = messages.select("tree", "node", F.struct("parent", F.col("score").cast("double").alias("score"), "role", "text").alias("m"))
+    messages = written(every.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"), "messages")
     head = F.concat(F.lit(OPEN), escaped(F.coalesce("role", F.lit("")), ROLE_ESCAPES), F.lit(": "))
     body = escaped(F.coalesce("text", F.lit("")))
     pieces = messages.select("tree", "node", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"))
@@ -147,8 +151,7 @@ def op1_reply_tree_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
     )
-    tree = written(linear(rows.unionByName(planted)), "tree")
-    read = read_back(format_conversations(tree))
+    read = read_back(format_conversations(linear(rows.unionByName(planted))))
     every = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id"),

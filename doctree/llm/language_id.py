@@ -26,7 +26,8 @@ SEED = 20_111
 MOST_LANGUAGES = 4096
 #: A cosine below this can't be told from that of two unrelated vectors of 1024 signs (three deviations).
 NOISE = 3 / DIMENSIONS**0.5
-SHORT = 200
+#: The letters of a text of which half the noise is asked: a short text's few trigrams prove little either way.
+HALF = 200
 BLANK = 32
 
 
@@ -157,15 +158,21 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return docs.withColumn(into, predicted(F.col(text), names, rows))
 
 
-def accepted(docs: DataFrame, least: float = NOISE, text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, least: float = NOISE, text: str = "text", half: int = HALF) -> DataFrame:
     """The rows in a recognised language: not ``und``, and a cosine above the noise of the vectors.
 
-    A text of under SHORT characters has too few trigrams for its cosine to tell; it stays if it has a letter.
+    The least cosine grows with the text, ``least * n / (n + half)`` for n characters: what a few trigrams say is weak
+    evidence against a text, what thousands say is strong. Texts that are null or have no letter go. Where no row
+    teaches a language nothing can be told from noise, and every text with a letter stays. Repeated rows have one
+    fate; an empty table gives an empty one; columns of any name stay as they are.
     """
     own = "doctree_lang_id"
-    found = identify(docs, text, into=own)
-    sure = (F.col(f"{own}.score") >= least) | (F.length(text) < SHORT)
-    return found.where((F.col(f"{own}.lang") != "und") & sure).drop(own)
+    names, rows = prototypes(docs.where(~held_out()), text)
+    if not names:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    n = F.length(text)
+    found = docs.withColumn(own, predicted(F.col(text), names, rows))
+    return found.where((F.col(f"{own}.lang") != "und") & (F.col(f"{own}.score") >= F.lit(least) * n / (n + half))).drop(own)
 
 
 def op9_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,12 +142,15 @@ def fit(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, depth: int = D
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELS) -> Trees:
     """The model of at most ``most`` labelled ids. Labels are grouped by id; ids whose labels disagree teach nothing.
 
-    Null ids, null labels and labelled ids without a document teach nothing either.
+    Null ids, null labels and labelled ids without a document teach nothing either. Of an id that several documents
+    have, the text whose hash is least teaches, so the same rows give the same model. Texts are measured where they
+    are; only the statistics are shuffled.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("d")).agg(F.min(label).alias("y"), F.max(label).alias("most"))
     known = known.where("y = most").select("d", "y").orderBy(F.xxhash64("d"), "d").limit(most)
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(known), "d").dropDuplicates(["d"])
-    found = sorted((r.d, int(r.y), r.x) for r in rows.select("d", "y", _features(F.col("t")).alias("x")).collect())
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(known), "d")
+    one = F.min(F.struct(F.xxhash64("t").alias("h"), _features(F.col("t")).alias("x"))).alias("one")
+    found = sorted((r.d, int(r.y), r.x) for r in rows.groupBy("d", "y").agg(one).select("d", "y", "one.x").collect())
     x = np.array([r[2] for r in found]).reshape(len(found), len(FEATURES))
     return fit(x, np.array([min(max(r[1], 0), 1) for r in found], float))
 
