@@ -1,17 +1,18 @@
 """Line deduplication with a log-template tree of fixed depth, by DataFrame operations only.
 
-A line's fields that vary (what has a digit, an address or a mail address) become ``<*>``. The tree's levels
-are the number of tokens and the leading tokens, so a leaf is one key. Two templates are recognised in a leaf:
+A line's fields that vary (what has a digit, an address or a mail address) become ``<*>``. The tree's levels are the
+number of tokens, the leading tokens, and two more tokens: those of the line's other (place, token) pairs that most
+lines of its branch have. So a leaf is one key, and families of lines that start alike stand in different leaves.
+Two templates are recognised:
 
 * the line itself with its fields generalised, and
 * the leaf's own: at each place the token that most of the leaf's distinct lines share, or ``<*>`` where none
   is shared by half of them. It holds if enough places are constant, and a line belongs to it if enough of its
   places agree.
 
-A line is dropped where its template is there in several documents. Documents of equal text count once, or
-copies would drop each other's lines. For near copies there are two rules. The query, as its SQL has it, leaves
-a document whole that would lose more than half of its words. The pipeline counts near copies as one document
-(see :func:`copies`) and drops what still recurs, from every document.
+A line is dropped where its template is there in several documents, from every document that has it. Copies count as
+one document, or they would drop each other's lines: documents of equal text, documents that are nothing but the same
+recurring templates, and near copies (see :func:`copies`). Whether a copy as a whole should go is not judged here.
 """
 
 from __future__ import annotations
@@ -24,17 +25,15 @@ from pyspark.sql import functions as F
 from doctree.llm.common import SPACES, row_key, table, written
 from doctree.llm.simhash import components
 
-#: Leading tokens that make a leaf, with the number of tokens.
-DEPTH = 3
-#: Documents of different texts that must have a template.
+#: Leading tokens that make a branch, with the number of tokens, and further tokens that make a leaf of it.
+DEPTH, FURTHER = 3, 2
+#: Documents that must have a template.
 LEAST_DOCS = 6
 #: Share of a template's places that must be constant, and of a line's that must agree.
 SIMILAR = 0.7
-#: A document that would lose a larger share of its words keeps them, or may be a copy where copies count as one document.
-MOST_LOST = 0.5
-#: A text in which a larger share of the words recurs may be a copy too, if it shares so many templates; boilerplate of short texts has fewer.
-SOME_LOST, SHARED = 0.25, 3
-#: Samples of a text's recurring templates. Near copies that share half of them agree in none with a chance of 3^-16 or so.
+#: Near copies share so many recurring templates, and these make up over half of the words of either.
+SHARED = 3
+#: Samples of a text's recurring templates. Near copies that share half of them agree in none with a chance of 2^-16.
 SAMPLES = 16
 FIELD = "<*>"
 #: Up to so many leaves (about 12 MB) are sent to all tasks; more are joined by shuffling the lines.
@@ -44,10 +43,10 @@ _FIELDS = "(?<![^\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D]*?(?:[0-9@]|://))[^\\x2
 
 
 def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """k_id, k_text, place, line, h, g, size, leaf of each line with a word. Lines end with a line feed.
+    """k_id, k_text, place, line, h, g, size, branch of each line with a word. Lines end with a line feed.
 
     ``line`` is generalised, with single blanks; h and g are two hashes that stand for it (96 bits), size is
-    its number of tokens, and leaf stands for its place in the tree.
+    its number of tokens, and branch stands for its size and leading tokens.
     """
     # Most texts have neither fields nor odd blanks; one look at the text spares their lines the patterns.
     body = F.col(text)
@@ -61,116 +60,122 @@ def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     each = each.select("k_id", "k_text", "place", line.alias("line")).where("line <> ''")
     size = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
     each = each.withColumns({"size": size, "h": F.xxhash64("line"), "g": F.hash("line")})
-    return each.withColumn("leaf", F.xxhash64("size", F.substring_index("line", " ", depth)))
+    return each.withColumn("branch", F.xxhash64("size", F.substring_index("line", " ", depth)))
 
 
-def templates(each: DataFrame, texts: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """(h, g, leaf) of the generalised lines that are to be dropped; leaf is null where the line itself is the template.
+def leaves(members: DataFrame, depth: int = DEPTH, further: int = FURTHER) -> DataFrame:
+    """``members`` (h, g, branch, size, line) with leaf: a hash of the branch and the line's ``further`` best pairs in it.
 
-    ``texts`` are lines as :func:`lines` has them, ``each`` the same without their text: only what leaves that
-    several lines share hold is read as text.
+    A pair is a token and its place behind the leading ones; the best has most lines of the branch, then the first place.
     """
-    by_text = each.select("h", "g", "leaf", "size", "k_text").distinct()
-    distinct = written(by_text.groupBy("h", "g", "leaf", "size").agg(F.count("*").alias("texts")), "lines")
+    tokens = F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.col("size") - depth, F.lit(0)))
+    pairs = members.select("h", "g", "branch", F.posexplode(tokens).alias("at", "token"))
+    counts = pairs.groupBy("branch", "at", "token").agg(F.count("*").alias("m"))
+    ranked = pairs.join(counts, ["branch", "at", "token"]).groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "at", "token"))).alias("best"))
+    best = F.sort_array(F.transform(F.slice("best", 1, further), lambda b: F.struct(b["at"], b["token"])))
+    leaf = members.join(ranked.select("h", "g", best.alias("best")), ["h", "g"]).withColumn("leaf", F.xxhash64("branch", "best"))
+    return leaf.drop("best")
+
+
+def templates(each: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+    """(h, g, leaf) of the generalised lines whose template recurs; leaf is null where the line itself is the template.
+
+    ``each`` are lines as :func:`lines` has them. Only what branches that several lines share hold is read as text.
+    """
+    by_text = each.select("h", "g", "branch", "size", "k_text").distinct()
+    distinct = written(by_text.groupBy("h", "g", "branch", "size").agg(F.count("*").alias("texts")), "lines")
     exact = distinct.where(F.col("texts") >= least_docs).select("h", "g", F.lit(None).cast("long").alias("leaf"))
-    # Leaves that could have a template of their own: several lines that are longer than the leading tokens, and enough texts.
-    leafed = distinct.where(F.col("size") > depth)
-    leaves = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("texts").alias("texts")).where((F.col("n") > 1) & (F.col("texts") >= least_docs)).select("leaf", "n")
-    leaves = written(leaves, "leaves")
-    some = texts.where(F.col("size") > depth).join(F.broadcast(leaves) if leaves.count() <= MOST_SENT else leaves, "leaf")
-    members = written(some.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("leaf", "n", "size", "line"))), "members")
-    places = members.select("leaf", "n", "size", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    shared = places.groupBy("leaf", "size", "n", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") * 2 > F.col("n"))
-    grown = shared.groupBy("leaf", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
-    grown = grown.where(F.size("constant") >= F.greatest(F.lit(depth + 1), F.ceil(F.lit(similar) * F.col("size")))).select("leaf", "constant")
+    # Branches that could have a leaf with a template: several lines that are longer than the leading tokens, and enough texts.
+    grown = distinct.where(F.col("size") > depth).groupBy("branch").agg(F.count("*").alias("n"), F.sum("texts").alias("texts"))
+    grown = written(grown.where((F.col("n") > 1) & (F.col("texts") >= least_docs)).select("branch"), "branches")
+    some = each.where(F.col("size") > depth).join(F.broadcast(grown) if grown.count() <= MOST_SENT else grown, "branch")
+    members = written(some.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("branch", "size", "line"))), "members")
+    members = written(leaves(members, depth), "leaves")
+    places = members.select("leaf", "size", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    n = members.groupBy("leaf").agg(F.count("*").alias("n"))
+    shared = places.groupBy("leaf", "size", "at", "token").agg(F.count("*").alias("m")).join(n, "leaf").where(F.col("m") * 2 > F.col("n"))
+    own = shared.groupBy("leaf", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
+    own = own.where(F.size("constant") >= F.greatest(F.lit(depth + 1), F.ceil(F.lit(similar) * F.col("size")))).select("leaf", "constant")
     agree = F.size(F.filter("constant", lambda c: F.get("tokens", c["at"]) == c["token"]))
-    fitting = members.join(grown, "leaf").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
+    fitting = members.join(own, "leaf").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
     fitting = written(fitting, "fitting")
-    counted = by_text.join(fitting.select("h", "g"), ["h", "g"], "left_semi").select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+    counted = by_text.join(fitting, ["h", "g"]).select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
     general = fitting.join(counted.where(F.col("texts") >= least_docs).select("leaf"), "leaf").select("h", "g", "leaf")
     return exact.unionByName(general)
 
 
-def _lost(each: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
-    """keys, places (of the lines in ``gone``), lost (their words) and words of each text."""
-    marked = each.select(*keys, "place", "h", "g", "size").join(gone.select("h", "g").distinct().withColumn("gone", F.lit(True)), ["h", "g"], "left")
-    lost = F.coalesce(F.sum(F.when(F.col("gone"), F.col("size"))), F.lit(0))
-    return marked.groupBy(*keys).agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("places"), lost.alias("lost"), F.sum("size").alias("words"))
+def _template(gone: DataFrame) -> DataFrame:
+    """(h, g, t): the template that stands for each line of ``gone``, the leaf's own where it has one."""
+    return gone.groupBy("h", "g").agg(F.coalesce(F.max("leaf"), F.xxhash64("h", "g")).alias("t"))
 
 
-def copies(each: DataFrame, gone: DataFrame) -> DataFrame:
-    """(k_text, root) of the texts that are near copies of others; root is the same within a group.
+def copies(each: DataFrame, own: DataFrame) -> DataFrame:
+    """(k_text, root) of the texts that are copies of others; root is the same within a group.
 
-    Near copies are texts whose lines recur together: they share most of the words of their recurring templates, and
-    these make up most of either text's words, or a good share of them in several templates. Candidates come from samples of a text's templates, weighted by their words, so texts alike
+    ``own`` (k_text, t, size) are the recurring templates of each text, each once, with their words. Texts that are nothing
+    else, and have the same, are copies. So are near copies: they share ``SHARED`` templates or more, which make up over half
+    of the words of either. Candidates come from samples of a text's templates, weighted by their words, so texts alike
     most likely agree in some. Each text is compared with one of those that have a sample in common, so there are no
     pairs of all members of a group.
     """
-    lost = _lost(each, gone, "k_id", "k_text").where(F.col("lost") > F.lit(SOME_LOST) * F.col("words"))
-    many = lost.select("k_text", (F.col("lost") > F.lit(MOST_LOST) * F.col("words")).alias("most")).distinct()
-    # Copies with a word changed in a line share its leaf's template, not the line.
-    template = gone.groupBy("h", "g").agg(F.coalesce(F.max("leaf"), F.xxhash64("h", "g")).alias("t"))
-    own = each.join(template, ["h", "g"]).join(many, "k_text")
-    own = written(own.select("k_text", "most", "t", "size").distinct(), "recurring")
+    words = each.groupBy("k_id", "k_text").agg(F.sum("size").alias("words")).groupBy("k_text").agg(F.max("words").alias("words"))
+    told = own.groupBy("k_text").agg(F.sum("size").alias("told"), F.count("*").alias("n"), F.sum(F.hash("t").cast("long")).alias("a"), F.bit_xor("t").alias("b"))
+    told = written(told.join(words, "k_text").where(2 * F.col("told") > F.col("words")), "told")
+    alone = told.where(F.col("told") >= F.col("words"))
+    same = alone.groupBy("n", "a", "b").agg(F.min("k_text").alias("first"))
+    same = alone.join(same, ["n", "a", "b"]).select(F.col("k_text").alias("a"), F.col("first").alias("b")).where("a <> b")
+    many = own.join(told.where(F.col("n") >= SHARED).select("k_text", "words"), "k_text")
+    many = written(many, "many")
     unit = lambda k: (F.pmod(F.xxhash64("t", F.lit(k)), F.lit(2**40)) + 1) / F.lit(float(2**40 + 1))
     least = [F.min(F.struct((-F.log(unit(k)) / F.col("size")).alias("v"), F.lit(k).alias("k"), "t")).alias(f"s{k}") for k in range(SAMPLES)]
-    samples = own.groupBy("k_text", "most").agg(*least, F.sum("size").alias("words"))
-    samples = written(samples.select("k_text", "most", "words", F.explode(F.array(*(f"s{k}" for k in range(SAMPLES)))).alias("s")).select("k_text", "most", "words", "s.k", "s.t"), "samples")
-    first = samples.groupBy("k", "t").agg(F.min(F.struct("k_text", "most", "words")).alias("f"))
+    samples = many.groupBy("k_text", "words").agg(*least)
+    samples = written(samples.select("k_text", "words", F.explode(F.array(*(f"s{k}" for k in range(SAMPLES)))).alias("s")).select("k_text", "words", "s.k", "s.t"), "samples")
+    first = samples.groupBy("k", "t").agg(F.min(F.struct("k_text", "words")).alias("f"))
     pairs = samples.join(first, ["k", "t"]).where(F.col("k_text") != F.col("f.k_text"))
-    pairs = pairs.select("k_text", F.col("f.k_text").alias("other"), (F.col("most") & F.col("f.most")).alias("most"), F.greatest("words", "f.words").alias("words"))
-    pairs = written(pairs.distinct(), "pairs")
-    both = pairs.join(own.drop("most"), "k_text").join(own.select(F.col("k_text").alias("other"), "t"), ["other", "t"])
-    shared = both.groupBy("k_text", "other", "most", "words").agg(F.sum("size").alias("shared"), F.count("*").alias("n"))
-    edges = shared.where((F.col("shared") * 2 > F.col("words")) & (F.col("most") | (F.col("n") >= SHARED))).select(F.col("k_text").alias("a"), F.col("other").alias("b"))
-    return components(edges).select(F.col("node").alias("k_text"), "root")
-
-
-def recurring(each: DataFrame, gone: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """What of ``gone`` is in so many documents if near copies count as one."""
-    groups = written(copies(each, gone), "copies")
-    by_text = each.join(gone, ["h", "g"]).select("h", "g", gone["leaf"].alias("template"), "k_text").distinct()
-    # A leaf's own template is one, whichever of its lines a document has.
-    own = F.when(F.col("template").isNull(), F.struct("h", "g")).alias("own")
-    counted = by_text.join(groups, "k_text", "left").select(own, "template", F.coalesce("root", "k_text").alias("root")).distinct().groupBy("own", "template").agg(F.count("*").alias("docs"))
-    enough = counted.where(F.col("docs") >= least_docs)
-    exact = enough.where("template is null").select("own.h", "own.g")
-    general = gone.join(enough.select(F.col("template").alias("leaf")), "leaf", "left_semi").select("h", "g")
-    return exact.unionByName(general).distinct()
-
-
-def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, copies_as_one: bool = False, **limits: float) -> DataFrame:
-    """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop.
-
-    With ``copies_as_one`` near copies count as one document, and what recurs goes from every document. Otherwise
-    a document that would lose more than ``MOST_LOST`` of its words has none to drop.
-    """
-    texts = lines(docs, text, depth)
-    each = written(texts.drop("line"), "each")
-    gone = written(templates(each, texts, depth=depth, **limits), "templates")
-    if copies_as_one:
-        gone = written(recurring(each, gone, limits.get("least_docs", LEAST_DOCS)), "recurring_templates")
-    per_text = _lost(each, gone, "k_id", "k_text").where(F.size("places") > 0)
-    if not copies_as_one:
-        per_text = per_text.where(F.col("lost") <= F.lit(MOST_LOST) * F.col("words"))
-    return per_text.select("k_id", "k_text", "places")
-
-
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", copies_as_one: bool = False, **limits: float) -> DataFrame:
+    pairs = written(pairs.select("k_text", F.col("f.k_text").alias("other"), F.greatest("words", "f.words").alias("words")).distinct(), "pairs")
+    both = pairs.join(many.select("k_text", "t", "size"), "k_text").join(many.select(F.col("k_text").alias("other"), "t"), ["other", "t"])
+    shared = both.groupBy("k_text", "other", "words").agg(F.sum("size").alias("shared"), F.count("*").alias("n"))
+    near = shared.where((2 * F.col("shared") > F.col("words")) & (F.col("n") >= SHARED)).select(F.col("k_text").alias("a"), F.col("other").alias("b"))
+    return components(same.unionByName(near)).select(F.col("node").alias("k_text"), "root")
+
+
+def recurring(each: DataFrame, least_docs: int = LEAST_DOCS, **limits: float) -> DataFrame:
+    """(h, g) of the lines whose template so many documents have, copies counted as one."""
+    found = written(templates(each, least_docs, **limits), "templates")
+    stands = _template(found)
+    own = written(each.join(stands, ["h", "g"]).groupBy("k_text", "t").agg(F.max("size").alias("size")), "own")
+    groups = written(copies(each, own), "copies")
+    # A line counts by its leaf's template and, if it recurs by itself, as it is.
+    grouped = own.join(groups, "k_text", "left").select("t", F.coalesce("root", "k_text").alias("root"))
+    by_template = grouped.distinct().groupBy("t").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("t")
+    return stands.join(by_template, "t").select("h", "g")
+
+
+def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, **limits: float) -> DataFrame:
+    """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop."""
+    each = written(lines(docs, text, depth), "each")
+    gone = written(recurring(each, depth=depth, **limits), "recurring")
+    # Lines of one template, however many documents have it, are dealt by text here: only the short list of templates is joined.
+    marked = each.select("k_id", "k_text", "place", "h", "g").join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, ["h", "g"])
+    return marked.groupBy("k_id", "k_text").agg(F.collect_set("place").alias("places"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **limits: float) -> DataFrame:
     """All rows of ``docs`` with all their columns, lines dropped from ``text``, plus ``dropped_lines``, their number.
 
     A null text stays null. Repeated rows, and rows of equal id and text, lose the same lines; copies of a text count
-    as one document when templates are counted. Lines without a word always stay. An empty table gives an empty one.
+    as one document when templates are counted. Lines without a word always stay. Lines and texts of any length are
+    taken whole. A column ``dropped_lines`` of the input is replaced. An empty table gives an empty one.
     """
     own = "doctree_"
-    places = dropped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), copies_as_one=copies_as_one, **limits)
+    places = dropped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), **limits)
     places = written(places, "places").select(*(F.col(c).alias(own + c) for c in ("k_id", "k_text", "places")))
     a, b = row_key(doc_id, text)
-    keyed = docs.withColumns({own + "k_id": a, own + "k_text": b}).join(places, [own + "k_id", own + "k_text"], "left")
-    gone = F.col(own + "places")
+    keyed = docs.drop("dropped_lines").withColumns({own + "k_id": a, own + "k_text": b}).join(places, [own + "k_id", own + "k_text"], "left")
+    gone = F.coalesce(F.col(own + "places"), F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    out = keyed.withColumn(text, F.when(gone.isNull(), F.col(text)).otherwise(kept)).withColumn("dropped_lines", F.coalesce(F.size(gone), F.lit(0)))
-    return out.select(*docs.columns, "dropped_lines")
+    out = keyed.withColumn(text, F.when(F.size(gone) == 0, F.col(text)).otherwise(kept)).withColumn("dropped_lines", F.size(gone))
+    return out.select(*(c for c in docs.columns if c != "dropped_lines"), "dropped_lines")
 
 
 def op5_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,29 +194,43 @@ QUERIES = {"op5_log_template_line_dedup": op5_log_template_line_dedup}
 
 ORACLE_SQL = {
     "op5_log_template_line_dedup": r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-raw AS (SELECT r, hash(text) AS h, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d WHERE text IS NOT NULL),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+raw AS (SELECT r, text AS h, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d WHERE text IS NOT NULL),
 l AS (
-  SELECT r, h, p, x, regexp_replace(trim(regexp_replace(regexp_replace(x, '[^\x20\x09-\x0D]*([0-9]|://|@)[^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' +', ' ', 'g') AS line FROM raw),
-e AS (SELECT r, h, p, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS size, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM l WHERE line <> ''),
-u AS (SELECT line, any_value(w) AS w, any_value(size) AS size, any_value(lead) AS lead, count(DISTINCT h) AS texts FROM e GROUP BY line),
+  SELECT r, h, p, regexp_replace(trim(regexp_replace(regexp_replace(x, '[^\x20\x09-\x0D]*([0-9]|://|@)[^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' +', ' ', 'g') AS line FROM raw),
+ids AS (SELECT text AS h, min(r) AS t FROM d WHERE text IS NOT NULL GROUP BY text),
+e AS (SELECT r, t, p, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS size, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM l JOIN ids USING (h) WHERE line <> ''),
+u AS (SELECT line, any_value(w) AS w, any_value(size) AS size, any_value(lead) AS lead, count(DISTINCT t) AS texts FROM e GROUP BY line),
 exact AS (SELECT line FROM u WHERE texts >= 6),
-leaf AS (SELECT size, lead, count(*) AS n FROM u WHERE size > 3 GROUP BY size, lead HAVING count(*) > 1 AND sum(texts) >= 6),
-mem AS (SELECT u.line, u.w, size, lead, n FROM u JOIN leaf USING (size, lead)),
-tok AS (SELECT size, lead, n, unnest(w) AS t, generate_subscripts(w, 1) AS a FROM mem),
-con AS (SELECT size, lead, a, t FROM tok GROUP BY size, lead, n, a, t HAVING count(*) * 2 > n),
-gr AS (SELECT size, lead FROM con GROUP BY size, lead HAVING count(*) >= greatest(4, ceil(0.7 * size))),
-fit AS (
-  SELECT m.line, m.size, m.lead FROM mem m JOIN gr USING (size, lead) JOIN con c USING (size, lead)
-  WHERE m.w[c.a] = c.t GROUP BY m.line, m.size, m.lead HAVING count(*) >= 0.7 * m.size),
-gen AS (SELECT line FROM fit JOIN (SELECT fit.size, fit.lead, count(DISTINCT e.h) AS texts FROM e JOIN fit USING (line) GROUP BY fit.size, fit.lead) t USING (size, lead) WHERE texts >= 6),
-gone AS (SELECT line FROM exact UNION SELECT line FROM gen),
+branch AS (SELECT size, lead FROM u WHERE size > 3 GROUP BY size, lead HAVING count(*) > 1 AND sum(texts) >= 6),
+mem AS (SELECT u.line, u.w, size, lead FROM u JOIN branch USING (size, lead)),
+tok AS (SELECT line, size, lead, unnest(w) AS t, generate_subscripts(w, 1) AS a FROM mem),
+cnt AS (SELECT size, lead, a, t, count(*) AS m FROM tok WHERE a > 3 GROUP BY size, lead, a, t),
+best AS (SELECT line, list({'a': a, 't': t} ORDER BY a) AS best FROM (SELECT line, a, t, row_number() OVER (PARTITION BY line ORDER BY m DESC, a) AS k FROM tok JOIN cnt USING (size, lead, a, t)) WHERE k <= 2 GROUP BY line),
+leaf AS (SELECT mem.line, w, size, {'s': size, 'l': lead, 'b': best} AS leaf FROM mem JOIN best USING (line)),
+con AS (
+  SELECT leaf, size, a, t FROM (SELECT leaf, size, unnest(w) AS t, generate_subscripts(w, 1) AS a FROM leaf) JOIN (SELECT leaf, count(*) AS n FROM leaf GROUP BY leaf) USING (leaf)
+  GROUP BY leaf, size, n, a, t HAVING count(*) * 2 > n),
+gr AS (SELECT leaf FROM con GROUP BY leaf, size HAVING count(*) >= greatest(4, ceil(0.7 * size))),
+fit AS (SELECT m.line, m.leaf FROM leaf m JOIN gr USING (leaf) JOIN con c USING (leaf) WHERE m.w[c.a] = c.t GROUP BY m.line, m.leaf, m.size HAVING count(*) >= 0.7 * m.size),
+gen AS (SELECT line, leaf FROM fit JOIN (SELECT leaf, count(DISTINCT e.t) AS texts FROM e JOIN fit USING (line) GROUP BY leaf) USING (leaf) WHERE texts >= 6),
+stands AS (
+  SELECT line, {'leaf': leaf, 'line': CASE WHEN leaf IS NULL THEN line END} AS t FROM (SELECT line FROM exact UNION SELECT line FROM gen) LEFT JOIN gen USING (line)),
+own AS (SELECT e.t AS k, s.t AS t, max(size) AS size FROM e JOIN stands s USING (line) GROUP BY e.t, s.t),
+words AS (SELECT t AS k, max(n) AS words FROM (SELECT t, r, sum(size) AS n FROM e GROUP BY t, r) GROUP BY t),
+told AS (SELECT k, sum(size) AS told, count(*) AS n, list(t ORDER BY t) AS ts, any_value(words) AS words FROM own JOIN words USING (k) GROUP BY k HAVING 2 * sum(size) > any_value(words)),
+many AS (SELECT own.*, words FROM own JOIN told USING (k) WHERE n >= 3),
+near AS (SELECT a.k AS a, b.k AS b FROM many a JOIN many b ON a.t = b.t AND a.k < b.k GROUP BY a.k, b.k HAVING 2 * sum(a.size) > greatest(any_value(a.words), any_value(b.words)) AND count(*) >= 3),
+same AS (SELECT a.k AS a, b.k AS b FROM told a JOIN told b ON a.ts = b.ts AND a.k < b.k WHERE a.told >= a.words AND b.told >= b.words),
+edge AS (SELECT a, b FROM near UNION SELECT a, b FROM same UNION SELECT b, a FROM near UNION SELECT b, a FROM same),
+walk(k, root) AS (SELECT a, a FROM edge UNION SELECT edge.b, walk.root FROM walk JOIN edge ON edge.a = walk.k WHERE walk.root < edge.b),
+root AS (SELECT k, min(root) AS root FROM walk GROUP BY k),
+often AS (SELECT t FROM own LEFT JOIN root USING (k) GROUP BY t HAVING count(DISTINCT coalesce(root, k)) >= 6),
+gone AS (SELECT line FROM stands SEMI JOIN often USING (t)),
 mark AS (SELECT e.*, g.line IS NOT NULL AS gone FROM e LEFT JOIN gone g USING (line)),
-per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, coalesce(sum(size) FILTER (gone), 0) <= 0.5 * sum(size) AS cut FROM mark GROUP BY r),
-kept AS (
-  SELECT raw.r, string_agg(raw.x, chr(10) ORDER BY raw.p) AS t FROM raw LEFT JOIN mark ON mark.r = raw.r AND mark.p = raw.p LEFT JOIN per ON per.r = raw.r
-  WHERE NOT (coalesce(mark.gone, false) AND coalesce(per.cut, false)) GROUP BY raw.r)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN cut THEN n_gone ELSE 0 END AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone FROM mark GROUP BY r),
+kept AS (SELECT raw.r, string_agg(raw.x, chr(10) ORDER BY raw.p) AS t FROM raw LEFT JOIN mark ON mark.r = raw.r AND mark.p = raw.p WHERE NOT coalesce(mark.gone, false) GROUP BY raw.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
 """,
 }
