@@ -45,5 +45,26 @@ def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
     pa.default_memory_pool().release_unused()
 
 
+#: Rows that one key may have in one task in any case.
+LEAST_HOT = 100_000
+
+
+def among(rows: DataFrame, found: DataFrame, keys: list[str], total: int, times: str = "n", most_hot: int = 100_000) -> DataFrame:
+    """The ``rows`` whose ``keys`` are in ``found`` (keys, once each, and ``times``: how many rows have them).
+
+    Keys that have over ``total / most_hot`` rows are dealt over several tasks, by a salt. There are ``most_hot`` of them
+    at most, so their list may be sent to all tasks.
+    """
+    limit = max(LEAST_HOT, total // most_hot)
+    salts = F.ceil(F.col(times) / F.lit(limit)).cast("int")
+    hot = found.where(F.col(times) > limit).select(*keys, salts.alias("doctree_salts"))
+    if hot.isEmpty():
+        return rows.join(found.select(*keys), keys, "left_semi")
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("doctree_salts", F.lit(1)).cast("long")).cast("int")
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("doctree_salt", salt)
+    other = found.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("doctree_salt"))
+    return salted.join(other, [*keys, "doctree_salt"], "left_semi").select(*rows.columns)
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()

@@ -1,15 +1,18 @@
 """Substring deduplication: words covered by a window of words that starts anywhere else are removed.
 
-A count-min sketch decides which windows are counted exactly. A window's cell is the hash of its least
-eight-word run (the leftmost of equals), so equal windows have equal cells, and neighbouring windows mostly
-share a run and with it one update: about one for each fifteen words. Every partition sketches its own
-texts sparsely, as (cell, count); the merged counts never fall below a window's true count. With so few
-updates the sketch can be wide (2^40 cells), and one row of it is as selective as several narrow ones.
-
-The second pass groups only what the sketch can't rule out: windows whose cell was counted twice or more.
-Neighbouring windows with the same least run make a unit, which has a fingerprint of all its words. Units
-that are alike are repeated as a whole; windows of one unit of each other kind are grouped one by one, by cell
-and fingerprint (104 bits). No window with a second occurrence is lost, as its run occurs at both places.
+A count-min sketch decides which windows are counted exactly. A window is sketched by the hash of its least
+eight-word run (the leftmost of equals), so equal windows make equal updates, and neighbouring windows mostly share a
+run and with it one update: about one for each fifteen words. The sketch has ``DEPTH`` rows of 2^``WIDTH_BITS`` cells.
+Every partition sketches its own texts and keeps only the cells that are not zero, so a partition's sketch is bounded
+by its own texts and the width costs nothing. Partition sketches are merged by addition, and a run's estimate is the
+least of its cells. It never falls below the true count; of N updates a run that is there once is estimated higher
+with a chance of (N / 2^42)^2: under 7 % at 10^12 updates, some 100 TB of text.
+
+The second pass groups only what the sketch can't rule out: windows whose run is estimated at two or more. Neighbouring
+windows with the same least run make a unit, which has a fingerprint of all its words. Units that are alike are repeated
+as a whole; windows of one unit of each other kind are grouped one by one, by run and fingerprint. These have 128 bits
+together: n windows make a false pair with a chance below n^2 / 2^129 (10^-13 at 10^13 windows). No window with
+a second occurrence is lost, as its run occurs at both places.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctree.llm.common import row_key, slices, table, written
+from doctree.llm.common import among, row_key, slices, table, written
 
 WINDOW = 35
 RUN = 8
-WIDTH_BITS = 40
+DEPTH = 2
+WIDTH_BITS = 42
 #: Words that a slice of texts can have: 2^31.
 PLACE_BITS = 31
 
@@ -95,45 +99,60 @@ def _least_runs(words: Words, window: int, run: int) -> np.ndarray:
     return out
 
 
-def _cells(words: Words, least: np.ndarray, run: int, width_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct run places, and the sketch cell of each."""
-    places = np.unique(least[least >= 0])
+def _hashes(words: Words, run: int, places: np.ndarray) -> np.ndarray:
+    """The hash of the run at each of ``places``."""
     if not len(places):
-        return places, np.zeros(0, np.int64)
-    return places, (_rolling(words.hashes[0], run, _ODD[0])[places] >> np.uint64(64 - width_bits)).astype(np.int64)
+        return np.zeros(0, np.int64)
+    return _rolling(words.hashes[0], run, _ODD[0])[places].view(np.int64)
 
 
-def sketched(docs: DataFrame, window: int, run: int, width_bits: int) -> DataFrame:
-    """k_id, k_text, cell, count of each text: the sketch's updates, one row for each text and cell."""
+def updates(docs: DataFrame, window: int, run: int) -> DataFrame:
+    """k_id, k_text, runs of each text that has some: the hashes of its windows' least runs, once for each place."""
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for part in slices(batch.column(2)):
                 words = Words(part.to_pylist())
-                places, cells = _cells(words, _least_runs(words, window, run), run, width_bits)
-                owner = np.searchsorted(words.edge, places, side="right") - 1
-                order = np.lexsort((cells, owner))
-                owner, cells = owner[order], cells[order]
-                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(cells)), bool), (cells[1:] != cells[:-1]) | (owner[1:] != owner[:-1])]))
-                count = np.diff(np.concatenate([first, [len(cells)]]))
-                at = pa.array(done + owner[first])
+                least = _least_runs(words, window, run)
+                places = np.unique(least[least >= 0])
+                edge = np.searchsorted(places, words.edge)
+                runs = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(_hashes(words, run, places)))
+                own = [batch.column(i).slice(done, len(part)) for i in range(2)]
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells[first]), pa.array(count.astype(np.int32))], ["k_id", "k_text", "cell", "count"])
+                yield pa.RecordBatch.from_arrays([*own, runs], ["k_id", "k_text", "runs"]).filter(pa.array(np.diff(edge) > 0))
 
-    return docs.select("k_id", "k_text", "text").mapInArrow(update, "k_id bigint, k_text bigint, cell bigint, count int")
+    return docs.select("k_id", "k_text", "text").mapInArrow(update, "k_id bigint, k_text bigint, runs array<bigint>")
+
+
+def _cell(run: str, row: int, width_bits: int) -> Column:
+    """The cell of a run in a row of the sketch; the row is in the number, so cells of several rows differ."""
+    return F.shiftrightunsigned(F.xxhash64(run, F.lit(row)), 64 - width_bits) * DEPTH + row
+
+
+def estimated_twice(found: DataFrame, depth: int = DEPTH, width_bits: int = WIDTH_BITS) -> DataFrame:
+    """k_id, k_text, runs: of each text in ``found`` (k_id, k_text, runs) those runs whose estimate is two or more."""
+    each = found.select("k_id", "k_text", F.explode("runs").alias("run"))
+    # Tasks add up what their own partition has, which is its sketch, before the shuffle merges them.
+    rows = each.select(F.explode(F.array(*(_cell("run", r, width_bits) for r in range(depth)))).alias("cell"))
+    cells = written(rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sketch")
+    total = found.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    for r in range(depth):
+        mine = cells.where(F.pmod("cell", F.lit(depth)) == r)
+        each = among(each.withColumn("cell", _cell("run", r, width_bits)), mine, ["cell"], total).drop("cell")
+    return each.groupBy("k_id", "k_text").agg(F.collect_set("run").alias("runs"))
 
 
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-_DOC = "doc_id {kind}, k_id bigint, k_text bigint, n_words bigint, kept_sha256 string, text string, units array<struct<cell:bigint,start:int,n:int,print:bigint>>"
-_UNIT = pa.struct([("cell", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
+_DOC = "doc_id {kind}, k_id bigint, k_text bigint, n_words bigint, kept_sha256 string, text string, units array<struct<run:bigint,start:int,n:int,print:bigint>>"
+_UNIT = pa.struct([("run", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
 
 
-def _units(words: Words, window: int, run: int, width_bits: int) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with one least run: their cells, starts, numbers of windows and fingerprints.
+def _units(words: Words, window: int, run: int) -> tuple[np.ndarray, ...]:
+    """Neighbouring windows with one least run: its hash, their starts, numbers of windows and fingerprints.
 
     The fingerprint is of all words that the unit's windows cover.
     """
@@ -144,15 +163,15 @@ def _units(words: Words, window: int, run: int, width_bits: int) -> tuple[np.nda
     new = np.concatenate([[True], (least[places[1:]] != least[places[:-1]]) | (places[1:] != places[:-1] + 1)])
     start = places[new]
     n = np.diff(np.concatenate([np.flatnonzero(new), [len(places)]]))
-    cell = (_rolling(words.hashes[0], run, _ODD[0])[least[start]] >> np.uint64(64 - width_bits)).astype(np.int64)
+    hashed = _hashes(words, run, least[start])
     codes, base = words.hashes[1], _ODD[1]
     prefix = np.concatenate([[np.uint64(0)], np.cumsum(codes * _powers(base, len(codes)), dtype=np.uint64)])
     inverse = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(codes))
     prints = _mixed((prefix[start + n + window - 1] - prefix[start]) * inverse[start]).view(np.int64)
-    return cell, start, n, prints
+    return hashed, start, n, prints
 
 
-def _candidates(joined: DataFrame, kind: str, window: int, run: int, width_bits: int) -> DataFrame:
+def _candidates(joined: DataFrame, kind: str, window: int, run: int) -> DataFrame:
     """Per row: the final result where no window is in doubt; else the text, and its units of windows in doubt."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +181,17 @@ def _candidates(joined: DataFrame, kind: str, window: int, run: int, width_bits:
                 texts = part.to_pylist()
                 own = batch.column(4).slice(done, len(part)).to_pylist()
                 words = Words(texts)
-                cell, start, n, prints = _units(words, window, run, width_bits)
+                hashed, start, n, prints = _units(words, window, run)
                 edge = np.searchsorted(start, words.edge)
                 size, some = np.zeros(len(texts), np.int64), []
                 for k, doubted in enumerate(own):
                     if doubted:
-                        at = edge[k] + np.flatnonzero(np.isin(cell[edge[k] : edge[k + 1]], np.array(doubted, np.int64)))
+                        at = edge[k] + np.flatnonzero(np.isin(hashed[edge[k] : edge[k + 1]], np.array(doubted, np.int64)))
                         size[k] = len(at)
                         some.append(at)
                 at = np.concatenate(some) if some else np.zeros(0, np.int64)
                 first = (start[at] - np.repeat(words.edge[:-1], size)).astype(np.int32)
-                flat = pa.StructArray.from_arrays([pa.array(cell[at]), pa.array(first), pa.array(n[at].astype(np.int32)), pa.array(prints[at])], fields=list(_UNIT))
+                flat = pa.StructArray.from_arrays([pa.array(hashed[at]), pa.array(first), pa.array(n[at].astype(np.int32)), pa.array(prints[at])], fields=list(_UNIT))
                 units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
                 digests = [None if m else _digest(words.by_text[k]) for k, m in enumerate(size.tolist())]
                 kept = [t if m else None for t, m in zip(texts, size.tolist(), strict=True)]
@@ -180,11 +199,11 @@ def _candidates(joined: DataFrame, kind: str, window: int, run: int, width_bits:
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([*base, pa.array(words.size), pa.array(digests, pa.string()), pa.array(kept, pa.string()), units], ["doc_id", "k_id", "k_text", "n_words", "kept_sha256", "text", "units"])
 
-    return joined.select("doc_id", "k_id", "k_text", "text", "cells").mapInArrow(find, _DOC.format(kind=kind))
+    return joined.select("doc_id", "k_id", "k_text", "text", "runs").mapInArrow(find, _DOC.format(kind=kind))
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """k_id, k_text, place, cell, print of the windows of the listed ``units`` (start, n, cell) of each text."""
+    """k_id, k_text, place, run, print of the windows of the listed ``units`` (start, n, run) of each text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,14 +213,14 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 prints = _rolling(words.hashes[1], window, _ODD[1]).view(np.int64)
                 units = batch.column(3).slice(done, len(part)).to_pylist()
                 owner = np.repeat(np.arange(len(part)), [len(u) for u in units])
-                start, n, cell = (np.array([u[f] for x in units for u in x], np.int64) for f in ("start", "n", "cell"))
+                start, n, run = (np.array([u[f] for x in units for u in x], np.int64) for f in ("start", "n", "run"))
                 place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 at = pa.array(done + np.repeat(owner, n))
                 where = place + words.edge[np.repeat(owner, n)]
                 done += len(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(np.repeat(cell, n)), pa.array(prints[where])], ["k_id", "k_text", "place", "cell", "print"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(np.repeat(run, n)), pa.array(prints[where])], ["k_id", "k_text", "place", "run", "print"])
 
-    return rows.select("k_id", "k_text", "text", "units").mapInArrow(emit, "k_id bigint, k_text bigint, place int, cell bigint, print bigint")
+    return rows.select("k_id", "k_text", "text", "units").mapInArrow(emit, "k_id bigint, k_text bigint, place int, run bigint, print bigint")
 
 
 def _covered(n: int, ranges: list[dict], window: int) -> np.ndarray:
@@ -234,30 +253,30 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     A null or empty text has no words; a text of fewer than ``window`` words keeps all. Repeated rows are
     texts like any other: each makes the windows of the others repeated. A row without an id is kept apart
-    by its text. ``run`` must be at most ``window``.
+    by its text. Other columns have no effect. An empty table gives an empty one. ``run`` must be at most ``window``.
     """
     kind = dict(docs.dtypes)[doc_id]
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
     keys = ["k_id", "k_text"]
-    updates = written(sketched(own, window, run, width_bits), "sketch")
-    # a text that is there twice has two rows here, so its cells are counted twice
-    twice = updates.groupBy("cell").agg(F.sum("count").alias("n")).where("n > 1").select("cell")
-    doubted = updates.join(twice, "cell").groupBy(*keys).agg(F.collect_set("cell").alias("cells"))
-    found = written(_candidates(own.join(doubted, keys, "left"), kind, window, run, width_bits), "candidates")
+    # a text that is there twice has two rows here, so its runs are counted twice
+    doubted = estimated_twice(written(updates(own, window, run), "updates"), DEPTH, width_bits)
+    found = written(_candidates(own.join(doubted, keys, "left"), kind, window, run), "candidates")
     units = found.where(F.size("units") > 0).select(*keys, F.explode("units").alias("u")).select(*keys, "u.*")
     # Units that are there twice are repeated as a whole. Of each kind of unit one stands for all; only where
-    # several kinds have a cell can their windows be equal too, and only there windows are counted one by one.
-    alike = units.groupBy("cell", "n", "print").agg(F.count("*").alias("times"), F.min(F.struct(*keys, "start")).alias("one"))
+    # several kinds have a run can their windows be equal too, and only there windows are counted one by one.
+    kinds = ["run", "n", "print"]
+    alike = units.groupBy(*kinds).agg(F.count("*").alias("times"), F.min(F.struct(*keys, "start")).alias("one"))
     alike = written(alike, "kinds")
-    whole = units.join(alike.where("times > 1").select("cell", "n", "print"), ["cell", "n", "print"]).select(*keys, "start", "n")
-    mixed = alike.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell")
-    wanted = alike.join(mixed, "cell").select("one.k_id", "one.k_text", F.struct("one.start", "n", "cell").alias("unit"))
+    total = alike.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    whole = among(units, alike.where("times > 1").select("run", F.col("n"), "print", "times"), kinds, total, "times").select(*keys, "start", "n")
+    mixed = alike.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1").select("run")
+    wanted = alike.join(mixed, "run").select("one.k_id", "one.k_text", F.struct("one.start", "n", "run").alias("unit"))
     wanted = wanted.groupBy(*keys).agg(F.collect_list("unit").alias("units"))
     # Repeated rows give their windows twice here, rightly so.
     texts = found.where(F.col("text").isNotNull()).select(*keys, "text")
     windows = written(_windows(texts.join(wanted, keys), window), "windows")
-    repeated = windows.groupBy("cell", "print").agg(F.count("*").alias("times")).where("times > 1").select("cell", "print")
-    single = windows.join(repeated, ["cell", "print"]).select(*keys, F.col("place").alias("start"), F.lit(1).alias("n"))
+    repeated = windows.groupBy("run", "print").agg(F.count("*").alias("times")).where("times > 1").select("run", "print")
+    single = windows.join(repeated, ["run", "print"]).select(*keys, F.col("place").alias("start"), F.lit(1).alias("n"))
     hits = whole.unionByName(single).groupBy(*keys).agg(F.collect_set(F.struct("start", "n")).alias("repeated"))
     open_rows = found.where(F.col("kept_sha256").isNull()).select("doc_id", *keys, "text")
     done = found.where(F.col("kept_sha256").isNotNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
