@@ -1,9 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Test items are normalised (A-Z to lower case; words are runs of ASCII letters, digits and all other
-non-ASCII characters) and cut into windows of ten consecutive words; an item with fewer words is one
-window. The windows of all items make one automaton; a text is normalised the same way and scanned once.
-Matches are mapped back to word places, and those to character spans of the original text.
+Test items are normalised (A-Z to lower case; words are runs of ASCII letters, digits and all other non-ASCII
+characters). A document word is hit where ten consecutive words of an item, or a whole item of fewer words, stand.
+The automaton's symbols are the digits of word numbers, not characters, and its keys are the items' words cut into
+fives: ten consecutive words of an item always have one of these whole. Each text is scanned once; a match is followed to both
+sides as far as text and item agree, and counts from ten words on. Hits are mapped back to word places, and those
+to character spans of the original text.
 """
 
 from __future__ import annotations
@@ -19,84 +21,143 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctree.llm.common import slices, table
+from doctree.llm.common import slices, table, written
 
 WINDOW = 10
-#: One automaton takes items of so many UTF-8 bytes; more items are scanned for in blocks of that size.
-BLOCK_BYTES = 16_000_000
+#: One automaton takes items of so many UTF-8 bytes, with which a worker holds about 250 MB (measured, see the README).
+#: More items are scanned for in blocks of that size, one after the other.
+BLOCK_BYTES = 8_000_000
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 HIT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
+_HIT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)])
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: The same words where A-Z have not been lowered, for places in the original text.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[str, ahocorasick.Automaton] = {}
+_BASE = 128
+#: The automaton of the worker's present stage.
+_built: dict[str, Machine] = {}
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton:
-    """Each key is a window between blanks; its value has the window's words and the ids of its items."""
-    owners: dict[bytes, set[str]] = defaultdict(set)
-    size: dict[bytes, int] = {}
-    for item, text in items:
-        found = words(text)
-        for start in range(max(1, len(found) - window + 1) if found else 0):
-            key = b" " + b" ".join(found[start : start + window]) + b" "
-            owners[key].add(item)
-            size[key] = min(window, len(found))
-    out = ahocorasick.Automaton()
-    for key, ids in owners.items():
-        out.add_word(key.decode(), (size[key], tuple(sorted(ids))))
-    if owners:
-        out.make_automaton()
-    return out
-
-
-def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """The number of words, the merged runs of hit words (first, after the last), and the items found."""
-    found = words(text) if text else []
-    if not found or not len(machine):
-        return len(found), [], set()
-    line = (b" " + b" ".join(found) + b" ").decode()
-    hits = list(machine.iter(line))
-    if not hits:
-        return len(found), [], set()
-    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    after = np.searchsorted(blanks, [end for end, _ in hits])
-    for start, end, ids in sorted((int(k) - n, int(k), ids) for k, (_, (n, ids)) in zip(after, hits, strict=True)):
-        items.update(ids)
-        if runs and start <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(end, runs[-1][1]))
-        else:
-            runs.append((start, end))
-    return len(found), runs, items
+class Machine:
+    """The automaton of a block of items (id, text).
+
+    ``flat`` has the numbers of all items' words, with a 0 around each text; a key's value is its number, under which
+    ``places`` has where in ``flat`` it stands. ``edge`` and ``item`` tell which item a place belongs to.
+    """
+
+    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+        self.window, self.number, self.places = window, {}, []
+        flat, self.edge, self.item = [0], [], []
+        keys: dict[tuple[int, ...], int] = {}
+        step = (window + 1) // 2
+        for item, text in items:
+            own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            if not own:
+                continue
+            self.edge.append(len(flat))
+            self.item.append(item)
+            starts = range(0, len(own) - step + 1, step) if len(own) >= window else (0,)
+            for start in starts:
+                key = tuple(own[start : start + step] if len(own) >= window else own)
+                at = keys.setdefault(key, len(keys))
+                if at == len(self.places):
+                    self.places.append([])
+                self.places[at].append(len(flat) + start)
+            flat += [*own, 0]
+        self.flat = np.array(flat, np.int32)
+        self.size = [len(key) for key in keys]
+        # A node's children are searched one by one, so digits, not numbers, are symbols. Zeros stand for other words.
+        self.digits = 1
+        while _BASE**self.digits <= len(self.number):
+            self.digits += 1
+        self.code = ["".join(chr(n // _BASE**d % _BASE + bool(n)) for d in range(self.digits)) for n in range(len(self.number) + 1)]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for key, at in keys.items():
+            self.automaton.add_word("".join([self.code[n] for n in key]), at)
+        if keys:
+            self.automaton.make_automaton()
+
+    def owner(self, place: int) -> tuple[str, int]:
+        """The item at a place of ``flat`` and the number of its words."""
+        k = int(np.searchsorted(self.edge, place, side="right")) - 1
+        after = self.edge[k + 1] if k + 1 < len(self.edge) else len(self.flat)
+        return self.item[k], after - self.edge[k] - 1
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """The number of words, the merged runs of hit words (first, after the last), and the items found."""
+        found = words(text) if text else []
+        if not found or not self.size:
+            return len(found), [], set()
+        get = self.number.get
+        numbers = [get(w, 0) for w in found]
+        code, k = self.code, self.digits
+        hits = [(end // k, key) for end, key in self.automaton.iter("".join([code[n] for n in numbers])) if end % k == k - 1]
+        if not hits:
+            return len(found), [], set()
+        own = np.array([0, *numbers, 0], np.int32)  # text places count from 1 here
+        reached: dict[int, int] = defaultdict(int)  # by difference of places: up to where text and item have been compared
+        runs: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for end, key in hits:
+            start = end - self.size[key] + 2
+            for place in self.places[key]:
+                if start < reached[place - start]:
+                    continue
+                a, b = start - self._agree(own, start, place, -1), start + self._agree(own, start - 1, place - 1, 1)
+                reached[place - start] = b
+                item, n = self.owner(place)
+                if b - a >= min(self.window, n):
+                    runs.append((a - 1, b - 1))
+                    items.add(item)
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(runs):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return len(found), merged, items
+
+    def _agree(self, own: np.ndarray, at: int, place: int, way: int) -> int:
+        """How many words agree next to a place of the text and of the items, to the left (-1) or the right (1)."""
+        n, width = 0, 16
+        while True:
+            a, b = (own[at + n + 1 : at + n + 1 + width], self.flat[place + n + 1 : place + n + 1 + width]) if way > 0 else (own[max(at - n - width, 0) : at - n][::-1], self.flat[max(place - n - width, 0) : place - n][::-1])
+            both = min(len(a), len(b))
+            differ = np.flatnonzero((a[:both] != b[:both]) | (a[:both] == 0))
+            if len(differ):
+                return n + int(differ[0])
+            n += both
+            if both < width:
+                return n
+            width *= 4
 
 
 def _hits(text: Column, items: list[tuple[str, str]], window: int, spark: SparkSession) -> Column:
     sent = spark.sparkContext.broadcast(items)
     name = hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
-    def machine() -> ahocorasick.Automaton:
+    def machine() -> Machine:
         if name not in _built:
             _built.clear()
-            _built[name] = automaton(sent.value, window)
+            _built[name] = Machine(sent.value, window)
         return _built[name]
 
     def find(texts: pa.Array) -> pa.Array:
         own, rows = machine(), []
         for part in slices(texts):
             for text in part.to_pylist():
-                n, runs, ids = scan(text, own)
+                n, runs, ids = own.scan(text)
                 spans = []
                 if runs:
                     at = [m.span() for m in _WORD.finditer(text)]
                     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
                 rows.append({"n_words": n, "n_hit": sum(b - a for a, b in runs), "items": sorted(ids), "spans": spans})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+        return pa.array(rows, _HIT)
 
     return F.arrow_udf(find, HIT)(text)
 
@@ -107,26 +168,32 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
     size = 0
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text)).where(F.col(text).isNotNull())
     for item, body in rows.toLocalIterator():
-        if block and size + len(body) * 4 > BLOCK_BYTES:
+        n = len(body.encode("utf-8", "replace"))
+        if block and size + n > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append((item, body))
-        size += len(body) * 4
+        size += n
     yield block
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "hits") -> DataFrame:
     """``docs`` with the struct column ``into``: n_words, n_hit, items (sorted as strings), spans (characters of the original).
 
-    A null text has no words; an item without words is in no text; a null item_id counts as the id ''.
-    Rows of one item_id are one item. Repeated documents get equal results. If the items need several
-    automata (see BLOCK_BYTES), every text is scanned with each and the hits are merged exactly.
+    A null or empty text has no words; an item without words is in no text; a null item_id counts as the id ''.
+    Rows of one item_id are one item. Repeated documents get equal results, texts of any length are scanned whole, and
+    other columns stay; a column ``into`` of the input is replaced. An empty table gives an empty one. If the items
+    need several automata (see BLOCK_BYTES), every text is scanned with one after the other, each in a job of its own,
+    so that no task holds two, and the hits are merged exactly.
     """
-    spark = docs.sparkSession
-    columns = [_hits(F.col(text), block, window, spark) for block in _blocks(benchmark, item_id, item_text)]
-    if len(columns) == 1:
-        return docs.withColumn(into, columns[0])
-    return docs.withColumn(into, F.array(*columns)).withColumn(into, _merged(F.col(into), F.col(text)))
+    spark, own, first = docs.sparkSession, "doctree_hits", True
+    for block in _blocks(benchmark, item_id, item_text):
+        if first:
+            docs, first = docs.drop(into).withColumn(into, _hits(F.col(text), block, window, spark)), False
+        else:
+            more = written(docs, "hits").withColumn(own, _hits(F.col(text), block, window, spark))
+            docs = more.withColumn(into, _merged(F.array(into, own), F.col(text))).drop(own)
+    return docs
 
 
 def _merged(blocks: Column, text: Column) -> Column:
@@ -139,15 +206,20 @@ def _merged(blocks: Column, text: Column) -> Column:
                     spans[-1][1] = max(end, spans[-1][1])
                 else:
                     spans.append([start, end])
-            rows.append({"n_words": parts[0]["n_words"], "n_hit": sum(len(_WORD.findall(body[a:b])) for a, b in spans), "items": sorted({i for p in parts for i in p["items"]}), "spans": [{"start": a, "end": b} for a, b in spans]})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
+            n_hit = sum(len(_WORD.findall(body[a:b])) for a, b in spans)
+            items = sorted({i for p in parts for i in p["items"]})
+            rows.append({"n_words": parts[0]["n_words"], "n_hit": n_hit, "items": items, "spans": [{"start": a, "end": b} for a, b in spans]})
+        return pa.array(rows, _HIT)
 
     return F.arrow_udf(merge, HIT)(blocks, text)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with the columns they have."""
-    own = "doctree_hits"
+    """The rows of ``docs`` in which no window of the benchmark occurs, with the columns they have.
+
+    Rows with a null or empty text stay; without items every row does. Repeated rows have one fate.
+    """
+    own = "doctree_found"
     return contamination(docs, benchmark, into=own).where(F.col(f"{own}.n_hit") == 0).drop(own)
 
 
