@@ -98,6 +98,16 @@ def test_chat_empty(spark):
     assert chat.read_back(chat.format_conversations(chat.linear(frame))).count() == 0
 
 
+def test_chat_ties_repeated_messages_and_odd_columns(spark):
+    long = "x### " * 200_000
+    rows = [("t", 1, None, 0.0, "user", "root"), ("t", 3, 1, 1.0, "assistant", long), ("t", 2, 1, 1.0, "assistant", "same score"), ("t", 2, 1, 1.0, "assistant", "same score"), ("u", 1, None, None, None, None)]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "tree string, node bigint, parent bigint, score double, role string, text string, up string, formatted string")
+    got = {(r.tree, r["rank"]): [t.text for t in r.read] for r in chat.read_back(chat.format_conversations(frame, 2)).collect()}
+    assert got == {("t", 1): ["root", "same score"], ("t", 2): ["root", long], ("u", 1): [""]}
+    chain = spark.createDataFrame([("t", i, i - 1 if i else None, 0.0, "user", str(i)) for i in range(33)], "tree string, node bigint, parent bigint, score double, role string, text string")
+    assert len(chat.format_conversations(chain).first().turns) == 33
+
+
 # quality rules
 
 
@@ -130,6 +140,21 @@ def test_quality_fences_follow_the_source(spark):
     assert 2000 not in kept and set(range(150)) <= kept and set(range(1000, 1150)) <= kept
 
 
+def test_quality_thresholds_are_those_of_the_sketch(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0, 3, 127, 128, 129, 1000, 123456789]) + rng.randint(0, 3) for _ in range(500)]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for v, b in frame.select("v", quality_rules.bucket(F.col("v"))).collect():
+        assert b <= v and (v - b) * 64 <= v and b == (v >> max(v.bit_length() - 7, 0)) << max(v.bit_length() - 7, 0)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["words", "windows", "lines", "starts", "b0", "level", "texts"]
+    frame = spark.createDataFrame([(1, "a b c " * 30, "en", "s", *names), (2, None, None, None, *names)], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = quality_rules.judged(frame).collect()
+    assert len(got) == 2 and all([r[n] for n in names] == names for r in got) and {r.lang for r in got} == {"en", None}
+
+
 def test_quality_empty(empty):
     assert quality_rules.judged(empty.select("doc_id", "text", "lang", "source")).count() == 0
 
@@ -164,6 +189,17 @@ def test_substrings_empty(empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from doctree.llm import common
+
+    rows = spark.createDataFrame([(k % 2 * (k % 7), k) for k in range(1000)], "key bigint, place bigint")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    found = counts.where("key in (0, 3, 5)")
+    monkeypatch.setattr(common, "LEAST_HOT", 50)
+    got = common.among(rows, found, ["key"], 1000, most_hot=100)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k % 2 * (k % 7), k) for k in range(1000) if k % 2 * (k % 7) in (0, 3, 5))
+
+
 # packing
 
 
@@ -251,6 +287,31 @@ def test_lines_generalise_what_varies_in_a_leaf(spark):
     assert {r.dropped_lines for r in line_dedup.deduplicated(frame).collect()} == {1}
 
 
+def test_lines_of_boilerplate_go_from_pages_that_are_little_else(spark):
+    line = "we use cookies on this site to improve what you see"
+    rows = [(i, f"page {'abcdefghij'[i]}\n{line}") for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.dropped_lines, r.text.count("\n")) for r in line_dedup.deduplicated(frame).collect()} == {(1, 0)}
+
+
+def test_lines_of_two_families_that_start_alike(spark):
+    names = [a + b for a in ("ann", "bob", "cid", "dan") for b in ("my", "ja", "ko")]
+    ends = ("on our site today", "in the latest news")
+    rows = [(i, f"Read more about {n} {ends[i % 2]}\n" + " ".join(f"{n}{chr(97 + k)}{i}" for k in range(20))) for i, n in enumerate(names)]
+    rows += [(50 + i, f"Read more about {n} whatever comes after this\n" + " ".join(f"{n}{chr(97 + k)}z" for k in range(20))) for i, n in enumerate(names[:3])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.dropped_lines for r in line_dedup.deduplicated(frame).collect()}
+    assert all(got[i] == (1 if i < 50 else 0) for i in got)
+
+
+def test_lines_take_long_texts_and_clashing_columns(spark):
+    footer = "this is the footer of every page here"
+    rows = [(i, "\n".join(f"{'abcdefgh'[i]}w{chr(97 + k % 26)}{k} long" for k in range(5000)) + "\n" + footer, 7, "each") for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, dropped_lines int, places string")
+    got = line_dedup.deduplicated(frame).collect()
+    assert all(footer not in r.text and r.text.count("\n") == 4999 and r.dropped_lines == 1 and r.places == "each" for r in got)
+
+
 def test_lines_leave_copies_whole(spark):
     body = "\n".join(f"line {c} of a text that many have" for c in "abcdefgh")
     rows = [(i, body + f"\n{'pqrstuvw'[i]}") for i in range(8)]
@@ -324,6 +385,14 @@ def test_contamination(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 6}
 
 
+def test_contamination_of_long_texts_ties_and_clashing_columns(spark):
+    item = " ".join(f"q{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "q3 " * 40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "w " * 200_000 + item.upper() + " w" * 1000, 9), (2, "q3 " * 9, 9), (3, "q3 " * 11, 9)], "doc_id bigint, text string, hits int")
+    got = {r.doc_id: r.hits for r in decontaminate.contamination(docs, bench).collect()}
+    assert (got[1].n_hit, got[1]["items"]) == (12, ["1", "2"]) and got[2].n_hit == 0 and (got[3].n_hit, got[3]["items"]) == (11, ["3"])
+
+
 def test_contamination_empty(spark, empty):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(empty, bench).count() == 0
@@ -342,12 +411,13 @@ def simhash_of(text):
 
 
 def linked(codes):
-    forest = simhash.Forest(len(codes))
+    root = list(range(len(codes)))
     for a in range(len(codes)):
         for b in range(a):
-            if (codes[a] ^ codes[b]).bit_count() <= 4:
-                forest.join(a, b)
-    return [forest.root(k) for k in range(len(codes))]
+            if root[a] != root[b] and (codes[a] ^ codes[b]).bit_count() <= 4:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
 
 
 def test_simhash(docs):
@@ -385,6 +455,42 @@ def test_links_among_dense_and_sparse_codes(spark):
     assert all(len(x) == 1 for x in parts.values()) and len({x for p in parts.values() for x in p}) == len(parts)
 
 
+@pytest.mark.parametrize("distance", [3, 4, 6])
+def test_every_cut_of_a_fingerprint_finds_all_links(spark, distance):
+    rng = random.Random(distance)
+    centre = rng.getrandbits(64)
+    codes = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, distance + 2))) for _ in range(150)}
+    frame = spark.createDataFrame([(int(np.array(c, np.uint64).view(np.int64)),) for c in codes], "code bigint")
+    codes = sorted(codes)
+    near = [[(a ^ b).bit_count() <= distance for b in codes] for a in codes]
+    part = list(range(len(codes)))
+    for a in range(len(codes)):
+        for b in range(a):
+            if near[a][b] and part[a] != part[b]:
+                part = [min(part[a], part[b]) if p in (part[a], part[b]) else p for p in part]
+    for n in (10, 10**6, 10**8, 10**10):
+        cut = simhash.segments(n, distance)
+        assert sum(w for w, _ in cut) == 64 and sum(r + 1 for _, r in cut) == distance + 1
+        found = simhash._links(simhash._bucket_rows(frame, cut).repartition(2, "bucket"), distance)
+        got = {r.node & (2**64 - 1): r.root for r in simhash.components(found).collect()}
+        assert len({(got.get(c, c), p) for c, p in zip(codes, part, strict=True)}) == len(set(part)) == len({got.get(c, c) for c in codes})
+
+
+def test_links_of_one_large_bucket(spark):
+    rng = np.random.default_rng(3)
+    codes = np.unique((np.uint64(5) << np.uint64(51)) | rng.integers(0, 1 << 24, 20_000, dtype=np.uint64) | (rng.integers(0, 1 << 16, 20_000, dtype=np.uint64) << np.uint64(30)))
+    frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code bigint")
+    part = np.arange(len(codes))
+    for k in range(len(codes)):
+        near = np.bitwise_count(codes ^ codes[k]) <= 4
+        parts = np.unique(part[near])
+        if len(parts) > 1:
+            part[np.isin(part, parts)] = parts[0]
+    got = {r.node & (2**64 - 1): r.root for r in simhash.components(simhash.links(frame, most_stored=1500)).collect()}
+    pairs = {(got.get(int(c), int(c)), int(p)) for c, p in zip(codes, part, strict=True)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+
+
 def test_simhash_empty(empty):
     assert simhash.groups(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
@@ -421,6 +527,13 @@ def test_quality_model_walk_is_that_of_a_plain_tree():
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9
 
 
+def test_quality_model_is_the_same_for_repeated_ids(spark):
+    rows = [(i % 20, f"text {'abcde'[i % 5]} " * (1 + i % 13)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    models = [quality_model.train(spark.createDataFrame(r, "doc_id bigint, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert all((a == b).all() for a, b in zip(models[0][1:], models[1][1:], strict=True))
+
+
 def test_quality_model_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     model = quality_model.train(docs, none)
@@ -488,6 +601,19 @@ def test_shards_are_even_under_a_hot_text(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_shards_of_ties_under_hot_keys(spark):
+    rows = [(i % 3, "y" * 50) for i in range(900)] + [(i, "z" * 50 + str(i)) for i in range(900)] + [(None, None)] * 5
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=4).collect()
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert len(found) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) < 1.15 * min(sizes.values())
+
+
 def test_shards_empty(empty):
     assert sharding.shard(empty).count() == 0
 

@@ -1,14 +1,174 @@
-"""The numbered queries that have SQL agree with it."""
+"""The numbered queries: those with SQL agree with it, the others with plain versions, on small tables of awkward rows."""
 
 import os
+import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from oracle import SF, assert_agrees, database
+from test_llm import WORD, item_words, linked, simhash_of, texts
 
 from doctree import llm
+from doctree.llm import language_id, packing, quality_model
 
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+@needs_tables
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_agrees_with_sql(spark, name):
     assert_agrees(spark, database(), llm.QUERIES[name], llm.ORACLE_SQL[name])
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Tables of the awkward rows: nulls, empty and long texts, copies, repeated rows and ids, clashing columns."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    rows = [(*r, len(r[1] or ""), 5, "clash") for r in texts()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, doctree_id string")
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{path}/none/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{path}/labels.parquet")
+    labels.limit(0).write.parquet(f"{path}/none/labels.parquet")
+    for name in (path, f"{path}/none"):
+        spark.createDataFrame([(1, "shared3 shared4 shared5 shared6 shared7 shared8 shared9 shared10 shared11 shared12"), (2, None)], "item_id bigint, text string").write.parquet(f"{name}/benchmark.parquet")
+    return path
+
+
+def test_op4(spark, folder):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = llm.QUERIES["op4_hierarchical_best_fit_packing"](spark, folder).collect()
+    want = Counter()
+    for i, t, *_ in texts():
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[(i, k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert_packed(rows)
+    plain = packing.best_fit(sorted((r.length for r in rows), reverse=True), 2048)[2]
+    assert len({r.sequence_id for r in rows}) <= len(plain) + 1
+
+
+def assert_packed(rows):
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for inside in bins.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_op7(spark, folder):
+    rows = llm.QUERIES["op7_multi_index_simhash"](spark, folder).collect()
+    codes = [simhash_of(t) for _, t, *_ in texts()]
+    roots, low = linked(codes), {}
+    for (i, *_), r in zip(texts(), roots, strict=True):
+        if i is not None:
+            low[r] = min(low.get(r, i), i)
+    want = Counter((i, f"{c:016x}", low.get(r)) for (i, *_), c, r in zip(texts(), codes, roots, strict=True))
+    assert Counter(tuple(r) for r in rows) == want
+
+
+def test_op8(spark, folder):
+    rows = {(r.doc_id, r.score): r for r in llm.QUERIES["op8_histogram_boosted_quality"](spark, folder).collect()}
+    learned = [(i, t, int(i % 3 > 0)) for i, t, *_ in texts() if i is not None and i < 60 and zlib.crc32(str(i).encode()) % 3 != 1]
+    learned.sort(key=lambda r: r[0])
+    x = quality_model.statistics([t for _, t, _ in learned])
+    model = quality_model.fit(x, np.array([y for *_, y in learned], float))
+    want = Counter((i, round(float(s), 9)) for (i, *_), s in zip(texts(), model.score(quality_model.statistics([t for _, t, *_ in texts()])), strict=True))
+    got = Counter((r.doc_id, round(r.score, 9)) for r in llm.QUERIES["op8_histogram_boosted_quality"](spark, folder).collect())
+    assert got == want and all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows.values())
+
+
+@needs_tables
+def test_op8_tells_held_out_labels(spark):
+    rows = llm.QUERIES["op8_histogram_boosted_quality"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([g > b for g in good for b in bad]) > 0.9
+
+
+def plain_vector(text, dimensions=language_id.DIMENSIONS):
+    words = re.sub(r"[^\W\d_]+", lambda m: m[0], "".join(c if c.isalpha() else " " for c in (text or "").lower())).split()
+    out = np.zeros(dimensions)
+    for word in words:
+        for a, b, c in zip(" " + word, word, word[1:] + " ", strict=False):
+            v = [language_id._letter_vector(ord(x), dimensions).astype(int) for x in (a, b, c)]
+            out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    return out
+
+
+def test_op9(spark, folder):
+    rows = llm.QUERIES["op9_hyperdimensional_language_id"](spark, folder).collect()
+    sums = defaultdict(float)
+    for i, t, lang, _ in texts():
+        if i is not None and lang is not None and t and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[lang] = sums[lang] + plain_vector(t)
+    names = sorted(sums)
+    want = Counter()
+    for i, t, *_ in texts():
+        v = plain_vector(t)
+        cosine = [float(v @ sums[n] / max(np.linalg.norm(v) * np.linalg.norm(sums[n]), 1e-300)) for n in names]
+        best = int(np.argmax(cosine))
+        some = np.linalg.norm(v) > 0
+        held = i is None or zlib.crc32(str(i).encode()) % 3 == 1
+        want[(i, held, names[best] if some else "und", round(min(max(cosine[best], 0), 1) if some else 0, 6))] += 1
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in rows) == want
+
+
+def test_op10(spark, folder):
+    rows = llm.QUERIES["op10_sampled_splitter_sharding"](spark, folder).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for i, t, *_ in texts())
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows) == want
+    slots, of_text = defaultdict(list), defaultdict(set)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        of_text[r.text_crc32].add(r.shard)
+    assert all(0 <= s < 16 and sorted(x) == list(range(len(x))) for s, x in slots.items())
+    assert all(len(x) == 1 for x in of_text.values())  # equal texts stand together
+
+
+def test_pipeline_stages_take_awkward_rows(spark, folder):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = stage(spark, docs, folder).cache()
+        after = docs.collect()
+        assert docs.columns == columns
+        ids = Counter(r.doc_id for r in after)
+        if name == "language_id":
+            assert not {103, 104, 105, 109} & set(ids) and ids[107] == 2  # no letters; repeated rows stay
+            want = Counter(r.doc_id for r in before if re.search(r"[^\W\d_]", r.text or ""))
+            assert not ids - want and sum(want.values()) - sum(ids.values()) <= 2
+        if name == "line_dedup":
+            assert ids == Counter(r.doc_id for r in before)
+            footers = [r for r in after if "All rights reserved" in r.text]
+            assert not footers and all(r.n_chars == len(r.text) for r in after)
+        if name == "simhash_near_dedup":
+            roots = linked([simhash_of(r.text) for r in before])
+            assert len(after) == len(set(roots)) and 101 not in ids
+        if name == "decontamination":
+            item = [f"shared{k}" for k in range(3, 13)]
+            assert all(item not in [item_words(r.text)[k : k + 10] for k in range(len(WORD.findall(r.text)))] for r in after)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+    assert_packed(packed)
+
+
+def test_pipeline_takes_empty_tables_and_no_languages(spark, folder):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+    docs = spark.createDataFrame([(1, "some words here", None), (2, None, None), (3, "12 34", None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, folder).collect()} == {1}
