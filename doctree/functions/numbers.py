@@ -13,8 +13,6 @@ SUFFIX = {
     "Scenario": r"\.1\.\d+$",
     "Active Data": r"\.0\.6\.\d+$",
 }
-#: Supporting documents nest to a variation of a scenario of a tenet; more steps leave room for odd numbers.
-MOST_SUFFIXES = 8
 _ANY_SUFFIX = r"(?<=.)(?:\.var\d+|\.0\.[346]\.\d+|(?<=\.0\.4\.\d{1,18})\.1\.\d+)$"
 
 
@@ -76,7 +74,7 @@ def semantic_depth(doc_no: Column | str, doc_type: Column | str) -> Column:
         changed = state["more"] & (shorter != state["n"])
         return F.struct(F.when(changed, shorter).otherwise(state["n"]).alias("n"), (state["extra"] + changed.cast("int")).alias("extra"), changed.alias("more"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SUFFIXES)), start, strip)
+    done = F.aggregate(F.sequence(F.lit(1), F.size(segments(number))), start, strip)
     depth = F.when(~(first.isNotNull() & done["n"].startswith("NR-")), done["extra"] + F.size(segments(done["n"])) - 1)
     return F.when(kind != "Needed Research", depth)
 

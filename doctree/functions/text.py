@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Identifiers, links, labels and tokens as the corpora's format has them.
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 LABEL = r"^\*\*(.+?)\*\*:\s*$"
@@ -76,10 +77,24 @@ def snippet(c: Column | str, query: str, most: int = 150) -> Column:
     return F.when(n <= most, plain).when(at < 0, F.concat(trimmed(F.substring(plain, 1, most)), F.lit("..."))).otherwise(cut)
 
 
+def _literal(query: str) -> str:
+    return "".join("\\" + x if not x.isalnum() and not x.isspace() else x for x in query.strip())
+
+
 def highlights(c: Column | str, query: str) -> Column:
     """how often the query stands in the text, whatever the case."""
-    q = query.strip()
-    return F.regexp_count(_c(c), F.lit("(?i)" + "".join("\\" + x if not x.isalnum() and not x.isspace() else x for x in q))) if q else F.lit(0)
+    return F.regexp_count(_c(c), F.lit("(?i)" + _literal(query))) if query.strip() else F.lit(0)
+
+
+def highlight_spans(c: Column | str, query: str) -> Column:
+    """array of (start, length) of the query's places in the text, from 0, whatever the case; they do not overlap."""
+    n = len(query.strip())
+    if not n:
+        return F.array().cast("array<struct<start:int,length:int>>")
+    before = F.split(_c(c), "(?i)" + _literal(query), -1)
+    gaps = F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0)))
+    ends = F.aggregate(gaps, F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(g) + n)))
+    return F.transform(ends, lambda e: F.struct((e - n).alias("start"), F.lit(n).alias("length")))
 
 
 def slugify(c: Column | str) -> Column:
@@ -100,6 +115,11 @@ def normalized_uuid(c: Column | str) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{32}$"), cut)
 
 
+def bare_uuid(c: Column | str) -> Column:
+    """lower case without hyphens; null for what is no UUID."""
+    return F.replace(normalized_uuid(c), F.lit("-"), F.lit(""))
+
+
 def uuid_lookup_key(c: Column | str) -> Column:
     return F.coalesce(normalized_uuid(c), F.lower(_c(c)))
 
@@ -159,3 +179,34 @@ def child_type(c: Column | str) -> Column:
 def frontmatter_depth(doc_no: Column, doc_type: Column) -> Column:
     n = F.size(F.split(doc_no, r"\."))
     return F.when(doc_type == "Needed Research", 2).when((doc_type == "Scope") | F.element_at(F.split(doc_no, r"\."), -1).startswith("var"), n - 1).otherwise(n)
+
+
+def mapping_json(pairs: Column) -> Column:
+    """F16: an array of (key, value) structs as a JSON object; of equal keys the last counts."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    return F.to_json(F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))))
+
+
+def mapping_of(c: Column | str) -> Column:
+    """F16: the map from a JSON object of strings; null for what is none."""
+    return F.from_json(_c(c), "map<string,string>")
+
+
+def guarded(c: Column | str, most: int = 1_000_000) -> Column:
+    """at most so many characters, for renderers that must not be given more. Nothing here that reads bodies uses it."""
+    return F.substring(_c(c), 1, most)
+
+
+def content_hash(c: Column | str) -> Column:
+    """F23."""
+    return F.sha1(_c(c).cast("binary"))
+
+
+def shown_value(c: Column | str) -> Column:
+    """an extra field's value as it is shown: ``-`` for none."""
+    return F.coalesce(_c(c), F.lit("-"))
+
+
+def shown_list(c: Column | str) -> Column:
+    """a list of values, joined; ``-`` for none."""
+    return F.coalesce(F.array_join(_c(c), ", "), F.lit("-"))

@@ -7,6 +7,7 @@ by uuid. All lineage tests are equi-joins on exploded number prefixes.
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -178,6 +179,23 @@ def scope_summary(scopes: DataFrame, changes: DataFrame, changed: DataFrame) ->
     return counts.withColumn("summary", F.when(said == "", "Changes in this scope").otherwise(said))
 
 
+def roundtrip(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Whether the texts (corpus_id, version_id, text) of two sides are equal, with the number of lines that differ and the first of them.
+
+    Texts whose digests agree are equal; only the others are cut into lines, which are compared by their numbers.
+    """
+    keys = [KEY, "version_id"]
+    side = lambda d, n: d.select(*keys, F.col("text").alias(f"text_{n}"))
+    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    equal = F.coalesce(F.sha2("text_a", 256) == F.sha2("text_b", 256), F.lit(False))
+    both = both.withColumn("equal", equal)
+    cut = lambda n: F.split(F.coalesce(F.col(f"text_{n}"), F.lit("")), "\n")
+    pairs = both.where("not equal").select(*keys, F.posexplode(F.arrays_zip(cut("a").alias("a"), cut("b").alias("b"))).alias("at", "l"))
+    differ = pairs.where(~F.col("l.a").eqNullSafe(F.col("l.b"))).groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct((F.col("at") + 1).alias("line"), F.col("l.a"), F.col("l.b"))).alias("first"))
+    found = both.select(*keys, "equal").join(differ, keys, "left")
+    return found.select(*keys, "equal", F.coalesce("n", F.lit(0)).alias("n_differing"), F.col("first.line").alias("first_line"), F.col("first.a").alias("first_a"), F.col("first.b").alias("first_b"))
+
+
 def proposal_title(title: str, branch: str):
     """D19, as a column: the title, or the branch's last part in words."""
     words = F.initcap(F.replace(F.element_at(F.split(F.col(branch), "/"), -1), F.lit("-"), F.lit(" ")))
@@ -199,28 +217,22 @@ _TOKEN = re.compile(text.TOKEN)
 SHORT_RUN = 3
 
 
-def _absorbed(ops: list[tuple], tokens: list[str]) -> list[tuple]:
-    """Opcodes in which short equal runs between two changes have become part of one replacement."""
-    again = True
-    while again:
-        again, out, k = False, [], 0
-        while k < len(ops):
-            a = ops[k]
-            b, c = (ops[k + 1], ops[k + 2]) if k + 2 < len(ops) else (None, None)
-            if b and a[0] != "equal" and b[0] == "equal" and c[0] != "equal" and sum(1 for t in tokens[b[1] : b[2]] if t.strip()) <= SHORT_RUN:
-                out.append(("replace", a[1], c[2], a[3], c[4]))
-                k, again = k + 3, True
-            else:
-                out.append(a)
-                k += 1
-        ops = out
-    return ops
-
-
 def token_ops(old: str, new: str) -> list[tuple[str, str, str]]:
+    """Steps (op, old text, new text). Changes with only short equal runs between them are one replacement."""
     a, b = _TOKEN.findall(old), _TOKEN.findall(new)
-    found = _absorbed(difflib.SequenceMatcher(None, a, b).get_opcodes(), a)
-    return [(op, "".join(a[i:j]), "".join(b[k:m])) for op, i, j, k, m in found]
+
+    def keeps(op: tuple) -> bool:
+        return op[0] == "equal" and sum(not t.isspace() for t in a[op[1] : op[2]]) > SHORT_RUN
+
+    out = []
+    for kept, run in itertools.groupby(difflib.SequenceMatcher(None, a, b).get_opcodes(), keeps):
+        ops = list(run)
+        changed = [k for k, op in enumerate(ops) if op[0] != "equal"]
+        if not kept and len(changed) > 1:
+            first, last = ops[changed[0]], ops[changed[-1]]
+            ops[changed[0] : changed[-1] + 1] = [("replace", first[1], last[2], first[3], last[4])]
+        out += [(op, "".join(a[i:j]), "".join(b[k:m])) for op, i, j, k, m in ops]
+    return out
 
 
 def line_ops(old: str, new: str) -> list[tuple[str, str, str]]:

@@ -1,7 +1,8 @@
 """Validation rules as issue tables, and audits of completeness.
 
 Rules read parsed documents: corpus_id, version_id, line (of the title), title, level, doc_no, name, doc_type,
-uuid, and rows (the lines below the title). Each rule is a filter or an equi-join; ``issues`` is their union.
+uuid, and rows (the lines below the title). What a document shows by itself is judged in one pass, as an array of
+issues; rules that look at other documents are equi-joins or windows. ``issues`` is their union.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import numbers, text
+from doctree.operators import tree
 from doctree.sources import monolith
 
 KEYS = list(schema.KEYS)
 WARNINGS = ("V21",)
 LABEL = r"^\*\*(.+?)\*\*:\s*$"
+_ISSUE = "array<struct<rule_id:string,line:bigint,detail:string>>"
 
 
 def _issue(found: DataFrame, rule: str | Column, line: Column | None = None, detail: Column | None = None) -> DataFrame:
@@ -30,15 +33,63 @@ def titles(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("title").rlike(monolith.STRICT))
 
 
-def bad_titles(docs: DataFrame) -> DataFrame:
-    """Lines that look like titles but are not."""
-    return _issue(docs.where(~F.col("title").rlike(monolith.STRICT) & F.col("title").rlike(r"^#+\s") & F.contains("title", F.lit("UUID"))), "V1")
+def _one(rule: str | Column, line: Column | None = None, detail: Column | None = None) -> Column:
+    rule_id = F.lit(rule) if isinstance(rule, str) else rule
+    return F.struct(rule_id.alias("rule_id"), (F.col("line") if line is None else line).cast("long").alias("line"), (F.lit("") if detail is None else detail).cast("string").alias("detail"))
 
 
-def type_rules(docs: DataFrame) -> DataFrame:
-    """V2, V3."""
-    known = F.col("doc_type").isin(*schema.TYPE_DATABASE)
-    return _issue(docs.where(~known), "V2").unionByName(_issue(docs.where("level > 6"), "V3"))
+def _number_rule() -> Column:
+    """One rule at most for each document."""
+    n, t = F.col("doc_no"), F.col("doc_type")
+    return (
+        F.when(t == "Needed Research", F.when(~n.rlike(r"^NR-\d+$"), "V12"))
+        .when(~n.startswith("A."), "V13")
+        .when(t.isin("Core", "Type Specification", "Active Data Controller"), F.when(n.rlike(r"(?<!^A)\.0\."), "V14"))
+        .when(t == "Annotation", F.when(~n.rlike(r"\.0\.3\.\d+$"), "V15"))
+        .when(t == "Action Tenet", F.when(~n.rlike(r"\.0\.4\.\d+$"), "V16"))
+        .when(t == "Scenario", F.when(~n.rlike(r"\.1\.\d+$"), "V17"))
+        .when(t == "Scenario Variation", F.when(~n.rlike(r"\.var\d+$"), "V18"))
+        .when(t == "Active Data", F.when(~n.rlike(r"\.0\.6\.\d+$"), "V19"))
+    )
+
+
+def _label_rules() -> Column:
+    """V8 to V11 on the types with extra fields: unknown labels, no blank line after one, wrong order, missing ones."""
+    needs = F.create_map(*(x for t, f in schema.EXTRA_FIELDS.items() for x in (F.lit(t), F.array(*(F.lit(v) for v in f.values())))))
+    need = needs[F.col("doc_type")]
+    labels = F.filter(F.transform("rows", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, LABEL, 1).alias("label"), F.get("rows", i + 1).alias("after"))), lambda s: s["label"] != "")
+    unknown = F.transform(F.filter(labels, lambda s: ~F.array_contains(need, s["label"])), lambda s: _one("V8", F.col("line") + s["i"] + 1, s["label"]))
+    tight = F.transform(F.filter(labels, lambda s: s["after"].isNotNull() & ~text.is_blank(s["after"])), lambda s: _one("V9", F.col("line") + s["i"] + 2, s["label"]))
+    seen = F.transform(labels, lambda s: s["label"])
+    actual = F.filter(seen, lambda x: F.array_contains(need, x))
+    expected = F.filter(need, lambda x: F.array_contains(seen, x))
+    order = F.when(actual != expected, F.array(_one("V10", None, F.array_join(actual, ", ")))).otherwise(F.array().cast(_ISSUE))
+    gone = F.transform(F.filter(need, lambda x: ~F.array_contains(seen, x)), lambda x: _one("V11", None, x))
+    return F.when(need.isNotNull(), F.concat(unknown, tight, order, gone)).otherwise(F.array().cast(_ISSUE))
+
+
+def row_rules(docs: DataFrame) -> DataFrame:
+    """V1 to V4 (but for notes), V6 to V19, V21, V22: what each document shows by itself, all in one pass."""
+    strict = F.col("title").rlike(monolith.STRICT)
+    looks = F.col("title").rlike(r"^#+\s") & F.contains("title", F.lit("UUID"))
+    wanted = numbers.heading_level("doc_no", "doc_type")
+    row = lambda i: F.get("rows", F.lit(i))
+    u = F.coalesce("uuid", F.lit(""))
+    single = F.array_compact(
+        F.array(
+            F.when(~F.col("doc_type").isin(*schema.TYPE_DATABASE), _one("V2")),
+            F.when(F.col("level") > 6, _one("V3")),
+            F.when((F.col("doc_type") != "Needed Research") & (F.col("level") != wanted), _one("V4", None, wanted)),
+            F.when(row(0).isNotNull() & ~text.is_blank(row(0)), _one("V6", F.col("line") + 1)),
+            F.when(text.is_blank(row(0)) & row(1).isNotNull() & text.is_blank(row(1)) & (F.size("rows") > 2), _one("V7", F.col("line") + 2)),
+            F.when(_number_rule().isNotNull(), _one(_number_rule())),
+            F.when(text.is_blank(u), _one("V21")),
+            F.when(~text.is_blank(u) & ~text.valid_uuid(u), _one("V22", None, u)),
+        )
+    )
+    bad = F.when(looks, F.array(_one("V1"))).otherwise(F.array().cast(_ISSUE))
+    every = F.when(strict, F.concat(single, _label_rules())).otherwise(bad)
+    return docs.select(*KEYS, "doc_no", F.explode(every).alias("i")).select(*KEYS, "i.rule_id", "i.line", "doc_no", "i.detail")
 
 
 def shallower(docs: DataFrame, most: int = 6) -> DataFrame:
@@ -50,11 +101,10 @@ def shallower(docs: DataFrame, most: int = 6) -> DataFrame:
     return found.withColumn("above", nearest["level"]).drop(*(f"s{k}" for k in range(1, most)))
 
 
-def level_rule(docs: DataFrame) -> DataFrame:
-    """V4: the level must follow from the number; a research note is one below the nearest shallower title before it."""
-    note = F.least(F.lit(6), F.col("above") + 1)
-    wanted = F.when(F.col("doc_type") == "Needed Research", F.coalesce(note, F.lit(6))).otherwise(numbers.heading_level("doc_no", "doc_type"))
-    found = shallower(docs).withColumn("wanted", wanted)
+def note_levels(docs: DataFrame) -> DataFrame:
+    """V4 for research notes: one level below the nearest shallower title before them."""
+    found = shallower(docs.select(*KEYS, "line", "level", "doc_no", "doc_type")).where("doc_type = 'Needed Research'")
+    found = found.withColumn("wanted", F.coalesce(F.least(F.lit(6), F.col("above") + 1), F.lit(6)))
     return _issue(found.where("level <> wanted"), "V4", detail=F.col("wanted").cast("string"))
 
 
@@ -80,53 +130,9 @@ def parent_rules(docs: DataFrame) -> DataFrame:
     return missing.unionByName(_issue(pairs, "V20", detail=F.concat_ws(" > ", "parent_type", "doc_type")))
 
 
-def blank_rules(docs: DataFrame) -> DataFrame:
-    """V6, V7: one blank line after the title, and one only."""
-    row = lambda i: F.get("rows", F.lit(i))
-    none = docs.where(row(0).isNotNull() & ~text.is_blank(row(0)))
-    two = docs.where(text.is_blank(row(0)) & row(1).isNotNull() & text.is_blank(row(1)) & (F.size("rows") > 2))
-    return _issue(none, "V6", F.col("line") + 1).unionByName(_issue(two, "V7", F.col("line") + 2))
-
-
-def extra_rules(docs: DataFrame) -> DataFrame:
-    """V8 to V11 on the types with extra fields: unknown labels, no blank line after one, wrong order, missing ones."""
-    need = F.create_map(*(x for t, f in schema.EXTRA_FIELDS.items() for x in (F.lit(t), F.array(*(F.lit(v) for v in f.values())))))
-    some = docs.where(F.col("doc_type").isin(*schema.EXTRA_FIELDS)).withColumn("need", need[F.col("doc_type")])
-    at = F.filter(F.transform("rows", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, LABEL, 1).alias("label"))), lambda s: s["label"] != "")
-    some = some.withColumn("labels", at)
-    each = some.select(*KEYS, "line", "doc_no", "need", "rows", F.explode("labels").alias("l"))
-    unknown = _issue(each.where(~F.array_contains("need", F.col("l.label"))), "V8", F.col("line") + F.col("l.i") + 1, F.col("l.label"))
-    after = F.get("rows", F.col("l.i") + 1)
-    tight = _issue(each.where(after.isNotNull() & ~text.is_blank(after)), "V9", F.col("line") + F.col("l.i") + 2, F.col("l.label"))
-    actual = F.filter(F.transform("labels", lambda s: s["label"]), lambda x: F.array_contains("need", x))
-    expected = F.filter("need", lambda x: F.array_contains(actual, x))
-    order = _issue(some.where(actual != expected), "V10", detail=F.array_join(actual, ", "))
-    gone = some.select(*KEYS, "line", "doc_no", F.explode(F.array_except("need", F.coalesce(F.transform("labels", lambda s: s["label"]), F.array()))).alias("label"))
-    return unknown.unionByName(tight).unionByName(order).unionByName(_issue(gone, "V11", detail=F.col("label")))
-
-
-def number_rules(docs: DataFrame) -> DataFrame:
-    """At most one for each document."""
-    n, t = F.col("doc_no"), F.col("doc_type")
-    rule = (
-        F.when(t == "Needed Research", F.when(~n.rlike(r"^NR-\d+$"), "V12"))
-        .when(~n.startswith("A."), "V13")
-        .when(t.isin("Core", "Type Specification", "Active Data Controller"), F.when(n.rlike(r"(?<!^A)\.0\."), "V14"))
-        .when(t == "Annotation", F.when(~n.rlike(r"\.0\.3\.\d+$"), "V15"))
-        .when(t == "Action Tenet", F.when(~n.rlike(r"\.0\.4\.\d+$"), "V16"))
-        .when(t == "Scenario", F.when(~n.rlike(r"\.1\.\d+$"), "V17"))
-        .when(t == "Scenario Variation", F.when(~n.rlike(r"\.var\d+$"), "V18"))
-        .when(t == "Active Data", F.when(~n.rlike(r"\.0\.6\.\d+$"), "V19"))
-    )
-    return _issue(docs.withColumn("rule", rule).where("rule is not null"), F.col("rule"))
-
-
-def uuid_rules(docs: DataFrame) -> DataFrame:
-    """Empty, malformed, and repeated ones, the first occurrence of which is fine."""
-    u = F.coalesce("uuid", F.lit(""))
-    empty = _issue(docs.where(text.is_blank(u)), "V21")
-    bad = _issue(docs.where(~text.is_blank(u) & ~text.valid_uuid(u)), "V22", detail=u)
-    return empty.unionByName(bad).unionByName(_issue(duplicate_uuids(docs), "V23", detail=F.col("first_line").cast("string")))
+def repeated_uuids(docs: DataFrame) -> DataFrame:
+    """The first occurrence of a uuid is fine."""
+    return _issue(duplicate_uuids(docs), "V23", detail=F.col("first_line").cast("string"))
 
 
 def duplicate_uuids(docs: DataFrame) -> DataFrame:
@@ -137,21 +143,58 @@ def duplicate_uuids(docs: DataFrame) -> DataFrame:
 
 
 def issues(docs: DataFrame) -> DataFrame:
-    """All issues with severity; sort them by line, rule_id."""
+    """All issues with severity."""
     good = titles(docs)
-    rules = [bad_titles(docs), *(rule(good) for rule in (type_rules, level_rule, parent_rules, blank_rules, extra_rules, number_rules, uuid_rules))]
+    rules = [row_rules(docs), *(rule(good) for rule in (note_levels, parent_rules, repeated_uuids))]
     return reduce(DataFrame.unionByName, rules).withColumn("severity", F.when(F.col("rule_id").isin(*WARNINGS), "warning").otherwise("error"))
 
 
-def suppress(found: DataFrame, docs: DataFrame, uuids: DataFrame) -> DataFrame:
-    """Issues without those in the lines of documents whose uuid is in ``uuids`` (uuid).
+def ordered(found: DataFrame) -> DataFrame:
+    """Issues with place, their order in a corpus version: by line, then by rule, then by what they say."""
+    by_rule = F.expr("cast(substr(rule_id, 2) as int)")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy("line", by_rule, "doc_no", "detail")))
+
 
-    A document's issues carry its doc_no and line, so this is an anti-join on those and no range join.
+def structure_rules(docs: DataFrame) -> DataFrame:
+    """Rules of the numbering's description that the title rules don't have; ``docs`` also has target_no.
+
+    S1: a number that an earlier document has. S2: a research note that does not follow what its targets lead to
+    (other children stand between). S3: a note whose targets lead nowhere, or a document without any ancestor.
+    S4: a document that stands behind one that should follow it. W6: gaps among siblings, which is not one of these, as
+    :func:`tree.sibling_gaps`.
+    """
+    first = docs.groupBy(*KEYS, "doc_no").agg(F.min("line").alias("first_line"))
+    again = _issue(docs.join(first, [*KEYS, "doc_no"]).where("line > first_line"), "S1", detail=F.col("first_line").cast("string"))
+    noted = tree.notes(docs).select(*KEYS, "doc_no", "root_no")
+    plain = docs.where("doc_type <> 'Needed Research'").select(*KEYS, F.col("doc_no").alias("root_no"), F.lit(True).alias("there")).distinct()
+    noted = noted.join(plain, [*KEYS, "root_no"], "left").select(*KEYS, "doc_no", F.when(F.col("there"), F.col("root_no")).alias("root_no"))
+    before = tree.attach_positional(docs.select(*KEYS, "doc_no", "doc_type", "line"), "line").select(*KEYS, "doc_no", "line", "parent_no")
+    placed = before.join(noted, [*KEYS, "doc_no"])
+    astray = _issue(placed.where("root_no is not null and (parent_no is null or parent_no <> root_no)"), "S2", detail=F.col("root_no"))
+    lost = _issue(placed.where("root_no is null"), "S3")
+    roots = docs.where("doc_type <> 'Needed Research'").select(*KEYS, "doc_no", "line", numbers.parent_no("doc_no", "doc_type").alias("parent_no")).where("parent_no is not null")
+    known = tree.lineage_keys(docs).join(plain.select(*KEYS, F.col("root_no").alias("ancestor_no")), [*KEYS, "ancestor_no"], "left_semi").select(*KEYS, "doc_no").distinct()
+    alone = _issue(roots.join(known, [*KEYS, "doc_no"], "left_anti"), "S3", detail=F.col("parent_no"))
+    keyed = docs.select(*KEYS, "doc_no", "line").join(tree.emit_keys(docs).dropDuplicates([*KEYS, "doc_no"]), [*KEYS, "doc_no"])
+    furthest = F.max("key").over(Window.partitionBy(*KEYS).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    late = _issue(keyed.withColumn("furthest", furthest).where("key < furthest"), "S4")
+    return reduce(DataFrame.unionByName, [again, astray, lost, alone, late])
+
+
+def suppress(found: DataFrame, docs: DataFrame, uuids: DataFrame, bucket: int = 64) -> DataFrame:
+    """Issues without those in the lines of documents whose uuid is in ``uuids`` (uuid), or on lines that name one.
+
+    A document's lines run from its title to its last row, which has the line after a title too. Spans are spread over
+    buckets of lines, so this is an equi-join with a check.
     """
-    gone = docs.join(uuids.select("uuid").distinct(), "uuid", "left_semi").select(*KEYS, "doc_no", F.col("line").alias("title_line"), F.size("rows").alias("n"))
-    joined = found.join(gone, [*KEYS, "doc_no"], "left")
-    inside = F.coalesce(F.col("line").between(F.col("title_line"), F.col("title_line") + F.col("n")), F.lit(False))
-    return joined.withColumn("inside", inside).groupBy(*found.columns).agg(F.max("inside").alias("inside")).where("not inside").drop("inside")
+    listed = uuids.select("uuid").distinct()
+    span = docs.select(*KEYS, "uuid", F.col("line").alias("from_line"), (F.col("line") + F.size("rows")).alias("to_line"))
+    gone = span.join(listed, "uuid", "left_semi").select(*KEYS, "from_line", "to_line", F.explode(F.sequence(F.expr(f"from_line div {bucket}"), F.expr(f"to_line div {bucket}"))).alias("bucket"))
+    in_span = found.withColumn("bucket", F.expr(f"line div {bucket}")).join(gone, [*KEYS, "bucket"]).where("line between from_line and to_line").select(*KEYS, "line")
+    lines = docs.select(*KEYS, "line", F.posexplode(F.concat(F.array("title"), "rows")).alias("at", "content"))
+    named = lines.select(*KEYS, (F.col("line") + F.col("at")).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(f"({text.UUID})"), F.lit(1))).alias("uuid"))
+    on_line = named.join(listed, "uuid", "left_semi").select(*KEYS, "line")
+    return found.join(in_span.unionByName(on_line).distinct(), [*KEYS, "line"], "left_anti").select(*found.columns)
 
 
 def verdict(found: DataFrame) -> DataFrame:

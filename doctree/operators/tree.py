@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import numbers
+from doctree.operators import order
+from doctree.session import written
 
 KEYS = list(schema.KEYS)
 
@@ -53,14 +55,48 @@ def attach_positional(docs: DataFrame, order: str | Column) -> DataFrame:
     return docs.withColumn("parent_no", target).where(F.col("doc_type") == "Needed Research")
 
 
+def climbed(links: DataFrame) -> DataFrame:
+    """(node, top, steps) of ``links`` (node, up, steps, an array), each node once.
+
+    ``top`` is the first node above that has no link of its own, and ``steps`` are those of all nodes on the way, from the
+    top down. Jumps double, so a chain of a thousand links takes ten joins. A node on a circle or below one has a null
+    top and its own steps.
+    """
+    has = links.select(*KEYS, F.col("node").alias("up"), F.lit(True).alias("more"))
+    state = links.join(has, [*KEYS, "up"], "left").select(*KEYS, "node", "up", "steps", F.coalesce("more", F.lit(False)).alias("more"))
+    state, rounds = written(state, "climb0"), 0
+    largest = state.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while 2**rounds <= largest and not state.where("more").isEmpty():
+        ahead = state.select(*KEYS, F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("before"), F.col("more").alias("further"))
+        moved = state.where("more").join(ahead, [*KEYS, "up"])
+        moved = moved.select(*KEYS, "node", F.col("next").alias("up"), F.concat("before", "steps").alias("steps"), F.col("further").alias("more"))
+        rounds += 1
+        state = written(moved.unionByName(state.where("not more")), f"climb{rounds}")
+    circle = F.slice("steps", -1, 1)
+    return state.select(*KEYS, "node", F.when(~F.col("more"), F.col("up")).alias("top"), F.when(F.col("more"), circle).otherwise(F.col("steps")).alias("steps"))
+
+
+def note_number(doc_no: str = "doc_no") -> Column:
+    return F.regexp_extract(doc_no, r"^NR-(\d+)$", 1).try_cast("bigint")
+
+
+def notes(docs: DataFrame) -> DataFrame:
+    """Research notes with root_no, the number that their targets lead to, and chain, the sort keys of the notes on the way and their own.
+
+    A note on a note leads where that one does; root_no need not exist. Notes that have each other as targets lead nowhere.
+    """
+    own = F.struct(F.lit(-1).alias("k"), F.coalesce(note_number(), F.lit(0).cast("bigint")).alias("n"), F.col("doc_no").alias("s"))
+    some = docs.where(F.col("doc_type") == "Needed Research").groupBy(*KEYS, "doc_no").agg(F.max("target_no").alias("target_no"))
+    found = climbed(some.select(*KEYS, F.col("doc_no").alias("node"), F.col("target_no").alias("up"), F.array(own).alias("steps")))
+    return found.select(*KEYS, F.col("node").alias("doc_no"), F.col("top").alias("root_no"), F.col("steps").alias("chain"))
+
+
 def attach_by_target(docs: DataFrame) -> DataFrame:
     """Research notes with target_uuid, in order of number at their target; a note whose target is missing is an orphan."""
-    notes = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no", "uuid", "target_no")
-    target = docs.where(F.col("doc_type") != "Needed Research").select(*KEYS, F.col("doc_no").alias("target_no"), F.col("uuid").alias("target_uuid"))
-    joined = notes.join(target, [*KEYS, "target_no"], "left")
-    number = F.regexp_extract("doc_no", r"^NR-(\d+)$", 1).try_cast("bigint")
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "target_no").orderBy(number, "doc_no"))
-    return joined.withColumn("nr_ord", rank).withColumn("orphan", F.col("target_uuid").isNull())
+    found = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no", "uuid", "target_no")
+    target = docs.groupBy(*KEYS, F.col("doc_no").alias("target_no")).agg(F.min(F.coalesce("uuid", F.lit(""))).alias("target_uuid"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "target_no").orderBy(note_number(), "doc_no"))
+    return found.join(target, [*KEYS, "target_no"], "left").withColumn("nr_ord", rank).withColumn("orphan", F.col("target_uuid").isNull())
 
 
 def agents(docs: DataFrame, root_name: str = schema.AGENT_ROOT_NAME) -> DataFrame:
@@ -85,21 +121,45 @@ def databases(docs: DataFrame, root_name: str = schema.AGENT_ROOT_NAME) -> DataF
 def edges(docs: DataFrame) -> DataFrame:
     """parent_no, doc_no, collection and sibling order; a pair that no collection takes has a null collection.
 
-    Parents come from numbers, those of research notes from their targets; the nearest existing ancestor
-    stands in where the parent itself is missing.
+    Parents come from numbers: the exact parent, with or without a uuid, or the nearest existing document above it where
+    it is missing. A number without a parent's is a root. Research notes hang on the document that their targets lead to,
+    as notes have no children.
     """
     base = databases(docs)
+    plain = base.where(F.col("doc_type") != "Needed Research")
+    parent = plain.groupBy(*KEYS, F.col("doc_no").alias("parent_no")).agg(F.min("database").alias("parent_database")).withColumn("there", F.lit(True))
     exact = numbers.parent_no("doc_no", "doc_type")
-    plain = base.where(F.col("doc_type") != "Needed Research").withColumn("exact_no", exact)
-    near = nearest_ancestor(docs.where(F.col("doc_type") != "Needed Research")).select(*KEYS, "doc_no", F.col("ancestor_no").alias("parent_no"))
-    by_number = plain.join(near, [*KEYS, "doc_no"]).where(F.col("parent_no").isNotNull())
-    notes = attach_by_target(docs).where(~F.col("orphan")).select(*KEYS, "doc_no", F.col("target_no").alias("parent_no"))
-    by_target = base.where(F.col("doc_type") == "Needed Research").join(notes, [*KEYS, "doc_no"])
-    child = by_number.select(*KEYS, "parent_no", "doc_no", "database").unionByName(by_target.select(*KEYS, "parent_no", "doc_no", "database"))
-    parent = base.select(*KEYS, F.col("doc_no").alias("parent_no"), F.col("database").alias("parent_database"))
-    found = child.join(parent, [*KEYS, "parent_no"]).join(schema.allowed_collections(docs.sparkSession), ["parent_database", "database"], "left")
-    order = Window.partitionBy(*KEYS, "parent_no", "collection").orderBy(sibling_key("doc_no"))
-    return found.withColumn("sibling_ord", F.row_number().over(order)).select(*KEYS, "parent_no", "doc_no", "parent_database", "database", "collection", "collection_ord", "sibling_ord")
+    child = plain.select(*KEYS, "doc_no", "database", exact.alias("parent_no")).where("parent_no is not null").distinct()
+    noted = notes(docs).select(*KEYS, "doc_no", F.lit("Needed Research").alias("database"), F.col("root_no").alias("parent_no"))
+    tried = child.withColumn("note", F.lit(False)).unionByName(noted.withColumn("note", F.lit(True))).join(parent, [*KEYS, "parent_no"], "left")
+    columns = [*KEYS, "parent_no", "doc_no", "parent_database", "database"]
+    there = tried.where("there").select(*columns)
+    # Only what has lost its parent looks further up.
+    up = tried.where("there is null and not note").select(*KEYS, "doc_no", "database", F.posexplode(numbers.prefixes("parent_no")).alias("at", "parent_no"))
+    near = up.join(parent, [*KEYS, "parent_no"]).groupBy(*KEYS, "doc_no", "database").agg(F.max(F.struct("at", "parent_no", "parent_database")).alias("p"))
+    found = there.unionByName(near.select(*KEYS, "p.parent_no", "doc_no", "p.parent_database", "database"))
+    found = found.join(schema.allowed_collections(docs.sparkSession), ["parent_database", "database"], "left")
+    siblings = Window.partitionBy(*KEYS, "parent_no", "collection").orderBy(sibling_key("doc_no"))
+    return found.withColumn("sibling_ord", F.row_number().over(siblings)).select(*columns, "collection", "collection_ord", "sibling_ord")
+
+
+def tree_keys(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_no, root_no, key) of every document; sorting by sibling_key(root_no), root_no, key walks the trees in order of export.
+
+    Children come in order of their collection (research notes first), then of their number. Documents of ``found``'s
+    edges are below their root; all others are roots with an empty key.
+    """
+    step = F.struct(F.coalesce("collection_ord", F.lit(99)).alias("c"), F.col("sibling_ord").alias("o"), F.coalesce("collection", F.lit("unmapped")).alias("collection"))
+    below = climbed(found.select(*KEYS, F.col("doc_no").alias("node"), F.col("parent_no").alias("up"), F.array(step).alias("steps")))
+    own = docs.select(*KEYS, "doc_no").distinct().join(below.withColumnRenamed("node", "doc_no"), [*KEYS, "doc_no"], "left")
+    empty = F.array().cast("array<struct<c:int,o:int,collection:string>>")
+    return own.select(*KEYS, "doc_no", F.coalesce("top", "doc_no").alias("root_no"), F.when(F.col("top").isNotNull(), F.col("steps")).otherwise(empty).alias("key"))
+
+
+def flattened(docs: DataFrame) -> DataFrame:
+    """(doc_no, position) in order of export, from 1."""
+    key = tree_keys(docs, edges(docs)).withColumn("key", F.struct(sibling_key("root_no").alias("r"), "root_no", "key"))
+    return order.placed(key, KEYS, ["key", "doc_no"]).drop("key", "root_no")
 
 
 def sibling_key(doc_no: Column | str) -> Column:
@@ -125,11 +185,27 @@ def child_lists(found: DataFrame) -> DataFrame:
 
 
 def supporting_groups(found: DataFrame) -> DataFrame:
-    """The supporting children of each parent by kind, with label and order; kinds without children have no row."""
+    """The number of supporting children of each parent by kind, with label and order; kinds without children have no row."""
+    return supporting_view(found).groupBy(*KEYS, "parent_no", "collection", "label", "label_ord").agg(F.count("*").alias("n"))
+
+
+def primary_view(found: DataFrame) -> DataFrame:
+    """The edges of navigation, to children in the primary collections, in natural order of their numbers (place)."""
+    natural = Window.partitionBy(*KEYS, "parent_no").orderBy(numbers.natural_key("doc_no").asc_nulls_last(), "doc_no")
+    return found.where(F.col("collection").isin(*schema.PRIMARY_COLLECTIONS)).withColumn("place", F.row_number().over(natural))
+
+
+def supporting_view(found: DataFrame) -> DataFrame:
+    """The edges to supporting documents, with the label of their kind and its order."""
     label = F.create_map(*(F.lit(x) for pair in schema.SUPPORTING_LABELS.items() for x in pair))
-    order = F.array_position(F.array(*(F.lit(c) for c in schema.SUPPORTING_LABELS)), F.col("collection"))
-    some = found.where(F.col("collection").isin(*schema.SUPPORTING_LABELS))
-    return some.groupBy(*KEYS, "parent_no", "collection").agg(F.count("*").alias("n")).withColumn("label", label[F.col("collection")]).withColumn("label_ord", order.cast("int"))
+    place = F.array_position(F.array(*(F.lit(c) for c in schema.SUPPORTING_LABELS)), F.col("collection"))
+    return found.where(F.col("collection").isin(*schema.SUPPORTING_LABELS)).withColumns({"label": label[F.col("collection")], "label_ord": place.cast("int")})
+
+
+def last_wins(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
+    """(key, value) maps in which the last of equal keys, in order of ``place``, counts. Null and empty keys don't."""
+    some = rows.where(F.coalesce(F.col(key).cast("string") != "", F.lit(False)))
+    return some.groupBy(*KEYS, key).agg(F.max_by(value, place).alias(value))
 
 
 def leaves(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -160,39 +236,35 @@ def emit_keys(docs: DataFrame) -> DataFrame:
     """The key of reading order. A document stands before its research notes, and those before what is below it.
 
     Each step of a number is (0 a document, 1 a folder without one, 2 no integer; its value; its text). Notes
-    take their target's key and (-1, number); notes without a target stand last.
+    take the key of what their targets lead to and (-1, number) for each note on the way; notes without a target stand last.
     """
-    plain = docs.where(F.col("doc_type") != "Needed Research").select(*KEYS, "doc_no")
+    plain = docs.where(F.col("doc_type") != "Needed Research").select(*KEYS, "doc_no").distinct()
     steps = plain.select(*KEYS, "doc_no", F.posexplode(numbers.prefixes("doc_no", own=True)).alias("at", "step_no"))
-    there = plain.select(*KEYS, F.col("doc_no").alias("step_no"), F.lit(True).alias("there")).distinct()
+    there = plain.select(*KEYS, F.col("doc_no").alias("step_no"), F.lit(True).alias("there"))
     last = F.element_at(numbers.segments("step_no"), -1)
     digits = last.rlike(r"^\d+$")
     kind = F.when(~digits, 2).when(F.col("there"), 0).otherwise(1)
     step = F.struct("at", F.struct(kind.alias("k"), F.when(digits, last.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("n"), last.alias("s")).alias("step"))
     keys = steps.join(there, [*KEYS, "step_no"], "left").groupBy(*KEYS, "doc_no").agg(F.array_sort(F.collect_list(step)).alias("a")).select(*KEYS, "doc_no", F.col("a.step").alias("key"))
-    number = F.regexp_extract("doc_no", r"^NR-(\d+)$", 1).try_cast("bigint")
-    own = F.array(F.struct(F.lit(-1).alias("k"), F.coalesce(number, F.lit(0).cast("bigint")).alias("n"), F.col("doc_no").alias("s")))
     far = F.array(F.struct(F.lit(9).alias("k"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("s")))
-    notes = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no", "target_no")
-    target = keys.select(*KEYS, F.col("doc_no").alias("target_no"), F.col("key").alias("target_key"))
-    noted = notes.join(target, [*KEYS, "target_no"], "left").select(*KEYS, "doc_no", F.concat(F.coalesce("target_key", far), own).alias("key"))
+    target = keys.select(*KEYS, F.col("doc_no").alias("root_no"), F.col("key").alias("target_key"))
+    noted = notes(docs).join(target, [*KEYS, "root_no"], "left").select(*KEYS, "doc_no", F.concat(F.coalesce("target_key", far), "chain").alias("key"))
     return keys.unionByName(noted)
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(doc_no, position) in reading order, from 1, one window for each corpus version."""
-    order = Window.partitionBy(*KEYS).orderBy("key", "doc_no")
-    return emit_keys(docs).withColumn("position", F.row_number().over(order).cast("long")).drop("key")
+    """(doc_no, position) in reading order, from 1."""
+    return order.placed(emit_keys(docs), KEYS, ["key", "doc_no"]).drop("key")
 
 
 def structural_levels(docs: DataFrame) -> DataFrame:
-    """H4: 1 + existing ancestors, 6 at most; a note is one below its target, or 1 without one."""
+    """H4: 1 + existing ancestors, 6 at most; a note is one below its target, note or not, and 1 without one."""
     plain = docs.where(F.col("doc_type") != "Needed Research")
     n = lineage(plain).groupBy(*KEYS, "doc_no").agg(F.count("*").alias("n"))
     level = plain.select(*KEYS, "doc_no").join(n, [*KEYS, "doc_no"], "left").select(*KEYS, "doc_no", F.least(F.lit(6), 1 + F.coalesce("n", F.lit(0))).cast("int").alias("level"))
-    notes = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no", "target_no")
-    target = level.select(*KEYS, F.col("doc_no").alias("target_no"), F.col("level").alias("t"))
-    return level.unionByName(notes.join(target, [*KEYS, "target_no"], "left").select(*KEYS, "doc_no", F.coalesce(F.least(F.lit(6), F.col("t") + 1), F.lit(1)).cast("int").alias("level")))
+    target = level.select(*KEYS, F.col("doc_no").alias("root_no"), F.col("level").alias("t"))
+    own = F.least(F.lit(6), F.coalesce("t", F.lit(0)) + F.size("chain")).cast("int")
+    return level.unionByName(notes(docs).join(target, [*KEYS, "root_no"], "left").select(*KEYS, "doc_no", own.alias("level")))
 
 
 #: What a type's number puts between its parent's number and its own index, and the index' first value.
@@ -208,8 +280,8 @@ def assign_numbers(docs: DataFrame) -> DataFrame:
     own = parents(docs).select(*KEYS, "doc_no", "doc_type", F.when(F.col("parent_uuid").isNotNull(), F.col("parent_no")).alias("parent_no"))
     family = F.when(F.col("doc_type").isin(*INFIX), F.col("doc_type")).otherwise("primary")
     plain = own.where(F.col("doc_type") != "Needed Research").withColumn("family", family)
-    order = Window.partitionBy(*KEYS, "parent_no", "family").orderBy(sibling_key("doc_no"))
-    plain = plain.withColumn("index", F.row_number().over(order) - F.when(F.col("parent_no").isNull(), 1).otherwise(0))
+    siblings = Window.partitionBy(*KEYS, "parent_no", "family").orderBy(sibling_key("doc_no"))
+    plain = plain.withColumn("index", F.row_number().over(siblings) - F.when(F.col("parent_no").isNull(), 1).otherwise(0))
     infix = F.create_map(*(F.lit(x) for pair in INFIX.items() for x in pair))
     tail = F.concat(F.coalesce(infix[F.col("family")], F.lit(".")), F.col("index").cast("string"))
     plain = plain.withColumn("tail", tail).select(*KEYS, "doc_no", "parent_no", "tail")
@@ -219,9 +291,9 @@ def assign_numbers(docs: DataFrame) -> DataFrame:
     mine = plain.select(*KEYS, "doc_no", F.lit(0).alias("distance"), "tail")
     tails = above.select(*KEYS, "doc_no", "distance", "tail").unionByName(mine).groupBy(*KEYS, "doc_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "tail"))).alias("t"))
     numbered = tails.select(*KEYS, "doc_no", F.concat(F.lit("A"), F.array_join("t.tail", "")).alias("new_no"))
-    notes = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no")
+    noted = docs.where(F.col("doc_type") == "Needed Research").select(*KEYS, "doc_no")
     running = F.row_number().over(Window.partitionBy(*KEYS).orderBy(sibling_key("doc_no")))
-    return numbered.unionByName(notes.select(*KEYS, "doc_no", F.concat(F.lit("NR-"), running.cast("string")).alias("new_no")))
+    return numbered.unionByName(noted.select(*KEYS, "doc_no", F.concat(F.lit("NR-"), running.cast("string")).alias("new_no")))
 
 
 def sibling_gaps(docs: DataFrame) -> DataFrame:
@@ -229,6 +301,6 @@ def sibling_gaps(docs: DataFrame) -> DataFrame:
     own = docs.where(F.col("doc_type") != "Needed Research").select(*KEYS, "doc_no", "doc_type", numbers.parent_no("doc_no", "doc_type").alias("parent_no"))
     family = F.when(F.col("doc_type").isin(*INFIX), F.col("doc_type")).otherwise("primary")
     n = F.regexp_extract("doc_no", r"(\d+)$", 1).try_cast("bigint")
-    order = Window.partitionBy(*KEYS, "parent_no", "family").orderBy("n", "doc_no")
-    own = own.withColumn("family", family).withColumn("n", n).withColumn("before", F.coalesce(F.lag("n").over(order), F.when(F.col("doc_type") == "Scope", F.lit(-1)).otherwise(F.lit(0)).cast("bigint")))
+    siblings = Window.partitionBy(*KEYS, "parent_no", "family").orderBy("n", "doc_no")
+    own = own.withColumn("family", family).withColumn("n", n).withColumn("before", F.coalesce(F.lag("n").over(siblings), F.when(F.col("doc_type") == "Scope", F.lit(-1)).otherwise(F.lit(0)).cast("bigint")))
     return own.where(F.col("n") != F.col("before") + 1).select(*KEYS, "doc_no", "n", "before")

@@ -1,9 +1,10 @@
 """Numbered corpora derived from the star-schema tables, in SQL that Spark and DuckDB both run.
 
-Each region is a corpus. Its nations are articles, customers sections, orders cores (of three types), and
-lineitems annotations and tenets, some with a scenario and a variation; error events are research notes on
-the section of their user. Two versions exist: ``base``, and ``head`` with edits, deletions, insertions and
-sections that moved to other numbers together with what is below them. ``dirty`` is base with faults.
+Each customer is a corpus, so corpora grow in number with the tables, not in size. The states of its orders are scopes, their
+priorities articles, orders sections; lineitems are cores (of three types), annotations, and tenets with a scenario and
+some with a variation; its events have a scope of their own, and error events are research notes on one of its orders, or
+on the note before. Two versions exist: ``base``, and ``head`` with edits, deletions, insertions and sections that moved
+to other numbers together with what is below them. ``dirty`` is base with faults.
 """
 
 from __future__ import annotations
@@ -14,60 +15,70 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doctree.session import written
 
-TABLES = ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "part")
+TABLES = ("customer", "orders", "lineitem", "events", "documents", "part")
 
 # {bump}: what is added to a section's last number.
 _DOCS = """
-nat AS (
-  SELECT n.n_nationkey, r.r_name AS corpus_id, n.n_name AS name,
-    'A.' || CAST(r.r_regionkey AS STRING) || '.' || CAST(row_number() OVER (PARTITION BY n.n_regionkey ORDER BY n.n_nationkey) AS STRING) AS doc_no
-  FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey),
+ord AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, c.c_name AS corpus_id, o_orderkey % (SELECT count(*) FROM {documents}) AS text_id,
+    dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS s, dense_rank() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderpriority) AS a,
+    row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) + {bump} AS n,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k_of, count(*) OVER (PARTITION BY o_custkey) AS n_of
+  FROM {orders} JOIN {customer} c ON o_custkey = c.c_custkey),
 sec AS (
-  SELECT c.c_custkey, nat.corpus_id, CASE WHEN c.c_custkey % 10 = 0 THEN 'List Of Prime Agent Artifacts' ELSE c.c_name END AS name,
-    nat.doc_no || '.' || CAST(row_number() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_custkey) + {bump} AS STRING) AS doc_no,
-    md5('customer' || CAST(c.c_custkey AS STRING)) AS m, c.c_custkey % (SELECT count(*) FROM {documents}) AS text_id
-  FROM {customer} c JOIN nat ON c.c_nationkey = nat.n_nationkey),
-core AS (
-  SELECT o.o_orderkey, sec.corpus_id, o.o_orderstatus, o.o_orderpriority, sec.doc_no AS section_no, sec.name AS section_name, sec.m AS section_m,
-    sec.doc_no || '.' || CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) AS STRING) AS doc_no
-  FROM {orders} o JOIN sec ON o.o_custkey = sec.c_custkey),
+  SELECT corpus_id, o_orderkey, o_custkey, o_orderstatus, o_orderpriority, text_id, k_of, n_of, s, a,
+    'A.' || CAST(s AS STRING) || '.' || CAST(a AS STRING) || '.' || CAST(n AS STRING) AS doc_no, md5('orders' || CAST(o_orderkey AS STRING)) AS m,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'List Of Prime Agent Artifacts' ELSE 'Order ' || CAST(o_orderkey AS STRING) END AS name
+  FROM ord),
 ln AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) AS qty,
     row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate) AS n
-  FROM {lineitem} WHERE l_returnflag IN ('R', 'A')),
+  FROM {lineitem}),
 sup AS (
-  SELECT core.corpus_id, core.doc_no || CASE WHEN l_returnflag = 'R' THEN '.0.3.' ELSE '.0.4.' END || CAST(n AS STRING) AS doc_no, ln.*
-  FROM ln JOIN core ON ln.l_orderkey = core.o_orderkey),
+  SELECT sec.corpus_id, sec.doc_no AS section_no, sec.name AS section_name, sec.m AS section_m, l_returnflag || CAST(l_orderkey AS STRING) || '/' || CAST(n AS STRING) AS id,
+    sec.doc_no || CASE l_returnflag WHEN 'R' THEN '.0.3.' WHEN 'A' THEN '.0.4.' ELSE '.' END || CAST(n AS STRING) AS doc_no,
+    CASE l_returnflag WHEN 'R' THEN 'Annotation' WHEN 'A' THEN 'Action Tenet' ELSE CASE l_linenumber % 4 WHEN 0 THEN 'Type Specification' WHEN 1 THEN 'Active Data Controller' ELSE 'Core' END END AS doc_type, ln.*
+  FROM ln JOIN sec ON ln.l_orderkey = sec.o_orderkey),
+ev AS (
+  SELECT c.c_name AS corpus_id, e.event_id, e.event_type, e.user_id, e.props, 0 AS s, dense_rank() OVER (PARTITION BY e.user_id ORDER BY e.event_type) AS a,
+    row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.event_id) AS n, lag(e.event_id) OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.event_id) AS before
+  FROM {events} e JOIN {customer} c ON e.user_id = c.c_custkey),
 raw AS (
-  SELECT r_name AS corpus_id, 'A.' || CAST(r_regionkey AS STRING) AS doc_no, 'Scope' AS doc_type, r_name AS name, md5('region' || CAST(r_regionkey AS STRING)) AS m,
-    CAST(NULL AS STRING) AS target_no, 'All documents of ' || r_name || '.' AS body, CAST(-1 AS BIGINT) AS k FROM {region}
+  SELECT DISTINCT corpus_id, 'A.' || CAST(s AS STRING) AS doc_no, 'Scope' AS doc_type, 'Orders in state ' || o_orderstatus AS name, md5('scope' || o_orderstatus || CAST(o_custkey AS STRING)) AS m,
+    CAST(NULL AS STRING) AS target_no, 'All orders in state ' || o_orderstatus || '.' AS body, CAST(-1 AS BIGINT) AS k FROM sec
   UNION ALL
-  SELECT corpus_id, doc_no, 'Article', name, md5('nation' || CAST(n_nationkey AS STRING)), NULL, 'Rules for ' || name || '.', CAST(-1 AS BIGINT) FROM nat
+  SELECT DISTINCT corpus_id, 'A.' || CAST(s AS STRING), 'Scope', 'Activity', md5('activity' || CAST(user_id AS STRING)), NULL, 'What was done.', CAST(-1 AS BIGINT) FROM ev WHERE event_type <> 'error'
   UNION ALL
-  SELECT sec.corpus_id, sec.doc_no, 'Section', sec.name, sec.m, NULL, d.text, CAST(sec.c_custkey AS BIGINT) FROM sec LEFT JOIN {documents} d ON sec.text_id = d.doc_id
+  SELECT DISTINCT corpus_id, 'A.' || CAST(s AS STRING) || '.' || CAST(a AS STRING), 'Article', 'Priority ' || o_orderpriority, md5('article' || o_orderstatus || o_orderpriority || CAST(o_custkey AS STRING)),
+    NULL, 'Rules for ' || o_orderpriority || '.', CAST(-1 AS BIGINT) FROM sec
   UNION ALL
-  SELECT corpus_id, doc_no, CASE o_orderpriority WHEN '1-URGENT' THEN 'Type Specification' WHEN '2-HIGH' THEN 'Active Data Controller' ELSE 'Core' END,
-    'Order ' || CAST(o_orderkey AS STRING), md5('orders' || CAST(o_orderkey AS STRING)), NULL,
-    'Status ' || o_orderstatus || ', part of [' || section_no || ' - ' || section_name || '](' || {uuid_section} || ').' || chr(10) || chr(10) ||
-      CASE WHEN o_orderpriority = '1-URGENT' THEN '**Components**:' || chr(10) || chr(10) || 'Order lines' || chr(10) || chr(10) || '**Type Name**:' || chr(10) || chr(10) || 'Order'
-        ELSE 'Costs $5 or $x + y$, see [source](https://example.org/' || CAST(o_orderkey AS STRING) || ').' END, CAST(o_orderkey AS BIGINT) FROM core
+  SELECT DISTINCT corpus_id, 'A.' || CAST(s AS STRING) || '.' || CAST(a AS STRING), 'Article', 'Kind ' || event_type, md5('kind' || event_type || CAST(user_id AS STRING)), NULL, 'Events of kind ' || event_type || '.', CAST(-1 AS BIGINT)
+    FROM ev WHERE event_type <> 'error'
   UNION ALL
-  SELECT corpus_id, doc_no || '.0.6.1', 'Active Data', 'Data of order ' || CAST(o_orderkey AS STRING), md5('data' || CAST(o_orderkey AS STRING)), NULL, 'Priority ' || o_orderpriority, CAST(o_orderkey + 1 AS BIGINT)
-    FROM core WHERE o_orderpriority = '2-HIGH'
+  SELECT sec.corpus_id, sec.doc_no, 'Section', sec.name, sec.m, NULL, d.text, CAST(sec.o_orderkey AS BIGINT) FROM sec LEFT JOIN {documents} d ON sec.text_id = d.doc_id
   UNION ALL
-  SELECT corpus_id, doc_no, CASE l_returnflag WHEN 'R' THEN 'Annotation' ELSE 'Action Tenet' END, 'Line ' || CAST(n AS STRING),
-    md5('line' || l_returnflag || CAST(l_orderkey AS STRING) || '/' || CAST(n AS STRING)), NULL, 'Ships ' || CAST(qty AS STRING) || ' of part ' || CAST(l_partkey AS STRING) || '.', CAST(l_orderkey + n AS BIGINT) FROM sup
+  SELECT corpus_id, 'A.' || CAST(s AS STRING) || '.' || CAST(a AS STRING) || '.' || CAST(n AS STRING), 'Section', 'Event ' || CAST(event_id AS STRING), md5('event' || CAST(event_id AS STRING)), NULL, props, CAST(event_id AS BIGINT)
+    FROM ev WHERE event_type <> 'error'
   UNION ALL
-  SELECT corpus_id, doc_no || '.1.1', 'Scenario', 'Scenario of line ' || CAST(n AS STRING), md5('scenario' || CAST(l_orderkey AS STRING) || '/' || CAST(n AS STRING)), NULL,
+  SELECT corpus_id, doc_no, doc_type, 'Line ' || id, md5('line' || id), NULL,
+    CASE doc_type WHEN 'Type Specification' THEN 'Part ' || CAST(l_partkey AS STRING) || ' of [' || section_no || ' - ' || section_name || '](' || {uuid_section} || ').' || chr(10) || chr(10) ||
+        '**Components**:' || chr(10) || chr(10) || 'Order lines' || chr(10) || chr(10) || '**Type Name**:' || chr(10) || chr(10) || 'Order'
+      WHEN 'Annotation' THEN 'Ships ' || CAST(qty AS STRING) || ' of part ' || CAST(l_partkey AS STRING) || '.' WHEN 'Action Tenet' THEN 'Supplier ' || CAST(l_suppkey AS STRING) || ' sends “' || CAST(qty AS STRING) || '”.'
+      ELSE 'Part of [' || section_no || ' - ' || section_name || '](' || {uuid_section} || ').' || chr(10) || chr(10) || '• Costs $5 or $x + y$, see [source](https://example.org/' || CAST(l_partkey AS STRING) || ').' END,
+    CAST(l_orderkey + n AS BIGINT) FROM sup
+  UNION ALL
+  SELECT corpus_id, doc_no || '.0.6.1', 'Active Data', 'Data of line ' || id, md5('data' || id), NULL, 'Quantity ' || CAST(qty AS STRING), CAST(l_orderkey + n + 1 AS BIGINT) FROM sup WHERE doc_type = 'Active Data Controller'
+  UNION ALL
+  SELECT corpus_id, doc_no || '.1.1', 'Scenario', 'Scenario of line ' || id, md5('scenario' || id), NULL,
     'Late.' || chr(10) || chr(10) || '**Description**:' || chr(10) || chr(10) || 'Part ' || CAST(l_partkey AS STRING) || chr(10) || chr(10) || '**Finding**:' || chr(10) || chr(10) || '**Additional Guidance**:' || chr(10) || chr(10) || 'None.',
-    CAST(l_orderkey + n + 2 AS BIGINT) FROM sup WHERE l_returnflag = 'A' AND l_linenumber % 5 = 0
+    CAST(l_orderkey + n + 2 AS BIGINT) FROM sup WHERE doc_type = 'Action Tenet'
   UNION ALL
-  SELECT corpus_id, doc_no || '.1.1.var1', 'Scenario Variation', 'Variation of line ' || CAST(n AS STRING), md5('variation' || CAST(l_orderkey AS STRING) || '/' || CAST(n AS STRING)), NULL, 'Very late.',
-    CAST(l_orderkey + n + 3 AS BIGINT) FROM sup WHERE l_returnflag = 'A' AND l_linenumber % 5 = 0
+  SELECT corpus_id, doc_no || '.1.1.var1', 'Scenario Variation', 'Variation of line ' || id, md5('variation' || id), NULL, 'Very late.', CAST(l_orderkey + n + 3 AS BIGINT) FROM sup WHERE doc_type = 'Action Tenet' AND l_linestatus = 'F'
   UNION ALL
-  SELECT sec.corpus_id, 'NR-' || CAST(e.event_id AS STRING), 'Needed Research', 'Error ' || CAST(e.event_id AS STRING), md5('event' || CAST(e.event_id AS STRING)), sec.doc_no,
-    'What failed?' || chr(10) || chr(10) || '**Content**:' || chr(10) || chr(10) || 'Event ' || CAST(e.event_id AS STRING), CAST(e.event_id AS BIGINT)
-    FROM {events} e JOIN sec ON e.user_id = sec.c_custkey WHERE e.event_type = 'error')"""
+  SELECT ev.corpus_id, 'NR-' || CAST(ev.event_id AS STRING), 'Needed Research', 'Error ' || CAST(ev.event_id AS STRING), md5('event' || CAST(ev.event_id AS STRING)),
+    CASE WHEN ev.event_id % 4 = 0 AND ev.before IS NOT NULL THEN 'NR-' || CAST(ev.before AS STRING) ELSE sec.doc_no END,
+    'What failed?' || chr(10) || chr(10) || '**Content**:' || chr(10) || chr(10) || 'Event ' || CAST(ev.event_id AS STRING), CAST(ev.event_id AS BIGINT)
+    FROM ev LEFT JOIN sec ON ev.user_id = sec.o_custkey AND ev.event_id % sec.n_of = sec.k_of WHERE ev.event_type = 'error')"""
 
 
 def _uuid(m: str) -> str:
@@ -81,7 +92,7 @@ _SELECT = {
     CASE WHEN k >= 0 AND k % 11 = 0 THEN body || chr(10) || 'Edited.' ELSE body END AS body, k FROM raw WHERE k < 0 OR k % 7 <> 0
   UNION ALL
   SELECT sec.corpus_id, 'head', sec.doc_no || '.' || CAST(9000 + p.p_partkey AS STRING), 'Core', p.p_name, {_uuid("md5('part' || CAST(p.p_partkey AS STRING))")}, NULL, 'Brand ' || p.p_brand || '.', CAST(p.p_partkey AS BIGINT)
-    FROM {{part}} p JOIN sec ON p.p_partkey = sec.c_custkey)""",
+    FROM {{part}} p JOIN sec ON p.p_partkey = sec.o_orderkey)""",
     "dirty": f""", docs AS (
   SELECT corpus_id, 'dirty' AS version_id, CASE WHEN k >= 0 AND k % 37 = 0 AND doc_type = 'Annotation' THEN doc_no || '.9' WHEN k >= 0 AND k % 41 = 0 AND doc_type = 'Core' THEN doc_no || '.0.5' ELSE doc_no END AS doc_no,
     CASE WHEN k >= 0 AND k % 29 = 0 THEN 'Chapter' WHEN k >= 0 AND k % 67 = 0 AND doc_type = 'Core' THEN 'Article' ELSE doc_type END AS doc_type, name,
@@ -91,14 +102,14 @@ _SELECT = {
 
 
 def _text(version: str, uuid_section: str) -> str:
-    bump = "CASE WHEN c.c_custkey % 17 = 0 THEN 1000 ELSE 0 END" if version == "head" else "0"
+    bump = "CASE WHEN o_orderkey % 17 = 0 THEN 1000 ELSE 0 END" if version == "head" else "0"
     return (_DOCS + _SELECT[version]).replace("{bump}", bump).replace("{uuid_section}", uuid_section)
 
 
 def corpus_sql(version: str = "base", as_name: str = "docs") -> str:
     """The common table expressions of a version, for DuckDB: a WITH list that ends with ``as_name``."""
     inner = _text(version, _uuid("section_m")).format(**{t: t for t in TABLES})
-    return f"{as_name} AS (WITH {inner.strip()} SELECT * FROM docs)"
+    return f"{as_name} AS MATERIALIZED (WITH {inner.strip()} SELECT * FROM docs)"
 
 
 _derived: dict[tuple[str, str, str], DataFrame] = {}
@@ -124,4 +135,9 @@ def _derive(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
 
 @cache
 def with_docs(version: str = "base") -> str:
-    return "WITH " + corpus_sql(version)
+    return "WITH RECURSIVE " + corpus_sql(version)
+
+
+def with_every(version: str = "base", where: str = "true") -> str:
+    """``docs`` in DuckDB as those documents of a version that ``where`` keeps."""
+    return f"WITH RECURSIVE {corpus_sql(version, 'every')}, docs AS MATERIALIZED (SELECT * FROM every WHERE {where})"

@@ -30,7 +30,7 @@ def versions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _NORM = r"regexp_replace(replace({}, chr(160), ' '), '\[([A-Z][\d.]+)\s*-\s*([^\]]+?)\]\(([^)]+)\)', '[\2](\3)', 'g')"
-_BOTH = f"""WITH {corpus_sql('base', 'base')}, {corpus_sql('head', 'head')},
+_BOTH = f"""WITH RECURSIVE {corpus_sql('base', 'base')}, {corpus_sql('head', 'head')},
 ch AS (SELECT coalesce(b.corpus_id, h.corpus_id) AS corpus_id, coalesce(b.uuid, h.uuid) AS uuid, b.doc_no AS bn, h.doc_no AS hn, b.name AS b_name, h.name AS h_name, b.body AS b_body, h.body AS h_body,
   CASE WHEN h.doc_no IS NULL THEN 'Deleted' WHEN b.doc_no IS NULL THEN 'Inserted' WHEN b.body IS NOT DISTINCT FROM h.body AND b.name = h.name THEN CASE WHEN b.doc_no = h.doc_no THEN 'same' ELSE 'number_only' END
     WHEN {_NORM.format('b.body')} IS NOT DISTINCT FROM {_NORM.format('h.body')} AND b.name = h.name THEN 'xref_only' ELSE 'substantive' END AS change
@@ -160,13 +160,13 @@ def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.fine_diff(found.unionByName(names), "token")
 
 
-_DIFFS = "SELECT r_name AS corpus_id, '@@ -' || event_id || ' +' || (event_id * 7 + 1) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',' || (event_id % 3 - 1) * 4 END || ' @@ text' AS h, event_id FROM events JOIN region ON r_regionkey = event_id % 5 WHERE event_type = 'error'"
-_RANGES = rf"rg AS (SELECT corpus_id, event_id * 7 AS first, event_id * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE (event_id % 3 - 1) * 4 END AS after FROM ({_DIFFS}) WHERE event_id % 3 <> 1)"
+_DIFFS = "SELECT c_name AS corpus_id, '@@ -' || event_id || ' +' || (event_id % 50 * 7 + 1) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',' || (event_id % 3 - 1) * 4 END || ' @@ text' AS h, event_id FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'"
+_RANGES = rf"rg AS (SELECT corpus_id, event_id % 50 * 7 AS first, event_id % 50 * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE (event_id % 3 - 1) * 4 END AS after FROM ({_DIFFS}) WHERE event_id % 3 <> 1)"
 
 
 def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "region"))
-    found = spark.sql(_DIFFS.replace("events", "{events}").replace("region ", "{region} "), events=events, region=region)
+    events, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer"))
+    found = spark.sql(_DIFFS.replace("events", "{events}").replace("customer ", "{customer} "), events=events, customer=customer)
     text = found.groupBy("corpus_id", F.expr("event_id div 100").alias("part")).agg(F.array_join(F.array_sort(F.collect_list("h")), "\n").alias("diff"))
     return diff.hunks(text).drop("part")
 
@@ -189,3 +189,24 @@ SELECT x.corpus_id, x.doc_no, x.href FROM x ANTI JOIN docs t ON t.corpus_id = x.
 def xref_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of head to documents that it lost."""
     return search.unresolved_links(corpus(spark, sf_dir, "head")).select("corpus_id", "doc_no", "href")
+
+
+@query(rf"""{_BOTH}, x AS (SELECT corpus_id, doc_no, unnest(regexp_extract_all(body, '\[([^\]]+)\]\(([^)]+)\)', 2)) AS href FROM head),
+hit AS (SELECT x.*, t.doc_no AS target_no FROM x LEFT JOIN head t ON t.corpus_id = x.corpus_id AND t.uuid = x.href WHERE regexp_matches(href, '^[0-9a-f]{{8}}-'))
+SELECT corpus_id, doc_no, href, target_no, EXISTS (SELECT 1 FROM ins WHERE ins.corpus_id = hit.corpus_id AND ins.doc_no = hit.target_no) AS inside FROM hit""")
+def xref_scope_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of head by whether their target is in a scope of the edit."""
+    v = versions(spark, sf_dir)
+    found = search.resolved_links(v["head"]).where("kind = 'uuid'")
+    inside = diff.in_scopes(v["head"].select("corpus_id", "version_id", "doc_no"), v["scopes"])
+    return search.scope_class(found, inside).select("corpus_id", "doc_no", "href", "target_no", "inside")
+
+
+_TEXT = lambda v: f"{with_docs(v)}, {sql.BLOCKS} SELECT corpus_id, string_agg(block, chr(10) ORDER BY position) AS text FROM block GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE t AS ({_TEXT('base')}), h AS ({_TEXT('head')}) SELECT t.corpus_id, t.text = h.text AS equal FROM t JOIN h USING (corpus_id)""")
+def texts_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of base and head; those that no edit touched are equal."""
+    text = lambda v: monolith.write(corpus(spark, sf_dir, v)).withColumn("version_id", F.lit("any"))
+    return diff.roundtrip(text("base"), text("head")).select("corpus_id", "equal")

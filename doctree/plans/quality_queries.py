@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import text
-from doctree.operators import quality, tree
+from doctree.operators import order, quality, tree
 from doctree.plans import sql
-from doctree.plans.corpus import corpus, with_docs
+from doctree.plans.corpus import corpus, corpus_sql, with_docs
 from doctree.plans.registry import query
 from doctree.session import written
 from doctree.sources import monolith
@@ -34,17 +34,20 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(fault(61), F.replace(title, F.lit("  <!--"), F.lit(" <!--"))).otherwise(title)
     blank = F.when(fault(53), "").when(fault(59), "\n\n").otherwise("\n")
     rows = F.split(F.concat(blank, F.coalesce("body", F.lit("")), F.lit("\n")), "\n")
-    found = found.select(*KEYS, "doc_no", "doc_type", "name", "uuid", "key", level.alias("level"), title.alias("title"), rows.alias("rows"))
-    upto = F.sum(1 + F.size("rows")).over(Window.partitionBy(*KEYS).orderBy("key", "doc_no", "uuid"))
-    _parsed[key] = written(found.withColumn("line", upto - F.size("rows")).drop("key"), "parsed")
+    found = found.select(*KEYS, "doc_no", "doc_type", "name", "uuid", "target_no", "key", level.alias("level"), title.alias("title"), rows.alias("rows"))
+    found = written(found, "titled")
+    # Lines are counted over keys and sizes only; bodies are joined again.
+    ends = order.running(found.select(*KEYS, "doc_no", "uuid", "key", (1 + F.size("rows")).alias("n")), KEYS, ["key", "doc_no", "uuid"], "n", "end")
+    lines = ends.select(*KEYS, "doc_no", "uuid", (F.col("end") - F.col("n") + 1).alias("line"))
+    _parsed[key] = written(found.drop("key").join(lines, [*KEYS, "doc_no", "uuid"]), "parsed")
     return _parsed[key]
 
 
-_PARSED = f"""{with_docs('dirty')}, {sql.LEV.replace("FROM docs WHERE doc_type", "FROM docs WHERE doc_type")}, {sql.EMIT.replace("p[i] AS s", "p[i] AS s")},
+_PARSED = f"""{with_docs('dirty')}, {sql.LEV}, {sql.EMIT_KEYS},
 one AS (SELECT DISTINCT ON ({K}, doc_no) {K}, doc_no, key FROM akey),
-par0 AS (SELECT {', '.join('lev.' + c for c in (*KEYS, 'doc_no', 'doc_type', 'name', 'uuid'))}, one.key, level + CASE WHEN k >= 0 AND k % 31 = 0 THEN 1 ELSE 0 END AS level, k,
+par0 AS (SELECT {', '.join('lev.' + c for c in (*KEYS, 'doc_no', 'doc_type', 'name', 'uuid', 'target_no'))}, one.key, level + CASE WHEN k >= 0 AND k % 31 = 0 THEN 1 ELSE 0 END AS level, k,
   string_split(CASE WHEN k >= 0 AND k % 53 = 0 THEN '' WHEN k >= 0 AND k % 59 = 0 THEN chr(10) || chr(10) ELSE chr(10) END || coalesce(body, '') || chr(10), chr(10)) AS rows FROM lev JOIN one USING ({K}, doc_no)),
-par AS (SELECT *, CAST(sum(1 + len(rows)) OVER (PARTITION BY {K} ORDER BY key, doc_no, uuid) - len(rows) AS BIGINT) AS line FROM par0),
+par AS MATERIALIZED (SELECT *, CAST(sum(1 + len(rows)) OVER (PARTITION BY {K} ORDER BY key, doc_no, uuid) - len(rows) AS BIGINT) AS line FROM par0),
 good AS (SELECT * FROM par WHERE NOT (k >= 0 AND k % 61 = 0))"""
 _OUT = ["corpus_id", "rule_id", "line", "doc_no", "detail"]
 _KNOWN = "(" + ", ".join(f"'{t}'" for t in schema.TYPE_DATABASE) + ")"
@@ -85,15 +88,19 @@ def _rule(name: str):
     return query(f"{_PARSED} {_SQL[name]}")
 
 
+def _rows(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
+    return quality.row_rules(parsed(spark, sf_dir)).where(F.col("rule_id").isin(*rules)).select(*_OUT)
+
+
 @_rule("issues_title")
 def issues_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.bad_titles(parsed(spark, sf_dir)).select(*_OUT)
+    return _rows(spark, sf_dir, "V1")
 
 
 @_rule("issues_level")
 def issues_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = quality.titles(parsed(spark, sf_dir))
-    return quality.type_rules(good).unionByName(quality.level_rule(good)).select(*_OUT)
+    notes = quality.note_levels(quality.titles(parsed(spark, sf_dir)))
+    return _rows(spark, sf_dir, "V2", "V3", "V4").unionByName(notes.select(*_OUT))
 
 
 @_rule("issues_parent")
@@ -108,22 +115,22 @@ def issues_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_rule("issues_blank")
 def issues_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.blank_rules(quality.titles(parsed(spark, sf_dir))).select(*_OUT)
+    return _rows(spark, sf_dir, "V6", "V7")
 
 
 @_rule("issues_extras")
 def issues_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.extra_rules(quality.titles(parsed(spark, sf_dir))).select(*_OUT)
+    return _rows(spark, sf_dir, "V8", "V9", "V10", "V11")
 
 
 @_rule("issues_number")
 def issues_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.number_rules(quality.titles(parsed(spark, sf_dir))).select(*_OUT)
+    return _rows(spark, sf_dir, *(f"V{k}" for k in range(12, 20)))
 
 
 @_rule("issues_uuid")
 def issues_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.uuid_rules(quality.titles(parsed(spark, sf_dir))).select(*_OUT)
+    return _rows(spark, sf_dir, "V21", "V22").unionByName(quality.repeated_uuids(quality.titles(parsed(spark, sf_dir))).select(*_OUT))
 
 
 @query(f"{_PARSED}, every AS ({_ALL}) SELECT corpus_id, rule_id, count(*) AS n, CASE WHEN rule_id = 'V21' THEN 'warning' ELSE 'error' END AS severity, min(line) AS first_line FROM every GROUP BY 1, 2")
@@ -137,8 +144,12 @@ def issue_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdict(quality.issues(parsed(spark, sf_dir))).select("corpus_id", "errors", "warnings", "passed")
 
 
-@query(f"""{_PARSED}, every AS ({_ALL}), sup AS (SELECT corpus_id, doc_no, line AS t, len(rows) AS n FROM par WHERE uuid IN (SELECT uuid FROM docs WHERE doc_type = 'Section'))
-SELECT corpus_id, rule_id, count(*) AS n FROM every e WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.corpus_id = e.corpus_id AND sup.doc_no = e.doc_no AND e.line BETWEEN t AND t + n) GROUP BY 1, 2""")
+@query(f"""{_PARSED}, every AS ({_ALL}), sup AS (SELECT corpus_id, doc_no, line AS t, len(rows) AS n FROM par WHERE uuid IN (SELECT uuid FROM docs WHERE doc_type = 'Section')),
+named AS (
+  SELECT DISTINCT corpus_id, line FROM (SELECT corpus_id, line + i AS line, unnest(regexp_extract_all(x, '[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')) AS u FROM (SELECT corpus_id, line, unnest(rows) AS x, generate_subscripts(rows, 1) AS i FROM par))
+  WHERE u IN (SELECT uuid FROM docs WHERE doc_type = 'Section'))
+SELECT corpus_id, rule_id, count(*) AS n FROM every e WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.corpus_id = e.corpus_id AND e.line BETWEEN t AND t + n)
+  AND NOT EXISTS (SELECT 1 FROM named WHERE named.corpus_id = e.corpus_id AND named.line = e.line) GROUP BY 1, 2""")
 def issues_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12, V24, with the sections' uuids as the list to suppress."""
     docs = parsed(spark, sf_dir)
@@ -146,6 +157,36 @@ def issues_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.suppress(quality.issues(docs), docs, uuids).groupBy("corpus_id", "rule_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""{_PARSED}, every AS ({_ALL}) SELECT corpus_id, rule_id, line, doc_no, detail, row_number() OVER (PARTITION BY corpus_id ORDER BY line, CAST(substr(rule_id, 2) AS INTEGER), doc_no, detail) AS place FROM every""")
+def issues_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6."""
+    return quality.ordered(quality.issues(parsed(spark, sf_dir))).select(*_OUT, "place")
+
+
+#: Parsed documents of which some are gone, some have another's number, and some stand at the end.
+_GONE = "doc_type = 'Scope' OR (doc_type = 'Article' AND length(name) % 2 = 0) OR (doc_type = 'Section' AND line % 13 = 0)"
+_NUMBER = "CASE WHEN doc_type = 'Annotation' AND line % 50 = 0 THEN regexp_replace(doc_no, '[.]0[.]3[.][0-9]+$', '') ELSE doc_no END"
+_LINE = "CASE WHEN doc_type IN ('Needed Research', 'Core') AND line % 3 = 0 THEN line + 100000 ELSE line END"
+
+
+@query(f"""WITH RECURSIVE pd AS MATERIALIZED ({_PARSED} SELECT * FROM par),
+docs AS MATERIALIZED (SELECT {K}, {_NUMBER} AS doc_no, doc_type, target_no, {_LINE} AS line FROM pd WHERE NOT ({_GONE})), {sql.EMIT},
+noted AS (SELECT c.corpus_id, c.doc_no, p.doc_no AS root_no FROM chain c LEFT JOIN (SELECT DISTINCT corpus_id, doc_no FROM plain) p ON p.corpus_id = c.corpus_id AND p.doc_no = c.root_no),
+pp AS (SELECT corpus_id, doc_no, line, last_value(CASE WHEN doc_type <> 'Needed Research' THEN doc_no END IGNORE NULLS) OVER (PARTITION BY corpus_id ORDER BY line) AS parent_no, doc_type FROM docs),
+pn AS (SELECT pp.*, root_no FROM pp JOIN noted USING (corpus_id, doc_no) WHERE doc_type = 'Needed Research'),
+asked AS (SELECT corpus_id, doc_no, line, {sql.PARENT} AS parent_no FROM docs WHERE doc_type <> 'Needed Research'),
+placed AS (SELECT d.corpus_id, d.doc_no, line, key, max(key) OVER (PARTITION BY d.corpus_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM docs d JOIN (SELECT DISTINCT * FROM akey) a USING ({K}, doc_no))
+SELECT corpus_id, 'S1' AS rule_id, line, doc_no, CAST(f AS VARCHAR) AS detail FROM (SELECT *, min(line) OVER (PARTITION BY corpus_id, doc_no) AS f FROM docs) WHERE line > f
+UNION ALL SELECT corpus_id, 'S2', line, doc_no, root_no FROM pn WHERE root_no IS NOT NULL AND parent_no IS DISTINCT FROM root_no
+UNION ALL SELECT corpus_id, 'S3', line, doc_no, '' FROM pn WHERE root_no IS NULL
+UNION ALL SELECT corpus_id, 'S3', line, doc_no, parent_no FROM asked a WHERE parent_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM plain p WHERE p.corpus_id = a.corpus_id AND starts_with(a.doc_no, p.doc_no || '.'))
+UNION ALL SELECT corpus_id, 'S4', line, doc_no, '' FROM placed WHERE key < furthest""")
+def structure_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique numbers, notes first, no orphans, documents in order."""
+    docs = parsed(spark, sf_dir).where(f"not ({_GONE})").withColumns({"doc_no": F.expr(_NUMBER), "line": F.expr(_LINE)})
+    return quality.structure_rules(docs).select(*_OUT)
+
+
 @query(f"{_PARSED} SELECT corpus_id, doc_no, uuid, line, f AS first_line FROM (SELECT *, min(line) OVER (PARTITION BY {K}, uuid) AS f FROM par WHERE regexp_full_match(uuid, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')) WHERE line > f")
 def duplicate_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_uuids(parsed(spark, sf_dir)).select("corpus_id", "doc_no", "uuid", "line", "first_line")
@@ -169,6 +210,6 @@ def not_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_emitted(docs, kept.where("doc_type <> 'Needed Research'").select(*KEYS, "doc_no").unionByName(notes)).select("corpus_id", "doc_no", "doc_type")
 
 
-@query(f"""{with_docs()}, h AS (WITH {with_docs('head')[5:]} SELECT * FROM docs) SELECT corpus_id, uuid, 'first' AS side FROM docs WHERE uuid NOT IN (SELECT uuid FROM h) UNION ALL SELECT corpus_id, uuid, 'second' FROM h WHERE uuid NOT IN (SELECT uuid FROM docs)""")
+@query(f"""{with_docs()}, {corpus_sql('head', 'h')} SELECT corpus_id, uuid, 'first' AS side FROM docs WHERE uuid NOT IN (SELECT uuid FROM h) UNION ALL SELECT corpus_id, uuid, 'second' FROM h WHERE uuid NOT IN (SELECT uuid FROM docs)""")
 def uuid_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.uuid_difference(corpus(spark, sf_dir), corpus(spark, sf_dir, "head"))

@@ -37,27 +37,54 @@ DBS = f"""agent AS (SELECT DISTINCT up.{K.replace(', ', ', up.')}, up.doc_no FRO
     FROM docs d LEFT JOIN agent a USING ({K}, doc_no) LEFT JOIN {TYPES} t USING (doc_type))"""
 #: Siblings in order of their last number, after what stands before it.
 SIBLING = r"""list_transform(string_split(regexp_replace(doc_no, '^NR-', 'NR.'), '.'), lambda s: {'k': CASE WHEN regexp_full_match(s, '\d+') THEN 0 ELSE 1 END, 'n': coalesce(TRY_CAST(CASE WHEN regexp_full_match(s, '\d+') THEN s END AS BIGINT), 0), 's': s})"""
-EDGES = f"""near AS (SELECT {K}, doc_no, arg_min(ancestor_no, distance) AS parent_no FROM anc WHERE coalesce(ancestor_uuid, '') <> '' GROUP BY {K}, doc_no),
-  kid AS (SELECT {K}, doc_no, parent_no FROM near JOIN docs USING ({K}, doc_no) WHERE doc_type <> 'Needed Research'
-    UNION ALL SELECT n.corpus_id, n.version_id, n.doc_no, n.target_no FROM docs n JOIN docs t ON t.corpus_id = n.corpus_id AND t.version_id = n.version_id AND t.doc_no = n.target_no WHERE n.doc_type = 'Needed Research'),
-  edges AS (SELECT kid.{K.replace(', ', ', kid.')}, kid.parent_no, kid.doc_no, p.database AS parent_database, c.database, a.collection, a.collection_ord,
-      row_number() OVER (PARTITION BY kid.corpus_id, kid.version_id, kid.parent_no, a.collection ORDER BY {SIBLING.replace('doc_no', 'kid.doc_no')}) AS sibling_ord
-    FROM kid JOIN dbs c ON c.corpus_id = kid.corpus_id AND c.version_id = kid.version_id AND c.doc_no = kid.doc_no
-    JOIN dbs p ON p.corpus_id = kid.corpus_id AND p.version_id = kid.version_id AND p.doc_no = kid.parent_no
-    LEFT JOIN {ALLOWED} a ON a.parent_database = p.database AND a.database = c.database)"""
+#: Research notes with the number that their targets lead to, and the keys of the notes on the way and their own.
+CHAIN = f"""note AS (SELECT DISTINCT {K}, doc_no, target_no, {{'k': -1, 'n': CAST(substr(doc_no, 4) AS BIGINT), 's': doc_no}} AS own FROM docs WHERE doc_type = 'Needed Research'),
+  climb(corpus_id, version_id, doc_no, up, chain) AS (
+    SELECT {K}, doc_no, target_no, [own] FROM note
+    UNION ALL SELECT c.corpus_id, c.version_id, c.doc_no, n.target_no, list_prepend(n.own, c.chain) FROM climb c JOIN note n ON n.corpus_id = c.corpus_id AND n.version_id = c.version_id AND n.doc_no = c.up),
+  chain AS MATERIALIZED (
+    SELECT {K}, doc_no, up AS root_no, chain FROM climb c
+    WHERE NOT EXISTS (SELECT 1 FROM note n WHERE n.corpus_id = c.corpus_id AND n.version_id = c.version_id AND n.doc_no = c.up))"""
+EDGES = f"""{CHAIN},
+  par AS (SELECT {K}, doc_no AS parent_no, min(database) AS parent_database, true AS there FROM dbs WHERE doc_type <> 'Needed Research' GROUP BY {K}, doc_no),
+  asked AS (
+    SELECT DISTINCT {K}, doc_no, database, {PARENT} AS parent_no, false AS note FROM dbs WHERE doc_type <> 'Needed Research' AND {PARENT} IS NOT NULL
+    UNION ALL SELECT {K}, doc_no, 'Needed Research', root_no, true FROM chain),
+  told AS (SELECT asked.*, par.parent_database, par.there FROM asked LEFT JOIN par USING ({K}, parent_no)),
+  above AS (
+    SELECT t.corpus_id, t.version_id, t.doc_no, t.database, max({{'i': i, 'n': par.parent_no, 'd': par.parent_database}}) AS p
+    FROM (SELECT *, string_split(parent_no, '.') AS p, unnest(generate_series(1, len(string_split(parent_no, '.')) - 1)) AS i FROM told WHERE there IS NULL AND NOT note) t
+    JOIN par ON par.corpus_id = t.corpus_id AND par.version_id = t.version_id AND par.parent_no = array_to_string(t.p[1:i], '.') GROUP BY ALL),
+  kid AS (
+    SELECT {K}, doc_no, database, parent_no, parent_database FROM told WHERE there
+    UNION ALL SELECT {K}, doc_no, database, p.n, p.d FROM above),
+  edges AS MATERIALIZED (SELECT kid.*, a.collection, a.collection_ord,
+      row_number() OVER (PARTITION BY {K}, kid.parent_no, a.collection ORDER BY {SIBLING.replace('doc_no', 'kid.doc_no')}) AS sibling_ord
+    FROM kid LEFT JOIN {ALLOWED} a ON a.parent_database = kid.parent_database AND a.database = kid.database)"""
+#: Paths of JSON nodes, and the key of the order of export.
+PATHS = f"""rooted AS (SELECT d.corpus_id, d.version_id, d.doc_no, row_number() OVER (PARTITION BY d.corpus_id, d.version_id ORDER BY {SIBLING.replace('doc_no', 'd.doc_no')}, d.doc_no) AS r
+    FROM docs d ANTI JOIN edges e ON e.corpus_id = d.corpus_id AND e.version_id = d.version_id AND e.doc_no = d.doc_no),
+  tree(corpus_id, version_id, doc_no, path, key) AS (
+    SELECT {K}, doc_no, '$.' || (r - 1), [r * 100000] FROM rooted
+    UNION ALL SELECT e.corpus_id, e.version_id, e.doc_no, t.path || '.' || coalesce(e.collection, 'unmapped') || '.' || (e.sibling_ord - 1), list_append(t.key, coalesce(e.collection_ord, 99) * 100000 + e.sibling_ord)
+    FROM tree t JOIN edges e ON e.corpus_id = t.corpus_id AND e.version_id = t.version_id AND e.parent_no = t.doc_no)"""
 #: The key of reading order, for numbers whose documents' parents may be missing folders.
-EMIT = f"""plain AS (SELECT * FROM docs WHERE doc_type <> 'Needed Research'),
-  stp AS (SELECT {K}, doc_no, i, p[i] AS s, array_to_string(p[1:i], '.') AS no FROM (SELECT {K}, doc_no, string_split(doc_no, '.') AS p, unnest(generate_series(1, len(string_split(doc_no, '.')))) AS i FROM plain)),
+EMIT_KEYS = f"""plain AS (SELECT * FROM docs WHERE doc_type <> 'Needed Research'),
+  stp AS (SELECT {K}, doc_no, i, p[i] AS s, array_to_string(p[1:i], '.') AS no FROM (SELECT {K}, doc_no, string_split(doc_no, '.') AS p, unnest(generate_series(1, len(string_split(doc_no, '.')))) AS i FROM (SELECT DISTINCT {K}, doc_no FROM plain))),
   ekey AS (SELECT stp.corpus_id, stp.version_id, stp.doc_no, list({{'k': CASE WHEN NOT regexp_full_match(s, '\\d+') THEN 2 WHEN t.no IS NOT NULL THEN 0 ELSE 1 END,
       'n': CASE WHEN regexp_full_match(s, '\\d+') THEN CAST(s AS BIGINT) ELSE 0 END, 's': s}} ORDER BY i) AS key
     FROM stp LEFT JOIN (SELECT DISTINCT {K}, doc_no AS no FROM plain) t ON t.corpus_id = stp.corpus_id AND t.version_id = stp.version_id AND t.no = stp.no GROUP BY stp.corpus_id, stp.version_id, stp.doc_no),
-  akey AS (SELECT * FROM ekey UNION ALL SELECT n.corpus_id, n.version_id, n.doc_no, list_append(coalesce(t.key, [{{'k': 9, 'n': CAST(0 AS BIGINT), 's': ''}}]), {{'k': -1, 'n': CAST(substr(n.doc_no, 4) AS BIGINT), 's': n.doc_no}})
-    FROM docs n LEFT JOIN ekey t ON t.corpus_id = n.corpus_id AND t.version_id = n.version_id AND t.doc_no = n.target_no WHERE n.doc_type = 'Needed Research'),
-  pos AS (SELECT {K}, doc_no, row_number() OVER (PARTITION BY {K} ORDER BY key, doc_no) AS position FROM akey)"""
+  akey AS (SELECT * FROM ekey UNION ALL SELECT c.corpus_id, c.version_id, c.doc_no, list_concat(coalesce(t.key, [{{'k': 9, 'n': CAST(0 AS BIGINT), 's': ''}}]), c.chain)
+    FROM chain c LEFT JOIN ekey t ON t.corpus_id = c.corpus_id AND t.version_id = c.version_id AND t.doc_no = c.root_no),
+  pos AS MATERIALIZED (SELECT {K}, doc_no, row_number() OVER (PARTITION BY {K} ORDER BY key, doc_no) AS position FROM akey)"""
+EMIT = f"{CHAIN}, {EMIT_KEYS}"
 #: Documents with their heading level, and their blocks of text in reading order.
-LEV = f"""tgt AS (SELECT {K}, doc_no AS tno, least(6, greatest(1, {DEPTH})) AS tl FROM docs WHERE doc_type <> 'Needed Research'),
-  lev AS (SELECT d.*, CASE WHEN d.doc_type = 'Needed Research' THEN coalesce(least(6, tl + 1), 6) ELSE least(6, greatest(1, {DEPTH.replace('doc_no', 'd.doc_no').replace('doc_type', 'd.doc_type')})) END AS level
-    FROM docs d LEFT JOIN tgt ON tgt.corpus_id = d.corpus_id AND tgt.version_id = d.version_id AND tgt.tno = d.target_no)"""
-BLOCKS = f"""{LEV}, {EMIT}, blk AS (SELECT lev.*, position, repeat('#', level) || ' ' || doc_no || ' - ' || name || ' [' || doc_type || ']  <!-- UUID: ' || coalesce(uuid, '') || ' -->' AS title FROM lev JOIN pos USING ({K}, doc_no)),
+LEV = f"""{CHAIN}, tgt AS (SELECT {K}, doc_no AS tno, least(6, greatest(1, {DEPTH})) AS tl FROM docs WHERE doc_type <> 'Needed Research'),
+  lev AS (SELECT d.*, CASE WHEN d.doc_type = 'Needed Research' THEN coalesce(least(6, tl + len(chain.chain)), 6) ELSE least(6, greatest(1, {DEPTH.replace('doc_no', 'd.doc_no').replace('doc_type', 'd.doc_type')})) END AS level
+    FROM docs d LEFT JOIN chain ON chain.corpus_id = d.corpus_id AND chain.version_id = d.version_id AND chain.doc_no = d.doc_no AND d.doc_type = 'Needed Research'
+    LEFT JOIN tgt ON tgt.corpus_id = d.corpus_id AND tgt.version_id = d.version_id AND tgt.tno = chain.root_no)"""
+BLOCKS = f"""{LEV}, {EMIT_KEYS}, blk AS (SELECT lev.*, position, repeat('#', level) || ' ' || doc_no || ' - ' || name || ' [' || doc_type || ']  <!-- UUID: ' || coalesce(uuid, '') || ' -->' AS title FROM lev JOIN pos USING ({K}, doc_no)),
   block AS (SELECT *, title || chr(10) || CASE WHEN coalesce(body, '') <> '' THEN chr(10) || body || chr(10) ELSE '' END AS block FROM blk)"""
 TRIM = r"regexp_replace(regexp_replace(coalesce(body, ''), '\A([ \t\r\f\v]*\n)+', ''), '(\n[ \t\r\f\v]*)+\z', '')"
+#: Each uuid's last document in reading order.
+LAST_UUID = f"last_uuid AS (SELECT docs.corpus_id, docs.version_id, uuid, arg_max(doc_no, (key, doc_no)) AS doc_no FROM docs JOIN (SELECT DISTINCT * FROM akey) a USING ({K}, doc_no) WHERE uuid <> '' GROUP BY ALL)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doctree.functions import numbers
 from doctree.operators import tree
 from doctree.plans import sql
-from doctree.plans.corpus import corpus, with_docs
+from doctree.plans.corpus import corpus, with_docs, with_every
 from doctree.plans.registry import query
 
 KEYS = tree.KEYS
@@ -81,14 +81,13 @@ def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.child_lists(tree.edges(corpus(spark, sf_dir))).select("corpus_id", "parent_no", F.array_join("children", " ").alias("children"))
 
 
-@query(f"""{with_docs()}, {sql.UP}, n AS (SELECT corpus_id, doc_no, count(*) AS n FROM anc GROUP BY 1, 2)
-SELECT corpus_id, doc_no FROM n WHERE n > 4 UNION ALL SELECT d.corpus_id, d.doc_no FROM docs d JOIN n ON n.corpus_id = d.corpus_id AND n.doc_no = d.target_no WHERE n.n + 1 > 4""")
+@query(f"{with_docs()}, {sql.UP}, {sql.DBS}, {sql.EDGES}, {sql.PATHS} SELECT corpus_id, doc_no FROM tree WHERE len(key) > 5")
 def depth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9, with a limit that some documents pass."""
     return tree.depth_guard(tree.edges(corpus(spark, sf_dir)), 4).select("corpus_id", "doc_no")
 
 
-@query(f"""WITH {with_docs()[5:].replace('docs AS (', 'every AS (', 1)}, docs AS (SELECT * FROM every WHERE NOT (doc_type = 'Section' AND k % 5 = 0)), {sql.UP}
+@query(f"""{with_every(where="NOT (doc_type = 'Section' AND k % 5 = 0)")}, {sql.UP}
 SELECT d.corpus_id, d.doc_no, arg_min(ancestor_no, distance) AS ancestor_no FROM docs d LEFT JOIN anc USING (corpus_id, doc_no) GROUP BY 1, 2""")
 def nearest_existing_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2, after every fifth section is taken away."""
@@ -129,12 +128,12 @@ def nr_positional_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_docs()} SELECT n.corpus_id, n.doc_no, n.target_no, t.uuid AS target_uuid, row_number() OVER (PARTITION BY n.corpus_id, n.target_no ORDER BY CAST(substr(n.doc_no, 4) AS BIGINT)) AS nr_ord
-FROM docs n LEFT JOIN docs t ON t.corpus_id = n.corpus_id AND t.doc_no = n.target_no AND t.doc_type <> 'Needed Research' WHERE n.doc_type = 'Needed Research'""")
+FROM docs n LEFT JOIN docs t ON t.corpus_id = n.corpus_id AND t.doc_no = n.target_no WHERE n.doc_type = 'Needed Research'""")
 def nr_target_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.attach_by_target(corpus(spark, sf_dir)).select("corpus_id", "doc_no", "target_no", "target_uuid", "nr_ord")
 
 
-@query(f"""WITH {with_docs()[5:].replace('docs AS (', 'every AS (', 1)}, docs AS (SELECT * FROM every WHERE NOT (doc_type = 'Section' AND k % 5 = 0))
+@query(f"""{with_every(where="NOT (doc_type = 'Section' AND k % 5 = 0)")}
 SELECT n.corpus_id, n.doc_no, n.target_no FROM docs n ANTI JOIN docs t ON t.corpus_id = n.corpus_id AND t.doc_no = n.target_no WHERE n.doc_type = 'Needed Research'""")
 def orphan_nrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir).where("not (doc_type = 'Section' and k % 5 = 0)")
@@ -146,6 +145,43 @@ def preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.positions(corpus(spark, sf_dir)).select("corpus_id", "doc_no", "position")
 
 
+@query(f"{with_docs()}, {sql.UP}, {sql.DBS}, {sql.EDGES}, {sql.PATHS} SELECT corpus_id, doc_no, row_number() OVER (PARTITION BY corpus_id ORDER BY key) AS position FROM tree")
+def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees flattened in order of export, research notes before other children."""
+    return tree.flattened(corpus(spark, sf_dir)).select("corpus_id", "doc_no", "position")
+
+
+@query(f"""{with_docs("dirty")}, {sql.UP}, {sql.DBS}, {sql.EDGES} SELECT corpus_id, parent_no, doc_no, parent_database, database, collection, sibling_ord FROM edges""")
+def edges_of_faulty_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5, where parents have no uuid, numbers are malformed, and types are unknown."""
+    return tree.edges(corpus(spark, sf_dir, "dirty")).select("corpus_id", "parent_no", "doc_no", "parent_database", "database", "collection", "sibling_ord")
+
+
+@query(f"""{with_every(where="NOT (doc_type IN ('Section', 'Article') AND k % 5 = 0) AND NOT (doc_type = 'Article' AND length(name) % 2 = 0)")}, {sql.UP}, {sql.DBS}, {sql.EDGES} SELECT corpus_id, parent_no, doc_no, collection FROM edges""")
+def edges_over_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5, after sections and articles are taken away: what they held hangs on what is above them."""
+    docs = corpus(spark, sf_dir).where("not (doc_type in ('Section', 'Article') and k % 5 = 0) and not (doc_type = 'Article' and length(name) % 2 = 0)")
+    return tree.edges(docs).select("corpus_id", "parent_no", "doc_no", "collection")
+
+
+@query(f"""{with_docs()}, {sql.UP}, {sql.DBS}, {sql.EDGES} SELECT corpus_id, 'primary' AS view, parent_no, doc_no, collection,
+  row_number() OVER (PARTITION BY corpus_id, parent_no ORDER BY {sql.SIBLING}, doc_no) AS place FROM edges WHERE collection IN ('scopes', 'articles', 'sections_and_primary_docs', 'agent_scope_database')
+UNION ALL SELECT corpus_id, 'supporting', parent_no, doc_no, collection, CAST(label_ord AS BIGINT) FROM edges JOIN {sql.values([(c, i + 1) for i, c in enumerate(tree.schema.SUPPORTING_LABELS)], 'collection, label_ord')} s USING (collection)""")
+def navigation_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children in navigation, and supporting documents with the order of their kind."""
+    found = tree.edges(corpus(spark, sf_dir))
+    one = lambda rows, name, place: rows.select("corpus_id", F.lit(name).alias("view"), "parent_no", "doc_no", "collection", F.col(place).cast("long").alias("place"))
+    return one(tree.primary_view(found), "primary", "place").unionByName(one(tree.supporting_view(found), "supporting", "label_ord"))
+
+
+@query(f"""{with_docs("dirty")}, {sql.EMIT}, {sql.LAST_UUID} SELECT corpus_id, uuid, doc_no FROM last_uuid""")
+def last_number_of_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which number a uuid stands for, the last in reading order where several documents have it."""
+    docs = corpus(spark, sf_dir, "dirty")
+    placed = docs.join(tree.emit_keys(docs), [*KEYS, "doc_no"])
+    return tree.last_wins(placed.withColumn("place", F.struct("key", "doc_no")), "uuid", "doc_no", "place").select("corpus_id", "uuid", "doc_no")
+
+
 @query(rf"""{with_docs()}, c AS (SELECT corpus_id, doc_no, regexp_extract_all(regexp_replace(doc_no, '^[A-Za-z]+\.', ''), '\d+|\D+') AS c FROM docs)
 SELECT corpus_id, doc_no, row_number() OVER (PARTITION BY corpus_id ORDER BY list_transform(c, lambda x: {{'k': CASE WHEN regexp_matches(x, '^\d') THEN 1 WHEN regexp_matches(x, '^[A-Za-z]') THEN 2 ELSE 0 END,
   'n': coalesce(TRY_CAST(CASE WHEN regexp_matches(x, '^\d') THEN x END AS BIGINT), 0), 's': CASE WHEN regexp_matches(x, '^\d') THEN '' ELSE lower(x) END}}), doc_no) AS place FROM c""")
@@ -161,8 +197,8 @@ def segment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("corpus_id", "doc_no", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(f"""{with_docs()}, {sql.UP}, n AS (SELECT d.corpus_id, d.doc_no, least(6, 1 + count(anc.doc_no)) AS level FROM docs d LEFT JOIN anc USING (corpus_id, doc_no) WHERE d.doc_type <> 'Needed Research' GROUP BY 1, 2)
-SELECT * FROM n UNION ALL SELECT d.corpus_id, d.doc_no, coalesce(least(6, n.level + 1), 1) FROM docs d LEFT JOIN n ON n.corpus_id = d.corpus_id AND n.doc_no = d.target_no WHERE d.doc_type = 'Needed Research'""")
+@query(f"""{with_docs()}, {sql.UP}, {sql.CHAIN}, n AS (SELECT d.corpus_id, d.doc_no, least(6, 1 + count(anc.doc_no)) AS level FROM docs d LEFT JOIN anc USING (corpus_id, doc_no) WHERE d.doc_type <> 'Needed Research' GROUP BY 1, 2)
+SELECT * FROM n UNION ALL SELECT c.corpus_id, c.doc_no, least(6, coalesce(n.level, 0) + len(c.chain)) FROM chain c LEFT JOIN n ON n.corpus_id = c.corpus_id AND n.doc_no = c.root_no""")
 def structural_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.structural_levels(corpus(spark, sf_dir)).select("corpus_id", "doc_no", "level")
 
@@ -180,7 +216,7 @@ def assigned_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.assign_numbers(corpus(spark, sf_dir)).select("corpus_id", "doc_no", "new_no")
 
 
-@query(f"""WITH {with_docs()[5:].replace('docs AS (', 'every AS (', 1)}, docs AS (SELECT * FROM every WHERE NOT (k >= 0 AND k % 7 = 0)),
+@query(f"""{with_every(where="NOT (k >= 0 AND k % 7 = 0)")},
 s AS (SELECT corpus_id, doc_no, {sql.PARENT} AS pn, {_FAMILY} AS fam, doc_type, CAST(regexp_extract(doc_no, '(\\d+)$', 1) AS BIGINT) AS n FROM docs WHERE doc_type <> 'Needed Research'),
 b AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY corpus_id, pn, fam ORDER BY n, doc_no), CASE WHEN doc_type = 'Scope' THEN -1 ELSE 0 END) AS before FROM s)
 SELECT corpus_id, doc_no, n, before FROM b WHERE n <> before + 1""")

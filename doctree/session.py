@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as Parquet in the shared folder, and read again: this cuts its lineage."""
+    """``df`` computed once, as Parquet in the shared folder, and read again: this cuts its lineage.
+
+    The table lives until the :func:`tables` block that it was written in ends, or until the process does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/doctree/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
@@ -42,14 +47,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables() -> Iterator[None]:
+    """Owns the tables written inside: they are deleted at the end, so results must be saved by then.
+
+    A long-running driver runs each of its jobs in such a block, and the shared folder does not fill up.
+    """
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(mark)
+
+
 @atexit.register
-def drop_written() -> None:
-    """Delete the tables that :func:`written` left; frames that read them are of no use after that."""
-    while _written:
+def drop_written(mark: int = 0) -> None:
+    """Delete the tables that :func:`written` left since ``mark``; frames that read them are of no use after that."""
+    while len(_written) > mark:
         spark, path = _written.pop()
         if spark.sparkContext._jsc is None:
             continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

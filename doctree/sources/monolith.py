@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import numbers, text
-from doctree.operators import tree
+from doctree.operators import order, tree
+from doctree.session import written
 
 KEYS = list(schema.KEYS)
+# The title lines of the format.
 #: A title line: hashes, number, name, type, uuid. Blanks don't cross lines, and line ends are line feeds only.
 TITLE = r"^(#+)[^\S\n]+(\S+)[^\S\n]+-[^\S\n]+(.*?)[^\S\n]+\[(.+?)\][^\S\n]+<!--[^\S\n]*UUID:[^\S\n]*([a-fA-F0-9-]*)[^\S\n]*-->[^\S\n]*$"
 #: The validator's stricter form: a name, and exactly two blanks before the comment.
@@ -56,12 +58,14 @@ def owned_lines(raw: DataFrame) -> DataFrame:
 
 
 def levels(docs: DataFrame) -> DataFrame:
-    """H3: documents with level; a research note is one below its target, 6 at most and without one."""
+    """H3: documents with level; a research note is one below its target, note or not, 6 at most and where targets lead nowhere."""
     own = docs.withColumn("level", numbers.heading_level("doc_no", "doc_type"))
-    target = own.where("doc_type <> 'Needed Research'").select(*KEYS, F.col("doc_no").alias("target_no"), F.col("level").alias("target_level"))
-    joined = own.join(target, [*KEYS, "target_no"], "left")
-    note = F.coalesce(F.least(F.lit(6), F.col("target_level") + 1), F.lit(6))
-    return joined.withColumn("level", F.when(F.col("doc_type") == "Needed Research", note).otherwise(F.col("level"))).drop("target_level")
+    target = own.where("doc_type <> 'Needed Research'").groupBy(*KEYS, F.col("doc_no").alias("root_no")).agg(F.min("level").alias("target_level"))
+    noted = tree.notes(docs).join(target, [*KEYS, "root_no"], "left")
+    noted = noted.select(*KEYS, "doc_no", F.coalesce(F.least(F.lit(6), F.col("target_level") + F.size("chain")), F.lit(6)).alias("note_level"))
+    # Numbers of notes are those of no other documents, so one join serves all.
+    joined = own.join(noted, [*KEYS, "doc_no"], "left")
+    return joined.withColumn("level", F.when(F.col("doc_type") == "Needed Research", F.col("note_level")).otherwise(F.col("level"))).drop("note_level")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -75,46 +79,107 @@ def blocks(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """The first and last line of each document in its corpus' text, from 1."""
     found = blocks(docs).select(*KEYS, "doc_no", "position", (F.length("block") - F.length(F.replace("block", F.lit("\n"))) + 1).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*KEYS).orderBy("position"))
-    return found.select(*KEYS, "doc_no", (upto - F.col("n") + 1).alias("line_start"), upto.alias("line_end"))
+    found = order.running(found, KEYS, ["position"], "n", "line_end")
+    return found.select(*KEYS, "doc_no", (F.col("line_end") - F.col("n") + 1).alias("line_start"), "line_end")
 
 
 def write(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One text for each corpus version (or other group): blocks in reading order, joined by line feeds.
 
-    A group's text is one value, so groups must be smaller than 2 GB; write sorted blocks for larger ones.
+    A text is one value, so a group must be smaller than 2 GB; see :func:`parts` for larger ones.
     """
     keys = [*KEYS, *(by or [])]
     return joined(blocks(docs), keys)
 
 
+def parts(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """(corpus_id, version_id, part, text): the text of each corpus version in parts of about ``most`` characters.
+
+    Parts begin at a title, so :func:`read` takes each by itself; parts in their order, joined by line feeds, are the
+    whole text. Parts are worked out and joined apart from each other, so a corpus may have any size.
+    """
+    found = blocks(docs).withColumn("n", F.length("block") + 1)
+    ends = order.running(found.select(*KEYS, "doc_no", "position", "n"), KEYS, ["position"], "n", "end")
+    part = ends.select(*KEYS, "position", F.expr(f"cast((end - n) div {most} as int)").alias("part"))
+    return joined(found.join(part, [*KEYS, "position"]), [*KEYS, "part"])
+
+
+def write_files(docs: DataFrame, path: str, most: int = 16_000_000) -> None:
+    """The parts of all texts as files below ``path``, in folders by corpus and version; :func:`read_files` reads them."""
+    found = parts(docs, most)
+    found.repartitionByRange(*KEYS, "part").sortWithinPartitions(*KEYS, "part").select(*KEYS, "text").write.mode("overwrite").partitionBy(*KEYS).option("lineSep", "\n").text(path)
+
+
 def joined(found: DataFrame, keys: list[str]) -> DataFrame:
     packed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "block"))).alias("b"))
     return packed.select(*keys, F.array_join("b.block", "\n").alias("text"))
 
 
+def without_stubs(docs: DataFrame) -> DataFrame:
+    """P5: documents without those that have no name, and without what hangs below such."""
+    found = tree.edges(docs)
+    flags = docs.groupBy(*KEYS, "doc_no").agg(F.max(text.is_blank(F.coalesce("name", F.lit("")))).alias("stub"))
+    steps = found.join(flags, [*KEYS, "doc_no"]).select(*KEYS, F.col("doc_no").alias("node"), F.col("parent_no").alias("up"), F.array("stub").alias("steps"))
+    below = tree.climbed(steps).join(flags.select(*KEYS, F.col("doc_no").alias("top"), F.col("stub").alias("top_stub")), [*KEYS, "top"], "left")
+    gone = below.where(F.exists("steps", lambda x: x) | F.coalesce("top_stub", F.lit(False))).select(*KEYS, F.col("node").alias("doc_no"))
+    return docs.join(gone.unionByName(flags.where("stub").select(*KEYS, "doc_no")).distinct(), [*KEYS, "doc_no"], "left_anti")
+
+
+def normalized_blocks(docs: DataFrame) -> DataFrame:
+    """doc_no, root_no, position (in order of export) and block of each document that is no stub (P5).
+
+    A block is the title, the content with plain quotes and bullets (F1), and each extra field under its label; a
+    blank line stands after each of them.
+    """
+    from doctree.sources import atoms
+
+    kept = written(without_stubs(docs), "kept")
+    found = tree.edges(kept)
+    parent = kept.groupBy(*KEYS, F.col("doc_no").alias("parent_no")).agg(F.min(numbers.heading_level("doc_no", "doc_type")).alias("parent_level"))
+    up = found.select(*KEYS, "doc_no", "parent_no").join(parent, [*KEYS, "parent_no"], "left").select(*KEYS, "doc_no", "parent_level")
+    keys = tree.tree_keys(kept, found)
+    places = order.placed(keys.withColumn("key", F.struct(tree.sibling_key("root_no").alias("r"), "root_no", "key")), KEYS, ["key", "doc_no"]).drop("key")
+    full = atoms.extras(kept.withColumn("body", F.coalesce("body", F.lit("")))).join(up, [*KEYS, "doc_no"], "left").join(places, [*KEYS, "doc_no"])
+    level = F.when(F.col("doc_type") == "Needed Research", F.coalesce(F.least(F.lit(6), F.col("parent_level") + 1), F.lit(6))).otherwise(numbers.heading_level("doc_no", "doc_type"))
+    title = text.heading_line(level, F.col("doc_no"), F.col("name"), F.col("doc_type"), F.col("uuid"))
+    fields = F.create_map(*(x for t, f in schema.EXTRA_FIELDS.items() for x in (F.lit(t), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in f.items())))))
+    plain = lambda c: text.normalized_content(text.trimmed(c))
+    value = lambda f: F.concat(F.lit("**"), f["v"], F.lit("**:\n\n"), plain(F.coalesce(F.element_at("extras", f["k"]), F.lit(""))), F.lit("\n"))
+    extra = F.when(F.size("extras") > 0, F.concat(F.array_join(F.transform(fields[F.col("doc_type")], value), "\n"), F.lit("\n")))
+    content = F.when(~text.is_blank("content"), F.concat(plain("content"), F.lit("\n\n")))
+    block = F.concat(title, F.lit("\n\n"), F.coalesce(content, F.lit("")), F.coalesce(extra, F.lit("")))
+    # The last line's end comes from joining the blocks.
+    return full.select(*KEYS, "doc_no", "root_no", "position", F.substring(block, F.lit(1), F.length(block) - 1).alias("block"))
+
+
+def write_normalized(docs: DataFrame, by_root: bool = False) -> DataFrame:
+    """One text for each corpus version, or for each root of one."""
+    return joined(normalized_blocks(docs), [*KEYS, "root_no"] if by_root else KEYS)
+
+
 def per_scope(docs: DataFrame) -> DataFrame:
-    """One text for each root document, with a file name from its number and name."""
-    found = blocks(docs)
-    root = F.concat_ws(".", F.slice(F.split(F.coalesce("target_no", "doc_no"), r"\."), 1, 2))
+    """One text for each root document, with a file name from its number and name; notes go with what they lead to."""
+    found = blocks(docs).join(tree.notes(docs).select(*KEYS, "doc_no", F.col("root_no").alias("noted_no")), [*KEYS, "doc_no"], "left")
+    root = F.concat_ws(".", F.slice(F.split(F.coalesce("noted_no", "doc_no"), r"\."), 1, 2))
     found = found.withColumn("root_no", root)
     names = docs.where(F.size(numbers.segments("doc_no")) == 2).select(*KEYS, F.col("doc_no").alias("root_no"), text.safe_file_name(F.concat("doc_no", F.lit(" - "), "name")).alias("file_name"))
     return joined(found.join(names, [*KEYS, "root_no"]), [*KEYS, "file_name"])
 
 
 def truncated(docs: DataFrame, most: int = 4) -> DataFrame:
-    """The documents at depth ``most`` or less whose ancestors are too; a note counts one below its target."""
+    """The documents at depth ``most`` or less whose ancestors are too; a note counts one below what its targets lead to."""
     depth = numbers.semantic_depth("doc_no", "doc_type")
     plain = docs.where("doc_type <> 'Needed Research'").withColumn("depth", depth)
     deep = plain.where(F.col("depth") > most).select(*KEYS, F.col("doc_no").alias("ancestor_no"))
     below = tree.lineage_keys(docs).join(deep, [*KEYS, "ancestor_no"], "left_semi").select(*KEYS, "doc_no").distinct()
     kept = plain.where(F.col("depth") <= most).join(below, [*KEYS, "doc_no"], "left_anti")
-    targets = kept.where(F.col("depth") < most).select(*KEYS, F.col("doc_no").alias("target_no"))
-    notes = docs.where("doc_type = 'Needed Research'").join(targets, [*KEYS, "target_no"], "left_semi")
+    targets = kept.where(F.col("depth") < most).select(*KEYS, F.col("doc_no").alias("root_no"))
+    noted = tree.notes(docs).join(targets, [*KEYS, "root_no"], "left_semi").select(*KEYS, "doc_no")
+    notes = docs.where("doc_type = 'Needed Research'").join(noted, [*KEYS, "doc_no"], "left_semi")
     return kept.drop("depth").unionByName(notes)
 
 
-def read_files(spark: SparkSession, path: str, version_id: str = "base") -> DataFrame:
-    """Raw texts from files, one corpus each, named by the file."""
-    found = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
-    return found.select(F.regexp_replace("f", r"\.[^.]*$", "").alias("corpus_id"), F.lit(version_id).alias("version_id"), F.col("value").alias("text"))
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Raw texts (corpus_id, version_id, text) from the files of :func:`write_files`; each file begins at a title."""
+    found = spark.read.text(path, wholetext=True)
+    return found.select(F.col("corpus_id").cast("string"), F.col("version_id").cast("string"), F.col("value").alias("text"))

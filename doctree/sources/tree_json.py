@@ -1,55 +1,50 @@
-"""Nested JSON of whole trees: written bottom-up from tables, read level by level into rows, and checked."""
+"""Nested JSON of whole trees: written in one walk from tables, read level by level into rows, and checked."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.operators import tree
 from doctree.session import written
+from doctree.sources import atoms
 
 KEYS = list(schema.KEYS)
 BASE = ("type", "doc_no", "name", "uuid", "content")
-#: Trees are cut off below so many levels, as the depth guard reports.
-MOST_LEVELS = 50
 
 
-def write(docs: DataFrame) -> DataFrame:
-    """(corpus_id, version_id, json), an array of the trees of roots, collections in order of export.
+def trees(docs: DataFrame) -> DataFrame:
+    """(corpus_id, version_id, root_no, json), one nested object for each root.
 
-    Levels fold from the deepest up: children's objects are joined into arrays and put into their parents'. Each
-    level is one shuffle of what lies below it, so a tree's text is moved once for each level above it.
+    Documents stand in order of export. What opens a node (a comma, or its collection's name and bracket) and what closes
+    it and those above it follows from its neighbours' depths, so every body is read and moved once, whatever the
+    depth. Extra fields of a body stand as fields of their own.
     """
-    found = tree.edges(docs)
-    child = found.select(*KEYS, "parent_no", "doc_no", F.coalesce("collection", F.lit("unmapped")).alias("collection"), F.coalesce("collection_ord", F.lit(99)).alias("c_ord"), "sibling_ord")
-    own = F.to_json(F.struct(F.col("doc_type").alias("type"), "doc_no", "name", "uuid", F.coalesce("body", F.lit("")).alias("content")), {"ignoreNullFields": "false"})
-    nodes = docs.select(*KEYS, "doc_no", own.alias("json"))
-    up = child.select(*KEYS, F.col("doc_no"), "parent_no")
-    depth = up.select(*KEYS, "doc_no").withColumn("depth", F.lit(1))
-    # depth of each document: the number of its ancestors along edges
-    reach, level = up, 1
-    while level < MOST_LEVELS:
-        reach = written(reach.join(up.select(*KEYS, F.col("doc_no").alias("parent_no"), F.col("parent_no").alias("next")), [*KEYS, "parent_no"]).select(*KEYS, "doc_no", F.col("next").alias("parent_no")), f"reach{level}")
-        if reach.isEmpty():
-            break
-        level += 1
-        depth = depth.unionByName(reach.select(*KEYS, "doc_no").withColumn("depth", F.lit(level)))
-    depth = written(depth.groupBy(*KEYS, "doc_no").agg(F.max("depth").alias("depth")), "depth")
-    placed = nodes.join(depth, [*KEYS, "doc_no"], "left").join(child, [*KEYS, "doc_no"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    placed = written(placed, "nodes")
-    below = None
-    for d in range(level, -1, -1):
-        here = placed.where(F.col("depth") == d)
-        if below is not None:
-            kids = below.groupBy(*KEYS, F.col("parent_no").alias("doc_no"), "collection", "c_ord").agg(F.array_sort(F.collect_list(F.struct("sibling_ord", "doc_no", "json"))).alias("k"))
-            arrays = kids.select(*KEYS, "doc_no", "c_ord", F.concat(F.lit(',"'), "collection", F.lit('":['), F.array_join("k.json", ","), F.lit("]")).alias("part"))
-            parts = arrays.groupBy(*KEYS, "doc_no").agg(F.array_sort(F.collect_list(F.struct("c_ord", "part"))).alias("p")).select(*KEYS, "doc_no", F.array_join("p.part", "").alias("parts"))
-            here = here.join(parts, [*KEYS, "doc_no"], "left").withColumn("json", F.concat(F.expr("left(json, length(json) - 1)"), F.coalesce("parts", F.lit("")), F.lit("}"))).drop("parts")
-        below = here
-    roots = below.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(tree.sibling_key("doc_no").alias("o"), "doc_no", "json"))).alias("r"))
+    keys = tree.tree_keys(docs, tree.edges(docs))
+    walk = Window.partitionBy(*KEYS, "root_no").orderBy("key", "doc_no")
+    depth, last = F.size("key"), F.element_at("key", -1)
+    after = F.coalesce(F.lead(depth).over(walk), F.lit(0))
+    # A second collection follows the end of the one before, however deep the nodes between were.
+    first = F.when(F.lag(depth).over(walk) >= depth, F.concat(F.lit('],"'), last["collection"], F.lit('":['))).otherwise(F.concat(F.lit(',"'), last["collection"], F.lit('":[')))
+    opening = F.when(depth == 0, "").when(last["o"] == 1, first).otherwise(",")
+    closing = F.when(after > depth, "").otherwise(F.concat(F.lit("}"), F.repeat(F.lit("]}"), depth - after)))
+    closing = F.when(F.lead(depth).over(walk).isNull(), F.concat(F.lit("}"), F.repeat(F.lit("]}"), depth))).otherwise(closing)
+    frame = keys.withColumns({"at": F.row_number().over(walk), "opening": opening, "closing": closing})
+    full = atoms.extras(docs.withColumn("body", F.coalesce("body", F.lit(""))))
+    own = F.to_json(F.struct(F.col("doc_type").alias("type"), "doc_no", "name", "uuid", "content"), {"ignoreNullFields": "false"})
+    more = F.when(F.size("extras") > 0, F.concat(F.lit(","), F.substring(F.to_json("extras"), F.lit(2), F.length(F.to_json("extras")) - 2))).otherwise("")
+    own = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), more)
+    pieces = frame.join(full.select(*KEYS, "doc_no", own.alias("own")), [*KEYS, "doc_no"])
+    packed = pieces.groupBy(*KEYS, "root_no").agg(F.array_sort(F.collect_list(F.struct("at", F.concat("opening", "own", "closing").alias("piece")))).alias("p"))
+    return packed.select(*KEYS, "root_no", F.array_join("p.piece", "").alias("json"))
+
+
+def write(docs: DataFrame) -> DataFrame:
+    """(corpus_id, version_id, json), an array of all trees of a corpus version; see :func:`trees` for large ones."""
+    roots = trees(docs).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(tree.sibling_key("root_no").alias("o"), "root_no", "json"))).alias("r"))
     return roots.select(*KEYS, F.concat(F.lit("["), F.array_join("r.json", ","), F.lit("]")).alias("json"))
 
 
@@ -60,65 +55,72 @@ def _kind(v: Column) -> Column:
 
 
 def read(raw: DataFrame) -> DataFrame:
-    """One row for each node of ``raw`` (corpus_id, version_id, json): path, parent_path, collection, node (a variant).
+    """One row for each node of ``raw`` (corpus_id, version_id, json): path, parent_path, database, collection, node (a variant).
 
-    Wrong types survive, as nodes stay variants. Levels are read until none has children, one narrow step each.
+    Wrong types survive, as nodes stay variants. ``database`` is that of the collection a node stands in, null for roots.
+    Levels are read until none has children, however deep the trees are: one narrow step each.
     """
     value = F.try_parse_json("json")
     top = raw.select(*KEYS, value.alias("v")).where(F.col("v").isNotNull() & (_kind(F.col("v")) == "array"))
+    null = F.lit(None).cast("string")
     level = top.select(*KEYS, F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("i", "node")).select(
-        *KEYS, F.concat(F.lit("$."), F.col("i").cast("string")).alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("string").alias("collection"), "i", "node"
+        *KEYS, F.concat(F.lit("$."), F.col("i").cast("string")).alias("path"), null.alias("parent_path"), null.alias("collection"), "i", "node"
     )
-    out = []
-    for depth in range(MOST_LEVELS):
-        level = written(level.withColumn("node_json", F.to_json("node")).drop("node"), f"level{depth}").withColumn("node", F.parse_json("node_json")).drop("node_json")
+    out: list[DataFrame] = []
+    while True:
+        level = written(level.withColumn("node_json", F.to_json("node")).drop("node"), f"level{len(out)}").withColumn("node", F.parse_json("node_json")).drop("node_json")
+        out.append(level)
         if level.isEmpty():
             break
-        out.append(level)
         known = F.try_variant_get("node", "$.type", "string").isin(*schema.TYPE_DATABASE)
         arrays = F.array(*(F.struct(F.lit(c).alias("c"), F.try_variant_get("node", f"$.{c}", "array<variant>").alias("a")) for c in schema.COLLECTIONS))
         each = level.where((_kind(F.col("node")) == "object") & F.coalesce(known, F.lit(False))).select(*KEYS, F.col("path").alias("parent_path"), F.explode(arrays).alias("s"))
         kids = each.where(F.col("s.a").isNotNull()).select(*KEYS, "parent_path", F.col("s.c").alias("collection"), F.posexplode("s.a").alias("i", "node"))
         level = kids.select(*KEYS, F.concat_ws(".", "parent_path", "collection", F.col("i").cast("string")).alias("path"), "parent_path", "collection", "i", "node")
-    return reduce(DataFrame.unionByName, out) if out else level
+    database = F.create_map(*(F.lit(x) for pair in schema.COLLECTIONS.items() for x in pair))
+    return reduce(DataFrame.unionByName, out).withColumn("database", database[F.col("collection")])
 
 
 def issues(raw: DataFrame) -> DataFrame:
-    """(rule_id, path, detail) of what is wrong with texts and nodes."""
-    value = F.try_parse_json("json")
-    texts = raw.select(*KEYS, value.alias("v"))
-    none = F.lit("").alias("detail")
-    whole = texts.select(*KEYS, F.when(F.col("v").isNull(), "K1").when(_kind(F.col("v")) != "array", "K2").alias("rule_id"), F.lit("$").alias("path"), none).where("rule_id is not null")
-    nodes = read(raw).withColumn("kind", _kind(F.col("node")))
-    object_rule = F.when(F.col("parent_path").isNull(), "K3").otherwise("K12")
-    objects = nodes.where("kind = 'object'").withColumn("type", F.try_variant_get("node", "$.type", "string"))
-    no_object = nodes.where("kind <> 'object'").select(*KEYS, object_rule.alias("rule_id"), "path", none)
-    keys = F.json_object_keys(F.to_json("node"))
-    objects = objects.withColumn("keys", keys)
+    """(rule_id, path, detail) of what is wrong with texts and nodes. All rules of a node are one pass over it.
+
+    Which child collections a node may have follows from the database of the collection that it stands in; roots have
+    none, so any goes there. K13: a child whose type belongs to another database than its collection.
+    """
+    texts = raw.select(*KEYS, F.try_parse_json("json").alias("v"))
+    rule = F.when(F.col("v").isNull(), "K1").when(_kind(F.col("v")) != "array", "K2")
+    whole = texts.select(*KEYS, rule.alias("rule_id"), F.lit("$").alias("path"), F.lit("").alias("detail")).where("rule_id is not null")
+    one = lambda rule_id, path, detail: F.struct(F.lit(rule_id).alias("rule_id"), path.alias("path"), detail.alias("detail"))
+    path, none = F.col("path"), F.lit("")
+    nodes = read(raw).withColumn("kind", _kind(F.col("node"))).withColumn("type", F.try_variant_get("node", "$.type", "string"))
+    nodes = nodes.withColumn("keys", F.when(F.col("kind") == "object", F.json_object_keys(F.to_json("node"))))
     known = F.col("type").isin(*schema.TYPE_DATABASE)
-    untyped = objects.select(*KEYS, F.when(F.col("type").isNull(), "K4").when(~known, "K5").alias("rule_id"), "path", F.coalesce("type", F.lit("")).alias("detail")).where("rule_id is not null")
-    good = objects.where(known)
-    missing = good.select(*KEYS, F.lit("K6").alias("rule_id"), "path", F.explode(F.array_except(F.array(*(F.lit(b) for b in BASE)), "keys")).alias("detail"))
-    typed = [
-        good.where(F.array_contains("keys", c) & ~_kind(F.try_variant_get("node", f"$.{c}", "variant")).isin(*(("string", "null") if c == "uuid" else ("string",)))).select(*KEYS, F.lit("K7").alias("rule_id"), "path", F.lit(c).alias("detail"))
-        for c in ("doc_no", "name", "uuid", "content")
-    ]
+    kind_of = lambda c: _kind(F.try_variant_get("node", f"$.{c}", "variant"))
+    has = lambda c: F.array_contains("keys", c)
+    missing = F.transform(F.array_except(F.array(*(F.lit(b) for b in BASE)), "keys"), lambda x: one("K6", path, x))
+    fields = {"doc_no": ("string",), "name": ("string",), "uuid": ("string", "null"), "content": ("string",)}
+    typed = [F.when(has(c) & ~kind_of(c).isin(*kinds), one("K7", path, F.lit(c))) for c, kinds in fields.items()]
     extra_of = F.create_map(*(x for t, f in schema.EXTRA_FIELDS.items() for x in (F.lit(t), F.array(*(F.lit(k) for k in f)))))
     own_extras = F.coalesce(extra_of[F.col("type")], F.array().cast("array<string>"))
-    fields = sorted({k for f in schema.EXTRA_FIELDS.values() for k in f})
-    bad_extra = [
-        good.where(F.array_contains(own_extras, c) & F.array_contains("keys", c) & ~_kind(F.try_variant_get("node", f"$.{c}", "variant")).isin("string", "null")).select(*KEYS, F.lit("K8").alias("rule_id"), "path", F.lit(c).alias("detail")) for c in fields
-    ]
+    extras = sorted({k for f in schema.EXTRA_FIELDS.values() for k in f})
+    bad_extra = [F.when(F.array_contains(own_extras, c) & has(c) & ~kind_of(c).isin("string", "null"), one("K8", path, F.lit(c))) for c in extras]
     collections = F.array(*(F.lit(c) for c in schema.COLLECTIONS))
     allowed = F.concat(F.array(*(F.lit(b) for b in BASE)), own_extras, collections)
-    unexpected = good.select(*KEYS, F.lit("K9").alias("rule_id"), "path", F.explode(F.array_except("keys", allowed)).alias("detail"))
-    by_type = {t: schema.ALLOWED_COLLECTIONS[db] for t, db in schema.TYPE_DATABASE.items()}
-    # Cores may stand in the agents' database, so their types may also hold what that one may.
-    agent = ("Core", "Type Specification", "Active Data Controller")
-    may = F.create_map(*(x for t, f in by_type.items() for x in (F.lit(t), F.array(*(F.lit(c) for c in (*f, *(schema.ALLOWED_COLLECTIONS[schema.AGENT_DATABASE] if t in agent else ())))).cast("array<string>"))))
+    unexpected = F.transform(F.array_except("keys", allowed), lambda x: one("K9", path, x))
+    may = F.create_map(*(x for db, f in schema.ALLOWED_COLLECTIONS.items() for x in (F.lit(db), F.array(*(F.lit(c) for c in f)).cast("array<string>"))))
     held = F.array_intersect("keys", collections)
-    forbidden = good.select(*KEYS, F.lit("K10").alias("rule_id"), "path", F.explode(F.array_except(held, F.coalesce(may[F.col("type")], F.array().cast("array<string>")))).alias("detail"))
-    no_array = [
-        good.where(F.array_contains("keys", c) & (_kind(F.try_variant_get("node", f"$.{c}", "variant")) != "array")).select(*KEYS, F.lit("K11").alias("rule_id"), "path", F.lit(c).alias("detail")) for c in schema.COLLECTIONS
-    ]
-    return reduce(DataFrame.unionByName, [whole, no_object, untyped, missing, *typed, *bad_extra, unexpected, forbidden, *no_array])
+    forbidden = F.when(F.col("database").isNotNull(), F.transform(F.array_except(held, may[F.col("database")]), lambda x: one("K10", path, x)))
+    no_array = [F.when(has(c) & (kind_of(c) != "array"), one("K11", F.concat_ws(".", path, F.lit(c)), F.lit(c))) for c in schema.COLLECTIONS]
+    type_database = F.create_map(*(F.lit(x) for pair in schema.TYPE_DATABASE.items() for x in pair))
+    agent = F.col("database").eqNullSafe(F.lit(schema.AGENT_DATABASE)) & F.col("type").isin("Core", "Active Data Controller")
+    other = F.when(F.col("database").isNotNull() & ~agent & (type_database[F.col("type")] != F.col("database")), one("K13", path, F.col("type")))
+    empty = F.array().cast("array<struct<rule_id:string,path:string,detail:string>>")
+    good = F.concat(missing, F.array_compact(F.array(*typed, *bad_extra, *no_array, other)), unexpected, F.coalesce(forbidden, empty))
+    no_object = F.when(F.col("parent_path").isNull(), one("K3", path, none)).otherwise(one("K12", path, none))
+    found = (
+        F.when(F.col("kind") != "object", F.array(no_object))
+        .when(F.col("type").isNull(), F.array(one("K4", path, none)))
+        .when(~known, F.array(one("K5", path, F.col("type"))))
+        .otherwise(good)
+    )
+    return whole.unionByName(nodes.select(*KEYS, F.explode(found).alias("i")).select(*KEYS, "i.*"))

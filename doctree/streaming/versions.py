@@ -1,4 +1,13 @@
-"""New versions as a stream: ingest each once, publish it if it passes the gate, and serve the last good one."""
+"""New versions as a stream: ingest what lands, publish whole versions that pass the gate, and serve the last good one.
+
+A version may land in several files and batches, again, or late. A batch only says which versions it touches; each of
+these is put together again from everything of it that has landed, judged as a whole, and published as a whole. So
+three tables grow beside each other, and nothing is overwritten but by a rerun of its own batch:
+
+* ``landed`` keeps every distinct document of every batch, in buckets by corpus,
+* ``published`` has the good versions of each batch, whole, and
+* ``manifest`` says which versions a batch has published. It is written last, so a version shows all at once or not at all.
+"""
 
 from __future__ import annotations
 
@@ -9,55 +18,94 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doctree import schema
-from doctree.operators import diff
+from doctree.operators import diff, tree
 
 KEYS = list(schema.KEYS)
 #: A version with fewer documents or characters is not published.
 LEAST_DOCS = 1
 LEAST_CHARS = 100
+#: Buckets of the landed table; a batch reads those that its corpora are in.
+BUCKETS = 64
+_MARK = ("bucket", "batch_id")
 
 
 def ingest(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
-    """Documents of landed versions (with committed_at), each document of a version once, however often its files land."""
-    found = spark.readStream.schema(row_schema).parquet(path)
-    return found.withWatermark("committed_at", "7 days").dropDuplicatesWithinWatermark([*KEYS, "doc_no", "uuid"])
+    """Documents of landed versions (with committed_at), each file once. Late versions come through as any others."""
+    return spark.readStream.schema(row_schema).parquet(path)
 
 
 def gate(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The versions with their documents, characters and whether they are good."""
+    """The versions with their documents, those that are in the tree, characters, and whether they are good.
+
+    A good version is not too small, and its tree has all its documents: none stands where no collection takes it.
+    """
     counts = docs.groupBy(*KEYS).agg(F.count("*").alias("n_docs"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("n_chars"), F.max("committed_at").alias("committed_at"))
-    return counts.withColumn("good", (F.col("n_docs") >= least_docs) & (F.col("n_chars") >= least_chars))
+    out = tree.edges(docs).where("collection is null").groupBy(*KEYS).agg(F.count("*").alias("n_out"))
+    found = counts.join(out, KEYS, "left").withColumn("n_tree", F.col("n_docs") - F.coalesce("n_out", F.lit(0))).drop("n_out")
+    return found.withColumn("good", (F.col("n_docs") >= least_docs) & (F.col("n_chars") >= least_chars) & (F.col("n_docs") == F.col("n_tree")))
+
 
+def count_atoms(spark: SparkSession, path: str) -> int:
+    """The number of atom files below ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "document.md").load(path).count()
 
-def publisher(published: str, quarantine: str, **limits: int) -> Callable[[DataFrame, int], None]:
-    """R2: for ``foreachBatch``. Good versions replace their own partitions of ``published``; the others are added to ``quarantine``.
 
-    A batch that runs again after a failure writes the same partitions again.
+def _put(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def publisher(target: str, **limits: int) -> Callable[[DataFrame, int], None]:
+    """R2: for ``foreachBatch``: rebuild and judge the versions that a batch touches, and publish the good ones below ``target``.
+
+    Versions that fail go to ``quarantine`` and keep what was published of them before. A batch that runs again after a
+    failure writes the same partitions again.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        checked = gate(batch, **limits).select(*KEYS, "good")
-        rows = batch.join(checked, KEYS)
-        write = rows.where("good").drop("good").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS)
-        write.parquet(published)
-        rows.where("not good").drop("good").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(quarantine)
+        spark = batch.sparkSession
+        mark = F.lit(batch_id).alias("batch_id")
+        bucket = F.pmod(F.xxhash64("corpus_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        _put(batch.distinct().select("*", bucket, mark), f"{target}/landed", *_MARK)
+        landed = spark.read.parquet(f"{target}/landed")
+        mine = landed.where(F.col("batch_id") == batch_id)
+        touched = mine.select(*KEYS).distinct()
+        buckets = [r.bucket for r in mine.select("bucket").distinct().collect()]  # BUCKETS at most
+        every = landed.where(F.col("bucket").isin(buckets) & (F.col("batch_id") <= batch_id)).join(touched, KEYS, "left_semi")
+        # Of a document that landed in several forms the last batch's counts; forms of one batch stay beside each other.
+        last = every.groupBy(*KEYS, "doc_no", "uuid").agg(F.max("batch_id").alias("last"))
+        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*KEYS, "doc_no", "uuid")]
+        whole = every.alias("e").join(last.alias("l"), [*same, F.col("e.batch_id") == F.col("l.last")], "left_semi").drop(*_MARK)
+        _put(whole.select("*", mark), f"{target}/candidates", "batch_id")
+        whole = spark.read.parquet(f"{target}/candidates").where(F.col("batch_id") == batch_id)
+        _put(gate(whole.drop("batch_id"), **limits).select("*", mark), f"{target}/judged", "batch_id")
+        judged = spark.read.parquet(f"{target}/judged").where(F.col("batch_id") == batch_id)
+        good = judged.where("good").select(*KEYS)
+        _put(whole.join(good, KEYS, "left_semi"), f"{target}/published", "batch_id")
+        _put(whole.join(good, KEYS, "left_anti"), f"{target}/quarantine", "batch_id")
+        _put(judged.where("good").drop("good"), f"{target}/manifest", "batch_id")
 
     return publish
 
 
-def publish_stream(docs: DataFrame, published: str, quarantine: str, checkpoint: str, **limits: int) -> StreamingQuery:
+def publish_stream(docs: DataFrame, target: str, checkpoint: str, **limits: int) -> StreamingQuery:
     """Run what has landed through the gate, then stop."""
-    return docs.writeStream.foreachBatch(publisher(published, quarantine, **limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(publisher(target, **limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def published(spark: SparkSession, target: str) -> DataFrame:
+    """The documents of all published versions, each as the last batch that published it has it."""
+    last = spark.read.parquet(f"{target}/manifest").groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{target}/published").join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
 
 
-def latest_good(published: DataFrame) -> DataFrame:
-    """Each corpus' last published version."""
-    last = published.groupBy("corpus_id").agg(F.max(F.struct("committed_at", "version_id")).alias("v"))
+def latest_good(found: DataFrame) -> DataFrame:
+    """Each corpus' last published version, by its commit."""
+    last = found.groupBy("corpus_id").agg(F.max(F.struct("committed_at", "version_id")).alias("v"))
     return last.select("corpus_id", "v.version_id")
 
 
 def diff_publisher(base: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the changes of each new head against ``base``, one partition for each batch and version.
+    """For ``foreachBatch``: the changes of each new head against ``base``, one partition for each batch.
 
     All versions of a batch, however many, are compared in one job: each version of a corpus is a corpus of its own to
     the comparison.
@@ -70,6 +118,6 @@ def diff_publisher(base: DataFrame, target: str) -> Callable[[DataFrame, int], N
         mine = base.drop("version_id").join(heads, "corpus_id")
         mine = mine.select(one, *(c for c in base.columns if c not in KEYS))
         found = diff.classify(mine, head).withColumns({"version_id": F.col("corpus_id.version_id"), "corpus_id": F.col("corpus_id.corpus_id"), "batch_id": F.lit(batch_id)})
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "version_id").parquet(target)
+        _put(found, target, "batch_id")
 
     return write
