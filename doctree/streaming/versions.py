@@ -63,6 +63,8 @@ def publisher(target: str, **limits: int) -> Callable[[DataFrame, int], None]:
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
         mark = F.lit(batch_id).alias("batch_id")
         bucket = F.pmod(F.xxhash64("corpus_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
         _put(batch.distinct().select("*", bucket, mark), f"{target}/landed", *_MARK)
@@ -94,8 +96,11 @@ def publish_stream(docs: DataFrame, target: str, checkpoint: str, **limits: int)
 
 def published(spark: SparkSession, target: str) -> DataFrame:
     """The documents of all published versions, each as the last batch that published it has it."""
-    last = spark.read.parquet(f"{target}/manifest").groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
-    return spark.read.parquet(f"{target}/published").join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
+    # What has landed has a schema even while nothing is published.
+    rows = spark.read.parquet(f"{target}/landed").drop("bucket")
+    manifest = spark.read.schema("corpus_id string, version_id string, batch_id int").parquet(f"{target}/manifest")
+    last = manifest.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.schema(rows.schema).parquet(f"{target}/published").join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
 
 
 def latest_good(found: DataFrame) -> DataFrame:

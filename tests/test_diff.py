@@ -100,3 +100,36 @@ def test_hunks(spark):
     assert {(r.first, r.after) for r in ranges.collect()} == {(2, 6), (19, 20)}
     spans = spark.createDataFrame([("c", "A", 0, 2), ("c", "B", 3, 18), ("c", "C", 20, 900)], "corpus_id string, doc_no string, line_start long, line_end long")
     assert {r.doc_no for r in diff.touched(spans, ranges).collect()} == {"A", "B"}
+
+
+def merged_until_nothing_changes(ops, tokens):
+    """The rule as it is told: a short equal run between two changes joins them, until there is none."""
+    ops = list(ops)
+    while True:
+        for k in range(1, len(ops) - 1):
+            short = ops[k][0] == "equal" and sum(1 for t in tokens[ops[k][1] : ops[k][2]] if t.strip()) <= diff.SHORT_RUN
+            if short and ops[k - 1][0] != "equal" and ops[k + 1][0] != "equal":
+                ops[k - 1 : k + 2] = [("replace", ops[k - 1][1], ops[k + 1][2], ops[k - 1][3], ops[k + 1][4])]
+                break
+        else:
+            return ops
+
+
+def test_token_runs_agree_with_the_rule():
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = (" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        x, y = diff._TOKEN.findall(a), diff._TOKEN.findall(b)
+        want = [(op, "".join(x[i:j]), "".join(y[k:m])) for op, i, j, k, m in merged_until_nothing_changes(difflib.SequenceMatcher(None, x, y).get_opcodes(), x)]
+        assert diff.token_ops(a, b) == want
+
+
+def test_roundtrip_check(spark):
+    schema = "corpus_id string, version_id string, text string"
+    a = spark.createDataFrame([("a", "v", "x\ny"), ("b", "v", "x\ny\nz"), ("c", "v", "only")], schema)
+    b = spark.createDataFrame([("a", "v", "x\ny"), ("b", "v", "x\nq\nz\nmore"), ("d", "v", "")], schema)
+    got = {r.corpus_id: (r.equal, r.n_differing, r.first_line, r.first_a, r.first_b) for r in diff.roundtrip(a, b).collect()}
+    assert got["a"] == (True, 0, None, None, None) and got["b"] == (False, 2, 2, "y", "q") and got["c"][:2] == (False, 1) and not got["d"][0]

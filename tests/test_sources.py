@@ -1,12 +1,15 @@
 """Files, archives, texts, JSON and streams."""
 
 import io
+import os
+import subprocess
+import sys
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from doctree.operators import quality, search, tree
+from doctree.operators import order, quality, search, tree
 from doctree.sources import atoms, monolith, proposals, tree_json
 from doctree.streaming import versions
 
@@ -80,7 +83,7 @@ def test_malformed_atoms(spark):
     rows = atoms.parse(frame).orderBy("folder").collect()
     assert rows[0].name == "N: x" and rows[0].content == "body" and rows[0]._corrupt is None
     assert [r._corrupt for r in rows[1:]] == ["no frontmatter", "missing depth", "targets are no list", "no frontmatter", "no frontmatter"] and rows[1].doc_no is None
-    with pytest.raises(Exception, match="missing depth|no frontmatter"):
+    with pytest.raises(Exception, match="missing depth|no frontmatter|targets are no list"):
         atoms.parse(frame, "strict").collect()
     assert spark.createDataFrame([(p,) for p in ("content\\A\\1\\document.md", "x/document.md")], "p string").where(atoms.is_atom_path("p")).count() == 1
 
@@ -139,31 +142,71 @@ def test_proposals(spark, tmp_path):
     assert [(r.repo, r.number) for r in proposals.current(proposals.read(spark, str(path))).collect()] == [("o/r", 5)]
 
 
+VERSION = "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string, committed_at timestamp"
+
+
+class Stream:
+    """Lands versions in a folder, runs the stream over what is new, and reads what is published."""
+
+    def __init__(self, spark, path, **limits):
+        self.spark, self.path, self.limits = spark, str(path), {"least_chars": 10, "least_docs": 2, **limits}
+
+    def land(self, docs, version, day="2024-01-01"):
+        docs.withColumn("version_id", F.lit(version)).withColumn("committed_at", F.lit(day).cast("timestamp")).write.mode("append").parquet(f"{self.path}/in")
+
+    def run(self):
+        stream = versions.ingest(self.spark, f"{self.path}/in", VERSION)
+        versions.publish_stream(stream, f"{self.path}/out", f"{self.path}/checkpoint", **self.limits).awaitTermination()
+        return versions.published(self.spark, f"{self.path}/out")
+
+    def counts(self):
+        return {r.version_id: r["count"] for r in self.run().groupBy("version_id").count().collect()}
+
+
 def test_versions_stream(spark, tmp_path):
-    docs = tree_docs(spark)
-    schema = "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string, committed_at timestamp"
-
-    def land(version, day, frame=docs):
-        frame.withColumn("version_id", F.lit(version)).withColumn("committed_at", F.lit(f"2024-01-0{day}").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "landed"))
-
-    def run():
-        stream = versions.ingest(spark, str(tmp_path / "landed"), schema)
-        versions.publish_stream(stream, str(tmp_path / "published"), str(tmp_path / "quarantine"), str(tmp_path / "checkpoint"), least_chars=10, least_docs=2).awaitTermination()
-        return spark.read.parquet(str(tmp_path / "published"))
-
-    land("v1", 1)
-    assert run().count() == 9
-    land("v1", 1)
-    land("v2", 2)
-    land("bad", 3, docs.limit(1))
-    published = run()
+    docs, stream = tree_docs(spark), Stream(spark, tmp_path)
+    stream.land(docs, "v1")
+    assert stream.counts() == {"v1": 9}
+    stream.land(docs, "v1")
+    stream.land(docs, "v2", "2024-01-02")
+    stream.land(docs.limit(1), "bad", "2024-01-03")
+    published = stream.run()
     assert {r.version_id: r["count"] for r in published.groupBy("version_id").count().collect()} == {"v1": 9, "v2": 9}
     assert [r.version_id for r in versions.latest_good(published).collect()] == ["v2"]
-    assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 1
-    versions.diff_publisher(docs, str(tmp_path / "diff"))(published.where("version_id = 'v2'").select("corpus_id", F.col("version_id").cast("string").alias("version_id"), "doc_no", "name", "uuid", "body"), 0)
+    assert spark.read.parquet(f"{tmp_path}/out/quarantine").count() == 1
+    versions.diff_publisher(docs, str(tmp_path / "diff"))(published.where("version_id = 'v2'").select("corpus_id", "version_id", "doc_no", "name", "uuid", "body"), 0)
     assert {r.change for r in spark.read.parquet(str(tmp_path / "diff")).collect()} == {"same"}
 
 
+def test_a_version_over_several_batches_is_published_whole(spark, tmp_path):
+    docs, stream = tree_docs(spark), Stream(spark, tmp_path, least_docs=3)
+    for part, want in ((docs.where("doc_no in ('A.1', 'A.1.1')"), {}), (docs.where("doc_no like 'A.1.1.%'"), {"v1": 6}), (docs.where("doc_no like 'NR%'"), {"v1": 9})):
+        stream.land(part, "v1")
+        assert stream.counts() == want
+    more = docs.limit(1).withColumns({"doc_no": F.lit("A.1.1.11"), "doc_type": F.lit("Section"), "uuid": F.lit(U[9])})
+    stream.land(more.unionByName(docs.where("doc_no = 'A.1'").withColumn("body", F.lit("new body"))), "v1")
+    found = stream.run()
+    assert found.count() == 10 and found.where("doc_no = 'A.1'").first().body == "new body"
+
+
+def test_late_versions_and_many_of_them_are_published(spark, tmp_path):
+    docs, stream = tree_docs(spark).where("doc_no in ('A.1', 'A.1.1')").drop("version_id"), Stream(spark, tmp_path, least_chars=1)
+    many = docs.crossJoin(spark.range(1500).select(F.concat(F.lit("v"), "id").alias("version_id"))).withColumn("committed_at", F.lit("2024-06-01").cast("timestamp"))
+    many.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+    assert len(stream.counts()) == 1500
+    stream.land(docs, "late", "2022-01-01")
+    found = stream.counts()
+    assert len(found) == 1501 and found["late"] == 2
+
+
+def test_a_version_with_documents_outside_its_tree_is_not_published(spark, tmp_path):
+    docs, stream = tree_docs(spark), Stream(spark, tmp_path)
+    stream.land(docs, "v1")
+    stream.land(docs.withColumn("doc_type", F.when(F.col("doc_no") == "A.1.1.10", "Scenario").otherwise(F.col("doc_type"))).withColumn("doc_no", F.when(F.col("doc_no") == "A.1.1.10", "A.1.1.1.10").otherwise(F.col("doc_no"))), "v2")
+    assert stream.counts() == {"v1": 9}
+    assert {(r.version_id, r.n_docs, r.n_tree) for r in spark.read.parquet(f"{tmp_path}/out/judged").where("not good").collect()} == {("v2", 9, 8)}
+
+
 def test_every_version_of_a_batch_is_compared(spark, tmp_path):
     schema = "corpus_id string, doc_no string, name string, uuid string, body string"
     base = spark.createDataFrame([("c", "A.1", "S", U[0], "x"), ("c", "A.2", "T", U[1], "y"), ("d", "A.1", "S", U[0], "z")], schema)
@@ -175,6 +218,93 @@ def test_every_version_of_a_batch_is_compared(spark, tmp_path):
 
 
 def test_suppression(spark):
-    docs = spark.createDataFrame([("c", "v", 1, "A.1", U[0], ["", "x"]), ("c", "v", 4, "A.2", U[1], [""])], "corpus_id string, version_id string, line bigint, doc_no string, uuid string, rows array<string>")
-    found = spark.createDataFrame([("c", "v", "V6", 2, "A.1", ""), ("c", "v", "V6", 5, "A.2", "")], "corpus_id string, version_id string, rule_id string, line bigint, doc_no string, detail string")
-    assert [r.doc_no for r in quality.suppress(found, docs, spark.createDataFrame([(U[0],)], "uuid string")).collect()] == ["A.2"]
+    rows = [("c", "v", 1, "t", "A.1", U[0], ["", "x"]), ("c", "v", 4, "t", "A.2", U[1], ["", f"**Label**: {U[0]}", "y"])]
+    docs = spark.createDataFrame(rows, "corpus_id string, version_id string, line bigint, title string, doc_no string, uuid string, rows array<string>")
+    found = spark.createDataFrame([("c", "v", "V6", line, no, "") for line, no in ((2, "A.1"), (3, "A.1"), (5, "A.2"), (6, "A.2"), (7, "A.2"))], "corpus_id string, version_id string, rule_id string, line bigint, doc_no string, detail string")
+    assert sorted(r.line for r in quality.suppress(found, docs, spark.createDataFrame([(U[0],)], "uuid string")).collect()) == [5, 7]
+
+
+def test_parents_without_uuids_and_notes_on_notes(spark):
+    rows = [("A.1", "Scope", "s", U[0], None), ("A.1.1", "Article", "a", "", None), ("A.1.1.1", "Section", "x", U[2], None), ("NR-1", "Needed Research", "n", U[3], "A.1.1.1"), ("NR-3", "Needed Research", "n", U[4], "NR-2"), ("NR-2", "Needed Research", "n", U[5], "NR-1")]
+    rows += [("NR-8", "Needed Research", "n", U[6], "NR-9"), ("NR-9", "Needed Research", "n", U[7], "NR-8"), ("NR-7", "Needed Research", "n", U[8], "A.9"), ("NR-6", "Needed Research", "n", U[9], "NR-7"), ("A.1.1.1.9", "Annotation", "malformed", U[10], None)]
+    docs = spark.createDataFrame([("c", "v", *r, "body") for r in rows], "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string")
+    edges = {r.doc_no: (r.parent_no, r.collection) for r in tree.edges(docs).collect()}
+    assert edges == {"A.1.1": ("A.1", "articles"), "A.1.1.1": ("A.1.1", "sections_and_primary_docs"), **{f"NR-{k}": ("A.1.1.1", "needed_research") for k in (1, 2, 3)}}
+    assert {r.doc_no: r.level for r in tree.structural_levels(docs).collect()} == {"A.1": 1, "A.1.1": 2, "A.1.1.1": 3, "A.1.1.1.9": 4, "NR-1": 4, "NR-2": 5, "NR-3": 6, "NR-7": 1, "NR-6": 2, "NR-8": 1, "NR-9": 1}
+    order = [r.doc_no for r in tree.positions(docs).orderBy("position").collect()]
+    assert order == ["A.1", "A.1.1", "A.1.1.1", "NR-1", "NR-2", "NR-3", "A.1.1.1.9", "NR-7", "NR-6", "NR-8", "NR-9"]
+    assert {r.doc_no for r in tree.attach_by_target(docs).where("orphan").collect()} == {"NR-7"}
+
+
+def test_deep_trees_are_read_and_written_whole(spark):
+    numbers = ["A.1", "A.1.1", "A.1.1.1", *(".".join(["A.1.1.1"] + ["1"] * k) for k in range(1, 58))]
+    rows = [("c", "v", n, "Scope" if i == 0 else "Article" if i == 1 else "Section" if i == 2 else "Core", "n", f"u{i}", None, "b") for i, n in enumerate(numbers)]
+    docs = spark.createDataFrame(rows, "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string")
+    back = tree_json.read(tree_json.write(docs))
+    assert back.count() == 60 and {r.d for r in back.select(F.try_variant_get("node", "$.doc_no", "string").alias("d")).collect()} == set(numbers)
+    assert {r.doc_no for r in tree.depth_guard(tree.edges(docs)).collect()} == set(numbers[51:])
+
+
+def test_last_wins_and_links_to_repeated_uuids(spark):
+    rows = [("A.1", "s", U[0], f"see [x]({U[1].upper()}) and [y]({U[2]})"), ("A.1.9", "b", U[1], ""), ("A.1.10", "c", U[1], "")]
+    docs = spark.createDataFrame([("c", "v", n, "Scope" if n == "A.1" else "Article", name, u, None, body) for n, name, u, body in rows], "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string")
+    assert {(r.text, r.target_no) for r in search.resolved_links(docs).collect()} == {("x", "A.1.10"), ("y", None)}
+
+
+def test_normalised_export(spark):
+    rows = [("A.1", "Scope", "S", U[0], None, " “quoted” \n• point "), ("A.1.2", "Article", "B", U[1], None, ""), ("A.1.1", "Article", " ", U[2], None, "gone"), ("A.1.1.1", "Section", "gone too", U[3], None, "x"), ("NR-1", "Needed Research", "N", U[4], "A.1.2", "Why\n\n**Content**:\n\n“this”"), ("A.1.2.1", "Section", "C", None, None, "")]
+    docs = spark.createDataFrame([("c", "v", *r) for r in rows], "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string, body string")
+    (row,) = monolith.write_normalized(docs).collect()
+    want = ["# A.1 - S [Scope]  <!-- UUID: %s -->" % U[0], "", '"quoted" \n- point', "", "## A.1.2 - B [Article]  <!-- UUID: %s -->" % U[1], "", "### NR-1 - N [Needed Research]  <!-- UUID: %s -->" % U[4], "", "Why", "", "**Content**:", "", '"this"', "", "### A.1.2.1 - C [Section]  <!-- UUID:  -->", ""]
+    assert row.text == "\n".join(want)
+
+
+def test_texts_in_parts_and_files(spark, tmp_path):
+    docs = tree_docs(spark)
+    (whole,) = monolith.write(docs).collect()
+    parts = monolith.parts(docs, 200).orderBy("part").collect()
+    assert len(parts) > 2 and "\n".join(r.text for r in parts) == whole.text
+    monolith.write_files(docs, str(tmp_path / "texts"), 200)
+    back = monolith.read(monolith.read_files(spark, str(tmp_path / "texts")))
+    assert {(r.corpus_id, r.version_id, r.doc_no, r.body) for r in back.collect()} == {("c", "v", r.doc_no, "body") for r in docs.collect()}
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(f"g{k % 3}", k, k % 5) for k in range(500)]
+    got = order.running(spark.createDataFrame(rows, "g string, k bigint, v bigint").repartition(7), ["g"], ["k"], "v", "upto").collect()
+    sums = {}
+    for g, k, v in rows:
+        sums[g] = sums.get(g, 0) + v
+        assert (g, k, v, sums[g]) in {tuple(r) for r in got if r.k == k}
+
+
+def test_text_functions(spark):
+    from doctree.functions import text
+
+    frame = spark.createDataFrame([("The other the", "0000000A000000000000000000000000", [("a", "1"), ("b", "2"), ("a", "3")])], "t string, u string, p array<struct<key:string,value:string>>")
+    row = frame.select(text.highlight_spans("t", "THE").alias("s"), text.bare_uuid("u").alias("u"), text.normalized_uuid("u").alias("n"), text.mapping_of(text.mapping_json(F.col("p"))).alias("m"), text.guarded("t", 3).alias("g"), text.content_hash("t").alias("h"), text.shown_value(F.lit(None).cast("string")).alias("v"), text.shown_list(F.array(F.lit("x"), F.lit("y"))).alias("l")).first()
+    assert [tuple(s) for s in row.s] == [(0, 3), (5, 3), (10, 3)] and row.m == {"a": "3", "b": "2"} and row.g == "The" and len(row.h) == 40 and (row.v, row.l) == ("-", "x, y")
+    assert row.u == "0000000a000000000000000000000000" and row.n == "0000000a-0000-0000-0000-000000000000"
+
+
+def test_atoms_are_counted(spark, tmp_path):
+    for name in ("A/1/document.md", "A/document.md", "A/readme.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert versions.count_atoms(spark, str(tmp_path)) == 2
+
+
+def test_owned_tables_are_deleted(spark):
+    from doctree import session
+
+    with session.tables():
+        kept = session.written(spark.range(3), "numbers")
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert kept.count() == 3
+    assert not os.path.exists(path)
+
+
+def test_optional_parts_may_be_missing(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; q = e.queries(); assert 'preorder' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q" % root
+    subprocess.run([sys.executable, "-c", code], check=True)
