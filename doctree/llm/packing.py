@@ -30,12 +30,14 @@ VOCABULARY = "word_bpe_49k.json"
 ITEMS = 60_000
 #: Partitions that merge into one from a round to the next.
 FAN_IN = 8
+#: Words whose ids a worker remembers in each of two generations; about 40 MB each.
+MOST_WORDS = 200_000
 #: A bin with so few places left is done.
 NEARLY_FULL = 4
 
 # Words of these characters have no contraction, mark or letter whose normal form depends on its neighbours.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ňŊ-ž]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+")
+_PLAIN = "^[!-~À-ÖØ-öø-įĲ-ňŊ-ž]+$"
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-z0-9ß-öø-ž]+|\n")
 
 
 @lru_cache(4)
@@ -52,32 +54,51 @@ def _tokenizer(path: str):
     return whole, light, ends
 
 
-def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of each word, one after the other, and how many each has. Equal to tokenizing the words by themselves."""
+#: By vocabulary: the ids of words seen lately, and of those before them.
+_seen: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of each word, one after the other, and how many each has. Equal to tokenizing the words by themselves.
+
+    Common words come back in every slice, so their ids are remembered.
+    """
+    young, old = _seen.get(path, ({}, {}))
+    names = words.to_pylist()
+    found = [young.get(w) for w in names]
+    missing = [k for k, ids in enumerate(found) if ids is None]
+    for k in missing:
+        found[k] = old.get(names[k])
+    new = [k for k in missing if found[k] is None]
+    ids, counts = _encoded(words.take(pa.array(new, pa.int64())), path)
+    raw, edge = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+    for k, a, b in zip(new, edge, edge[1:], strict=False):
+        found[k] = raw[a:b]
+    young.update((names[k], found[k]) for k in missing)
+    _seen[path] = (young, old) if len(young) <= MOST_WORDS else ({}, young)
+    return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+def _encoded(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     whole, light, ends = _tokenizer(path)
-    counts = np.zeros(len(words), np.int64)
-    fast, n_parts, parts, slow = [], [], [], []
-    for k, word in enumerate(words):
-        if "<|" not in word and _PLAIN.fullmatch(word):
-            found = _PARTS.findall(word.lower())
-            fast.append(k)
-            n_parts.append(len(found))
-            parts += found
-        else:
-            slow.append(k)
+    plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|"))
+    is_fast = plain.to_numpy(zero_copy_only=False)
+    # All plain words are cut into parts at once, a line feed after each.
+    found = _PARTS.findall("".join(w + "\n" for w in words.filter(plain).to_pylist()).lower())
+    word_ends = np.array([k for k, part in enumerate(found) if part == "\n"], np.int64)
+    parts = [part for part in found if part != "\n"]
     encoded = [np.array(e.ids, np.uint32) for e in light.encode_batch_fast([" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)], add_special_tokens=False)]
     ids = np.concatenate(encoded) if encoded else np.zeros(0, np.uint32)
-    after = np.flatnonzero(ends[ids]) + 1  # where each part's ids end
-    edges = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(n_parts, dtype=np.int64)])]
-    counts[fast] = np.diff(edges)
-    rest = [np.array(e.ids, np.uint32) for e in whole.encode_batch_fast([words[k] for k in slow], add_special_tokens=False)]
+    after = np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])  # where each part's ids end
+    counts = np.zeros(len(words), np.int64)
+    counts[is_fast] = np.diff(after[np.concatenate([[0], word_ends - np.arange(len(word_ends))])])
+    slow = np.flatnonzero(~is_fast)
+    rest = [np.array(e.ids, np.uint32) for e in whole.encode_batch_fast(words.take(pa.array(slow)).to_pylist(), add_special_tokens=False)]
     counts[slow] = [len(r) for r in rest]
     starts = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(starts[-1], np.uint32)
-    is_fast = np.zeros(len(words), bool)
-    is_fast[fast] = True
     out[np.repeat(is_fast, counts)] = ids
-    for k, r in zip(slow, rest, strict=True):
+    for k, r in zip(slow.tolist(), rest, strict=True):
         out[starts[k] : starts[k + 1]] = r
     return out, counts
 
@@ -89,22 +110,22 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = pc.list_flatten(split)
-    empty = pc.equal(flat, "")
-    owner = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)[~empty.to_numpy(zero_copy_only=False)]
-    coded = flat.filter(pc.invert(empty)).dictionary_encode()
-    ids, counts = word_ids(coded.dictionary.to_pylist(), path)
-    which = coded.indices.to_numpy(zero_copy_only=False)
+    some = pc.not_equal(flat, "")
+    owner = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)[some.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(some).dictionary_encode()
+    ids, counts = word_ids(coded.dictionary, path)
+    # END is a word more, behind the last of each text.
+    ids, counts = np.append(ids, np.uint32(END)), np.append(counts, 1)
+    n_words = np.bincount(owner, minlength=len(texts))
+    which = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(n_words), len(counts) - 1)
     size = counts[which]
-    starts = np.concatenate([[0], np.cumsum(counts)])[which]
-    total = np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64) + 1
-    begin = np.concatenate([[0], np.cumsum(total)])
-    out = np.full(begin[-1], END, np.uint32)
-    before = np.cumsum(size) - size  # ids before each word, without the ends
-    # Each id's place and source by its word's offset; the narrow type halves what a slice takes.
-    run = np.arange(int(size.sum()), dtype=np.int32)
-    place = np.repeat(owner.astype(np.int32), size) + run  # each earlier text has one END
-    out[place] = ids[np.repeat((starts - before).astype(np.int32), size) + run]
-    return out, total
+    upto = np.cumsum(size)
+    last = np.cumsum(n_words + 1) - 1
+    total = np.diff(upto[last], prepend=0)
+    source = np.cumsum(counts) - counts
+    # Each id's source by its word's offset; the narrow type halves what a slice takes.
+    shift = (source[which] - (upto - size)).astype(np.int32)
+    return ids[np.repeat(shift, size) + np.arange(int(size.sum()), dtype=np.int32)], total
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
