@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +15,37 @@ from doctree.plans.text_queries import digest
 from doctree.session import written
 from doctree.sources import monolith
 
-_derived: dict[tuple[str, str], dict[str, DataFrame]] = {}
+class Steps:
+    """base, head, changes, living, changed, scopes: the steps that several queries share, each written when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.base, self.head = corpus(spark, sf_dir), corpus(spark, sf_dir, "head")
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return written(diff.classify(self.base, self.head), "changes")
+
+    @cached_property
+    def living(self) -> DataFrame:
+        return written(diff.living_ancestors(self.base, self.head), "living")
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        return written(diff.changed_numbers(self.changes, self.living), "changed")
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        return written(diff.edit_scopes(diff.scope_roots(self.changed), self.head), "scopes")
+
+
+_derived: dict[tuple[str, str], Steps] = {}
 
 
-def versions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """base, head, changes, living, changed, scopes: the steps that several queries share, written once for an application."""
+def versions(spark: SparkSession, sf_dir: str) -> Steps:
+    """The steps for these tables, once for an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _derived:
-        base, head = corpus(spark, sf_dir), corpus(spark, sf_dir, "head")
-        changes = written(diff.classify(base, head), "changes")
-        living = written(diff.living_ancestors(base, head), "living")
-        changed = written(diff.changed_numbers(changes, living), "changed")
-        scopes = written(diff.edit_scopes(diff.scope_roots(changed), head), "scopes")
-        _derived[key] = {"base": base, "head": head, "changes": changes, "living": living, "changed": changed, "scopes": scopes}
+        _derived[key] = Steps(spark, sf_dir)
     return _derived[key]
 
 
@@ -52,29 +72,29 @@ ins AS (SELECT sc.corpus_id, sc.root_no, h.doc_no FROM sc JOIN (SELECT corpus_id
 
 @query(f"{_BOTH} SELECT corpus_id, uuid, bn AS base_no, hn AS head_no, change, CASE WHEN change IN ('Inserted', 'Deleted') THEN change WHEN change IN ('substantive', 'xref_only') THEN 'Edited' END AS status FROM ch")
 def change_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(spark, sf_dir)["changes"].select("corpus_id", "uuid", F.col("base_doc_no").alias("base_no"), F.col("head_doc_no").alias("head_no"), "change", "status")
+    return versions(spark, sf_dir).changes.select("corpus_id", "uuid", F.col("base_doc_no").alias("base_no"), F.col("head_doc_no").alias("head_no"), "change", "status")
 
 
 @query(f"""{_BOTH} SELECT corpus_id, count(*) FILTER (change = 'Inserted') AS new, count(*) FILTER (change = 'substantive') AS modified, count(*) FILTER (change = 'Deleted') AS removed, count(*) FILTER (change = 'xref_only') AS renumbered,
 count(*) FILTER (change = 'number_only') AS number_only, (SELECT count(*) FROM cn WHERE cn.corpus_id = ch.corpus_id) AS total FROM ch GROUP BY 1""")
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.stats(v["changes"], v["living"])
+    return diff.stats(v.changes, v.living)
 
 
 @query(f"{_BOTH} SELECT corpus_id, bn AS old_no, hn AS new_no, h_name AS title FROM ch WHERE change = 'xref_only' AND bn <> hn")
 def renumber_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.renumbered(versions(spark, sf_dir)["changes"])
+    return diff.renumbered(versions(spark, sf_dir).changes)
 
 
 @query(f"{_BOTH} SELECT * FROM liv")
 def nearest_living_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(spark, sf_dir)["living"]
+    return versions(spark, sf_dir).living
 
 
 @query(f"{_BOTH} SELECT corpus_id, doc_no FROM roots")
 def scope_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.scope_roots(versions(spark, sf_dir)["changed"])
+    return diff.scope_roots(versions(spark, sf_dir).changed)
 
 
 _KEY = sql.SIBLING.replace("regexp_replace(doc_no, '^NR-', 'NR.')", "doc_no")
@@ -86,7 +106,7 @@ s1 AS (SELECT sc.*, {_SLUG} AS s, row_number() OVER (PARTITION BY sc.corpus_id,
 s2 AS (SELECT *, CASE WHEN rank > 1 THEN s || '-' || rank ELSE s END AS t FROM s1), s3 AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, t ORDER BY rank, gkey, {_KEY.replace('doc_no', 'root_no')}) AS again FROM s2)
 SELECT corpus_id, root_no, name, uuid, CASE WHEN again > 1 THEN t || '-' || again ELSE t END AS slug FROM s3""")
 def edit_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(spark, sf_dir)["scopes"]
+    return versions(spark, sf_dir).scopes
 
 
 @query(f"""{_BOTH}, g AS (SELECT *, trim(regexp_replace(regexp_replace(lower(name), '[-‐-―]+', ' ', 'g'), '\\s+', ' ', 'g')) AS gn FROM sc), n AS (SELECT *, count(*) OVER (PARTITION BY corpus_id, gn) AS n FROM g),
@@ -97,13 +117,13 @@ al AS (SELECT *, count(*) OVER (PARTITION BY corpus_id, gn, d, c) AS m FROM cand
 SELECT n.corpus_id, n.root_no, n.name AS label, CASE WHEN n.n = 1 THEN '' ELSE coalesce(b.c, n.root_no) END AS detail FROM n LEFT JOIN b USING (corpus_id, root_no)""")
 def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.scope_labels(v["scopes"], v["head"])
+    return diff.scope_labels(v.scopes, v.head)
 
 
 @query(f"{_BOTH} SELECT sc.corpus_id, sc.root_no, pre.i - 1 AS step, pre.a AS ancestor_no, h.name AS title FROM sc JOIN pre ON pre.corpus_id = sc.corpus_id AND pre.doc_no = sc.root_no JOIN head h ON h.corpus_id = sc.corpus_id AND h.doc_no = pre.a")
 def scope_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.scope_lineage(v["scopes"], v["head"])
+    return diff.scope_lineage(v.scopes, v.head)
 
 
 @query(f"""{_BOTH}, hp AS (SELECT corpus_id, doc_no, regexp_replace(doc_no, '\\.[^.]*$', '') AS pn FROM head WHERE contains(doc_no, '.'))
@@ -111,7 +131,7 @@ SELECT sc.corpus_id, sc.root_no, hp.doc_no, {_KEY.replace('doc_no', 'hp.doc_no')
 WHERE hp.doc_no <> sc.root_no AND NOT EXISTS (SELECT 1 FROM cn WHERE cn.corpus_id = hp.corpus_id AND cn.doc_no = hp.doc_no)""")
 def scope_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.scope_siblings(v["scopes"], v["head"], v["changed"])
+    return diff.scope_siblings(v.scopes, v.head, v.changed)
 
 
 @query(f"""{_BOTH}, st AS (SELECT corpus_id, hn AS doc_no, uuid, CASE WHEN change = 'Inserted' THEN change WHEN change IN ('substantive', 'xref_only') THEN 'Edited' END AS status FROM ch WHERE hn IS NOT NULL),
@@ -123,14 +143,14 @@ SELECT n.corpus_id, n.root_no, n.doc_no, n.uuid, n.status, v.doc_no IS NOT NULL
 UNION ALL SELECT corpus_id, root_no, doc_no, uuid, 'Deleted', true FROM gone""")
 def scope_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.scope_nodes(v["scopes"], v["changes"], v["living"])
+    return diff.scope_nodes(v.scopes, v.changes, v.living)
 
 
 @query(f"""{_BOTH}, c AS (SELECT ins.corpus_id, ins.root_no, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ch WHERE ch.corpus_id = cn.corpus_id AND ch.hn = cn.doc_no AND ch.change = 'Inserted')) AS new FROM cn JOIN ins ON ins.corpus_id = cn.corpus_id AND ins.doc_no = cn.doc_no GROUP BY 1, 2)
 SELECT corpus_id, root_no, n - new AS edited, new, concat_ws(', ', CASE WHEN n - new > 0 THEN (n - new) || ' edited document' || CASE WHEN n - new <> 1 THEN 's' ELSE '' END END, CASE WHEN new > 0 THEN new || ' new document' || CASE WHEN new <> 1 THEN 's' ELSE '' END END) AS summary FROM c""")
 def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    return diff.scope_summary(v["scopes"], v["changes"], v["changed"])
+    return diff.scope_summary(v.scopes, v.changes, v.changed)
 
 
 _PARAS = rf"list_filter(list_transform(string_split({_NORM}, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -140,21 +160,21 @@ _PARAS = rf"list_filter(list_transform(string_split({_NORM}, chr(10) || chr(10))
 x AS (SELECT corpus_id, uuid, i - 1 AS place, o[i] AS old, n[i] AS new FROM (SELECT *, unnest(generate_series(1, greatest(len(o), len(n)))) AS i FROM e))
 SELECT corpus_id, uuid, CAST(place AS INTEGER) AS place, CASE WHEN old IS NULL THEN 'insert' WHEN new IS NULL THEN 'delete' WHEN old = new THEN 'equal' ELSE 'replace' END AS op, sha256(coalesce(old, '')) AS old_sha256, sha256(coalesce(new, '')) AS new_sha256 FROM x""")
 def paragraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diff.paragraphs(versions(spark, sf_dir)["changes"])
+    found = diff.paragraphs(versions(spark, sf_dir).changes)
     return found.select("corpus_id", "uuid", "place", "op", digest(F.coalesce("old", F.lit(""))).alias("old_sha256"), digest(F.coalesce("new", F.lit(""))).alias("new_sha256"))
 
 
 @query()
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D15, on the paragraphs that were replaced."""
-    found = diff.paragraphs(versions(spark, sf_dir)["changes"]).where("op = 'replace'")
+    found = diff.paragraphs(versions(spark, sf_dir).changes).where("op = 'replace'")
     return diff.fine_diff(found, "line")
 
 
 @query()
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On the paragraphs that were replaced, and on names (place -1)."""
-    changes = versions(spark, sf_dir)["changes"]
+    changes = versions(spark, sf_dir).changes
     names = changes.where("base_name <> head_name").select("corpus_id", "uuid", F.lit(-1).alias("place"), F.col("base_name").alias("old"), F.col("head_name").alias("new"))
     found = diff.paragraphs(changes).where("op = 'replace'").drop("op")
     return diff.fine_diff(found.unionByName(names), "token")
@@ -197,8 +217,8 @@ SELECT corpus_id, doc_no, href, target_no, EXISTS (SELECT 1 FROM ins WHERE ins.c
 def xref_scope_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of head by whether their target is in a scope of the edit."""
     v = versions(spark, sf_dir)
-    found = search.resolved_links(v["head"]).where("kind = 'uuid'")
-    inside = diff.in_scopes(v["head"].select("corpus_id", "version_id", "doc_no"), v["scopes"])
+    found = search.resolved_links(v.head).where("kind = 'uuid'")
+    inside = diff.in_scopes(v.head.select("corpus_id", "version_id", "doc_no"), v.scopes)
     return search.scope_class(found, inside).select("corpus_id", "doc_no", "href", "target_no", "inside")
 
 
