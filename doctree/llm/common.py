@@ -66,5 +66,16 @@ def among(rows: DataFrame, found: DataFrame, keys: list[str], total: int, times:
     return salted.join(other, [*keys, "doctree_salt"], "left_semi").select(*rows.columns)
 
 
+#: CRC-32 in DuckDB, which has no function for it: a common table with the values of all bytes, and an expression over it.
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crcs)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII ``text``, in a query that also reads crc_table."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()
