@@ -13,7 +13,7 @@ SUFFIX = {
     "Scenario": r"\.1\.\d+$",
     "Active Data": r"\.0\.6\.\d+$",
 }
-_ANY_SUFFIX = r"(?<=.)(?:\.var\d+|\.0\.[346]\.\d+|(?<=\.0\.4\.\d{1,18})\.1\.\d+)$"
+_ANY_SUFFIX = r"(?<=.)(?:\.var\d+|\.0\.[346]\.\d+|(?<=\.0\.4\.\d{1,99})\.1\.\d+)$"
 
 
 def _c(column: Column | str) -> Column:
@@ -89,9 +89,15 @@ def segment_key(doc_no: Column | str) -> Column:
     return F.transform(segments(doc_no), segment_struct)
 
 
+def value_key(digits: Column) -> Column:
+    """Sort key of a string of digits by its value, however long: the number of digits without leading zeros, then these."""
+    bare = F.ltrim(digits, F.lit("0"))
+    return F.struct(F.length(bare).alias("l"), bare.alias("d"))
+
+
 def segment_struct(part: Column) -> Column:
     digits = part.rlike(r"^\d+$")
-    return F.struct((~digits).cast("int").alias("k"), F.when(digits, part.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("n"), part.alias("s"))
+    return F.struct((~digits).cast("int").alias("k"), value_key(F.when(digits, part).otherwise("")).alias("n"), part.alias("s"))
 
 
 def natural_key(doc_no: Column | str) -> Column:
@@ -102,6 +108,6 @@ def natural_key(doc_no: Column | str) -> Column:
     def key(chunk: Column) -> Column:
         digits = chunk.rlike(r"^\d")
         kind = F.when(digits, 1).when(chunk.rlike(r"^[\p{L}]"), 2).otherwise(0)
-        return F.struct(kind.alias("k"), F.when(digits, chunk.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("n"), F.when(digits, "").otherwise(F.lower(chunk)).alias("s"))
+        return F.struct(kind.alias("k"), value_key(F.when(digits, chunk).otherwise("")).alias("n"), F.when(digits, "").otherwise(F.lower(chunk)).alias("s"))
 
     return F.when(bare != "", F.transform(chunks, key))

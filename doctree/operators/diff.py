@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions import numbers, text
@@ -33,9 +33,15 @@ def classify(base: DataFrame, head: DataFrame) -> DataFrame:
     """
     both = _side(base, "base").where("uuid is not null").join(_side(head, "head"), [KEY, "uuid"], "full_outer")
     same = F.col("base_body").eqNullSafe(F.col("head_body"))
-    same_name = F.col("base_name") == F.col("head_name")
     alike = text.normalized_body("base_body").eqNullSafe(text.normalized_body("head_body"))
-    change = (
+    return both.withColumn("change", change_of(same, alike)).withColumn("status", F.expr(STATUS))
+
+
+def change_of(same: Column, alike: Column) -> Column:
+    """The change of a row with uuid and number and name of both sides; ``same`` and ``alike`` say whether its bodies are
+    equal, as they are and but for the numbers inside links."""
+    same_name = F.col("base_name") == F.col("head_name")
+    return (
         F.when(F.col("head_doc_no").isNull(), "Deleted")
         .when(F.col("uuid").isNull(), "substantive")
         .when(F.col("base_doc_no").isNull(), "Inserted")
@@ -43,8 +49,10 @@ def classify(base: DataFrame, head: DataFrame) -> DataFrame:
         .when(alike & same_name, "xref_only")
         .otherwise("substantive")
     )
-    status = F.when(F.col("change").isin("Inserted", "Deleted"), F.col("change")).when(F.col("change").isin("substantive", "xref_only"), "Edited")
-    return both.withColumn("change", change).withColumn("status", status)
+
+
+#: D3: the status of a change.
+STATUS = "CASE WHEN change IN ('Inserted', 'Deleted') THEN change WHEN change IN ('substantive', 'xref_only') THEN 'Edited' END"
 
 
 def _ancestors(rows: DataFrame, number: str) -> DataFrame:

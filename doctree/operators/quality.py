@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import numbers, text
-from doctree.operators import tree
+from doctree.operators import order, tree
 from doctree.sources import monolith
 
 KEYS = list(schema.KEYS)
@@ -63,9 +63,9 @@ def _label_rules() -> Column:
     seen = F.transform(labels, lambda s: s["label"])
     actual = F.filter(seen, lambda x: F.array_contains(need, x))
     expected = F.filter(need, lambda x: F.array_contains(seen, x))
-    order = F.when(actual != expected, F.array(_one("V10", None, F.array_join(actual, ", ")))).otherwise(F.array().cast(_ISSUE))
+    sorting = F.when(actual != expected, F.array(_one("V10", None, F.array_join(actual, ", ")))).otherwise(F.array().cast(_ISSUE))
     gone = F.transform(F.filter(need, lambda x: ~F.array_contains(seen, x)), lambda x: _one("V11", None, x))
-    return F.when(need.isNotNull(), F.concat(unknown, tight, order, gone)).otherwise(F.array().cast(_ISSUE))
+    return F.when(need.isNotNull(), F.concat(unknown, tight, sorting, gone)).otherwise(F.array().cast(_ISSUE))
 
 
 def row_rules(docs: DataFrame) -> DataFrame:
@@ -92,13 +92,12 @@ def row_rules(docs: DataFrame) -> DataFrame:
     return docs.select(*KEYS, "doc_no", F.explode(every).alias("i")).select(*KEYS, "i.rule_id", "i.line", "doc_no", "i.detail")
 
 
-def shallower(docs: DataFrame, most: int = 6) -> DataFrame:
-    """Each document with the level of the nearest earlier title of a smaller level. One running value for each level, no self-join."""
-    before = Window.partitionBy(*KEYS).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.max(F.when(F.col("level") == k, F.struct("line", "level"))).over(before).alias(f"s{k}") for k in range(1, most)]
-    found = docs.select("*", *seen)
-    nearest = F.greatest(F.lit(None).cast("struct<line:bigint,level:int>"), *(F.when(F.col("level") > k, F.col(f"s{k}")) for k in range(1, most)))
-    return found.withColumn("above", nearest["level"]).drop(*(f"s{k}" for k in range(1, most)))
+def shallower(docs: DataFrame, deepest: int = 6, most: int = order.MOST_IN_TASK) -> DataFrame:
+    """Each document with the level of the nearest earlier title of a smaller level. One carried value for each level, no self-join."""
+    seen = {f"s{k}": F.when(F.col("level") == k, F.struct("line", "level")) for k in range(1, deepest)}
+    found = order.carried(docs, KEYS, ["line"], last=seen, most=most)
+    nearest = F.greatest(F.lit(None).cast("struct<line:bigint,level:int>"), *(F.when(F.col("level") > k, F.col(f"s{k}")) for k in range(1, deepest)))
+    return found.withColumn("above", nearest["level"]).drop(*seen)
 
 
 def note_levels(docs: DataFrame) -> DataFrame:
@@ -151,8 +150,8 @@ def issues(docs: DataFrame) -> DataFrame:
 
 def ordered(found: DataFrame) -> DataFrame:
     """Issues with place, their order in a corpus version: by line, then by rule, then by what they say."""
-    by_rule = F.expr("cast(substr(rule_id, 2) as int)")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy("line", by_rule, "doc_no", "detail")))
+    by_rule = found.withColumn("rule_no", F.expr("cast(substr(rule_id, 2) as int)"))
+    return order.placed(by_rule, KEYS, ["line", "rule_no", "doc_no", "detail"], "place").drop("rule_no")
 
 
 def structure_rules(docs: DataFrame) -> DataFrame:
@@ -176,8 +175,7 @@ def structure_rules(docs: DataFrame) -> DataFrame:
     known = tree.lineage_keys(docs).join(plain.select(*KEYS, F.col("root_no").alias("ancestor_no")), [*KEYS, "ancestor_no"], "left_semi").select(*KEYS, "doc_no").distinct()
     alone = _issue(roots.join(known, [*KEYS, "doc_no"], "left_anti"), "S3", detail=F.col("parent_no"))
     keyed = docs.select(*KEYS, "doc_no", "line").join(tree.emit_keys(docs).dropDuplicates([*KEYS, "doc_no"]), [*KEYS, "doc_no"])
-    furthest = F.max("key").over(Window.partitionBy(*KEYS).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    late = _issue(keyed.withColumn("furthest", furthest).where("key < furthest"), "S4")
+    late = _issue(order.carried(keyed, KEYS, ["line", "doc_no"], greatest={"furthest": F.col("key")}).where("key < furthest"), "S4")
     return reduce(DataFrame.unionByName, [again, astray, lost, alone, late])
 
 

@@ -48,11 +48,11 @@ def descendant_counts(docs: DataFrame) -> DataFrame:
     return lineage(docs).groupBy(*KEYS, F.col("ancestor_no").alias("doc_no")).agg(F.count("*").alias("n_descendants"))
 
 
-def attach_positional(docs: DataFrame, order: str | Column) -> DataFrame:
-    """Research notes with the number of the nearest earlier document of another type. One window for each corpus version."""
-    before = Window.partitionBy(*KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    target = F.last(F.when(F.col("doc_type") != "Needed Research", F.col("doc_no")), ignorenulls=True).over(before)
-    return docs.withColumn("parent_no", target).where(F.col("doc_type") == "Needed Research")
+def attach_positional(docs: DataFrame, place: str, most: int = order.MOST_IN_TASK) -> DataFrame:
+    """Research notes with the number of the nearest document of another type before them, by ``place`` (a column). The number is carried from range to range in large corpora."""
+    target = F.when(F.col("doc_type") != "Needed Research", F.col("doc_no"))
+    found = order.carried(docs, KEYS, [place], last={"parent_no": target}, most=most)
+    return found.where(F.col("doc_type") == "Needed Research")
 
 
 def climbed(links: DataFrame) -> DataFrame:
@@ -77,7 +77,8 @@ def climbed(links: DataFrame) -> DataFrame:
 
 
 def note_number(doc_no: str = "doc_no") -> Column:
-    return F.regexp_extract(doc_no, r"^NR-(\d+)$", 1).try_cast("bigint")
+    """Sort key of a research note's own number; that of 0 where it has none."""
+    return numbers.value_key(F.regexp_extract(doc_no, r"^NR-(\d+)$", 1))
 
 
 def notes(docs: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def notes(docs: DataFrame) -> DataFrame:
 
     A note on a note leads where that one does; root_no need not exist. Notes that have each other as targets lead nowhere.
     """
-    own = F.struct(F.lit(-1).alias("k"), F.coalesce(note_number(), F.lit(0).cast("bigint")).alias("n"), F.col("doc_no").alias("s"))
+    own = F.struct(F.lit(-1).alias("k"), note_number().alias("n"), F.col("doc_no").alias("s"))
     some = docs.where(F.col("doc_type") == "Needed Research").groupBy(*KEYS, "doc_no").agg(F.max("target_no").alias("target_no"))
     found = climbed(some.select(*KEYS, F.col("doc_no").alias("node"), F.col("target_no").alias("up"), F.array(own).alias("steps")))
     return found.select(*KEYS, F.col("node").alias("doc_no"), F.col("top").alias("root_no"), F.col("steps").alias("chain"))
@@ -244,9 +245,9 @@ def emit_keys(docs: DataFrame) -> DataFrame:
     last = F.element_at(numbers.segments("step_no"), -1)
     digits = last.rlike(r"^\d+$")
     kind = F.when(~digits, 2).when(F.col("there"), 0).otherwise(1)
-    step = F.struct("at", F.struct(kind.alias("k"), F.when(digits, last.cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("n"), last.alias("s")).alias("step"))
+    step = F.struct("at", F.struct(kind.alias("k"), numbers.value_key(F.when(digits, last).otherwise("")).alias("n"), last.alias("s")).alias("step"))
     keys = steps.join(there, [*KEYS, "step_no"], "left").groupBy(*KEYS, "doc_no").agg(F.array_sort(F.collect_list(step)).alias("a")).select(*KEYS, "doc_no", F.col("a.step").alias("key"))
-    far = F.array(F.struct(F.lit(9).alias("k"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("s")))
+    far = F.array(F.struct(F.lit(9).alias("k"), numbers.value_key(F.lit("")).alias("n"), F.lit("").alias("s")))
     target = keys.select(*KEYS, F.col("doc_no").alias("root_no"), F.col("key").alias("target_key"))
     noted = notes(docs).join(target, [*KEYS, "root_no"], "left").select(*KEYS, "doc_no", F.concat(F.coalesce("target_key", far), "chain").alias("key"))
     return keys.unionByName(noted)

@@ -94,7 +94,8 @@ _SELECT = {
   SELECT sec.corpus_id, 'head', sec.doc_no || '.' || CAST(9000 + p.p_partkey AS STRING), 'Core', p.p_name, {_uuid("md5('part' || CAST(p.p_partkey AS STRING))")}, NULL, 'Brand ' || p.p_brand || '.', CAST(p.p_partkey AS BIGINT)
     FROM {{part}} p JOIN sec ON p.p_partkey = sec.o_orderkey)""",
     "dirty": f""", docs AS (
-  SELECT corpus_id, 'dirty' AS version_id, CASE WHEN k >= 0 AND k % 37 = 0 AND doc_type = 'Annotation' THEN doc_no || '.9' WHEN k >= 0 AND k % 41 = 0 AND doc_type = 'Core' THEN doc_no || '.0.5' ELSE doc_no END AS doc_no,
+  SELECT corpus_id, 'dirty' AS version_id, CASE WHEN k >= 0 AND k % 37 = 0 AND doc_type = 'Annotation' THEN doc_no || '.9' WHEN k >= 0 AND k % 41 = 0 AND doc_type = 'Core' THEN doc_no || '.0.5'
+      WHEN k >= 0 AND k % 53 = 0 AND doc_type = 'Core' THEN doc_no || '.' || repeat('7', 40) ELSE doc_no END AS doc_no,
     CASE WHEN k >= 0 AND k % 29 = 0 THEN 'Chapter' WHEN k >= 0 AND k % 67 = 0 AND doc_type = 'Core' THEN 'Article' ELSE doc_type END AS doc_type, name,
     CASE WHEN k < 0 THEN {_uuid('m')} WHEN k % 19 = 0 THEN {_uuid("md5('twice' || CAST(k % 5 AS STRING))")} WHEN k % 23 = 0 THEN substr(m, 1, 20) WHEN k % 43 = 0 THEN '' ELSE {_uuid('m')} END AS uuid,
     target_no, CASE WHEN k >= 0 AND k % 47 = 0 THEN '**Findings**:' || chr(10) || body ELSE body END AS body, k FROM raw)""",

@@ -36,9 +36,9 @@ DBS = f"""agent AS (SELECT DISTINCT up.{K.replace(', ', ', up.')}, up.doc_no FRO
   dbs AS (SELECT d.{K.replace(', ', ', d.')}, d.doc_no, d.doc_type, CASE WHEN a.doc_no IS NOT NULL THEN '{schema.AGENT_DATABASE}' ELSE t.database END AS database
     FROM docs d LEFT JOIN agent a USING ({K}, doc_no) LEFT JOIN {TYPES} t USING (doc_type))"""
 #: Siblings in order of their last number, after what stands before it.
-SIBLING = r"""list_transform(string_split(regexp_replace(doc_no, '^NR-', 'NR.'), '.'), lambda s: {'k': CASE WHEN regexp_full_match(s, '\d+') THEN 0 ELSE 1 END, 'n': coalesce(TRY_CAST(CASE WHEN regexp_full_match(s, '\d+') THEN s END AS BIGINT), 0), 's': s})"""
+SIBLING = r"""list_transform(string_split(regexp_replace(doc_no, '^NR-', 'NR.'), '.'), lambda s: {'k': CASE WHEN regexp_full_match(s, '\d+') THEN 0 ELSE 1 END, 'n': {'l': length(ltrim(regexp_extract(s, '^\d+$'), '0')), 'd': ltrim(regexp_extract(s, '^\d+$'), '0')}, 's': s})"""
 #: Research notes with the number that their targets lead to, and the keys of the notes on the way and their own.
-CHAIN = f"""note AS (SELECT DISTINCT {K}, doc_no, target_no, {{'k': -1, 'n': CAST(substr(doc_no, 4) AS BIGINT), 's': doc_no}} AS own FROM docs WHERE doc_type = 'Needed Research'),
+CHAIN = f"""note AS (SELECT DISTINCT {K}, doc_no, target_no, {{'k': -1, 'n': {{'l': length(ltrim(substr(doc_no, 4), '0')), 'd': ltrim(substr(doc_no, 4), '0')}}, 's': doc_no}} AS own FROM docs WHERE doc_type = 'Needed Research'),
   climb(corpus_id, version_id, doc_no, up, chain) AS (
     SELECT {K}, doc_no, target_no, [own] FROM note
     UNION ALL SELECT c.corpus_id, c.version_id, c.doc_no, n.target_no, list_prepend(n.own, c.chain) FROM climb c JOIN note n ON n.corpus_id = c.corpus_id AND n.version_id = c.version_id AND n.doc_no = c.up),
@@ -72,9 +72,9 @@ PATHS = f"""rooted AS (SELECT d.corpus_id, d.version_id, d.doc_no, row_number()
 EMIT_KEYS = f"""plain AS (SELECT * FROM docs WHERE doc_type <> 'Needed Research'),
   stp AS (SELECT {K}, doc_no, i, p[i] AS s, array_to_string(p[1:i], '.') AS no FROM (SELECT {K}, doc_no, string_split(doc_no, '.') AS p, unnest(generate_series(1, len(string_split(doc_no, '.')))) AS i FROM (SELECT DISTINCT {K}, doc_no FROM plain))),
   ekey AS (SELECT stp.corpus_id, stp.version_id, stp.doc_no, list({{'k': CASE WHEN NOT regexp_full_match(s, '\\d+') THEN 2 WHEN t.no IS NOT NULL THEN 0 ELSE 1 END,
-      'n': CASE WHEN regexp_full_match(s, '\\d+') THEN CAST(s AS BIGINT) ELSE 0 END, 's': s}} ORDER BY i) AS key
+      'n': {{'l': length(ltrim(regexp_extract(s, '^\\d+$'), '0')), 'd': ltrim(regexp_extract(s, '^\\d+$'), '0')}}, 's': s}} ORDER BY i) AS key
     FROM stp LEFT JOIN (SELECT DISTINCT {K}, doc_no AS no FROM plain) t ON t.corpus_id = stp.corpus_id AND t.version_id = stp.version_id AND t.no = stp.no GROUP BY stp.corpus_id, stp.version_id, stp.doc_no),
-  akey AS (SELECT * FROM ekey UNION ALL SELECT c.corpus_id, c.version_id, c.doc_no, list_concat(coalesce(t.key, [{{'k': 9, 'n': CAST(0 AS BIGINT), 's': ''}}]), c.chain)
+  akey AS (SELECT * FROM ekey UNION ALL SELECT c.corpus_id, c.version_id, c.doc_no, list_concat(coalesce(t.key, [{{'k': 9, 'n': {{'l': CAST(0 AS BIGINT), 'd': ''}}, 's': ''}}]), c.chain)
     FROM chain c LEFT JOIN ekey t ON t.corpus_id = c.corpus_id AND t.version_id = c.version_id AND t.doc_no = c.root_no),
   pos AS MATERIALIZED (SELECT {K}, doc_no, row_number() OVER (PARTITION BY {K} ORDER BY key, doc_no) AS position FROM akey)"""
 EMIT = f"{CHAIN}, {EMIT_KEYS}"

@@ -184,7 +184,7 @@ def last_number_of_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""{with_docs()}, c AS (SELECT corpus_id, doc_no, regexp_extract_all(regexp_replace(doc_no, '^[A-Za-z]+\.', ''), '\d+|\D+') AS c FROM docs)
 SELECT corpus_id, doc_no, row_number() OVER (PARTITION BY corpus_id ORDER BY list_transform(c, lambda x: {{'k': CASE WHEN regexp_matches(x, '^\d') THEN 1 WHEN regexp_matches(x, '^[A-Za-z]') THEN 2 ELSE 0 END,
-  'n': coalesce(TRY_CAST(CASE WHEN regexp_matches(x, '^\d') THEN x END AS BIGINT), 0), 's': CASE WHEN regexp_matches(x, '^\d') THEN '' ELSE lower(x) END}}), doc_no) AS place FROM c""")
+  'n': {{'l': length(ltrim(regexp_extract(x, '^\d+'), '0')), 'd': ltrim(regexp_extract(x, '^\d+'), '0')}}, 's': CASE WHEN regexp_matches(x, '^\d') THEN '' ELSE lower(x) END}}), doc_no) AS place FROM c""")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in natural order, one window for each corpus."""
     order = tree.Window.partitionBy("corpus_id").orderBy(numbers.natural_key("doc_no").asc_nulls_last(), "doc_no")

@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` computed once, as Parquet in the shared folder, and read again: this cuts its lineage.
 
-    The table lives until the :func:`tables` block that it was written in ends, or until the process does.
+    ``options`` are the writer's, such as compression. The table lives until the :func:`tables` block that it was written in ends, or until the process does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/doctree/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctree import schema
@@ -52,34 +52,84 @@ def lines(raw: DataFrame) -> DataFrame:
 
 def owned_lines(raw: DataFrame) -> DataFrame:
     """Each line with the line of the title that it stands under (null before the first)."""
-    found = lines(raw).withColumn("is_title", F.col("content").rlike(TITLE))
-    before = Window.partitionBy(*KEYS).orderBy("line")
-    return found.withColumn("owner_line", F.last(F.when(F.col("is_title"), F.col("line")), ignorenulls=True).over(before)).drop("is_title")
+    return owned(lines(raw))
 
 
-def levels(docs: DataFrame) -> DataFrame:
-    """H3: documents with level; a research note is one below its target, note or not, 6 at most and where targets lead nowhere."""
-    own = docs.withColumn("level", numbers.heading_level("doc_no", "doc_type"))
-    target = own.where("doc_type <> 'Needed Research'").groupBy(*KEYS, F.col("doc_no").alias("root_no")).agg(F.min("level").alias("target_level"))
+def owned(found: DataFrame, most: int = order.MOST_IN_TASK) -> DataFrame:
+    """W1 of lines (line, content), which may come from texts that are no one value."""
+    title = F.when(F.col("content").rlike(TITLE), F.col("line"))
+    return order.carried(found, KEYS, ["line"], last={"owner_line": title}, own=True, most=most)
+
+
+def read_lines(spark: SparkSession, path: str, most: int = order.MOST_IN_TASK) -> DataFrame:
+    """S5 for texts beyond one value: the lines of files below ``path``, in folders by corpus and version.
+
+    A file is read in splits by as many tasks; a line's place follows from its file, the split that it is in and its order there.
+    The files of one folder follow each other by name.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("corpus_id").cast("string"), F.col("version_id").cast("string"), F.regexp_replace("value", r"\r$", "").alias("content"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return order.placed(rows, KEYS, ["file", "split", "at"], "line", most).drop("file", "split", "at")
+
+
+def documents(found: DataFrame, most: int = order.MOST_IN_TASK) -> DataFrame:
+    """S4 of lines (line, content): equal to :func:`read` of the whole text but for pos, which is the title's line. Only a document's own lines come together."""
+    rows = owned(found, most).where("owner_line is not null")
+    packed = rows.groupBy(*KEYS, "owner_line").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("l"))
+    each = packed.select(*KEYS, F.col("owner_line").alias("pos"), F.element_at("l.content", 1).alias("title"), F.array_join(F.slice("l.content", F.lit(2), F.size("l")), "\n").alias("body"))
+    return each.withColumns(title_fields("title")).withColumn("body", text.trim_blank_lines(F.col("body")))
+
+
+def noted_levels(docs: DataFrame) -> DataFrame:
+    """H3: (doc_no, note_level) of research notes: one below their target, note or not, 6 at most and where targets lead nowhere."""
+    own = docs.where("doc_type <> 'Needed Research'").withColumn("level", numbers.heading_level("doc_no", "doc_type"))
+    target = own.groupBy(*KEYS, F.col("doc_no").alias("root_no")).agg(F.min("level").alias("target_level"))
     noted = tree.notes(docs).join(target, [*KEYS, "root_no"], "left")
-    noted = noted.select(*KEYS, "doc_no", F.coalesce(F.least(F.lit(6), F.col("target_level") + F.size("chain")), F.lit(6)).alias("note_level"))
-    # Numbers of notes are those of no other documents, so one join serves all.
-    joined = own.join(noted, [*KEYS, "doc_no"], "left")
-    return joined.withColumn("level", F.when(F.col("doc_type") == "Needed Research", F.col("note_level")).otherwise(F.col("level"))).drop("note_level")
+    return noted.select(*KEYS, "doc_no", F.coalesce(F.least(F.lit(6), F.col("target_level") + F.size("chain")), F.lit(6)).alias("note_level"))
+
+
+def _level() -> Column:
+    return F.when(F.col("doc_type") == "Needed Research", F.col("note_level")).otherwise(numbers.heading_level("doc_no", "doc_type"))
+
+
+def levels(docs: DataFrame) -> DataFrame:
+    """H3: documents with level. Numbers of notes are those of no other documents, so one join serves all."""
+    return docs.join(noted_levels(docs), [*KEYS, "doc_no"], "left").withColumn("level", _level()).drop("note_level")
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """(doc_no, position, note_level): what a document's place and title need that other documents tell."""
+    return tree.positions(docs).join(noted_levels(docs), [*KEYS, "doc_no"], "left")
+
+
+def _title() -> Column:
+    return text.heading_line(F.col("level"), F.col("doc_no"), F.col("name"), F.col("doc_type"), F.col("uuid"))
+
+
+def _block() -> Column:
+    body = F.coalesce("body", F.lit(""))
+    return F.concat("title", F.lit("\n"), F.when(body != "", F.concat(F.lit("\n"), body, F.lit("\n"))).otherwise(""))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents with their position in reading order, title line and block of text."""
-    placed = levels(docs).join(tree.positions(docs), [*KEYS, "doc_no"])
-    title = text.heading_line(F.col("level"), F.col("doc_no"), F.col("name"), F.col("doc_type"), F.col("uuid"))
-    body = F.coalesce("body", F.lit(""))
-    return placed.withColumn("title", title).withColumn("block", F.concat("title", F.lit("\n"), F.when(body != "", F.concat(F.lit("\n"), body, F.lit("\n"))).otherwise("")))
+    placed = docs.join(_keys(docs), [*KEYS, "doc_no"]).withColumn("level", _level()).drop("note_level")
+    return placed.withColumn("title", _title()).withColumn("block", _block())
+
+
+def _ends(docs: DataFrame, size: Column, name: str) -> DataFrame:
+    """(doc_no, position, note_level, n, ``name``): the running sum of ``size`` (n) in reading order. No body is shuffled, only sizes."""
+    keys = written(_keys(docs), "keys")
+    sizes = docs.join(keys, [*KEYS, "doc_no"]).withColumn("level", _level()).withColumn("title", _title())
+    sizes = sizes.groupBy(*KEYS, "doc_no", "position", "note_level").agg(F.sum(size).cast("long").alias("n"))
+    return order.running(sizes, KEYS, ["position"], "n", name)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """The first and last line of each document in its corpus' text, from 1."""
-    found = blocks(docs).select(*KEYS, "doc_no", "position", (F.length("block") - F.length(F.replace("block", F.lit("\n"))) + 1).alias("n"))
-    found = order.running(found, KEYS, ["position"], "n", "line_end")
+    feeds = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n")))
+    shaped = docs.withColumns({"bodied": F.coalesce("body", F.lit("")) != "", "feeds": feeds("body")}).drop("body")
+    found = _ends(shaped, feeds("title") + 2 + F.when(F.col("bodied"), F.col("feeds") + 2).otherwise(0), "line_end")
     return found.select(*KEYS, "doc_no", (F.col("line_end") - F.col("n") + 1).alias("line_start"), "line_end")
 
 
@@ -98,10 +148,12 @@ def parts(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
     Parts begin at a title, so :func:`read` takes each by itself; parts in their order, joined by line feeds, are the
     whole text. Parts are worked out and joined apart from each other, so a corpus may have any size.
     """
-    found = blocks(docs).withColumn("n", F.length("block") + 1)
-    ends = order.running(found.select(*KEYS, "doc_no", "position", "n"), KEYS, ["position"], "n", "end")
-    part = ends.select(*KEYS, "position", F.expr(f"cast((end - n) div {most} as int)").alias("part"))
-    return joined(found.join(part, [*KEYS, "position"]), [*KEYS, "part"])
+    long = F.length(F.coalesce("body", F.lit("")))
+    shaped = docs.withColumn("long", long).drop("body")
+    ends = _ends(shaped, F.length("title") + 2 + F.when(F.col("long") > 0, F.col("long") + 2).otherwise(0), "end")
+    part = ends.select(*KEYS, "doc_no", "position", "note_level", F.expr(f"cast((end - n) div {most} as int)").alias("part"))
+    found = docs.join(part, [*KEYS, "doc_no"]).withColumn("level", _level()).withColumn("title", _title()).withColumn("block", _block())
+    return joined(found.select(*KEYS, "part", "position", "block"), [*KEYS, "part"])
 
 
 def write_files(docs: DataFrame, path: str, most: int = 16_000_000) -> None:

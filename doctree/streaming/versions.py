@@ -1,11 +1,20 @@
-"""New versions as a stream: ingest what lands, publish whole versions that pass the gate, and serve the last good one.
+"""New versions as a stream: ingest what lands, publish whole versions that pass the gate, diff them, and serve the last good one.
 
-A version may land in several files and batches, again, or late. A batch only says which versions it touches; each of
-these is put together again from everything of it that has landed, judged as a whole, and published as a whole. So
-three tables grow beside each other, and nothing is overwritten but by a rerun of its own batch:
+Documents land under a commit: ``commit_id``, and ``commit_docs``, the number of documents that it has. A commit may land in several
+files and batches, or again; it is complete when all its documents are there, and only then is it looked at. It is then judged as a
+whole and settled: published, quarantined, or superseded where its version already has a later commit. What lands of a settled commit
+later is not even kept. So a version is what its last complete commit has, with what that one moved and without what it removed.
 
-* ``landed`` keeps every distinct document of every batch, in buckets by corpus,
-* ``published`` has the good versions of each batch, whole, and
+Sources that know no commits leave these columns out (or null). Then a version is all that has landed of it, judged again whenever
+more lands; of what a uuid or a number stands for, the last batch counts, so moves are seen but removals are not.
+
+Below ``target``, tables grow by batch, and nothing is overwritten but by a rerun of its own batch:
+
+* ``landed`` has the documents, dealt by commit into ``BUCKETS`` folders for each batch, and ``landings`` says which commit landed when:
+  a batch reads the folders of the commits that it touches, not the history,
+* ``judged`` and ``commits`` have the verdict on each complete commit,
+* ``published`` has the good versions of each batch, whole, and ``digests`` what a comparison needs of each of their documents,
+* ``diffs`` has what each published version changed, and
 * ``manifest`` says which versions a batch has published. It is written last, so a version shows all at once or not at all.
 """
 
@@ -13,20 +22,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doctree import schema
+from doctree.functions import text
 from doctree.operators import diff, tree
 
 KEYS = list(schema.KEYS)
+COMMIT = [*KEYS, "commit_id"]
 #: A version with fewer documents or characters is not published.
 LEAST_DOCS = 1
 LEAST_CHARS = 100
-#: Buckets of the landed table; a batch reads those that its corpora are in.
-BUCKETS = 64
-_MARK = ("bucket", "batch_id")
+#: Folders of a batch that commits, or the corpora of digests, are dealt into; only those that have rows exist.
+BUCKETS = 1024
+_COMMITS = "corpus_id string, version_id string, commit_id string, committed_at timestamp, status string, batch_id int"
+_LANDINGS = "corpus_id string, version_id string, commit_id string, bucket int, batch_id int"
+_MANIFEST = "corpus_id string, version_id string, commit_id string, committed_at timestamp, batch_id int"
+_DIFFS = "corpus_id string, version_id string, uuid string, base_doc_no string, base_name string, head_doc_no string, head_name string, change string, status string, base_id string, batch_id int"
+_DIGESTS = "corpus_id string, version_id string, uuid string, doc_no string, name string, body binary, links binary, bucket int, batch_id int"
 
 
 def ingest(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
@@ -54,51 +69,113 @@ def _put(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def publisher(target: str, **limits: int) -> Callable[[DataFrame, int], None]:
-    """R2: for ``foreachBatch``: rebuild and judge the versions that a batch touches, and publish the good ones below ``target``.
+def _table(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
+    """What a table has, which is nothing before it is first written."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], row_schema)
+    return spark.read.schema(row_schema).parquet(path)
+
+
+def _kept(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """``rows`` written as a batch's partition of a table, and read again."""
+    marked = rows.withColumn("batch_id", F.lit(batch_id))
+    _put(marked, path, "batch_id")
+    return rows.sparkSession.read.schema(marked.schema).parquet(path).where(F.col("batch_id") == batch_id).drop("batch_id")
+
+
+def _folders(spark: SparkSession, path: str, places: DataFrame, row_schema: object) -> DataFrame:
+    """The rows in those folders (bucket, batch_id) of a table that ``places`` names: only these are listed and read."""
+    found = sorted((r.bucket, r.batch_id) for r in places.select("bucket", "batch_id").distinct().collect())
+    if not found:
+        return spark.createDataFrame([], row_schema)
+    return spark.read.schema(row_schema).option("basePath", path).parquet(*(f"{path}/bucket={b}/batch_id={n}" for b, n in found))
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _standing(rows: DataFrame) -> DataFrame:
+    """(COMMIT, batch_id, row) of the landed ``rows`` that count: the last batch's of each uuid and of each number, equal ones once.
+
+    Different forms of a document in one batch stay beside each other. Bodies are not looked at, only their digests.
+    """
+    keys = rows.select(*COMMIT, F.when(F.col("uuid") != "", F.col("uuid")).alias("uuid"), "doc_no", "digest", "batch_id", "row")
+    once = keys.groupBy(*COMMIT, "uuid", "doc_no", "digest", "batch_id").agg(F.min("row").alias("row"))
+    same = lambda *c: [F.col(f"o.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*COMMIT, *c)]
+    for key in ("uuid", "doc_no"):
+        last = once.where(F.col(key).isNotNull()).groupBy(*COMMIT, key).agg(F.max("batch_id").alias("last"))
+        once = once.alias("o").join(last.alias("l"), [*same(key), F.col("o.batch_id") < F.col("l.last")], "left_anti")
+    return once.select(*COMMIT, "batch_id", "row")
+
+
+def publisher(target: str, base_version: str | None = None, **limits: int) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: judge the commits that a batch completes, publish the good ones below ``target``, and diff them.
 
-    Versions that fail go to ``quarantine`` and keep what was published of them before. A batch that runs again after a
-    failure writes the same partitions again.
+    A version that fails goes to ``quarantine`` and keeps what was published of it before. Diffs compare with ``base_version``, or
+    with the version of the corpus that was committed before. A batch that runs again after a failure writes the same partitions again.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return
+        for name, kind in (("commit_id", "string"), ("commit_docs", "long")):
+            if name not in batch.columns:
+                batch = batch.withColumn(name, F.lit(None).cast(kind))
         mark = F.lit(batch_id).alias("batch_id")
-        bucket = F.pmod(F.xxhash64("corpus_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-        _put(batch.distinct().select("*", bucket, mark), f"{target}/landed", *_MARK)
-        landed = spark.read.parquet(f"{target}/landed")
-        mine = landed.where(F.col("batch_id") == batch_id)
-        touched = mine.select(*KEYS).distinct()
-        buckets = [r.bucket for r in mine.select("bucket").distinct().collect()]  # BUCKETS at most
-        every = landed.where(F.col("bucket").isin(buckets) & (F.col("batch_id") <= batch_id)).join(touched, KEYS, "left_semi")
-        # Of a document that landed in several forms the last batch's counts; forms of one batch stay beside each other.
-        last = every.groupBy(*KEYS, "doc_no", "uuid").agg(F.max("batch_id").alias("last"))
-        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*KEYS, "doc_no", "uuid")]
-        whole = every.alias("e").join(last.alias("l"), [*same, F.col("e.batch_id") == F.col("l.last")], "left_semi").drop(*_MARK)
-        _put(whole.select("*", mark), f"{target}/candidates", "batch_id")
-        whole = spark.read.parquet(f"{target}/candidates").where(F.col("batch_id") == batch_id)
-        _put(gate(whole.drop("batch_id"), **limits).select("*", mark), f"{target}/judged", "batch_id")
-        judged = spark.read.parquet(f"{target}/judged").where(F.col("batch_id") == batch_id)
+        settled = _table(spark, f"{target}/commits", _COMMITS).where((F.col("batch_id") < batch_id) & F.col("commit_id").isNotNull())
+        fresh = batch.join(settled.select(*COMMIT).distinct(), COMMIT, "left_anti")
+        digest = F.xxhash64(*(c for c in batch.columns if c not in ("committed_at",))).alias("digest")
+        placed = fresh.select("*", digest, _bucket(*COMMIT)).repartition("bucket").sortWithinPartitions("bucket", *COMMIT)
+        _put(placed.select("*", F.monotonically_increasing_id().alias("row"), mark), f"{target}/landed", "bucket", "batch_id")
+        whole_schema = placed.select(*batch.columns, "digest", F.lit(0).cast("long").alias("row"), "bucket", mark).schema
+        mine = spark.read.schema(whole_schema).parquet(f"{target}/landed").where(F.col("batch_id") == batch_id)
+        _put(mine.select(*COMMIT, "bucket", "batch_id").distinct(), f"{target}/landings", "batch_id")
+        landings = _table(spark, f"{target}/landings", _LANDINGS).where(F.col("batch_id") <= batch_id)
+        touched = landings.where(F.col("batch_id") == batch_id).select(*COMMIT)
+        if touched.isEmpty():
+            return
+        null_safe = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*COMMIT, *more)]
+        places = landings.alias("a").join(touched.alias("t"), null_safe("a", "t"), "left_semi")
+        every = _folders(spark, f"{target}/landed", places, whole_schema).alias("a").join(touched.alias("t"), null_safe("a", "t"), "left_semi")
+        standing = _standing(every)
+        wanted = every.groupBy(*COMMIT).agg(F.max("commit_docs").alias("commit_docs"), F.max("committed_at").alias("committed_at"))
+        counts = standing.groupBy(*COMMIT).agg(F.count("*").alias("n"))
+        done = counts.alias("a").join(wanted.alias("w"), null_safe("a", "w")).where("commit_docs is null or n = commit_docs").select(*(F.col(f"a.{c}") for c in COMMIT), "committed_at")
+        done = _kept(done, f"{target}/complete", batch_id)
+        # Of the commits of a version the last counts, among those of this batch and what is published.
+        known = _table(spark, f"{target}/manifest", _MANIFEST).where((F.col("batch_id") < batch_id) & F.col("commit_id").isNotNull())
+        at = F.struct("committed_at", "commit_id")
+        last = done.groupBy(*KEYS).agg(F.max(at).alias("last")).join(known.groupBy(*KEYS).agg(F.max(at).alias("known")), KEYS, "left")
+        last = last.where(F.col("known").isNull() | (F.col("last") > F.col("known"))).select(*KEYS, "last.commit_id")
+        rows = standing.alias("s").join(last.alias("a"), null_safe("s", "a"), "left_semi")
+        whole = every.alias("e").join(rows.alias("s"), null_safe("e", "s", "batch_id", "row"), "left_semi").drop("bucket", "batch_id", "row", "digest")
+        whole = _kept(whole, f"{target}/candidates", batch_id)
+        judged = _kept(gate(whole, **limits).join(last, KEYS), f"{target}/judged", batch_id)
         good = judged.where("good").select(*KEYS)
-        _put(whole.join(good, KEYS, "left_semi"), f"{target}/published", "batch_id")
-        _put(whole.join(good, KEYS, "left_anti"), f"{target}/quarantine", "batch_id")
-        _put(judged.where("good").drop("good"), f"{target}/manifest", "batch_id")
+        out = _kept(whole.join(good, KEYS, "left_semi"), f"{target}/published", batch_id)
+        _kept(whole.join(good, KEYS, "left_anti"), f"{target}/quarantine", batch_id)
+        told = done.alias("a").join(judged.alias("j"), null_safe("a", "j"), "left")
+        status = F.when(F.col("j.good").isNull(), "superseded").when(F.col("j.good"), "published").otherwise("quarantined")
+        _put(told.select(*(F.col(f"a.{c}") for c in COMMIT), F.col("a.committed_at"), status.alias("status"), mark), f"{target}/commits", "batch_id")
+        _put(digests(out).select("*", _bucket("corpus_id"), mark), f"{target}/digests", "bucket", "batch_id")
+        manifest = judged.where("good").drop("good").select("*", mark)
+        _diff(spark, target, manifest, batch_id, base_version)
+        _put(manifest, f"{target}/manifest", "batch_id")
 
     return publish
 
 
-def publish_stream(docs: DataFrame, target: str, checkpoint: str, **limits: int) -> StreamingQuery:
+def publish_stream(docs: DataFrame, target: str, checkpoint: str, base_version: str | None = None, **limits: int) -> StreamingQuery:
     """Run what has landed through the gate, then stop."""
-    return docs.writeStream.foreachBatch(publisher(target, **limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return docs.writeStream.foreachBatch(publisher(target, base_version, **limits)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def published(spark: SparkSession, target: str) -> DataFrame:
     """The documents of all published versions, each as the last batch that published it has it."""
     # What has landed has a schema even while nothing is published.
-    rows = spark.read.parquet(f"{target}/landed").drop("bucket")
-    manifest = spark.read.schema("corpus_id string, version_id string, batch_id int").parquet(f"{target}/manifest")
+    rows = spark.read.parquet(f"{target}/landed").drop("bucket", "row", "digest", "commit_id", "commit_docs")
+    manifest = _table(spark, f"{target}/manifest", _MANIFEST)
     last = manifest.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
     return spark.read.schema(rows.schema).parquet(f"{target}/published").join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
 
@@ -109,11 +186,58 @@ def latest_good(found: DataFrame) -> DataFrame:
     return last.select("corpus_id", "v.version_id")
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """What a comparison needs of each document: uuid, number, name, and digests of its body (body), also without numbers in links (links)."""
+    own = lambda c: F.unhex(F.md5(c))
+    return docs.select(*KEYS, F.when(F.col("uuid") != "", F.col("uuid")).alias("uuid"), "doc_no", "name", own(F.col("body")).alias("body"), own(text.normalized_body("body")).alias("links"))
+
+
+def compared(heads: DataFrame, bases: DataFrame) -> DataFrame:
+    """J9, D1 to D3 on digests: ``heads`` and ``bases`` as :func:`digests` has them, both keyed by the head's version.
+
+    Equal to :func:`diff.classify` of the documents, but bodies are neither read nor told: uuid, number and name of both sides, change, status.
+    """
+    side = lambda d, n: d.select(*KEYS, "uuid", *(F.col(c).alias(f"{n}_{c}") for c in ("doc_no", "name", "body", "links")))
+    both = side(bases, "base").where("uuid is not null").join(side(heads, "head"), [*KEYS, "uuid"], "full_outer")
+    same, alike = (F.col(f"base_{c}").eqNullSafe(F.col(f"head_{c}")) for c in ("body", "links"))
+    found = both.withColumn("change", diff.change_of(same, alike)).withColumn("status", F.expr(diff.STATUS))
+    return found.drop("base_body", "base_links", "head_body", "head_links")
+
+
+def _diff(spark: SparkSession, target: str, manifest: DataFrame, batch_id: int, base_version: str | None) -> None:
+    """The changes of the versions that this batch publishes (``manifest``), one partition for each batch; a corpus' first version has none."""
+    before = _table(spark, f"{target}/manifest", _MANIFEST).where(F.col("batch_id") < batch_id)
+    one = lambda d: d.select(*KEYS, "committed_at", "batch_id")
+    new = one(manifest).withColumn("new", F.lit(True))
+    rest = one(before).join(new, KEYS, "left_anti").groupBy(*KEYS).agg(F.max(F.struct("batch_id", "committed_at")).alias("m")).select(*KEYS, "m.committed_at", "m.batch_id", F.lit(False).alias("new"))
+    every = new.unionByName(rest.join(new.select("corpus_id").distinct(), "corpus_id", "left_semi"))
+    if base_version is None:
+        order = Window.partitionBy("corpus_id").orderBy("committed_at", "version_id")
+        pairs = every.withColumns({"base_id": F.lag("version_id").over(order), "base_batch": F.lag("batch_id").over(order)}).where("new and base_id is not null")
+    else:
+        base = every.where(F.col("version_id") == base_version).select("corpus_id", F.col("version_id").alias("base_id"), F.col("batch_id").alias("base_batch"))
+        pairs = every.where("new").join(base, "corpus_id").where("version_id <> base_id")
+    pairs = _kept(pairs.select(*KEYS, "base_id", "base_batch"), f"{target}/pairs", batch_id).withColumn("batch_id", F.lit(batch_id))
+    bucket = _bucket("corpus_id")
+    heads = _folders(spark, f"{target}/digests", pairs.select(bucket, "batch_id"), _DIGESTS).join(pairs.select(*KEYS), KEYS, "left_semi")
+    olds = _folders(spark, f"{target}/digests", pairs.select(bucket, F.col("base_batch").alias("batch_id")), _DIGESTS)
+    named = pairs.select("corpus_id", F.col("base_id").alias("version_id"), F.col("base_batch").alias("batch_id"), F.col("version_id").alias("head_id"))
+    bases = olds.join(named, [*KEYS, "batch_id"]).withColumn("version_id", F.col("head_id")).drop("head_id")
+    found = compared(heads, bases).join(pairs.select(*KEYS, "base_id"), KEYS)
+    _put(found.withColumn("batch_id", F.lit(batch_id)), f"{target}/diffs", "batch_id")
+
+
+def diffs(spark: SparkSession, target: str) -> DataFrame:
+    """What each published version changed against its base (base_id), as the last batch that published it has it."""
+    last = _table(spark, f"{target}/manifest", _MANIFEST).groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return _table(spark, f"{target}/diffs", _DIFFS).join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
+
+
 def diff_publisher(base: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the changes of each new head against ``base``, one partition for each batch.
+    """For ``foreachBatch`` over heads that land whole: the changes of each against ``base``, one partition for each batch.
 
     All versions of a batch, however many, are compared in one job: each version of a corpus is a corpus of its own to
-    the comparison.
+    the comparison. Heads that land in parts are compared by :func:`publisher`, once they are complete.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -9,7 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from doctree.operators import order, quality, search, tree
+from doctree.operators import diff, order, quality, search, tree
 from doctree.sources import atoms, monolith, proposals, tree_json
 from doctree.streaming import versions
 
@@ -207,6 +207,102 @@ def test_a_version_with_documents_outside_its_tree_is_not_published(spark, tmp_p
     assert {(r.version_id, r.n_docs, r.n_tree) for r in spark.read.parquet(f"{tmp_path}/out/judged").where("not good").collect()} == {("v2", 9, 8)}
 
 
+class Commits(Stream):
+    """As Stream, under commits."""
+
+    def land(self, docs, version, commit, size, day="2024-01-01"):
+        docs = docs.withColumns({"commit_id": F.lit(commit), "commit_docs": F.lit(size).cast("long")})
+        super().land(docs, version, day)
+
+    def run(self):
+        stream = versions.ingest(self.spark, f"{self.path}/in", VERSION + ", commit_id string, commit_docs long")
+        versions.publish_stream(stream, f"{self.path}/out", f"{self.path}/checkpoint", **self.limits).awaitTermination()
+        return versions.published(self.spark, f"{self.path}/out")
+
+    def status(self):
+        return sorted((r.commit_id, r.status) for r in self.spark.read.parquet(f"{self.path}/out/commits").collect())
+
+    def batches(self, table):
+        return sorted(r.batch_id for r in self.spark.read.parquet(f"{self.path}/out/{table}").select("batch_id").distinct().collect())
+
+
+def without_body(rows):
+    return sorted((r.uuid or "", r.base_doc_no or "", r.head_doc_no or "", r.base_name or "", r.head_name or "", r.change, r.status or "") for r in rows)
+
+
+def test_a_commit_is_published_when_it_is_complete_and_once(spark, tmp_path):
+    docs, stream = tree_docs(spark), Commits(spark, tmp_path)
+    parts = [docs.where("doc_no in ('A.1', 'A.1.1')"), docs.where("doc_no like 'A.1.1.%'"), docs.where("doc_no like 'NR%'")]
+    for part, want in zip(parts, ({}, {}, {"v1": 9}), strict=True):
+        stream.land(part, "v1", "c1", 9)
+        assert stream.counts() == want
+    before = stream.batches("landings"), stream.batches("published")
+    stream.land(docs, "v1", "c1", 9)  # seen: it is not even kept
+    assert stream.counts() == {"v1": 9} and (stream.batches("landings"), stream.batches("published")) == before
+    assert stream.status() == [("c1", "published")]
+
+
+def test_a_later_commit_replaces_moves_and_removals_and_an_earlier_one_does_not(spark, tmp_path):
+    docs, stream = tree_docs(spark), Commits(spark, tmp_path)
+    stream.land(docs, "v1", "c1", 9, "2024-01-05")
+    assert stream.counts() == {"v1": 9}
+    moved = docs.where("doc_no <> 'NR-3'").withColumn("doc_no", F.when(F.col("doc_no") == "A.1.1.10", "A.1.1.11").when(F.col("doc_no") == "A.1.1.10.7.1", "A.1.1.11.7.1").otherwise(F.col("doc_no")))
+    moved = moved.withColumn("target_no", F.regexp_replace("target_no", "10$", "11"))
+    stream.land(moved, "v1", "c2", moved.count(), "2024-01-06")
+    found = {r.doc_no: r.uuid for r in stream.run().collect()}
+    assert found == {r.doc_no: r.uuid for r in moved.collect()} and "A.1.1.10" not in found and "NR-3" not in found
+    stream.land(docs, "v1", "c0", 9, "2024-01-01")
+    assert {r.doc_no for r in stream.run().collect()} == set(found)
+    assert stream.status() == [("c0", "superseded"), ("c1", "published"), ("c2", "published")]
+
+
+def test_one_document_over_is_not_a_complete_commit_and_a_repeated_one_is(spark, tmp_path):
+    docs, stream = tree_docs(spark), Commits(spark, tmp_path)
+    stream.land(docs, "v1", "c1", 8)
+    stream.land(docs, "v2", "c2", 9)
+    stream.land(docs, "v2", "c2", 9)
+    stream.land(docs.limit(1), "v3", "c3", 1)
+    assert stream.counts() == {"v2": 9} and stream.status() == [("c2", "published"), ("c3", "quarantined")]
+
+
+def test_a_head_over_several_batches_gives_one_diff(spark, tmp_path):
+    docs, stream = tree_docs(spark), Commits(spark, tmp_path)
+    stream.land(docs, "main", "c1", 9)
+    stream.run()
+    head = docs.where("doc_no <> 'NR-3'").withColumn("body", F.when(F.col("doc_no") == "A.1.1", "new").otherwise(F.col("body"))).withColumn("name", F.when(F.col("doc_no") == "A.1", "Other").otherwise(F.col("name"))).cache()
+    for k in range(3):
+        stream.land(head.where(F.expr(f"crc32(cast(doc_no as binary)) % 3 = {k}")), "head", "c2", head.count(), "2024-02-01")
+        stream.run()
+    found = versions.diffs(spark, f"{tmp_path}/out").collect()
+    assert {(r.version_id, r.base_id) for r in found} == {("head", "main")}
+    assert without_body(found) == without_body(diff.classify(docs, head).collect())
+    assert sum(r.change == "Deleted" for r in found) == 1
+
+
+def test_a_batch_reads_what_it_touches(spark, tmp_path):
+    docs = tree_docs(spark).drop("version_id")
+    stream = Commits(spark, tmp_path)
+    many = docs.crossJoin(spark.range(300).select(F.concat(F.lit("v"), "id").alias("version_id")))
+    many.withColumns({"commit_id": F.col("version_id"), "commit_docs": F.lit(9).cast("long"), "committed_at": F.lit("2024-06-01").cast("timestamp")}).write.mode("append").parquet(f"{tmp_path}/in")
+    assert len(stream.counts()) == 300
+    stream.land(docs.where("doc_no = 'A.1'"), "new", "n1", 9)
+    stream.run()
+    stream.land(docs.where("doc_no <> 'A.1'"), "new", "n1", 9)
+    stream.run()
+    out = f"{tmp_path}/out"
+    landings = spark.read.parquet(f"{out}/landings").where("commit_id = 'n1'")
+    read = versions._folders(spark, f"{out}/landed", landings, spark.read.parquet(f"{out}/landed").schema)
+    assert landings.count() == 2 and read.count() == 9 and spark.read.parquet(f"{out}/landed").count() == 2709
+
+
+def test_moves_are_seen_without_commits_too(spark, tmp_path):
+    docs, stream = tree_docs(spark), Stream(spark, tmp_path)
+    stream.land(docs, "v1")
+    stream.run()
+    stream.land(docs.where("doc_no = 'A.1.1.2.1'").withColumn("doc_no", F.lit("A.1.1.2.5")), "v1")
+    assert sorted(r.doc_no for r in stream.run().collect()) == sorted({r.doc_no for r in docs.collect()} - {"A.1.1.2.1"} | {"A.1.1.2.5"})
+
+
 def test_every_version_of_a_batch_is_compared(spark, tmp_path):
     schema = "corpus_id string, doc_no string, name string, uuid string, body string"
     base = spark.createDataFrame([("c", "A.1", "S", U[0], "x"), ("c", "A.2", "T", U[1], "y"), ("d", "A.1", "S", U[0], "z")], schema)
@@ -308,3 +404,65 @@ def test_optional_parts_may_be_missing(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['ahocorasick'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; q = e.queries(); assert 'preorder' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q" % root
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_carried_values_and_sums_are_the_same_over_ranges(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), k, rng.choice([None, rng.randrange(9)]), rng.randrange(5)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "g string, k int, v int, w int").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        for own in (False, True):
+            got = [
+                {tuple(r) for r in order.carried(frame, ["g"], ["k"], last={"l": F.col("v")}, greatest={"m": F.struct("v", "w")}, own=own, most=most).collect()} for most in (10_000, 250, 1)
+            ]
+            want = set()
+            for g, k, v, w in rows:
+                before = [r for r in rows if r[0] == g and (r[1] < k or own and r[1] == k)]
+                want.add((g, k, v, w, next((r[2] for r in reversed(before) if r[2] is not None), None), max(((-1 if r[2] is None else r[2], r[3]) for r in before), default=None)))
+            as_pairs = lambda rows: {(*r[:5], None if r[5] is None else (-1 if r[5][0] is None else r[5][0], r[5][1])) for r in rows}
+            assert all(as_pairs(g) == want for g in got)
+        sums = [{tuple(r) for r in order.running(frame, ["g"], ["k"], "w", "s", most=most).collect()} for most in (10_000, 250, 1)]
+        assert sums[0] == sums[1] == sums[2] == {(g, k, v, w, sum(r[3] for r in rows if r[0] == g and r[1] <= k)) for g, k, v, w in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_corpus_over_many_ranges(spark):
+    """J5, J8, W1 of one corpus that is dealt over some 50 ranges agree with those of one task."""
+    rows = [("c", "v", k, 1 + (k * 7) % 6, f"A.{k}", "Needed Research" if k % 3 == 0 else "Core") for k in range(500)]
+    docs = spark.createDataFrame(rows, "corpus_id string, version_id string, line bigint, level int, doc_no string, doc_type string")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for found in (lambda most: tree.attach_positional(docs, "line", most), lambda most: quality.shallower(docs, most=most)):
+            assert sorted(found(1).collect()) == sorted(found(10_000).collect())
+        nearest = {r.line: r.above for r in quality.shallower(docs, most=1).collect()}
+        assert all(nearest[k] == next((r[3] for r in reversed(rows[:k]) if r[3] < level), None) for _, _, k, level, *_ in rows)
+        text = "\n".join(f"stray\n# A.{k} - N [Scope]  <!-- UUID: {U[0]} -->\n\nbody {k}" for k in range(300))
+        lines = monolith.lines(raw(spark, text))
+        assert sorted(monolith.owned(lines, 1).collect(), key=str) == sorted(monolith.owned_lines(raw(spark, text)).collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_text_read_in_splits(spark, tmp_path, end):
+    """S4, S5 of a file that several tasks read are those of the text as one value."""
+    text = (TEXT + "".join(f"\n# A.{k} - N {k} [Scope]  <!-- UUID: {U[k % 12]} -->\n\n" + f"line of {k}\n\n" * (k % 5) + "end" for k in range(1, 400))).replace("\n", end)
+    folder = tmp_path / "corpus_id=c" / "version_id=v"
+    folder.mkdir(parents=True)
+    (folder / "text.md").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for most in (order.MOST_IN_TASK, 1):
+            lines = monolith.read_lines(spark, str(tmp_path), most)
+            columns = ["corpus_id", "version_id", "title", "level", "doc_no", "name", "doc_type", "uuid", "body"]
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+            assert sorted(lines.collect()) == sorted(monolith.lines(raw(spark, text)).select(*lines.columns).collect())
+            assert sorted(monolith.documents(lines, most).select(*columns).collect(), key=str) == sorted(monolith.read(raw(spark, text)).select(*columns).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
