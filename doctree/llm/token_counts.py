@@ -164,9 +164,9 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text", path: str | No
     if set(keep) & {"n_bytes", "n_tokens", "tokens", "times", "doctree_row"}:
         raise ValueError("the names of results cannot be kept")
     path = path or tokenizer_path()
-    rows = written(_row_frequencies(docs, keep, text, path), "frequencies")
+    rows = written(_row_frequencies(docs, keep, text, path), "frequencies", compression="zstd")
     each = rows.select("doctree_row", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("times").alias("times"))))
-    pieces = written(_pieces(each.groupBy("token").agg(F.count("*").alias("docs")), path), "pieces")
+    pieces = written(_pieces(each.groupBy("token").agg(F.count("*").alias("docs")), path), "pieces", compression="zstd")
     # The most frequent ones, down to a power of two of documents that leaves few enough.
     level = F.floor(F.log2("docs")).cast("int")
     short = F.octet_length("token") <= SENT_BYTES
