@@ -10,9 +10,12 @@ Two templates are recognised:
   is shared by half of them. It holds if enough places are constant, and a line belongs to it if enough of its
   places agree.
 
+A line that keeps too few tokens when its fields go, such as a row of a table, is compared as it stands.
+
 A line is dropped where its template is there in several documents, from every document that has it. Copies count as
 one document, or they would drop each other's lines: documents of equal text, documents that are nothing but the same
-recurring templates, and near copies (see :func:`copies`). Whether a copy as a whole should go is not judged here.
+recurring templates, and near copies, which have little besides (see :func:`copies`). A document with more of its own counts by
+itself, however much of it is boilerplate. Whether a copy as a whole should go is not judged here.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctree.llm.common import SPACES, row_key, table, written
+from doctree.llm.common import LEAST_HOT, SPACES, row_key, table, written
 from doctree.llm.simhash import components
 
 #: Leading tokens that make a branch, with the number of tokens, and further tokens that make a leaf of it.
@@ -31,10 +34,11 @@ DEPTH, FURTHER = 3, 2
 LEAST_DOCS = 6
 #: Share of a template's places that must be constant, and of a line's that must agree.
 SIMILAR = 0.7
-#: Near copies share so many recurring templates, and these make up over half of the words of either.
-SHARED = 3
-#: Samples of a text's recurring templates. Near copies that share half of them agree in none with a chance of 2^-16.
-SAMPLES = 16
+#: Tokens that a generalised line must keep, besides the share ``SIMILAR``.
+LEAST_KEPT = 3
+#: Near copies have so many recurring lines or more, which make up four fifths of their words, and are linked by those that have half
+#: the words of their heaviest, or more.
+RECURRING, COPIED, HEAVY = 3, 0.8, 0.5
 FIELD = "<*>"
 #: Up to so many leaves (about 12 MB) are sent to all tasks; more are joined by shuffling the lines.
 MOST_SENT = 500_000
@@ -45,8 +49,8 @@ _FIELDS = "(?<![^\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D]*?(?:[0-9@]|://))[^\\x2
 def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """k_id, k_text, place, line, h, g, size, branch of each line with a word. Lines end with a line feed.
 
-    ``line`` is generalised, with single blanks; h and g are two hashes that stand for it (96 bits), size is
-    its number of tokens, and branch stands for its size and leading tokens.
+    ``line`` has single blanks, and is generalised if enough of its tokens stay; h and g are two hashes that stand for it
+    (96 bits), size is its number of tokens, and branch stands for its size and leading tokens.
     """
     # Most texts have neither fields nor odd blanks; one look at the text spares their lines the patterns.
     body = F.col(text)
@@ -55,11 +59,15 @@ def lines(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     # What is said of whole texts stands in a projection of its own, or it would be worked out for each line.
     whole = docs.where(body.isNotNull()).select(*row_key(text=text), fields.alias("fields"), blanks.alias("blanks"), F.split(body, "\n").alias("lines"))
     each = whole.select("k_id", "k_text", "fields", "blanks", F.posexplode("lines").alias("place", "raw"))
-    general = F.when(F.col("fields"), F.regexp_replace("raw", _FIELDS, FIELD)).otherwise(F.col("raw"))
-    line = F.trim(F.when(F.col("blanks"), F.regexp_replace(general, SPACES, " ")).otherwise(general))
-    each = each.select("k_id", "k_text", "place", line.alias("line")).where("line <> ''")
-    size = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    each = each.withColumns({"size": size, "h": F.xxhash64("line"), "g": F.hash("line")})
+    bare = F.trim(F.when(F.col("blanks"), F.regexp_replace("raw", SPACES, " ")).otherwise(F.col("raw")))
+    each = each.select("k_id", "k_text", "fields", "place", bare.alias("bare")).where("bare <> ''")
+    size = F.length("bare") - F.length(F.replace("bare", F.lit(" "))) + 1
+    general = F.when(F.col("fields"), F.regexp_replace("bare", _FIELDS, FIELD)).otherwise(F.col("bare"))
+    each = each.withColumns({"size": size, "general": general})
+    kept = F.col("size") - F.size(F.filter(F.split("general", " "), lambda t: t == FIELD))
+    enough = kept >= F.greatest(F.lit(LEAST_KEPT), F.ceil(F.lit(SIMILAR) * F.col("size")))
+    line = F.when(F.col("general") == F.col("bare"), F.col("bare")).when(enough, F.col("general")).otherwise(F.col("bare"))
+    each = each.select("k_id", "k_text", "place", "size", line.alias("line")).withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
     return each.withColumn("branch", F.xxhash64("size", F.substring_index("line", " ", depth)))
 
 
@@ -71,7 +79,7 @@ def leaves(members: DataFrame, depth: int = DEPTH, further: int = FURTHER) -> Da
     tokens = F.slice(F.split("line", " "), F.lit(depth + 1), F.greatest(F.col("size") - depth, F.lit(0)))
     pairs = members.select("h", "g", "branch", F.posexplode(tokens).alias("at", "token"))
     counts = pairs.groupBy("branch", "at", "token").agg(F.count("*").alias("m"))
-    ranked = pairs.join(counts, ["branch", "at", "token"]).groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "at", "token"))).alias("best"))
+    ranked = found(pairs, counts, ["branch", "at", "token"]).groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "at", "token"))).alias("best"))
     best = F.sort_array(F.transform(F.slice("best", 1, further), lambda b: F.struct(b["at"], b["token"])))
     leaf = members.join(ranked.select("h", "g", best.alias("best")), ["h", "g"]).withColumn("leaf", F.xxhash64("branch", "best"))
     return leaf.drop("best")
@@ -110,40 +118,47 @@ def _template(gone: DataFrame) -> DataFrame:
 
 
 def copies(each: DataFrame, own: DataFrame) -> DataFrame:
-    """(k_text, root) of the texts that are copies of others; root is the same within a group.
+    """(k_text, root) of the texts that are copies of others, or could be; root is the same within a group.
 
-    ``own`` (k_text, t, size) are the recurring templates of each text, each once, with their words. Texts that are nothing
-    else, and have the same, are copies. So are near copies: they share ``SHARED`` templates or more, which make up over half
-    of the words of either. Candidates come from samples of a text's templates, weighted by their words, so texts alike
-    most likely agree in some. Each text is compared with one of those that have a sample in common, so there are no
-    pairs of all members of a group.
+    ``own`` (k_text, t, size, lines) are the recurring templates of each text with the words and the number of its lines that have
+    them. What is judged is what is no template: a text with ``RECURRING`` such lines or more that has a fifth or less of its words
+    besides is a near copy of those that have the same heavy templates. Each such text links its heavy templates, and a
+    group is what is linked; so copies that have lost one of them, each another, are one group still. Links are between
+    templates: texts are not paired. A text with fewer recurring lines is a copy if it has nothing else, of those that have the same.
     """
-    words = each.groupBy("k_id", "k_text").agg(F.sum("size").alias("words")).groupBy("k_text").agg(F.max("words").alias("words"))
-    told = own.groupBy("k_text").agg(F.sum("size").alias("told"), F.count("*").alias("n"), F.sum(F.hash("t").cast("long")).alias("a"), F.bit_xor("t").alias("b"))
-    told = written(told.join(words, "k_text").where(2 * F.col("told") > F.col("words")), "told")
-    alone = told.where(F.col("told") >= F.col("words"))
-    same = alone.groupBy("n", "a", "b").agg(F.min("k_text").alias("first"))
-    same = alone.join(same, ["n", "a", "b"]).select(F.col("k_text").alias("a"), F.col("first").alias("b")).where("a <> b")
-    many = own.join(told.where(F.col("n") >= SHARED).select("k_text", "words"), "k_text")
-    many = written(many, "many")
-    unit = lambda k: (F.pmod(F.xxhash64("t", F.lit(k)), F.lit(2**40)) + 1) / F.lit(float(2**40 + 1))
-    least = [F.min(F.struct((-F.log(unit(k)) / F.col("size")).alias("v"), F.lit(k).alias("k"), "t")).alias(f"s{k}") for k in range(SAMPLES)]
-    samples = many.groupBy("k_text", "words").agg(*least)
-    samples = written(samples.select("k_text", "words", F.explode(F.array(*(f"s{k}" for k in range(SAMPLES)))).alias("s")).select("k_text", "words", "s.k", "s.t"), "samples")
-    first = samples.groupBy("k", "t").agg(F.min(F.struct("k_text", "words")).alias("f"))
-    pairs = samples.join(first, ["k", "t"]).where(F.col("k_text") != F.col("f.k_text"))
-    pairs = written(pairs.select("k_text", F.col("f.k_text").alias("other"), F.greatest("words", "f.words").alias("words")).distinct(), "pairs")
-    both = pairs.join(many.select("k_text", "t", "size"), "k_text").join(many.select(F.col("k_text").alias("other"), "t"), ["other", "t"])
-    shared = both.groupBy("k_text", "other", "words").agg(F.sum("size").alias("shared"), F.count("*").alias("n"))
-    near = shared.where((2 * F.col("shared") > F.col("words")) & (F.col("n") >= SHARED)).select(F.col("k_text").alias("a"), F.col("other").alias("b"))
-    return components(same.unionByName(near)).select(F.col("node").alias("k_text"), "root")
+    words = each.groupBy("k_text").agg(F.sum("size").alias("words"))
+    told = own.groupBy("k_text").agg(F.sum("size").alias("told"), F.sum("lines").alias("lines"), F.max("size").alias("most"), F.sort_array(F.collect_list(F.struct("t", "size"))).alias("all"))
+    told = told.join(words, "k_text").where(F.col("told") >= F.lit(COPIED) * F.col("words"))
+    few = F.col("lines") < RECURRING
+    alone = F.when(few & (F.col("told") == F.col("words")), F.xxhash64("all.t"))
+    heavy = F.filter("all", lambda x: x["size"] >= F.lit(HEAVY) * F.col("most"))["t"]
+    told = written(told.select("k_text", F.when(~few, heavy).alias("heavy"), alone.alias("alone")).where("heavy is not null or alone is not null"), "told")
+    first = F.element_at("heavy", 1)
+    # Far fewer than texts: pairs of templates that some text has among its heavy ones.
+    pairs = told.where("heavy is not null").select(first.alias("a"), F.explode("heavy").alias("b")).where("a <> b").distinct()
+    groups = written(components(pairs).select(F.col("node").alias("t"), F.col("root").alias("group")), "groups")
+    near = told.where("heavy is not null").select("k_text", first.alias("t"))
+    root = lambda kind, c: F.xxhash64(F.lit(kind), c).alias("root")
+    near = found(near, groups, ["t"]).select("k_text", root("near", F.coalesce("group", "t")))
+    return near.unionByName(told.where("alone is not null").select("k_text", root("alone", F.col("alone"))))
+
+
+def found(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined with a ``table`` that has each of ``keys`` once. A short table goes to all tasks, so that keys which many rows share do
+    not matter; beyond that, those that are shared most go to all tasks, and only the others' rows are shuffled by key."""
+    if table.count() <= MOST_SENT:
+        return rows.join(F.broadcast(table), keys, "left")
+    n = rows.groupBy(*keys).agg(F.count("*").alias("doctree_n")).where(F.col("doctree_n") > LEAST_HOT)
+    # Each has over LEAST_HOT rows: a hundred-thousandth as many as rows at most.
+    hot = F.broadcast(written(table.join(n, keys, "left_semi"), "hot"))
+    return rows.join(hot, keys, "inner").unionByName(rows.join(hot, keys, "left_anti").join(table, keys, "left"))
 
 
 def recurring(each: DataFrame, least_docs: int = LEAST_DOCS, **limits: float) -> DataFrame:
     """(h, g) of the lines whose template so many documents have, copies counted as one."""
-    found = written(templates(each, least_docs, **limits), "templates")
-    stands = _template(found)
-    own = written(each.join(stands, ["h", "g"]).groupBy("k_text", "t").agg(F.max("size").alias("size")), "own")
+    stands = written(_template(written(templates(each, least_docs, **limits), "templates")), "stands")
+    own = found(each, stands, ["h", "g"]).where("t is not null").groupBy("k_text", "t").agg(F.sum("size").alias("size"), F.count("*").alias("lines"))
+    own = written(own, "own")
     groups = written(copies(each, own), "copies")
     # A line counts by its leaf's template and, if it recurs by itself, as it is.
     grouped = own.join(groups, "k_text", "left").select("t", F.coalesce("root", "k_text").alias("root"))
@@ -155,8 +170,8 @@ def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, **limits: f
     """k_id, k_text, places (of the lines to drop, from 0) of each text that has some to drop."""
     each = written(lines(docs, text, depth), "each")
     gone = written(recurring(each, depth=depth, **limits), "recurring")
-    # Lines of one template, however many documents have it, are dealt by text here: only the short list of templates is joined.
-    marked = each.select("k_id", "k_text", "place", "h", "g").join(F.broadcast(gone) if gone.count() <= MOST_SENT else gone, ["h", "g"])
+    # Lines of one template, however many documents have it, are dealt by text here.
+    marked = found(each.select("k_id", "k_text", "place", "h", "g"), gone.withColumn("gone", F.lit(True)), ["h", "g"]).where("gone")
     return marked.groupBy("k_id", "k_text").agg(F.collect_set("place").alias("places"))
 
 
@@ -196,8 +211,11 @@ ORACLE_SQL = {
     "op5_log_template_line_dedup": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 raw AS (SELECT r, text AS h, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d WHERE text IS NOT NULL),
+bare AS (SELECT r, h, p, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS bare FROM raw),
+gener AS (SELECT *, regexp_replace(bare, '[^\x20\x09-\x0D]*([0-9]|://|@)[^\x20\x09-\x0D]*', '<*>', 'g') AS general FROM bare),
 l AS (
-  SELECT r, h, p, regexp_replace(trim(regexp_replace(regexp_replace(x, '[^\x20\x09-\x0D]*([0-9]|://|@)[^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' +', ' ', 'g') AS line FROM raw),
+  SELECT r, h, p, CASE WHEN len(string_split(general, ' ')) - len(list_filter(string_split(general, ' '), lambda t: t = '<*>')) >= greatest(3, ceil(0.7 * len(string_split(general, ' ')))) THEN general ELSE bare END AS line
+  FROM gener),
 ids AS (SELECT text AS h, min(r) AS t FROM d WHERE text IS NOT NULL GROUP BY text),
 e AS (SELECT r, t, p, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS size, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM l JOIN ids USING (h) WHERE line <> ''),
 u AS (SELECT line, any_value(w) AS w, any_value(size) AS size, any_value(lead) AS lead, count(DISTINCT t) AS texts FROM e GROUP BY line),
@@ -216,16 +234,22 @@ fit AS (SELECT m.line, m.leaf FROM leaf m JOIN gr USING (leaf) JOIN con c USING
 gen AS (SELECT line, leaf FROM fit JOIN (SELECT leaf, count(DISTINCT e.t) AS texts FROM e JOIN fit USING (line) GROUP BY leaf) USING (leaf) WHERE texts >= 6),
 stands AS (
   SELECT line, {'leaf': leaf, 'line': CASE WHEN leaf IS NULL THEN line END} AS t FROM (SELECT line FROM exact UNION SELECT line FROM gen) LEFT JOIN gen USING (line)),
-own AS (SELECT e.t AS k, s.t AS t, max(size) AS size FROM e JOIN stands s USING (line) GROUP BY e.t, s.t),
-words AS (SELECT t AS k, max(n) AS words FROM (SELECT t, r, sum(size) AS n FROM e GROUP BY t, r) GROUP BY t),
-told AS (SELECT k, sum(size) AS told, count(*) AS n, list(t ORDER BY t) AS ts, any_value(words) AS words FROM own JOIN words USING (k) GROUP BY k HAVING 2 * sum(size) > any_value(words)),
-many AS (SELECT own.*, words FROM own JOIN told USING (k) WHERE n >= 3),
-near AS (SELECT a.k AS a, b.k AS b FROM many a JOIN many b ON a.t = b.t AND a.k < b.k GROUP BY a.k, b.k HAVING 2 * sum(a.size) > greatest(any_value(a.words), any_value(b.words)) AND count(*) >= 3),
-same AS (SELECT a.k AS a, b.k AS b FROM told a JOIN told b ON a.ts = b.ts AND a.k < b.k WHERE a.told >= a.words AND b.told >= b.words),
-edge AS (SELECT a, b FROM near UNION SELECT a, b FROM same UNION SELECT b, a FROM near UNION SELECT b, a FROM same),
-walk(k, root) AS (SELECT a, a FROM edge UNION SELECT edge.b, walk.root FROM walk JOIN edge ON edge.a = walk.k WHERE walk.root < edge.b),
-root AS (SELECT k, min(root) AS root FROM walk GROUP BY k),
-often AS (SELECT t FROM own LEFT JOIN root USING (k) GROUP BY t HAVING count(DISTINCT coalesce(root, k)) >= 6),
+tids AS (SELECT t, row_number() OVER () AS i FROM (SELECT DISTINCT t FROM stands)),
+weighed AS (SELECT e.t AS k, s.t AS t, sum(size) AS size, count(*) AS lines FROM e JOIN stands s USING (line) GROUP BY e.t, s.t),
+words AS (SELECT t AS k, sum(size) AS words FROM e GROUP BY t),
+told AS (SELECT k, sum(size) AS told, sum(lines) AS lines, list(i ORDER BY i) AS every, any_value(words) AS words FROM weighed JOIN words USING (k) JOIN tids USING (t) GROUP BY k HAVING sum(size) >= 0.8 * any_value(words)),
+heavy AS (
+  SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS rank FROM (SELECT weighed.k, i, weighed.size, max(weighed.size) OVER (PARTITION BY weighed.k) AS most FROM weighed JOIN told USING (k) JOIN tids USING (t) WHERE told.lines >= 3)
+  WHERE size >= 0.5 * most),
+edge AS (SELECT DISTINCT x.i AS a, y.i AS b FROM heavy x JOIN heavy y USING (k) WHERE x.rank = 1 AND y.rank > 1),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+walk(i, root) AS (SELECT a, a FROM both_ways UNION SELECT b.b, walk.root FROM walk JOIN both_ways b ON b.a = walk.i WHERE walk.root < b.b),
+comp AS (SELECT i, min(root) AS root FROM walk GROUP BY i),
+root AS (
+  SELECT k, 'near ' || coalesce(comp.root, heavy.i) AS root FROM heavy LEFT JOIN comp USING (i) WHERE rank = 1
+  UNION ALL SELECT k, 'alone ' || CAST(every AS VARCHAR) FROM told WHERE lines < 3 AND told = words),
+own AS (SELECT k, t FROM weighed),
+often AS (SELECT t FROM own LEFT JOIN root USING (k) GROUP BY t HAVING count(DISTINCT coalesce(root, CAST(k AS VARCHAR))) >= 6),
 gone AS (SELECT line FROM stands SEMI JOIN often USING (t)),
 mark AS (SELECT e.*, g.line IS NOT NULL AS gone FROM e LEFT JOIN gone g USING (line)),
 per AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone FROM mark GROUP BY r),

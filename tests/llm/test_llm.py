@@ -312,6 +312,52 @@ def test_lines_take_long_texts_and_clashing_columns(spark):
     assert all(footer not in r.text and r.text.count("\n") == 4999 and r.dropped_lines == 1 and r.places == "each" for r in got)
 
 
+def test_lines_of_fields_alone_are_not_templates(spark):
+    """Tables, dates and figures of unrelated texts stay; a row that recurs as it is goes."""
+    rows = [(i, "\n".join(f"{'abcdefgh'[i]}{c}word of its own" for c in "pqrst") + f"\n{i}.5 {i * 7 + 1} {i + 100}\n2024-01-0{i + 1} total {i}\n1 2 3 4") for i in range(8)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.text for r in got} == {t.removesuffix("\n1 2 3 4") for _, t in rows} and {r.dropped_lines for r in got} == {1}
+
+
+def test_navigation_goes_from_pages_that_are_mostly_navigation(spark):
+    nav = "home news sport weather shop help log in\nabout us contact jobs press terms privacy cookies\nfollow us on all the usual channels for more of this"
+    for own in (60, 20, 8):
+        rows = [(i, nav + "\n" + " ".join(f"{'abcdefghij'[i]}{a}{b}" for a in "klmnopqr" for b in "stuvwxyz")[: own * 4 - 1]) for i in range(10)]
+        got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r.dropped_lines for r in got} == {3} and all(nav not in r.text for r in got)
+
+
+def test_near_copies_that_lost_a_line_each_stay_whole(spark):
+    line = lambda k: " ".join(f"{'abcdefghijkl'[k]}{c}" for c in "mnopqrst")
+    rows = [(i, "\n".join(line(k) if k != i else f"changed here {'abcdefghijkl'[i]}" for k in range(12))) for i in range(12)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.dropped_lines for r in got} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_agree_with_sql_on_popular_templates(spark, seed):
+    """Texts of which many are copies and near copies, and lines that many of them share."""
+    import duckdb
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("klmnop") + rng.choice(["", "x", "7", "@y"])
+    popular = [" ".join(word() for _ in range(rng.randrange(1, 10))) for _ in range(12)]
+    family = [[rng.choice([rng.choice(popular), " ".join(word() for _ in range(7))]) for _ in range(9)] for _ in range(6)]
+    rows = []
+    for i in range(160):
+        kind = rng.randrange(3)
+        lines = list(rng.choice(family)) if kind else [" ".join(word() for _ in range(8)) for _ in range(rng.randrange(5))]
+        for _ in range(rng.randrange(3) if kind < 2 else 0):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice([rng.choice(popular), " ".join(word() for _ in range(6))]))
+        rows.append((i, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    name = "op5_log_template_line_dedup"
+    want = {tuple(r) for r in con.sql(f"SELECT doc_id, n_dropped FROM ({line_dedup.ORACLE_SQL[name]})").fetchall()}
+    assert {(r.doc_id, r.dropped_lines) for r in line_dedup.deduplicated(frame).collect()} == want and len({n for _, n in want}) > 2
+
+
 def test_lines_leave_copies_whole(spark):
     body = "\n".join(f"line {c} of a text that many have" for c in "abcdefgh")
     rows = [(i, body + f"\n{'pqrstuvw'[i]}") for i in range(8)]
@@ -654,3 +700,74 @@ def test_pipeline_keeps_what_each_stage_should(spark):
                 assert (i not in after) == any(tuple(w[p : p + n]) in wins for n in {len(x) for x in wins} for p in range(len(w) - n + 1))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+def plain_hits(text, items, window=decontaminate.WINDOW):
+    own, hit, found = item_words(text), set(), set()
+    for item, body in items:
+        theirs = item_words(body)
+        size = min(window, len(theirs))
+        windows = {tuple(theirs[k : k + size]) for k in range(len(theirs) - size + 1)} if theirs else set()
+        for k in range(len(own) - size + 1):
+            if size and tuple(own[k : k + size]) in windows:
+                hit |= set(range(k, k + size))
+                found.add(item)
+    return len(own), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_that_items_share(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcde")
+    prompt = [word() for _ in range(14)]
+    items = [(f"i{k % 17}", " ".join(prompt[: rng.randrange(15)] + [word() for _ in range(rng.randrange(12))])) for k in range(60)] + [("e", ""), ("n", "...")]
+    machine = decontaminate.Machine(items, decontaminate.WINDOW)
+    for _ in range(60):
+        body = [word() for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = rng.choice(items)[1].split()
+        n, runs, found = machine.scan(" ".join(body))
+        assert (n, sum(b - a for a, b in runs), found) == plain_hits(" ".join(body), items)
+
+
+def test_a_prompt_that_many_items_share_costs_no_more():
+    import time
+
+    prompt = "read the following passage with care and then answer the question that is asked below it"
+    items = [(f"q{k}", f"{prompt} {' '.join(f'w{k}x{j}' for j in range(12))}") for k in range(100_000)]
+    machine = decontaminate.Machine(items, decontaminate.WINDOW)
+    text = " and so on ".join([prompt] * 20)
+    machine.scan(text)
+    began = time.perf_counter()
+    n, runs, found = machine.scan(text)
+    assert time.perf_counter() - began < 0.1  # some 10 ms for the list of all items; it took a minute when items were walked
+    assert len(found) == 100_000 and sum(b - a for a, b in runs) == 20 * len(item_words(prompt))
+
+
+def test_most_segments_have_balls():
+    for n in (10, 1000, 10**6, 10**9, 10**11):
+        for distance in (2, 3, 4, 5, 6):
+            cut = simhash.segments(n, distance)
+            assert 2 * sum(r > 0 for _, r in cut) >= len(cut) and sum(r + 1 for _, r in cut) == distance + 1
+    codes = np.array([0, 7], np.uint64)
+    rows = [(k, stored, len(np.unique(keys))) for k, keys, stored in simhash._keys(codes, [(22, 1), (21, 1), (21, 0)])]
+    assert len(rows) == 23 + 22 + 1 and sum(stored for _, stored, _ in rows) == 3
+
+
+def test_repeated_rows_are_drawn_in_proportion(spark):
+    rows = spark.range(20_000).select(F.lit(5).cast("long").alias("key"), F.lit(10).cast("long").alias("size"), F.col("id").alias("row"))
+    rows = rows.unionByName(spark.range(20_000).select(F.xxhash64("id").alias("key"), F.lit(10).cast("long").alias("size"), (F.col("id") + 20_000).alias("row")))
+    chance = 4 * sharding.SAMPLES / 40_000
+    drawn = [r.key for r in rows.where(F.pmod(F.xxhash64("row", "key", F.lit("sample")), F.lit(1 << 52)) / F.lit(float(1 << 52)) < chance).select("key").collect()]
+    assert 30 < sum(k == 5 for k in drawn) < 100 and len(drawn) < 200
+    assert len(sharding._splitters(rows, 400_000, 4)) <= 3
+
+
+def test_copies_of_one_row_are_sharded(spark):
+    frame = spark.createDataFrame([(1, "the same row")] * 500 + [(k, f"row {k}") for k in range(500)], "doc_id bigint, text string").repartition(4)
+    rows = sharding.shard(frame).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 1000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
