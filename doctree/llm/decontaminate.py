@@ -3,16 +3,16 @@
 Test items are normalised (A-Z to lower case; words are runs of ASCII letters, digits and all other non-ASCII
 characters). A document word is hit where ten consecutive words of an item, or a whole item of fewer words, stand.
 The automaton's symbols are the digits of word numbers, not characters, and its keys are the items' words cut into
-fives: ten consecutive words of an item always have one of these whole. Each text is scanned once; a match is followed to both
-sides as far as text and item agree, and counts from ten words on. Hits are mapped back to word places, and those
-to character spans of the original text.
+fives: ten consecutive words of an item always have one of these whole. Each text is scanned once. Windows of the text around a match
+are looked up among the items' windows, which are there once each, whichever and however many items have them: so what a match costs
+does not grow with the items that share a passage. Hits are mapped back to word places, and those to character spans of
+the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -44,33 +44,37 @@ def words(text: str) -> list[bytes]:
 
 
 class Machine:
-    """The automaton of a block of items (id, text).
+    """The automaton of a block of items (id, text), and their windows.
 
-    ``flat`` has the numbers of all items' words, with a 0 around each text; a key's value is its number, under which
-    ``places`` has where in ``flat`` it stands. ``edge`` and ``item`` tell which item a place belongs to.
+    ``flat`` has the numbers of all items' words, with a 0 around each text. ``hashes`` are those of the distinct windows,
+    sorted; ``shown`` says where in ``flat`` each stands, and ``who[since[w]:since[w + 1]]`` which items have it, as places in
+    the sorted ``ids``. Items of fewer words are keys by themselves, with their items in ``short``.
     """
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        self.window, self.number, self.places = window, {}, []
-        flat, self.edge, self.item = [0], [], []
+        self.window, self.number = window, {}
+        self.step = step = (window + 1) // 2
+        self.ids = sorted({item for item, _ in items})
+        rank = {item: k for k, item in enumerate(self.ids)}
+        flat, starts, owners = [0], [], []
         keys: dict[tuple[int, ...], int] = {}
-        step = (window + 1) // 2
+        self.short: dict[int, list[int]] = {}
         for item, text in items:
             own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             if not own:
                 continue
-            self.edge.append(len(flat))
-            self.item.append(item)
-            starts = range(0, len(own) - step + 1, step) if len(own) >= window else (0,)
-            for start in starts:
-                key = tuple(own[start : start + step] if len(own) >= window else own)
-                at = keys.setdefault(key, len(keys))
-                if at == len(self.places):
-                    self.places.append([])
-                self.places[at].append(len(flat) + start)
+            if len(own) < window:
+                self.short.setdefault(keys.setdefault(tuple(own), len(keys)), []).append(rank[item])
+            else:
+                for start in range(0, len(own) - step + 1, step):
+                    keys.setdefault(tuple(own[start : start + step]), len(keys))
+                n = len(own) - window + 1
+                starts.append(np.arange(len(flat), len(flat) + n, dtype=np.int32))
+                owners.append(np.full(n, rank[item], np.int32))
             flat += [*own, 0]
         self.flat = np.array(flat, np.int32)
         self.size = [len(key) for key in keys]
+        self._windows(np.concatenate(starts) if starts else np.zeros(0, np.int32), np.concatenate(owners) if owners else np.zeros(0, np.int32))
         # A node's children are searched one by one, so digits, not numbers, are symbols. Zeros stand for other words.
         self.digits = 1
         while _BASE**self.digits <= len(self.number):
@@ -82,59 +86,72 @@ class Machine:
         if keys:
             self.automaton.make_automaton()
 
-    def owner(self, place: int) -> tuple[str, int]:
-        """The item at a place of ``flat`` and the number of its words."""
-        k = int(np.searchsorted(self.edge, place, side="right")) - 1
-        after = self.edge[k + 1] if k + 1 < len(self.edge) else len(self.flat)
-        return self.item[k], after - self.edge[k] - 1
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """The number of words, the merged runs of hit words (first, after the last), and the items found."""
+    def _windows(self, starts: np.ndarray, owners: np.ndarray) -> None:
+        """Sort the windows by hash, each once. Hashes that two windows share are replaced by others."""
+        self.base = 0x9E3779B97F4A7C15
+        while True:
+            hashes = self._hashes(self.flat, starts)
+            order = np.argsort(hashes, kind="stable")
+            hashes, at = hashes[order], starts[order]
+            same = hashes[1:] == hashes[:-1]
+            pairs = np.flatnonzero(same)
+            if all((self.flat[at[pairs] + k] == self.flat[at[pairs + 1] + k]).all() for k in range(self.window)):
+                break
+            self.base += 2
+        first = np.concatenate([np.ones(min(len(at), 1), bool), ~same])
+        self.hashes, self.shown = hashes[first], at[first]
+        owners = owners[order]
+        once = first.copy()
+        once[1:] |= owners[1:] != owners[:-1]  # an item's windows follow each other, as the sort is stable
+        group = np.cumsum(first) - 1
+        self.who = owners[once]
+        self.since = np.searchsorted(group[once], np.arange(len(self.hashes) + 1))
+
+    def _hashes(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        base = np.uint64(self.base)
+        for k in range(self.window):
+            out = (out + numbers[starts + k].astype(np.uint64) + np.uint64(1)) * base
+            out ^= out >> np.uint64(29)
+        return out
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """The number of words, the merged runs of hit words (first, after the last), and the items found, sorted."""
         found = words(text) if text else []
         if not found or not self.size:
-            return len(found), [], set()
+            return len(found), [], []
         get = self.number.get
         numbers = [get(w, 0) for w in found]
         code, k = self.code, self.digits
         hits = [(end // k, key) for end, key in self.automaton.iter("".join([code[n] for n in numbers])) if end % k == k - 1]
         if not hits:
-            return len(found), [], set()
-        own = np.array([0, *numbers, 0], np.int32)  # text places count from 1 here
-        reached: dict[int, int] = defaultdict(int)  # by difference of places: up to where text and item have been compared
-        runs: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for end, key in hits:
-            start = end - self.size[key] + 2
-            for place in self.places[key]:
-                if start < reached[place - start]:
-                    continue
-                a, b = start - self._agree(own, start, place, -1), start + self._agree(own, start - 1, place - 1, 1)
-                reached[place - start] = b
-                item, n = self.owner(place)
-                if b - a >= min(self.window, n):
-                    runs.append((a - 1, b - 1))
-                    items.add(item)
+            return len(found), [], []
+        runs = [(end - self.size[key] + 1, end + 1) for end, key in hits if key in self.short]
+        who = [np.array(self.short[key], np.int32) for key in {key for _, key in hits if key in self.short}]
+        own = np.array(numbers, np.int32)
+        at = np.array([end - self.step + 1 for end, key in hits if self.size[key] == self.step], np.int64)
+        around = np.unique(at[:, None] + np.arange(self.step - self.window, 1))
+        around = around[(around >= 0) & (around <= len(own) - self.window)]
+        if len(around) and len(self.hashes):
+            hashes = self._hashes(own, around)
+            slot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            fits = self.hashes[slot] == hashes
+            around, slot = around[fits], slot[fits]
+            fits = np.ones(len(around), bool)
+            for n in range(self.window):
+                fits &= own[around + n] == self.flat[self.shown[slot] + n]
+            runs += [(a, a + self.window) for a in around[fits].tolist()]
+            who += [self.who[self.since[w] : self.since[w + 1]] for w in np.unique(slot[fits]).tolist()]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(runs):
             if merged and a <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        return len(found), merged, items
-
-    def _agree(self, own: np.ndarray, at: int, place: int, way: int) -> int:
-        """How many words agree next to a place of the text and of the items, to the left (-1) or the right (1)."""
-        n, width = 0, 16
-        while True:
-            a, b = (own[at + n + 1 : at + n + 1 + width], self.flat[place + n + 1 : place + n + 1 + width]) if way > 0 else (own[max(at - n - width, 0) : at - n][::-1], self.flat[max(place - n - width, 0) : place - n][::-1])
-            both = min(len(a), len(b))
-            differ = np.flatnonzero((a[:both] != b[:both]) | (a[:both] == 0))
-            if len(differ):
-                return n + int(differ[0])
-            n += both
-            if both < width:
-                return n
-            width *= 4
+        items = np.zeros(len(self.ids), bool)
+        for some in who:
+            items[some] = True
+        return len(found), merged, [self.ids[n] for n in np.flatnonzero(items).tolist()]
 
 
 def _hits(text: Column, items: list[tuple[str, str]], window: int, spark: SparkSession) -> Column:
@@ -156,7 +173,7 @@ def _hits(text: Column, items: list[tuple[str, str]], window: int, spark: SparkS
                 if runs:
                     at = [m.span() for m in _WORD.finditer(text)]
                     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
-                rows.append({"n_words": n, "n_hit": sum(b - a for a, b in runs), "items": sorted(ids), "spans": spans})
+                rows.append({"n_words": n, "n_hit": sum(b - a for a, b in runs), "items": ids, "spans": spans})
         return pa.array(rows, _HIT)
 
     return F.arrow_udf(find, HIT)(text)
