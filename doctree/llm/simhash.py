@@ -81,14 +81,14 @@ def fingerprints(text: Column) -> Column:
 def segments(n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """(width, radius) of each segment, from the highest bit: the cheapest cut for ``n`` fingerprints.
 
-    A fingerprint makes a row for each point of its balls, and each row meets n / 2^width stored fingerprints on average.
+    Most segments have balls of radius 1 or more, whatever ``n`` is: more segments than that would be plain bands. A fingerprint makes a row for each point of its balls, and each row meets n / 2^width stored fingerprints on average.
     """
 
     def cost(cut: list[tuple[int, int]]) -> float:
         return sum(_ball(w, r) * (1 + n / 2**w / PAIRS_A_ROW) for w, r in cut)
 
     cuts = []
-    for m in range(2, distance + 2):
+    for m in range(min(2, distance + 1), min(distance + 1, max(2 * (distance + 1) // 3, 2)) + 1):
         radius = [(distance + 1) // m - 1 + (k < (distance + 1) % m) for k in range(m)]
         width = [64 // m + (k < 64 % m) for k in range(m)]
         cuts.append(list(zip(width, radius, strict=True)))
