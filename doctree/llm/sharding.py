@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from doctree.llm.common import table, written
 
 SHARDS = 16
-#: Ranges a shard is made of on average, and sampled keys a range. They bound what the driver holds.
-RANGES = 64
+#: Ranges a shard is made of on average, from few rows to many: a range has a million rows until there are MOST_RANGES. With the
+#: sampled keys of a range, these bound what the driver holds: 8 MB of keys for each 32,768 ranges.
+RANGES, MOST_RANGES = 64, 2048
+RANGE_ROWS = 1_000_000
 SAMPLES = 32
 #: Copies of one text stay in one shard up to this share of a shard's bytes.
 GROUP_SHARE = 0.5
@@ -35,15 +37,15 @@ def _between(key: Column, splitters: np.ndarray) -> Column:
 
 
 def _splitters(rows: DataFrame, total: int, ranges: int) -> np.ndarray:
-    """Quantile boundaries of a sample of about ranges * SAMPLES keys, drawn by size. Hashes decide, so reruns draw alike."""
+    """Quantile boundaries of a sample of about ranges * SAMPLES keys, drawn by size. Hashes of rows decide, so reruns of the
+    table draw alike, and a row that is repeated is drawn in proportion."""
     chance = F.lit(float(ranges * SAMPLES)) * F.col("size") / F.lit(float(max(total, 1)))
-    luck = F.pmod(F.xxhash64("k_id", "key", F.lit("sample")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    luck = F.pmod(F.xxhash64("row", "key", F.lit("sample")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # What a row has above chance 1 is its weight; below, all drawn rows weigh alike.
-    drawn = rows.where(luck < chance).select("key", F.greatest(chance, F.lit(1.0)).alias("weight")).collect()
-    if not drawn:
+    drawn = rows.where(luck < chance).select("key", F.greatest(chance, F.lit(1.0)).alias("weight")).toArrow()
+    if not len(drawn):
         return np.zeros(0, np.int64)
-    keys = np.array([r.key for r in drawn], np.int64)
-    weight = np.array([r.weight for r in drawn])
+    keys, weight = (drawn.column(c).to_numpy() for c in ("key", "weight"))
     order = np.argsort(keys, kind="stable")
     keys, upto = keys[order], np.cumsum(weight[order])
     at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
@@ -63,11 +65,11 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
         (F.octet_length(body) + F.lit(1)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("key"),
-        F.xxhash64(F.col(doc_id)).alias("k_id"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows, "rows")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first().total
-    ranges = shards * RANGES
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = shards * min(MOST_RANGES, max(RANGES, n // (shards * RANGE_ROWS)))
     ranged = written(rows.withColumn("range", _between(F.col("key"), _splitters(rows, total, ranges))), "ranged")
     target = total / ranges
     # A key of over a quarter of a range's target is heavy; fewer than 4 * ranges keys can be.
