@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions import numbers, text
+from doctree.operators import ranges
 
 KEY = "corpus_id"
 
@@ -61,7 +62,8 @@ def _ancestors(rows: DataFrame, number: str) -> DataFrame:
 
 def living_ancestors(base: DataFrame, head: DataFrame) -> DataFrame:
     """Each deleted uuid whose base ancestors have one that head still has, with the nearest one's uuid and number in head."""
-    alive = head.where("uuid <> ''").select(KEY, F.col("uuid").alias("ancestor_uuid"), F.col("doc_no").alias("head_no")).dropDuplicates([KEY, "ancestor_uuid"])
+    # Of the numbers that share a uuid the least counts.
+    alive = head.where("uuid <> ''").groupBy(KEY, F.col("uuid").alias("ancestor_uuid")).agg(F.min("doc_no").alias("head_no"))
     gone = base.where("uuid <> ''").select(KEY, "uuid", "doc_no").join(alive.select(KEY, F.col("ancestor_uuid").alias("uuid")), [KEY, "uuid"], "left_anti")
     there = base.where("uuid <> ''").select(KEY, F.col("doc_no").alias("ancestor_no"), F.col("uuid").alias("ancestor_uuid"))
     up = _ancestors(gone, "doc_no").join(there, [KEY, "ancestor_no"]).join(alive, [KEY, "ancestor_uuid"])
@@ -113,7 +115,9 @@ def edit_scopes(roots: DataFrame, head: DataFrame) -> DataFrame:
     grouped = joined.select(KEY, F.when(F.col("up"), F.col("parent_no")).otherwise(F.col("doc_no")).alias("root_no"), "group_key").distinct()
     covering = _ancestors(grouped, "root_no").select(KEY, F.col("ancestor_no").alias("root_no")).distinct()
     kept = grouped.join(covering, [KEY, "root_no"], "left_anti")
-    named = kept.join(head.groupBy(KEY, F.col("doc_no").alias("root_no")).agg(F.first("name").alias("name"), F.first("uuid").alias("uuid")), [KEY, "root_no"])
+    # Of the documents that share a number the one with the least uuid counts, then that with the least name.
+    heads = head.groupBy(KEY, F.col("doc_no").alias("root_no")).agg(F.min(F.struct("uuid", "name")).alias("d")).select(KEY, "root_no", "d.name", "d.uuid")
+    named = kept.join(heads, [KEY, "root_no"])
     order = [F.col("group_key"), numbers.segment_key("root_no")]
     slug = named.withColumn("slug", text.slugify("name")).withColumn("rank", F.row_number().over(Window.partitionBy(KEY, "slug").orderBy(*order)))
     slug = slug.withColumn("slug", F.when(F.col("rank") > 1, F.concat_ws("-", "slug", F.col("rank").cast("string"))).otherwise(F.col("slug")))
@@ -139,7 +143,7 @@ def scope_labels(scopes: DataFrame, head: DataFrame) -> DataFrame:
     """root_no, label and detail. Scopes of equal names get the shortest list of names above them that no other of them has, or their number."""
     group = scopes.withColumn("group_name", text.label_group_key("name"))
     group = group.withColumn("n", F.count("*").over(Window.partitionBy(KEY, "group_name")))
-    names = head.groupBy(KEY, F.col("doc_no").alias("ancestor_no")).agg(F.first("name").alias("above"))
+    names = head.groupBy(KEY, F.col("doc_no").alias("ancestor_no")).agg(F.min("name").alias("above"))
     up = _ancestors(group.where("n > 1"), "root_no").join(names, [KEY, "ancestor_no"])
     chains = up.groupBy(KEY, "root_no", "group_name").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("o"), "above"))).alias("c"))
     steps = chains.select(KEY, "root_no", "group_name", F.posexplode(F.transform("c", lambda s: s["above"])).alias("d", "x"), F.col("c.above").alias("chain"))
@@ -286,12 +290,12 @@ def hunks(diffs: DataFrame) -> DataFrame:
     return each.select(*keys, first.alias("first"), (first + F.when(F.col("h.c") == "", 1).otherwise(F.col("h.c").try_cast("bigint"))).alias("after")).where("after > first")
 
 
-def touched(spans: DataFrame, ranges: DataFrame, bucket: int = 256) -> DataFrame:
-    """Documents (doc_no, line_start, line_end, 0-based) whose lines overlap a changed range.
+def touched(spans: DataFrame, changed: DataFrame) -> DataFrame:
+    """Documents (doc_no, line_start, line_end, 0-based) whose lines overlap a changed range [first, after).
 
-    Both sides are spread over buckets of lines, which makes the overlap an equi-join with a check.
+    They overlap where one begins in the other. Both are looked up by dyadic intervals, so a range of any length is a few dozen rows.
     """
-    spread = lambda df, a, b: df.select("*", F.explode(F.sequence(F.expr(f"{a} div {bucket}"), F.expr(f"{b} div {bucket}"))).alias("bucket"))
-    left = spread(spans.select(KEY, "doc_no", "line_start", "line_end"), "line_start", "line_end")
-    right = spread(ranges.select(KEY, "first", (F.col("after") - 1).alias("last")), "first", "last")
-    return left.join(right, [KEY, "bucket"]).where("line_start <= last and first <= line_end").select(KEY, "doc_no").distinct()
+    own = spans.select(KEY, "doc_no", "line_start", (F.col("line_end") + 1).alias("line_after"))
+    begin = ranges.points_in(own, changed, [KEY], "line_start", "first", "after")
+    hold = ranges.ranges_with(own, changed.where("after > first"), [KEY], "first", "line_start", "line_after")
+    return begin.unionByName(hold).select(KEY, "doc_no").distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from doctree import schema
 from doctree.functions import numbers, text
-from doctree.operators import order, tree
+from doctree.operators import order, ranges, tree
 from doctree.sources import monolith
 
 KEYS = list(schema.KEYS)
@@ -179,16 +179,16 @@ def structure_rules(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [again, astray, lost, alone, late])
 
 
-def suppress(found: DataFrame, docs: DataFrame, uuids: DataFrame, bucket: int = 64) -> DataFrame:
+def suppress(found: DataFrame, docs: DataFrame, uuids: DataFrame) -> DataFrame:
     """Issues without those in the lines of documents whose uuid is in ``uuids`` (uuid), or on lines that name one.
 
-    A document's lines run from its title to its last row, which has the line after a title too. Spans are spread over
-    buckets of lines, so this is an equi-join with a check.
+    A document's lines run from its title to its last row, which has the line after a title too. Spans are covered by dyadic
+    intervals, so this is an equi-join however long they are.
     """
     listed = uuids.select("uuid").distinct()
-    span = docs.select(*KEYS, "uuid", F.col("line").alias("from_line"), (F.col("line") + F.size("rows")).alias("to_line"))
-    gone = span.join(listed, "uuid", "left_semi").select(*KEYS, "from_line", "to_line", F.explode(F.sequence(F.expr(f"from_line div {bucket}"), F.expr(f"to_line div {bucket}"))).alias("bucket"))
-    in_span = found.withColumn("bucket", F.expr(f"line div {bucket}")).join(gone, [*KEYS, "bucket"]).where("line between from_line and to_line").select(*KEYS, "line")
+    span = docs.select(*KEYS, "uuid", F.col("line").alias("from_line"), (F.col("line") + F.size("rows") + 1).alias("after_line"))
+    gone = span.join(listed, "uuid", "left_semi").drop("uuid")
+    in_span = ranges.points_in(found.select(*KEYS, "line").distinct(), gone, KEYS, "line", "from_line", "after_line")
     lines = docs.select(*KEYS, "line", F.posexplode(F.concat(F.array("title"), "rows")).alias("at", "content"))
     named = lines.select(*KEYS, (F.col("line") + F.col("at")).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(f"({text.UUID})"), F.lit(1))).alias("uuid"))
     on_line = named.join(listed, "uuid", "left_semi").select(*KEYS, "line")

@@ -180,7 +180,7 @@ def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.fine_diff(found.unionByName(names), "token")
 
 
-_DIFFS = "SELECT c_name AS corpus_id, '@@ -' || event_id || ' +' || (event_id % 50 * 7 + 1) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',' || (event_id % 3 - 1) * 4 END || ' @@ text' AS h, event_id FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'"
+_DIFFS = "SELECT c_name AS corpus_id, '@@ -' || event_id || ' +' || (event_id % 50 * 7 + 1) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',' || (event_id % 3 - 1) * 4 END || ' @@ text' AS h, event_id FROM events JOIN customer ON c_custkey = user_id"
 _RANGES = rf"rg AS (SELECT corpus_id, event_id % 50 * 7 AS first, event_id % 50 * 7 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE (event_id % 3 - 1) * 4 END AS after FROM ({_DIFFS}) WHERE event_id % 3 <> 1)"
 
 
@@ -193,7 +193,7 @@ def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RANGES} SELECT * FROM rg")
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D18, on diff texts made of error events."""
+    """D18, on diff texts made of events."""
     return _hunks(spark, sf_dir)
 
 

@@ -133,3 +133,24 @@ def test_roundtrip_check(spark):
     b = spark.createDataFrame([("a", "v", "x\ny"), ("b", "v", "x\nq\nz\nmore"), ("d", "v", "")], schema)
     got = {r.corpus_id: (r.equal, r.n_differing, r.first_line, r.first_a, r.first_b) for r in diff.roundtrip(a, b).collect()}
     assert got["a"] == (True, 0, None, None, None) and got["b"] == (False, 2, 2, "y", "q") and got["c"][:2] == (False, 1) and not got["d"][0]
+
+
+def test_long_ranges_are_few_rows_and_overlaps_are_exact(spark):
+    import random
+
+    from doctree.operators import ranges
+
+    rng = random.Random(3)
+    long = spark.createDataFrame([(0, 10**8), (1, 10**8 + 1), (5, 5), (12345, 99_999_999)], "a bigint, b bigint")
+    counts = {tuple(r)[0]: r["count"] for r in ranges.cover(long, "a", "b").groupBy("a").count().collect()}
+    assert set(counts) == {0, 1, 12345} and all(n < 60 for n in counts.values())
+    size = lambda: rng.choice([1, 2, 5, 40, 300])
+    spans, at = [], 0
+    for k in range(120):
+        n = size()
+        spans.append(("c" if k % 2 else "d", f"A.{k}", at, at + n - 1))
+        at += n
+    changed = [(rng.choice("cd"), a := rng.randrange(at + 50), a + rng.choice([0, 1, 3, 700])) for _ in range(25)]
+    found = diff.touched(spark.createDataFrame(spans, "corpus_id string, doc_no string, line_start bigint, line_end bigint"), spark.createDataFrame(changed, "corpus_id string, first bigint, after bigint"))
+    want = {(c, no) for c, no, s, e in spans for d, a, b in changed if c == d and s < b and a <= e and a < b}
+    assert {tuple(r) for r in found.collect()} == want and 0 < len(want) < len(spans)

@@ -131,6 +131,15 @@ def test_search(spark):
     assert by["a.1.1.10"] == [("A.1.1.10", "doc_no"), ("A.1.1.10.7.1", "doc_no")] and set(by["agent"]) == {("A.1.1.2", "name"), ("A.1.1.2.1", "name")} and len(by["body"]) == 9 and len(by) == 3
 
 
+def test_many_queries_are_found_by_posting_lists(spark, monkeypatch):
+    docs = atoms.extras(tree_docs(spark)).join(tree.positions(tree_docs(spark)), ["corpus_id", "version_id", "doc_no"])
+    asked = ["a.1.1.10", " AGENT ", "body", "  ", "b", "dy", "a", "nowhere", "a.9", "agentx", "b\x00"] + [f"q{k}" for k in range(30)]
+    few = sorted(search.search(docs, asked).collect(), key=str)
+    monkeypatch.setattr(search, "FEW", 3)
+    assert sorted(search.search(docs, asked).collect(), key=str) == few and len({r["query"] for r in few}) > 4
+    assert sorted(search.candidates(docs, spark.createDataFrame([(q,) for q in ("body", "dy")], "query string"), 0).collect()) == sorted(search.candidates(docs, spark.createDataFrame([(q,) for q in ("body", "dy")], "query string")).collect())
+
+
 def test_proposals(spark, tmp_path):
     repo = '{"name": "r", "owner": {"login": "o"}}'
     one = lambda n, state, ref, updated, merged="null", head=repo: f'{{"number": {n}, "title": "t{n}", "state": "{state}", "updated_at": "{updated}", "merged_at": {merged}, "base": {{"ref": "main", "repo": {repo}}}, "head": {{"ref": "{ref}", "sha": "s", "repo": {head}}}}}'
