@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from doctree import schema
 from doctree.functions import numbers, text
 from doctree.operators import order, ranges, tree
+from doctree.session import written
 from doctree.sources import monolith
 
 KEYS = list(schema.KEYS)
@@ -141,9 +142,16 @@ def duplicate_uuids(docs: DataFrame) -> DataFrame:
     return valid.join(first, [*KEYS, "uuid"]).where("line > first_line")
 
 
+def uuid_forms(docs: DataFrame) -> DataFrame:
+    """uuids that have no normal form, with or without hyphens."""
+    bad = docs.where((F.col("uuid") != "") & text.normalized_uuid("uuid").isNull())
+    return _issue(bad, "F14", detail=F.col("uuid"))
+
+
 def issues(docs: DataFrame) -> DataFrame:
     """All issues with severity."""
-    good = titles(docs)
+    # What the other rules need of the documents whose title holds; the strict pattern is matched once for all of them.
+    good = written(titles(docs).select(*KEYS, "line", "level", "doc_no", "doc_type", "uuid"), "titles")
     rules = [row_rules(docs), *(rule(good) for rule in (note_levels, parent_rules, repeated_uuids))]
     return reduce(DataFrame.unionByName, rules).withColumn("severity", F.when(F.col("rule_id").isin(*WARNINGS), "warning").otherwise("error"))
 

@@ -185,6 +185,15 @@ def child_lists(found: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS, "parent_no").agg(F.array_sort(F.collect_list(one)).alias("c")).select(*KEYS, "parent_no", F.col("c.doc_no").alias("children"))
 
 
+def hierarchy(docs: DataFrame) -> DataFrame:
+    """H6: the children of each document, in order of number, by the nearest ancestor that has a uuid; the row without a parent_no has the roots.
+
+    A document without a number is a root.
+    """
+    near = nearest_ancestor(docs).select(*KEYS, F.col("ancestor_no").alias("parent_no"), F.struct(sibling_key("doc_no").alias("o"), "doc_no").alias("c"))
+    return near.groupBy(*KEYS, "parent_no").agg(F.array_sort(F.collect_list("c")).alias("c")).select(*KEYS, "parent_no", F.col("c.doc_no").alias("children"))
+
+
 def supporting_groups(found: DataFrame) -> DataFrame:
     """The number of supporting children of each parent by kind, with label and order; kinds without children have no row."""
     return supporting_view(found).groupBy(*KEYS, "parent_no", "collection", "label", "label_ord").agg(F.count("*").alias("n"))

@@ -26,20 +26,21 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _parsed[key]
     docs = corpus(spark, sf_dir, "dirty")
     # Faulty versions have repeated numbers, so positions come from the key and the uuid.
-    keys = tree.emit_keys(docs.dropDuplicates([*KEYS, "doc_no"]))
-    found = monolith.levels(docs).join(keys, [*KEYS, "doc_no"])
+    keys = tree.emit_keys(docs.dropDuplicates([*KEYS, "doc_no"])).join(monolith.noted_levels(docs), [*KEYS, "doc_no"], "left")
     fault = lambda m: (F.col("k") >= 0) & (F.col("k") % m == 0)
-    level = F.col("level") + F.when(fault(31), 1).otherwise(0)
-    title = text.heading_line(level, F.col("doc_no"), F.col("name"), F.col("doc_type"), F.col("uuid"))
+    # Lines are counted over keys and sizes only; bodies are joined once.
+    body = F.coalesce("body", F.lit(""))
+    feeds = F.length(body) - F.length(F.replace(body, F.lit("\n")))
+    n = feeds + 3 + F.when(fault(53), 0).when(fault(59), 2).otherwise(1)
+    sized = docs.select(*KEYS, "doc_no", "uuid", n.alias("n")).join(keys, [*KEYS, "doc_no"])
+    ends = order.running(sized, KEYS, ["key", "doc_no", "uuid"], "n", "end")
+    lines = ends.select(*KEYS, "doc_no", "uuid", "note_level", (F.col("end") - F.col("n") + 1).alias("line"))
+    found = docs.join(lines, [*KEYS, "doc_no", "uuid"]).withColumn("level", monolith.level_of() + F.when(fault(31), 1).otherwise(0))
+    title = text.heading_line(F.col("level"), F.col("doc_no"), F.col("name"), F.col("doc_type"), F.col("uuid"))
     title = F.when(fault(61), F.replace(title, F.lit("  <!--"), F.lit(" <!--"))).otherwise(title)
     blank = F.when(fault(53), "").when(fault(59), "\n\n").otherwise("\n")
-    rows = F.split(F.concat(blank, F.coalesce("body", F.lit("")), F.lit("\n")), "\n")
-    found = found.select(*KEYS, "doc_no", "doc_type", "name", "uuid", "target_no", "key", level.alias("level"), title.alias("title"), rows.alias("rows"))
-    found = written(found, "titled")
-    # Lines are counted over keys and sizes only; bodies are joined again.
-    ends = order.running(found.select(*KEYS, "doc_no", "uuid", "key", (1 + F.size("rows")).alias("n")), KEYS, ["key", "doc_no", "uuid"], "n", "end")
-    lines = ends.select(*KEYS, "doc_no", "uuid", (F.col("end") - F.col("n") + 1).alias("line"))
-    _parsed[key] = written(found.drop("key").join(lines, [*KEYS, "doc_no", "uuid"]), "parsed")
+    rows = F.split(F.concat(blank, body, F.lit("\n")), "\n")
+    _parsed[key] = written(found.select(*KEYS, "doc_no", "doc_type", "name", "uuid", "target_no", "level", title.alias("title"), rows.alias("rows"), "line"), "parsed")
     return _parsed[key]
 
 
@@ -201,7 +202,9 @@ def completeness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{with_docs()}, keep AS (SELECT corpus_id, doc_no FROM docs WHERE NOT (doc_type = 'Section' AND k % 5 = 0))
-SELECT d.corpus_id, d.doc_no, d.doc_type FROM docs d WHERE (d.doc_type = 'Section' AND d.k % 5 = 0) OR (d.doc_type = 'Needed Research' AND NOT EXISTS (SELECT 1 FROM keep WHERE keep.corpus_id = d.corpus_id AND keep.doc_no = d.target_no))""")
+
+SELECT corpus_id, doc_no, doc_type FROM docs WHERE doc_type = 'Section' AND k % 5 = 0
+UNION ALL SELECT d.corpus_id, d.doc_no, d.doc_type FROM docs d ANTI JOIN keep ON keep.corpus_id = d.corpus_id AND keep.doc_no = d.target_no WHERE d.doc_type = 'Needed Research'""")
 def not_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that do not hang on the tree once every fifth section is gone: those, and the notes on them."""
     docs = corpus(spark, sf_dir)
@@ -210,6 +213,8 @@ def not_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_emitted(docs, kept.where("doc_type <> 'Needed Research'").select(*KEYS, "doc_no").unionByName(notes)).select("corpus_id", "doc_no", "doc_type")
 
 
-@query(f"""{with_docs()}, {corpus_sql('head', 'h')} SELECT corpus_id, uuid, 'first' AS side FROM docs WHERE uuid NOT IN (SELECT uuid FROM h) UNION ALL SELECT corpus_id, uuid, 'second' FROM h WHERE uuid NOT IN (SELECT uuid FROM docs)""")
+@query(f"""{with_docs()}, {corpus_sql('head', 'h')} 
+SELECT DISTINCT corpus_id, uuid, 'first' AS side FROM docs ANTI JOIN h USING (corpus_id, uuid) WHERE uuid <> ''
+UNION ALL SELECT DISTINCT corpus_id, uuid, 'second' FROM h ANTI JOIN docs USING (corpus_id, uuid) WHERE uuid <> ''""")
 def uuid_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.uuid_difference(corpus(spark, sf_dir), corpus(spark, sf_dir, "head"))

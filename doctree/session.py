@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +48,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def tables() -> Iterator[None]:
+def tables() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Owns the tables written inside: they are deleted at the end, so results must be saved by then.
 
-    A long-running driver runs each of its jobs in such a block, and the shared folder does not fill up.
+    A long-running driver runs each of its jobs in such a block, and the shared folder does not fill up. The block's value
+    writes as :func:`written` does, but for the block around this one: such tables stay.
     """
     mark = len(_written)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        nonlocal mark
+        found = written(df, name)
+        _written.insert(mark, _written.pop())
+        mark += 1
+        return found
+
     try:
-        yield
+        yield keep
     finally:
         drop_written(mark)
 

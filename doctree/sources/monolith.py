@@ -88,13 +88,14 @@ def noted_levels(docs: DataFrame) -> DataFrame:
     return noted.select(*KEYS, "doc_no", F.coalesce(F.least(F.lit(6), F.col("target_level") + F.size("chain")), F.lit(6)).alias("note_level"))
 
 
-def _level() -> Column:
+def level_of() -> Column:
+    """The heading level of a document with note_level."""
     return F.when(F.col("doc_type") == "Needed Research", F.col("note_level")).otherwise(numbers.heading_level("doc_no", "doc_type"))
 
 
 def levels(docs: DataFrame) -> DataFrame:
     """H3: documents with level. Numbers of notes are those of no other documents, so one join serves all."""
-    return docs.join(noted_levels(docs), [*KEYS, "doc_no"], "left").withColumn("level", _level()).drop("note_level")
+    return docs.join(noted_levels(docs), [*KEYS, "doc_no"], "left").withColumn("level", level_of()).drop("note_level")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -113,14 +114,14 @@ def _block() -> Column:
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents with their position in reading order, title line and block of text."""
-    placed = docs.join(_keys(docs), [*KEYS, "doc_no"]).withColumn("level", _level()).drop("note_level")
+    placed = docs.join(_keys(docs), [*KEYS, "doc_no"]).withColumn("level", level_of()).drop("note_level")
     return placed.withColumn("title", _title()).withColumn("block", _block())
 
 
 def _ends(docs: DataFrame, size: Column, name: str) -> DataFrame:
     """(doc_no, position, note_level, n, ``name``): the running sum of ``size`` (n) in reading order. No body is shuffled, only sizes."""
     keys = written(_keys(docs), "keys")
-    sizes = docs.join(keys, [*KEYS, "doc_no"]).withColumn("level", _level()).withColumn("title", _title())
+    sizes = docs.join(keys, [*KEYS, "doc_no"]).withColumn("level", level_of()).withColumn("title", _title())
     sizes = sizes.groupBy(*KEYS, "doc_no", "position", "note_level").agg(F.sum(size).cast("long").alias("n"))
     return order.running(sizes, KEYS, ["position"], "n", name)
 
@@ -152,7 +153,7 @@ def parts(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
     shaped = docs.withColumn("long", long).drop("body")
     ends = _ends(shaped, F.length("title") + 2 + F.when(F.col("long") > 0, F.col("long") + 2).otherwise(0), "end")
     part = ends.select(*KEYS, "doc_no", "position", "note_level", F.expr(f"cast((end - n) div {most} as int)").alias("part"))
-    found = docs.join(part, [*KEYS, "doc_no"]).withColumn("level", _level()).withColumn("title", _title()).withColumn("block", _block())
+    found = docs.join(part, [*KEYS, "doc_no"]).withColumn("level", level_of()).withColumn("title", _title()).withColumn("block", _block())
     return joined(found.select(*KEYS, "part", "position", "block"), [*KEYS, "part"])
 
 

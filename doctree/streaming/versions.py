@@ -25,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from doctree import schema
 from doctree.functions import text
@@ -69,7 +70,7 @@ def _put(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def _table(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, row_schema: str | StructType) -> DataFrame:
     """What a table has, which is nothing before it is first written."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
@@ -84,7 +85,7 @@ def _kept(rows: DataFrame, path: str, batch_id: int) -> DataFrame:
     return rows.sparkSession.read.schema(marked.schema).parquet(path).where(F.col("batch_id") == batch_id).drop("batch_id")
 
 
-def _folders(spark: SparkSession, path: str, places: DataFrame, row_schema: object) -> DataFrame:
+def _folders(spark: SparkSession, path: str, places: DataFrame, row_schema: str | StructType) -> DataFrame:
     """The rows in those folders (bucket, batch_id) of a table that ``places`` names: only these are listed and read."""
     found = sorted((r.bucket, r.batch_id) for r in places.select("bucket", "batch_id").distinct().collect())
     if not found:
@@ -129,8 +130,7 @@ def publisher(target: str, base_version: str | None = None, **limits: int) -> Ca
         placed = fresh.select("*", digest, _bucket(*COMMIT)).repartition("bucket").sortWithinPartitions("bucket", *COMMIT)
         _put(placed.select("*", F.monotonically_increasing_id().alias("row"), mark), f"{target}/landed", "bucket", "batch_id")
         whole_schema = placed.select(*batch.columns, "digest", F.lit(0).cast("long").alias("row"), "bucket", mark).schema
-        mine = spark.read.schema(whole_schema).parquet(f"{target}/landed").where(F.col("batch_id") == batch_id)
-        _put(mine.select(*COMMIT, "bucket", "batch_id").distinct(), f"{target}/landings", "batch_id")
+        _put(fresh.select(*COMMIT, _bucket(*COMMIT), mark).distinct(), f"{target}/landings", "batch_id")
         landings = _table(spark, f"{target}/landings", _LANDINGS).where(F.col("batch_id") <= batch_id)
         touched = landings.where(F.col("batch_id") == batch_id).select(*COMMIT)
         if touched.isEmpty():
@@ -143,6 +143,8 @@ def publisher(target: str, base_version: str | None = None, **limits: int) -> Ca
         counts = standing.groupBy(*COMMIT).agg(F.count("*").alias("n"))
         done = counts.alias("a").join(wanted.alias("w"), null_safe("a", "w")).where("commit_docs is null or n = commit_docs").select(*(F.col(f"a.{c}") for c in COMMIT), "committed_at")
         done = _kept(done, f"{target}/complete", batch_id)
+        if done.isEmpty():
+            return
         # Of the commits of a version the last counts, among those of this batch and what is published.
         known = _table(spark, f"{target}/manifest", _MANIFEST).where((F.col("batch_id") < batch_id) & F.col("commit_id").isNotNull())
         at = F.struct("committed_at", "commit_id")
@@ -173,11 +175,13 @@ def publish_stream(docs: DataFrame, target: str, checkpoint: str, base_version:
 
 def published(spark: SparkSession, target: str) -> DataFrame:
     """The documents of all published versions, each as the last batch that published it has it."""
-    # What has landed has a schema even while nothing is published.
-    rows = spark.read.parquet(f"{target}/landed").drop("bucket", "row", "digest", "commit_id", "commit_docs")
     manifest = _table(spark, f"{target}/manifest", _MANIFEST)
     last = manifest.groupBy(*KEYS).agg(F.max("batch_id").alias("batch_id"))
-    return spark.read.schema(rows.schema).parquet(f"{target}/published").join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id")
+    if manifest.isEmpty():  # what has landed has a schema even while nothing is published
+        rows = spark.createDataFrame([], spark.read.parquet(f"{target}/landed").drop("bucket", "row", "digest").schema)
+    else:
+        rows = spark.read.parquet(f"{target}/published")
+    return rows.join(last, [*KEYS, "batch_id"], "left_semi").drop("batch_id", "commit_id", "commit_docs")
 
 
 def latest_good(found: DataFrame) -> DataFrame:
@@ -218,6 +222,8 @@ def _diff(spark: SparkSession, target: str, manifest: DataFrame, batch_id: int,
         base = every.where(F.col("version_id") == base_version).select("corpus_id", F.col("version_id").alias("base_id"), F.col("batch_id").alias("base_batch"))
         pairs = every.where("new").join(base, "corpus_id").where("version_id <> base_id")
     pairs = _kept(pairs.select(*KEYS, "base_id", "base_batch"), f"{target}/pairs", batch_id).withColumn("batch_id", F.lit(batch_id))
+    if pairs.isEmpty():
+        return
     bucket = _bucket("corpus_id")
     heads = _folders(spark, f"{target}/digests", pairs.select(bucket, "batch_id"), _DIGESTS).join(pairs.select(*KEYS), KEYS, "left_semi")
     olds = _folders(spark, f"{target}/digests", pairs.select(bucket, F.col("base_batch").alias("batch_id")), _DIGESTS)

@@ -475,3 +475,18 @@ def test_a_text_read_in_splits(spark, tmp_path, end):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_of_a_block_go_and_what_it_keeps_stays(spark):
+    from doctree import session
+
+    rows = spark.range(3)
+    with session.tables():
+        with session.tables() as keep:
+            inner = session.written(rows, "inner")
+            outer = keep(inner.withColumn("twice", F.col("id") * 2), "outer")
+            more = session.written(outer, "more")
+            paths = [d.inputFiles()[0] for d in (inner, outer, more)]
+        there = [os.path.exists(p.removeprefix("file:").replace("//", "/")) for p in paths]
+        assert there == [False, True, False] and outer.count() == 3
+    assert not os.path.exists(paths[1].removeprefix("file:").replace("//", "/"))
