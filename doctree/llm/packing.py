@@ -231,7 +231,12 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
+
+    A null text is empty: its document is the end token alone. Texts are taken whole, however long; only those beyond ``length`` tokens
+    are cut. Repeated rows, also of one id, are documents of their own, each with its pieces; pieces of equal length tie and go where
+    their partition's order puts them. Other columns have no effect. An empty table gives no pieces.
+    """
     return packed(pieces(docs, path or tokenizer_path(), doc_id, text, length), length).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -134,8 +134,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     A row is kept if it passes the base rules and no measure lies beyond its thresholds. Null languages and sources
     are those of the name ''. Where all texts fail the base rules there are no thresholds. Repeated rows count each
-    time; ties in a measure fall into one bucket. Columns named as an output column are replaced, all others stay.
-    An empty table gives an empty one.
+    time; ties in a measure fall into one bucket. Columns named as an output column are replaced, and those
+    whose name begins with ``doctree_lang`` or ``doctree_source`` are overwritten and dropped; all others stay. An empty table gives an empty one.
     """
     named = docs.withColumns({OWN + "lang": F.coalesce(F.col(lang), F.lit("")), OWN + "source": F.coalesce(F.col(source), F.lit(""))})
     rows = written(measured(named, text), "measured")
