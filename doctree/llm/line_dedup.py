@@ -101,14 +101,15 @@ def templates(each: DataFrame, least_docs: int = LEAST_DOCS, depth: int = DEPTH,
     members = written(leaves(members, depth), "leaves")
     places = members.select("leaf", "size", F.posexplode(F.split("line", " ")).alias("at", "token"))
     n = members.groupBy("leaf").agg(F.count("*").alias("n"))
-    shared = places.groupBy("leaf", "size", "at", "token").agg(F.count("*").alias("m")).join(n, "leaf").where(F.col("m") * 2 > F.col("n"))
+    shared = places.groupBy("leaf", "size", "at", "token").agg(F.count("*").alias("m"))
+    shared = found(shared, n, ["leaf"]).where(F.col("m") * 2 > F.col("n"))
     own = shared.groupBy("leaf", "size").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
     own = own.where(F.size("constant") >= F.greatest(F.lit(depth + 1), F.ceil(F.lit(similar) * F.col("size")))).select("leaf", "constant")
     agree = F.size(F.filter("constant", lambda c: F.get("tokens", c["at"]) == c["token"]))
-    fitting = members.join(own, "leaf").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
+    fitting = found(members, own, ["leaf"]).where("constant is not null").withColumn("tokens", F.split("line", " ")).where(agree >= F.lit(similar) * F.col("size")).select("h", "g", "leaf")
     fitting = written(fitting, "fitting")
-    counted = by_text.join(fitting, ["h", "g"]).select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
-    general = fitting.join(counted.where(F.col("texts") >= least_docs).select("leaf"), "leaf").select("h", "g", "leaf")
+    counted = found(by_text, fitting, ["h", "g"]).where("leaf is not null").select("leaf", "k_text").distinct().groupBy("leaf").agg(F.count("*").alias("texts"))
+    general = found(fitting, counted, ["leaf"]).where(F.col("texts") >= least_docs).select("h", "g", "leaf")
     return exact.unionByName(general)
 
 
@@ -146,6 +147,7 @@ def copies(each: DataFrame, own: DataFrame) -> DataFrame:
 def found(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` left-joined with a ``table`` that has each of ``keys`` once. A short table goes to all tasks, so that keys which many rows share do
     not matter; beyond that, those that are shared most go to all tasks, and only the others' rows are shuffled by key."""
+    table = written(table, "table")
     if table.count() <= MOST_SENT:
         return rows.join(F.broadcast(table), keys, "left")
     n = rows.groupBy(*keys).agg(F.count("*").alias("doctree_n")).where(F.col("doctree_n") > LEAST_HOT)
@@ -163,7 +165,7 @@ def recurring(each: DataFrame, least_docs: int = LEAST_DOCS, **limits: float) ->
     # A line counts by its leaf's template and, if it recurs by itself, as it is.
     grouped = own.join(groups, "k_text", "left").select("t", F.coalesce("root", "k_text").alias("root"))
     by_template = grouped.distinct().groupBy("t").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("t")
-    return stands.join(by_template, "t").select("h", "g")
+    return found(stands, by_template.withColumn("often", F.lit(True)), ["t"]).where("often").select("h", "g")
 
 
 def dropped(docs: DataFrame, text: str = "text", depth: int = DEPTH, **limits: float) -> DataFrame:
