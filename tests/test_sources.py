@@ -76,6 +76,71 @@ def test_atoms_round_trip_through_files_and_archives(spark, tmp_path):
     assert {(r.corpus_id, r.version_id, tuple(r.folder), r.blob) for r in from_tar.collect()} == {("c", "v", tuple(r.folder), r.blob) for r in files}
 
 
+def _tar(path, entries, mode="w", form=tarfile.PAX_FORMAT):
+    with tarfile.open(path, mode, format=form) as out:
+        for name, data in entries:
+            member = tarfile.TarInfo(name)
+            member.type = tarfile.DIRTYPE if data is None else tarfile.REGTYPE
+            member.size = len(data or b"")
+            out.addfile(member, io.BytesIO(data or b""))
+
+
+@pytest.mark.parametrize("form", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT, tarfile.USTAR_FORMAT])
+@pytest.mark.parametrize("most", [order.MOST_IN_TASK, 1])
+def test_archives_are_read_in_splits(spark, tmp_path, form, most):
+    """Any size of member, with and without line feeds, long names, an archive inside an archive, several splits."""
+    inner = io.BytesIO()
+    with tarfile.open(fileobj=inner, mode="w") as out:
+        member = tarfile.TarInfo("content/Z/document.md")
+        member.size = 3
+        out.addfile(member, io.BytesIO(b"in\n"))
+    deep = "/".join(str(k) * 3 for k in range(25 if form == tarfile.USTAR_FORMAT else 40))
+    entries = [("repo", None), ("repo/content", None), ("repo/content/A/document.md", "é\n\nline\n".encode()), ("repo/content/B/document.md", b""), ("repo/content/C/document.md", b"no end")]
+    entries += [(f"repo/content/{deep}/document.md", b"deep\n"), ("repo/content/inner.tar", inner.getvalue()), ("repo/content/D/document.md", b"\n"), ("repo/content/E/document.md", b"\xff\n"), ("repo/document.md", b"no")]
+    entries += [(f"repo/content/{k}/document.md", (f"# {k} ustar\n" * k * 7 + "x" * (k * 53 % 700)).encode()) for k in range(30)] + [("repo/content/A/document.md", b"again")]
+    for name, mode in (("c@v.tar", "w"), ("c@w.tar.gz", "w:gz"), ("d.tar.bz2", "w:bz2"), ("d@x.tgz", "w:gz"), ("d@y.tar.xz", "w:xz")):
+        _tar(tmp_path / name, entries, mode, form)
+    _tar(tmp_path / "none@v.tar", [], "w", form)
+    want = sorted((tuple(n.removeprefix("repo/content/").split("/")[:-1]), b.decode("utf-8", "replace")) for n, b in entries if b is not None and n.startswith("repo/content/") and n.endswith("/document.md"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = {}
+        for r in atoms.read_tars(spark, str(tmp_path), most=most).collect():
+            got.setdefault((r.corpus_id, r.version_id), []).append((tuple(r.folder), r.blob))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert set(got) == {("c", "v"), ("c", "w"), ("d", "base"), ("d", "x"), ("d", "y")}
+    for rows in got.values():
+        assert sorted(rows) == want
+
+
+def test_broken_archives_fail(spark, tmp_path):
+    _tar(tmp_path / "good.tar", [("content/A/document.md", b"line\n" * 500)])
+    whole = (tmp_path / "good.tar").read_bytes()
+    for name, data in (("text.tar", b"no archive\n" * 100), ("cut.tar", whole[:1500]), ("two.tar", whole + whole)):
+        folder = tmp_path / name[:-4]
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        with pytest.raises(Exception, match="no archive|ends inside|no header"):
+            atoms.read_tars(spark, str(folder)).collect()
+
+
+def test_written_archives_are_read_by_others(spark, tmp_path):
+    from doctree.sources import archives
+
+    rows = [(1, "c/content", "A/document.md", "é\n"), (1, "c/content", "B/document.md", ""), (1, "d/content", "A/document.md", "x" * 1024), (2, "c", "z" * 100, "end")]
+    archives.write(spark.createDataFrame(rows, "part int, prefix string, name string, content string"), str(tmp_path / "out"), ["part"])
+    got = []
+    for path in (tmp_path / "out").rglob("*.txt"):
+        with tarfile.open(path) as archive:
+            got += [(int(path.parent.name[5:]), m.name, archive.extractfile(m).read().decode()) for m in archive]
+    assert sorted(got) == sorted((p, f"{a}/{b}", c) for p, a, b, c in rows)
+    back = archives.members(spark, str(tmp_path / "out"), lambda name: ~name.endswith("B/document.md"))
+    assert sorted((r.name, r.content) for r in back.collect()) == sorted((f"{a}/{b}", c) for _, a, b, c in rows if b != "B/document.md")
+
+
 def test_malformed_atoms(spark):
     good = "---\nid: u\ndocNo: A.1\nname: N: x\ntype: Scope\ndepth: 1\nchildType: c\n---\n\n# A.1 - N [Scope]\nbody"
     cases = [good, good.replace("---\n", "", 1), good.replace("depth: 1\n", ""), good.replace("type: Scope", "type: Scope\ntargets: none"), "---\nid: u\n", ""]
