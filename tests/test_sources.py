@@ -353,6 +353,24 @@ def test_a_head_over_several_batches_gives_one_diff(spark, tmp_path):
     assert sum(r.change == "Deleted" for r in found) == 1
 
 
+def test_a_head_is_compared_again_when_its_base_is_replaced(spark, tmp_path):
+    docs, stream = tree_docs(spark), Commits(spark, tmp_path)
+    stream.land(docs.where("doc_no <> 'NR-3'"), "main", "c1", 8, "2024-01-01")
+    stream.run()
+    head = docs.withColumn("body", F.when(F.col("doc_no") == "A.1.1", "new").otherwise(F.col("body")))
+    stream.land(head, "head", "c3", 9, "2024-01-04")
+    stream.run()
+    assert sum(r.change == "Inserted" for r in versions.diffs(spark, f"{tmp_path}/out").collect()) == 1
+    stream.land(docs, "main", "c2", 9, "2024-01-02")
+    stream.run()
+    found = versions.diffs(spark, f"{tmp_path}/out").collect()
+    assert {(r.version_id, r.base_id) for r in found} == {("head", "main")}
+    assert without_body(found) == without_body(diff.classify(docs, head).collect())
+    stream.land(docs, "main", "c4", 9, "2024-01-05")  # now head is the first, and main follows it
+    stream.run()
+    assert {(r.version_id, r.base_id) for r in versions.diffs(spark, f"{tmp_path}/out").collect()} == {("main", "head")}
+
+
 def test_a_batch_reads_what_it_touches(spark, tmp_path):
     docs = tree_docs(spark).drop("version_id")
     stream = Commits(spark, tmp_path)
@@ -521,6 +539,14 @@ def test_one_corpus_over_many_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_titles_of_any_level_are_shallower(spark):
+    """A title of level 6 stands above one of level 7."""
+    rows = [("c", "v", k, level, f"NR-{k}", "Needed Research") for k, level in enumerate([3, 4, 6, 7, 9, 8])]
+    docs = spark.createDataFrame(rows, "corpus_id string, version_id string, line bigint, level int, doc_no string, doc_type string")
+    assert [r.above for r in quality.shallower(docs).orderBy("line").collect()] == [None, 3, 4, 6, 7, 7]
+    assert {(r.line, r.detail) for r in quality.note_levels(docs).collect()} >= {(3, "6"), (4, "6"), (5, "6")}
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_a_text_read_in_splits(spark, tmp_path, end):
     """S4, S5 of a file that several tasks read are those of the text as one value."""
