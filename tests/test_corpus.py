@@ -4,7 +4,10 @@ import os
 
 import pytest
 from oracle import SF, database, rows_of
+from pyspark.sql import functions as F
 
+from doctree import session
+from doctree.operators import diff, tree
 from doctree.plans import corpus as corpora
 from doctree.plans import diff_queries
 
@@ -25,3 +28,29 @@ def test_what_needs_no_bodies_writes_none(spark):
         assert not [c for c in rows.columns if "body" in c]
     # Bodies are looked up for what was edited, not for all documents.
     assert 0 < steps.edited.count() < steps.changes.count() / 2
+
+
+def _exchanges(df):
+    df.collect()
+    return str(df._jdf.queryExecution().executedPlan().toString()).split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_what_is_within_a_corpus_is_not_shuffled_again(spark):
+    session.ship(spark)
+    docs = corpora.keys(spark, SF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(tree.lineage(docs).groupBy("corpus_id", "doc_no").count()) == 0
+        assert _exchanges(diff.living_ancestors(corpora.numbered(spark, SF), corpora.numbered(spark, SF, "head"))) == 0
+        assert _exchanges(diff_queries.versions(spark, SF).there.join(docs.select("corpus_id", "uuid", "k"), ["corpus_id", "uuid"])) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("version", ["base", "head"])
+def test_digests_of_long_texts_are_those_of_the_bodies(spark, version):
+    length = {"n_chars": F.length("body"), "crc": F.crc32(F.col("body"))}
+    want = corpora.streamed(spark, SF, version).select("corpus_id", "uuid", *(c.alias(n) for n, c in length.items()))
+    got = corpora.digested(spark, SF, version, length).select(*want.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
