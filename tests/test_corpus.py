@@ -54,3 +54,19 @@ def test_digests_of_long_texts_are_those_of_the_bodies(spark, version):
     want = corpora.streamed(spark, SF, version).select("corpus_id", "uuid", *(c.alias(n) for n, c in length.items()))
     got = corpora.digested(spark, SF, version, length).select(*want.columns)
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
+
+
+def _unbroadcast(spark, count):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scopes_are_worked_out_within_their_corpus(spark):
+    session.ship(spark)
+    v = diff_queries.versions(spark, SF)
+    assert v.scopes.count() and v.living.count()
+    assert _unbroadcast(spark, lambda: _exchanges(diff.scope_nodes(v.scopes, v.there, v.living))) == 0
