@@ -6,7 +6,7 @@ import pytest
 from oracle import SF, database, rows_of
 from pyspark.sql import functions as F
 
-from doctree import session
+from doctree import plans, session
 from doctree.operators import diff, tree
 from doctree.plans import corpus as corpora
 from doctree.plans import diff_queries
@@ -70,3 +70,20 @@ def test_scopes_are_worked_out_within_their_corpus(spark):
     v = diff_queries.versions(spark, SF)
     assert v.scopes.count() and v.living.count()
     assert _unbroadcast(spark, lambda: _exchanges(diff.scope_nodes(v.scopes, v.there, v.living))) == 0
+
+
+@pytest.mark.parametrize("name", ["xref_links", "xref_unresolved", "xref_scope_class"])
+def test_long_texts_are_not_read_for_each_section(spark, name):
+    session.ship(spark)
+    assert not [f for f in plans.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
+def test_sections_without_their_text_have_what_a_null_body_gives(spark, tmp_path):
+    for name in corpora.TABLES:
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.where("doc_id <> 3") if name == "documents" else rows).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    marked = {"crc": F.crc32(F.coalesce("body", F.lit("")))}
+    want = corpora.streamed(spark, str(tmp_path)).select("corpus_id", "uuid", marked["crc"].alias("crc"))
+    assert corpora.streamed(spark, str(tmp_path)).where("body is null").count()
+    got = corpora.digested(spark, str(tmp_path), "base", marked).select(*want.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
