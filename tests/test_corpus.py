@@ -72,7 +72,7 @@ def test_scopes_are_worked_out_within_their_corpus(spark):
     assert _unbroadcast(spark, lambda: _exchanges(diff.scope_nodes(v.scopes, v.there, v.living))) == 0
 
 
-@pytest.mark.parametrize("name", ["xref_links", "xref_unresolved", "xref_scope_class"])
+@pytest.mark.parametrize("name", ["body_marks", "xref_links", "xref_unresolved", "xref_scope_class"])
 def test_long_texts_are_not_read_for_each_section(spark, name):
     session.ship(spark)
     assert not [f for f in plans.QUERIES[name](spark, SF).inputFiles() if "documents.parquet" in f]
