@@ -72,6 +72,18 @@ def test_scopes_are_worked_out_within_their_corpus(spark):
     assert _unbroadcast(spark, lambda: _exchanges(diff.scope_nodes(v.scopes, v.there, v.living))) == 0
 
 
+def test_bodies_of_edited_documents_are_looked_up_once(spark):
+    session.ship(spark)
+    v = diff_queries.versions(spark, SF)
+    assert v.there.count()
+    # Rows without bodies are dealt by text, and so are the texts.
+    assert _unbroadcast(spark, lambda: _exchanges(diff_queries.Steps(spark, SF).edited)) == 2
+    got, both = v.edited.select("corpus_id", "uuid", "base_body", "head_body"), ["corpus_id", "uuid"]
+    body = lambda version: corpora.streamed(spark, SF, version).select(*both, F.col("body").alias(f"{version}_body"))
+    want = got.select(*both).join(body("base"), both).join(body("head"), both).select(*got.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
+
+
 @pytest.mark.parametrize("name", ["body_marks", "xref_links", "xref_unresolved", "xref_scope_class"])
 def test_long_texts_are_not_read_for_each_section(spark, name):
     session.ship(spark)
