@@ -72,6 +72,12 @@ def test_scopes_are_worked_out_within_their_corpus(spark):
     assert _unbroadcast(spark, lambda: _exchanges(diff.scope_nodes(v.scopes, v.there, v.living))) == 0
 
 
+def test_numbers_are_assigned_within_their_corpus(spark):
+    session.ship(spark)
+    docs = corpora.keys(spark, SF)
+    assert _unbroadcast(spark, lambda: _exchanges(tree.assign_numbers(docs))) == 0
+
+
 def test_bodies_of_edited_documents_are_looked_up_once(spark):
     session.ship(spark)
     v = diff_queries.versions(spark, SF)
