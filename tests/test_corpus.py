@@ -107,7 +107,7 @@ def test_sections_without_their_text_have_what_a_null_body_gives(spark, tmp_path
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
 
 
-@pytest.mark.parametrize("name, most", [("expand_to_targets", 0), ("depth_guard", 0), ("edges_of_faulty_corpora", 0), ("export_order", 1), ("node_paths", 0), ("hierarchy", 0), ("nearest_existing_ancestor", 0)])
+@pytest.mark.parametrize("name, most", [("expand_to_targets", 0), ("depth_guard", 0), ("last_number_of_uuid", 0), ("edges_of_faulty_corpora", 0), ("export_order", 1), ("node_paths", 0), ("hierarchy", 0), ("nearest_existing_ancestor", 0)])
 def test_trees_are_walked_within_their_corpus(spark, name, most):
     # Rows are placed from a plain table, which is shuffled once.
     session.ship(spark)
