@@ -112,3 +112,10 @@ def test_trees_are_walked_within_their_corpus(spark, name, most):
     # Rows are placed from a plain table, which is shuffled once.
     session.ship(spark)
     assert _unbroadcast(spark, lambda: _exchanges(plans.QUERIES[name](spark, SF))) <= most
+
+
+def test_a_number_of_a_note_and_of_another_document_has_both_keys(spark):
+    note = "Needed Research"
+    rows = [("A.1", "Scope", None), ("NR-1", note, "A.1"), ("NR-1", "Core", None), (None, note, "A.1"), (None, "Core", None)]
+    docs = spark.createDataFrame([("c", "v", no, kind, "x", str(k), target) for k, (no, kind, target) in enumerate(rows)], "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string")
+    assert sorted(str(r.doc_no) for r in tree.emit_keys(docs).collect()) == ["A.1", "NR-1", "NR-1", "None"]
