@@ -119,3 +119,12 @@ def test_a_number_of_a_note_and_of_another_document_has_both_keys(spark):
     rows = [("A.1", "Scope", None), ("NR-1", note, "A.1"), ("NR-1", "Core", None), (None, note, "A.1"), (None, "Core", None)]
     docs = spark.createDataFrame([("c", "v", no, kind, "x", str(k), target) for k, (no, kind, target) in enumerate(rows)], "corpus_id string, version_id string, doc_no string, doc_type string, name string, uuid string, target_no string")
     assert sorted(str(r.doc_no) for r in tree.emit_keys(docs).collect()) == ["A.1", "NR-1", "NR-1", "None"]
+
+
+def test_what_files_compress_well_does_not_pass_the_driver(spark):
+    session.ship(spark)
+    rows = spark.range(400_000).select((F.col("id") % 100).alias("corpus_id"), F.lit("a title that all rows have").alias("title"), F.lit("a body").alias("body"))
+    found = session.dealt(rows, "rows", 4, "corpus_id")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    plan = found.join(found.select("corpus_id", F.col("title").alias("other")), "corpus_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan
