@@ -128,3 +128,17 @@ def test_what_files_compress_well_does_not_pass_the_driver(spark):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
     plan = found.join(found.select("corpus_id", F.col("title").alias("other")), "corpus_id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["change_classes", "doc_spans", "truncated_text"])
+def test_only_sections_meet_long_texts(spark, name):
+    # What is within a corpus is joined where it is, however many long texts there are.
+    session.ship(spark)
+    diff_queries._derived.clear()
+    assert _unbroadcast(spark, lambda: _exchanges(plans.QUERIES[name](spark, SF))) == 0
+    assert _unbroadcast(spark, lambda: _exchanges(corpora.digested(spark, SF, "head", {"chars": F.length("body")}))) == 0
+
+
+def test_places_of_dealt_rows_need_no_shuffle(spark):
+    session.ship(spark)
+    assert _unbroadcast(spark, lambda: _exchanges(tree.positions(corpora.keys(spark, SF), corpora.keeper(spark, SF)))) == 0
