@@ -771,3 +771,14 @@ def test_copies_of_one_row_are_sharded(spark):
     for r in rows:
         slots[r.shard].append(r.slot)
     assert len(rows) == 1000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_tables_of_lines_are_sent_by_what_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_SENT", 1000)
+    rows = spark.range(300).selectExpr("id % 100 AS leaf", "id AS line")
+    narrow = spark.range(100).selectExpr("id AS leaf", "id + 1 AS n")
+    wide = spark.range(100).selectExpr("id AS leaf", "transform(sequence(1, 30), i -> struct(i AS at, 'token' AS token)) AS constant")
+    sent = lambda table: "strategy=broadcast" in str(line_dedup.found(rows, table, ["leaf"])._jdf.queryExecution().analyzed().toString())
+    # A hundred rows either way; what is in their arrays counts.
+    assert line_dedup.weight(narrow) == 100 and line_dedup.weight(wide) == 3100
+    assert sent(narrow) and line_dedup.found(rows, wide, ["leaf"]).where("size(constant) = 30").count() == 300
