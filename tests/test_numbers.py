@@ -88,3 +88,12 @@ def test_links_formulas_and_snippets(spark):
     assert one(spark, text.snippet("a", "Needle", 150), a="short") == "short"
     assert one(spark, text.highlights("a", "a.b"), a="A.B axb a.b") == 2
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_prefixes_of_odd_numbers_are_not_cut_out_of_segments(spark):
+    rows = spark.createDataFrame([("A.1.2",), ("A",), ("",), ("A.",), (".A",), ("A..1",), (None,)], "n string")
+    found = rows.select(numbers.prefixes("n").alias("p"), numbers.prefixes("n", own=True).alias("o"))
+    assert [(r.p, r.o) for r in found.collect()] == [
+        (["A", "A.1"], ["A", "A.1", "A.1.2"]), ([], ["A"]), ([], [""]), (["A"], ["A", "A."]), ([""], ["", ".A"]), (["A", "A."], ["A", "A.", "A..1"]), ([], [])
+    ]
+    assert "split(" not in found._jdf.queryExecution().executedPlan().toString()
