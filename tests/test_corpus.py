@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from doctree import plans, session
 from doctree.operators import diff, tree
 from doctree.plans import corpus as corpora
-from doctree.plans import diff_queries
+from doctree.plans import diff_queries, mark_queries, quality_queries, search_queries
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
@@ -142,3 +142,13 @@ def test_only_sections_meet_long_texts(spark, name):
 def test_places_of_dealt_rows_need_no_shuffle(spark):
     session.ship(spark)
     assert _unbroadcast(spark, lambda: _exchanges(tree.positions(corpora.keys(spark, SF), corpora.keeper(spark, SF)))) == 0
+
+
+@pytest.mark.parametrize("name", ["search_hits", "atom_files", "duplicate_uuids"])
+def test_whole_corpora_are_not_written_with_their_bodies(spark, name, monkeypatch):
+    # Sections repeat the texts of documents, so such tables are many times what was read.
+    session.ship(spark)
+    monkeypatch.setattr(corpora, "corpus", None)
+    for module in (search_queries, quality_queries, mark_queries):
+        monkeypatch.setattr(module, "corpus", None, raising=False)
+    assert plans.QUERIES[name](spark, SF).count()
